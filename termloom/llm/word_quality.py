@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .textual import BYTE_VALUE, M1, M3, SEPARATOR, U, mix, runs, segment_hash, slices, utf8, words
 
 #: Hash buckets of the features; a power of two.
-BUCKETS = 1 << 13
+BUCKETS = 1 << 11
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 WINDOW = 8
@@ -69,7 +69,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
 
-def train(rows: DataFrame, max_rows: int = 3000, iterations: int = 300, penalty: float = 1e-3) -> QualityModel | None:
+def train(rows: DataFrame, max_rows: int = 2000, iterations: int = 300, penalty: float = 1e-3) -> QualityModel | None:
     """Fit on ``rows`` (doc_id, text, quality 0/1), or on about ``max_rows`` of them that a hash of the id picks.
 
     A fifth of the sample is held out of the fit and calibrates its margins (Platt). Null texts and labels don't count.
@@ -175,7 +175,7 @@ def _repeated(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(text[np.cumsum(edge[:-1]) > 0], minlength=len(count))
 
 
-def judge(docs: DataFrame, labelled: DataFrame, threshold: float = 0.2, max_rows: int = 3000, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def judge(docs: DataFrame, labelled: DataFrame, threshold: float = 0.2, max_rows: int = 2000, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """Counts, base verdict, probability and verdict of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     base_failed: under ``min_words`` words, or more than ``max_repeat`` % of them in repeated 8-word windows. kept is
