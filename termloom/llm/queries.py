@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, kd_search, language_id, packing, url_reputation, word_quality
+from . import byte_bpe, chunk_dedup, kd_search, language_id, packing, pseudonyms, url_reputation, word_quality
 
 RULES = [url_reputation.Rule("block", "net", "/"), url_reputation.Rule("allow", "example.net", "/en/"), url_reputation.Rule("block", "example.com", "/de/"), url_reputation.Rule("allow", "org", "/fr/")]
 
@@ -25,6 +25,16 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("lower", 6).alias("lower"))
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+
+
+def op3_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_removed", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op4_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     packed = packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=2, capacity=1024)
@@ -59,7 +69,7 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_reputation, op4_large_item_packing, op5_kd_top_k, op7_quality_model, op8_language_centroids, op10_chunked_bpe)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k, op7_quality_model, op8_language_centroids, op10_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
