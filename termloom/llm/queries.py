@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, kd_search, language_id, packing, pseudonyms, url_reputation, word_quality
+from . import byte_bpe, chunk_dedup, kd_search, language_id, packing, pseudonyms, suffix_dedup, url_reputation, word_quality
 
 RULES = [url_reputation.Rule("block", "net", "/"), url_reputation.Rule("allow", "example.net", "/en/"), url_reputation.Rule("block", "example.com", "/de/"), url_reputation.Rule("allow", "org", "/fr/")]
 
@@ -60,6 +60,11 @@ def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -69,7 +74,7 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k, op7_quality_model, op8_language_centroids, op10_chunked_bpe)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k, op7_quality_model, op8_language_centroids, op9_suffix_buckets, op10_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
