@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, kd_search, language_id, packing, pseudonyms, suffix_dedup, url_reputation, word_quality
+from . import byte_bpe, chunk_dedup, kd_search, language_id, packing, pseudonyms, setsketch, suffix_dedup, url_reputation, word_quality
 
 RULES = [url_reputation.Rule("block", "net", "/"), url_reputation.Rule("allow", "example.net", "/en/"), url_reputation.Rule("block", "example.com", "/de/"), url_reputation.Rule("allow", "org", "/fr/")]
 
@@ -46,6 +46,11 @@ def op5_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setsketch.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labelled = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -74,7 +79,7 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k, op7_quality_model, op8_language_centroids, op9_suffix_buckets, op10_chunked_bpe)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k, op6_setsketch, op7_quality_model, op8_language_centroids, op9_suffix_buckets, op10_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
