@@ -108,17 +108,22 @@ def fit(labelled: DataFrame, max_rows: int = 4000, per_language: int = 3, quanti
     return Centroids(idf, np.array(vectors, np.float32), names, np.array(least))
 
 
-def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of every row of ``docs`` (doc_id, text; other columns are ignored).
+ADDED = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+
+
+def identify(docs: DataFrame, model: Centroids | None, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (doc_id, if none are named) and lang_pred, score, rejected of every row of ``docs`` (doc_id, text).
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected, as is every text where there is no model.
-    A rejected text with letters still carries its nearest language. Repeated rows give repeated results.
+    A rejected text with letters still carries its nearest language. Repeated rows give repeated results. Columns of the
+    three added names are replaced.
     """
+    kept = [c for c in columns or ["doc_id"] if c not in ADDED]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            letters = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, d, o in slices(*utf8(b.column("text")), texts=512):
+            letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, d, o in slices(*utf8(b.column("_text")), texts=512):
                 known = letters[i:j] & (model is not None)
                 lang, score, far = np.full(j - i, UNKNOWN, object), np.zeros(j - i), np.ones(j - i, bool)
                 if known.any():
@@ -126,7 +131,8 @@ def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
                     lang[known] = np.array(model.languages, object)[best[known]]
                     score[known] = cosine[known]
                     far[known] = cosine[known] < model.least[best[known]]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], ["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], [*kept, *ADDED])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(nearest, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows = docs.select(*kept, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
+    return rows.mapInArrow(nearest, ", ".join([*schema, *(f"{k} {v}" for k, v in ADDED.items())]))

@@ -133,7 +133,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def _sequence(h: np.ndarray) -> np.uint64:
-    return mix(np.array([(h * powers(len(h))).sum() + U(len(h)) * M2], U))[0]
+    total = np.array([(h * powers(len(h))).sum(), len(h)], U)
+    return mix(total[:1] + total[1:] * M2)[0]
 
 
 def distinct_by_text(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
