@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when a count has shown it to be at most this many bytes.
-BROADCAST_LIMIT = 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made for a local session."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-termloom-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir() or path
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..session import BROADCAST_LIMIT, maybe_broadcast, shared_dir, stage
 
-def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only where rows * row_bytes is under BROADCAST_LIMIT; else leave Spark its shuffle join."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT else df
+__all__ = ["BROADCAST_LIMIT", "hot_keys", "maybe_broadcast", "salt_of", "salted_join", "shared_dir", "stage"]
 
 
 def salt_of(*cols: str, buckets: int) -> Column:

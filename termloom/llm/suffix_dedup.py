@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage
+from .common import stage
 from .textual import BYTE_VALUE, M1, M2, STEP, U, mix, powers, slices, utf8
 
 #: Bits of a sliding minimum that hold the place in the slice; the others hold the hash.
@@ -192,7 +192,7 @@ def shared_strings_wide(named: DataFrame) -> DataFrame:
     return each.join(twice, "name").groupBy("bucket").agg(F.collect_list("place").alias("shared"))
 
 
-def dedup(docs: DataFrame, length: int = 200, gram: int = 64, group: int = 200) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, gram: int = 96, group: int = 24) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept binary): every row of ``docs`` (doc_id, text; other columns are ignored).
 
     A byte goes if it lies in a string of ``length`` bytes that starts anywhere else as well; spans are the maximal
@@ -205,20 +205,18 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, group: int = 200)
     twice = intervals(docs, length, gram, ["anchor"]).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor")
     met = stage(intervals(docs, length, gram, ["anchor", "bucket", "doc_id", "at"]).join(twice, "anchor"), "met")
     buckets = stage(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.min(F.struct("doc_id", "at")).alias("one")), "buckets")
-    groups = buckets.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where((F.col("size") > 1) & (F.col("least") == 1))
+    groups = stage(buckets.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where((F.col("size") > 1) & (F.col("least") == 1)), "groups")
     chosen = buckets.join(groups, "anchor").select(F.col("one.doc_id").alias("doc_id"), F.floor(F.col("one.at") / LEAD).cast("long").alias("start"), (F.col("size") > group).alias("wide"))
     reps = stage(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("start", "wide")).alias("r")).select("doc_id", F.col("r.start").alias("starts"), F.col("r.wide").alias("wides")), "reps")
-    rows = reps.agg(F.count("*").alias("n"), F.sum(F.size("starts")).alias("s")).first()
-    named = stage(strings_of(candidates(docs, length).join(maybe_broadcast(reps, rows["n"] + (rows["s"] or 0), 24), "doc_id"), length, gram), "names")
+    named = stage(strings_of(candidates(docs, length).join(reps, "doc_id"), length, gram), "names")
     some = shared_strings(named.where(~F.col("wide"))).unionByName(shared_strings_wide(named.where(F.col("wide"))))
     every = buckets.where(F.col("n") > 1).select("bucket", F.lit(None).cast("array<short>").alias("shared"))
     single = buckets.where(F.col("n") == 1).select("bucket")
     marks = every.unionByName(some.where(F.size("shared") > 0).join(single, "bucket", "left_semi"))
     cuts = met.select("bucket", "doc_id", "at").join(marks, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("at", "shared")).alias("cuts"))
     spans = stage(cuts.mapInArrow(lambda batches: merged(batches, length), "doc_id long, spans array<struct<start:int,end:int>>"), "spans")
-    sizes = spans.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("s")).first()
     everything = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return everything.join(maybe_broadcast(spans, sizes["n"] + (sizes["s"] or 0), 24), "doc_id", "left").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    return everything.join(spans, "doc_id", "left").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
