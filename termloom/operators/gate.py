@@ -12,6 +12,7 @@ from .evaluate import score_total
 #: Words that negate, and words for a normal finding.
 NEGATION = r"\b(no|not|without|absent|denies|denied|deny|negative|neither|nor|none|rule(d)?\s+out|rules\s+out|cannot)\b"
 NORMAL = r"\b(normal|unremarkable|within\s+normal\s+limits|wnl|unaffected)\b"
+KEEP_WORDS = (NEGATION, NORMAL)
 NUMERIC = ["retrieved_score", "mention_char_len", "mention_word_len", "hpo_depth", "rel_position", "dist_to_nearest_anchor_norm", "patient_count"]
 BINARY = ["is_dict_hit", "has_negation_cue", "has_normal_cue"]
 MISSABLE = ["retrieved_score", "hpo_depth", "dist_to_nearest_anchor_norm"]
