@@ -33,7 +33,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20, 60000
 SEEDS = mix((np.arange(REGISTERS, dtype=U) + U(7)) * M1)
 #: Classes in a block of step 3.
-BLOCK = 128
+BLOCK = 256
+#: How far under the asked similarity an estimate may lie for the pair to be verified: over four and a half of its deviations.
+SLACK = 0.18
 
 
 def registers(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -127,8 +129,8 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("doc", "sketch").mapInArrow(keys, "key long, doc long")
 
 
-def promising(pairs: DataFrame, classes: DataFrame, percent: int, slack: float = 0.25) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and whose estimate is at most ``slack`` (six deviations) under it."""
+def promising(pairs: DataFrame, classes: DataFrame, percent: int, slack: float = SLACK) -> DataFrame:
+    """The pairs (a, b) whose sizes allow the similarity and whose estimate is at most ``slack`` under it."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,7 +196,7 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
                     return p
 
                 common = np.zeros((len(a), len(b)), np.float32)
-                width = 1 << 14
+                width = 1 << 13
                 order = np.argsort(values, kind="stable")
                 values, rows = values[order], rows[order]
                 for start in range(0, int(values[-1]) + 1, width):
@@ -278,10 +280,12 @@ def remaining(docs: DataFrame, open_rows: DataFrame, found: DataFrame, classes:
                 nx, ny = (np.array([m["n"] for m in s], float) for s in (x, y))
                 px, py = (np.array([m["part"] for m in s]) for s in (x, y))
                 p, q = np.nonzero((px[:, None] != py[None, :]) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny)))
-                keep = np.zeros(len(p), bool)
+                kx, ky, keep = band_keys(sx), band_keys(sy), np.zeros(len(p), bool)
                 for s in range(0, len(p), 1 << 14):
-                    t = slice(s, s + (1 << 14))
-                    keep[t] = likely(sx[p[t]], sy[q[t]], nx[p[t]], ny[q[t]]) >= percent / 100 - 0.25
+                    t = np.arange(s, min(s + (1 << 14), len(p)))
+                    # a pair counts in the first band that it shares; the other buckets leave it out
+                    t = t[kx[p[t], (kx[p[t]] == ky[q[t]]).argmax(1)] == r["key"]]
+                    keep[t] = likely(sx[p[t]], sy[q[t]], nx[p[t]], ny[q[t]]) >= percent / 100 - SLACK
                 p, q = p[keep], q[keep]
                 out = {(r["key"], r["i"], r["j"], side, s[k]["doc"], s[k]["part"]) for side, s, ks in ((0, x, p), (1, y, q)) for k in ks.tolist()}
                 yield pd.DataFrame(sorted(out), columns=["key", "i", "j", "side", "doc", "part"]).astype("int64")
