@@ -14,7 +14,7 @@ from termloom.llm.common import maybe_broadcast, stage
 from termloom.session import ship
 
 #: Most labelled rows that the language model is fitted on.
-LANGUAGE_ROWS = 4000
+LANGUAGE_ROWS = 2000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
-def fit(labelled: DataFrame, max_rows: int = 4000, per_language: int = 3, quantile: float = 0.002, slack: float = 0.6, rounds: int = 10) -> Centroids | None:
+def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quantile: float = 0.002, slack: float = 0.6, rounds: int = 10) -> Centroids | None:
     """Centroids from ``labelled`` (doc_id, text, lang), or from about ``max_rows`` of its rows that a hash of the id picks.
 
     Null texts and languages don't count. None if nothing is left.
@@ -89,8 +89,12 @@ def fit(labelled: DataFrame, max_rows: int = 4000, per_language: int = 3, quanti
     for r, f in enumerate(got["f"]):
         cell = np.frombuffer(f.as_py(), [("i", "<u2"), ("v", "<u4")])
         c[r, cell["i"]] = cell["v"]
-    idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 0.1).astype(np.float32)
-    x, lang = weigh(c, idf), np.array(got["lang"].to_pylist(), object)
+    lang = np.array(got["lang"].to_pylist(), object)
+    del got
+    idf = (np.log((1 + len(c)) / (1 + np.count_nonzero(c, axis=0))) + 0.1).astype(np.float32)
+    x = np.log1p(c, out=c)  # as weigh does, in place
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
     vectors, names, least = [], [], []
     for name in sorted(set(lang)):
         own = x[lang == name]
