@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: A space between two spaces, or after one at the end: the only spaces at which a text can't be cut.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Units kept with their ids in a worker, and the longest of them in characters.
-CACHE_UNITS, CACHE_CHARS = 400_000, 40
+CACHE_UNITS, CACHE_CHARS = 150_000, 40
 
 
 class Encoder(dict):
