@@ -1,0 +1 @@
+"""The article-local operators over streams of articles."""
