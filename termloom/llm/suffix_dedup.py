@@ -106,99 +106,58 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long"), "text")
 
 
-STRINGS = "anchor long, bucket long, lead short, wide boolean, names binary"
-
-
 def strings_of(reps: DataFrame, length: int, gram: int) -> DataFrame:
-    """The names (hashes, little-endian) of all strings of chosen intervals; reps: doc_id, text, starts, wides.
+    """(bucket, names binary) of chosen intervals; reps: doc_id, text, starts.
 
-    Names have eight bytes where wide is set, else five: they are compared under one anchor and offset only, and wide is
-    set for the anchors of many intervals.
+    The names are hashes of the interval's strings, of the anchor and of the string's offset to it, 64 bits each.
     """
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            starts, wides = b.column("starts"), b.column("wides")
+            starts = b.column("starts")
             for i, j, d, o in slices(*utf8(b.column("text"))):
                 x, roll = anchor_intervals(d, o, length, gram), Rolling(d)
-                wanted = {(t, s): w for t in range(j - i) for s, w in zip(starts[i + t].as_py(), wides[i + t].as_py(), strict=True)}
-                out = [[] for _ in range(5)]
-                for text, start, count, lead, anchor, bucket in zip(*(x[k].tolist() for k in ("text", "start", "count", "lead")), x["anchor"].view(np.int64).tolist(), x["bucket"].view(np.int64).tolist(), strict=True):
-                    wide = wanted.get((text, start))
-                    if wide is not None:
-                        names = roll.of(o[text] + start + np.arange(count), length)
-                        raw = names.astype("<u8").view(np.uint8).reshape(-1, 8)
-                        for column, v in zip(out, (anchor, bucket, lead, wide, (raw if wide else raw[:, :5]).tobytes()), strict=True):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int16(), pa.bool_(), pa.binary()), strict=True)], ["anchor", "bucket", "lead", "wide", "names"])
+                wanted = [np.isin(x["start"][x["text"] == t], starts[i + t].values.to_numpy()) for t in range(j - i)]
+                chosen = np.flatnonzero(np.concatenate(wanted)) if len(x["start"]) else np.zeros(0, np.int64)
+                count = x["count"][chosen]
+                row, first = np.repeat(np.arange(len(chosen)), count), np.cumsum(count) - count
+                place = np.arange(len(row)) - first[row]
+                at = (o[x["text"][chosen]] + x["start"][chosen])[row] + place
+                offset = (x["lead"][chosen][row] - place + 256).astype(U)
+                names = mix(roll.of(at, length) + x["anchor"][chosen][row] * M1 + offset * M2)
+                cells = [names[f : f + n].tobytes() for f, n in zip(first.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x["bucket"][chosen].view(np.int64)), pa.array(cells, pa.binary())], ["bucket", "names"])
 
-    return reps.select("doc_id", "text", "starts", "wides").mapInArrow(named, STRINGS)
+    return reps.select("doc_id", "text", "starts").mapInArrow(named, "bucket long, names binary")
 
 
 def shared_strings(named: DataFrame) -> DataFrame:
-    """(bucket, shared): the places in each interval whose string is in another interval of the same anchor.
+    """(bucket, shared): the places in each interval whose string is in another interval as well.
 
-    The rows of an anchor come one after another, so a task holds one batch and the anchor that runs on.
+    Names are counted with map-side sums and joined to those that occur twice, so no task holds the intervals of an anchor.
     """
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        anchor, names = table["anchor"].to_numpy(), [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in table["names"]]
-        count = np.array([len(x) for x in names])
-        row = np.repeat(np.arange(len(names)), count)
-        first = np.cumsum(count) - count
-        place = np.arange(len(row)) - first[row]
-        wide = np.zeros((len(row), 8), np.uint8)
-        wide[:, :5] = np.concatenate(names)
-        offset = (table["lead"].to_numpy().astype(np.int64)[row] - place + 256).astype(U)
-        key = mix(wide.view("<u8").ravel() * M1 + offset) + anchor.view(U)[row] * M2
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        hit = np.zeros(len(row), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        return pa.RecordBatch.from_arrays([table["bucket"].combine_chunks(), pa.array([place[a : a + n][hit[a : a + n]].astype(np.int16) for a, n in zip(first, count, strict=True)], pa.list_(pa.int16()))], ["bucket", "shared"])
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not len(b):
-                continue
-            anchor = b.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            if cut or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
-                whole = [*held, b.slice(0, cut)]
-                held = []
-                if rows := [x for x in whole if len(x)]:
-                    yield compare(pa.Table.from_batches(rows))
-            held.append(b.slice(cut))
-        if held:
-            yield compare(pa.Table.from_batches(held))
-
-    return named.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(stream, "bucket long, shared array<short>")
-
-
-def shared_strings_wide(named: DataFrame) -> DataFrame:
-    """The same for the anchors of many intervals, by rows: counted with map-side sums, then joined, so no task holds a group."""
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                names = np.frombuffer(b.column("names")[r].as_py(), "<i8")
-                place = np.arange(len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(names.view(U) + U((b.column("anchor")[r].as_py() * int(M1)) % (1 << 64)) + (b.column("lead")[r].as_py() - place + 256).astype(U) * M2).view(np.int64)), pa.array(np.full(len(names), b.column("bucket")[r].as_py())), pa.array(place.astype(np.int16))], ["name", "bucket", "place"])
+        for whole in batches:
+            for s in range(0, len(whole), 2000):
+                b = whole.slice(s, 2000)
+                cells = b.column("names").to_pylist()
+                count = np.array([len(c) // 8 for c in cells])
+                row = np.repeat(np.arange(len(cells)), count)
+                place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(cells), "<i8")), pa.array(b.column("bucket").to_numpy()[row]), pa.array(place.astype(np.int16))], ["name", "bucket", "place"])
 
     each = named.mapInArrow(rows, "name long, bucket long, place short")
     twice = each.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("name")
     return each.join(twice, "name").groupBy("bucket").agg(F.collect_list("place").alias("shared"))
 
 
-def dedup(docs: DataFrame, length: int = 200, gram: int = 96, group: int = 24) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, gram: int = 96) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept binary): every row of ``docs`` (doc_id, text; other columns are ignored).
 
     A byte goes if it lies in a string of ``length`` bytes that starts anywhere else as well; spans are the maximal
     removed runs (start, end in bytes). A null text is empty. Rows without an id stay whole and are no source of repeats;
     rows that repeat an id and a text repeat each other; rows that share the id only are cut where any of them is.
-    ``group`` is the number of intervals of one anchor that one task may compare; larger groups go through joins.
     """
     if not 8 <= gram < length <= 255:
         raise ValueError("8 <= gram < length <= 255 is asked for")
@@ -206,13 +165,13 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 96, group: int = 24) -
     met = stage(intervals(docs, length, gram, ["anchor", "bucket", "doc_id", "at"]).join(twice, "anchor"), "met")
     buckets = stage(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.min(F.struct("doc_id", "at")).alias("one")), "buckets")
     groups = stage(buckets.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where((F.col("size") > 1) & (F.col("least") == 1)), "groups")
-    chosen = buckets.join(groups, "anchor").select(F.col("one.doc_id").alias("doc_id"), F.floor(F.col("one.at") / LEAD).cast("long").alias("start"), (F.col("size") > group).alias("wide"))
-    reps = stage(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("start", "wide")).alias("r")).select("doc_id", F.col("r.start").alias("starts"), F.col("r.wide").alias("wides")), "reps")
+    chosen = buckets.join(groups, "anchor").select(F.col("one.doc_id").alias("doc_id"), F.floor(F.col("one.at") / LEAD).cast("long").alias("start"))
+    reps = chosen.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     named = stage(strings_of(candidates(docs, length).join(reps, "doc_id"), length, gram), "names")
-    some = shared_strings(named.where(~F.col("wide"))).unionByName(shared_strings_wide(named.where(F.col("wide"))))
+    some = shared_strings(named)
     every = buckets.where(F.col("n") > 1).select("bucket", F.lit(None).cast("array<short>").alias("shared"))
     single = buckets.where(F.col("n") == 1).select("bucket")
-    marks = every.unionByName(some.where(F.size("shared") > 0).join(single, "bucket", "left_semi"))
+    marks = every.unionByName(some.join(single, "bucket", "left_semi"))
     cuts = met.select("bucket", "doc_id", "at").join(marks, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("at", "shared")).alias("cuts"))
     spans = stage(cuts.mapInArrow(lambda batches: merged(batches, length), "doc_id long, spans array<struct<start:int,end:int>>"), "spans")
     everything = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

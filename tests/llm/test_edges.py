@@ -256,11 +256,11 @@ def test_repeated_strings(spark, docs, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
-def test_repeated_strings_wide(spark):
-    """Many different surroundings of one passage, so that both ways of comparing are taken."""
+def test_repeated_strings_many_surroundings(spark):
+    """Many different surroundings of one passage, cut at different places."""
     passage = prose(60, 40)
     rows = [(i, prose(100 + i, 30) + passage[i % 40 :] + prose(300 + i, 30)) for i in range(90)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), group=10).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.op9(rows)
 
 
