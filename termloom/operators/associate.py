@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, context_window, split_ids
 
-#: A line of an answer: the mention's number, a sign, the patient's id.
+#: Fixed value: a line of an answer, the mention's number, a sign, the patient's id.
 ANSWER_LINE = r"^\s*[#\-*]?\s*(\d+)\s*[:.)]\s*([A-Za-z0-9_.:\-]+)"
 MODES = ("assigned", "intersect", "filter", "whole")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, normalise_phrase
 from ..session import maybe_broadcast, stage
 
-#: The root of the subtree of phenotypes.
+#: Fixed value: the root of the subtree of phenotypes.
 ROOT = "HP:0000118"
 
 

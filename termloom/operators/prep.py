@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_ids, split_ids_real
 
-#: Fields that every mention of a submission must have.
+#: Fields that every mention of a submission must have.
 FIELDS = ["identifier", "type", "offset", "length", "text", "note"]
 
 

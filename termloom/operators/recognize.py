@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import RUNS
 from ..session import maybe_broadcast
 
-#: Longest n-gram that the dictionary is probed with.
+#: Fixed value: the longest n-gram that the dictionary is probed with.
 MAX_NGRAM = 8
 #: Rows of a block of the matrix product, and rows of the concept matrix that one task holds.
 QUERY_ROWS, CONCEPT_ROWS = 1024, 1 << 16
