@@ -108,7 +108,7 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def dedup(docs: DataFrame, min_run: int = 160) -> DataFrame:
+def dedup(docs: DataFrame, min_run: int = 100) -> DataFrame:
     """``docs`` with its text less the repeated runs, and columns n_removed (bytes) and spans (array of start, end in bytes).
 
     A null or empty text stays; so does a row without doc_id, whose text is no source of repeats either. Rows that share
