@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ids, split_ids_real
+from ..session import stage
 
 #: Fields that every mention of a submission must have.
 FIELDS = ["identifier", "type", "offset", "length", "text", "note"]
@@ -14,9 +15,9 @@ FIELDS = ["identifier", "type", "offset", "length", "text", "note"]
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with doc_ord, the place from 0 in the given order.
 
-    Rows are range-partitioned and counted by partition first, so no task numbers them all.
+    Rows are range-partitioned, written, and counted by partition first, so no task numbers them all.
     """
-    sliced = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    sliced = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")  # the parts are drawn once
     sizes = sliced.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_part").orderBy(*order)
     return sliced.join(F.broadcast(sizes), "_part").withColumn("doc_ord", F.col("_base") + F.row_number().over(inside) - 1).drop("_part", "_n", "_base")

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import RUNS
-from ..session import maybe_broadcast
+from ..session import maybe_broadcast, stage
 
 #: Fixed value: the longest n-gram that the dictionary is probed with.
 MAX_NGRAM = 8
-#: Rows of a block of the matrix product, and rows of the concept matrix that one task holds.
-QUERY_ROWS, CONCEPT_ROWS = 1024, 1 << 16
+#: Rows of a block of the matrix product, and rows of the concept matrix in one shard (25 MB at 768 dimensions).
+QUERY_ROWS, CONCEPT_ROWS = 1024, 1 << 12
 
 
 def tokenize(texts: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def retrieve_top1(queries: DataFrame, concepts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows[at]), pa.array(score[np.arange(len(keys)), at])], ["key", "row_idx", "score"])
 
     shards, blocks = pack(concepts, "row_idx", CONCEPT_ROWS, "c"), pack(queries, "key", QUERY_ROWS, "q")
-    cells = 8
+    cells = max(1, -(-concepts.count() // CONCEPT_ROWS))
     dealt = shards.withColumn("cell", F.pmod(F.xxhash64("c"), F.lit(cells)))
     copies = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     scored = dealt.join(copies, "cell").select("q_keys", "q_x", "c_keys", "c_x").mapInArrow(best, "key long, row_idx long, score double")
@@ -138,7 +138,7 @@ def similarity_profile(scores: DataFrame) -> DataFrame:
     """
     counted = scores.groupBy("score").agg(F.count("*").alias("n"))
     n = counted.agg(F.sum("n")).first()[0] or 0
-    sliced = counted.repartitionByRange(F.col("score").desc()).sortWithinPartitions(F.col("score").desc()).withColumn("part", F.spark_partition_id())
+    sliced = stage(counted.repartitionByRange(F.col("score").desc()).withColumn("part", F.spark_partition_id()), "scores")  # the parts are drawn once
     ahead = sliced.groupBy("part").agg(F.sum("n").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     first = sliced.join(F.broadcast(ahead), "part").withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
