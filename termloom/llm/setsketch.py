@@ -265,11 +265,11 @@ def remaining(docs: DataFrame, open_rows: DataFrame, found: DataFrame, classes:
 
     Classes whose sketches are far from all classes of other components don't get into a block.
     """
-    rows = open_rows.drop("part").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).join(classes, "doc")
+    rows = stage(open_rows.drop("part").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")), "rows")
     still = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") != F.col("high")).select("key")
     block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("i")
     member = F.struct("doc", "part", "n", "sketch")
-    blocks = stage(rows.join(still, "key").select("key", block, member.alias("m")).groupBy("key", "i").agg(F.collect_list("m").alias("left")), "blocks")
+    blocks = stage(rows.join(still, "key").join(classes, "doc").select("key", block, member.alias("m")).groupBy("key", "i").agg(F.collect_list("m").alias("left")), "blocks")
     pairs = blocks.join(blocks.select("key", F.col("i").alias("j"), F.col("left").alias("right")), "key").where(F.col("i") <= F.col("j"))
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,6 +298,9 @@ def remaining(docs: DataFrame, open_rows: DataFrame, found: DataFrame, classes:
     once = sides.groupBy("low", "rows", "name").agg(F.min(F.struct("key", "i", "j")).alias("k")).select("k.key", "k.i", "k.j")
     chosen = stage(members.join(once, ["key", "i", "j"]), "members")
     sets = stage(full_sets(docs, stage(chosen.select("doc").distinct(), "missing"), size), "sets")
-    filled = chosen.join(sets, "doc").groupBy("key", "i", "j").agg(*(F.collect_list(F.when(F.col("side") == s, F.struct("doc", "part", "shingles"))).alias(c) for s, c in ((0, "left"), (1, "right"))))
-    # Both sides list their own members, so a block against itself has each pair twice: it counts as two blocks.
-    return block_links(filled.select(F.lit(0).alias("i"), F.lit(1).alias("j"), "left", "right"), percent)
+    place = F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))
+    held = chosen.select("key", place.alias("i"), "doc", "part").distinct().join(sets, "doc").groupBy("key", "i").agg(F.collect_list(F.struct("doc", "part", "shingles")).alias("left"))
+    held = stage(held, "held")
+    wanted = chosen.select("key", "i", "j").distinct()
+    filled = wanted.join(held, ["key", "i"]).join(held.select("key", F.col("i").alias("j"), F.col("left").alias("right")), ["key", "j"])
+    return block_links(filled.select("i", "j", "left", "right"), percent)
