@@ -250,16 +250,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         tried = stage(promising(second, plain, percent), "pairs")
         missing = tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(sets.select("doc"), "doc", "left_anti")
         sets = sets.unionByName(stage(full_sets(docs, stage(missing, "missing"), size), "sets"))
-        links = links.unionByName(stage(verified(tried, sets, percent), "links"))
-        found = components(links)
-        links = links.unionByName(stage(remaining(docs, open_rows, found, plain, size, percent), "links"))
-        found = components(links)
+        found = extended(found, stage(verified(tried, sets, percent), "links"))
+        found = extended(found, stage(remaining(docs, open_rows, found, plain, size, percent), "links"))
 
     in_class = named.join(classes.select("digest", F.col("doc").alias("node")), "digest").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     least = in_class.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return sketches.select("doc_id", "n_shingles").join(least, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (node, component) with more links (a, b): the stars of the old ones stand for their links."""
+    if links.isEmpty():
+        return found
+    return components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def remaining(docs: DataFrame, open_rows: DataFrame, found: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between different components of a bucket that no star has shown, by blocks of at most about BLOCK classes.
 
