@@ -2,7 +2,9 @@
 
 A text is a TF-IDF vector of hashed byte 1- to 4-grams of its lower-cased words, normalised to length one. Spherical
 k-means gives each language several centroids; a text takes the language of the centroid with the highest cosine, and is
-rejected where it is farther from that centroid than the training texts of its language allow.
+rejected where it is farther from that centroid than the training texts of its language allow. For that the cosine is
+corrected for what the same weights dealt at random over all dimensions would give, as that grows with the text, and
+compared with training texts of about as many distinct n-grams.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from .textual import BYTE_VALUE, LOWER, M1, M3, SEPARATOR, U, slices, utf8
 
 DIMENSIONS = 1 << 12
 UNKNOWN = "und"
+#: Classes of length, by half powers of two of the number of distinct n-grams; a class's limit stands on this many rows.
+CLASSES = 2 * DIMENSIONS.bit_length()
+CLASS_ROWS = 20
 #: Space, digits and ASCII signs all count as one byte; what is left is letters and the bytes of other scripts.
 FOLD = LOWER.copy()
 FOLD[SEPARATOR] = 32
@@ -50,12 +55,46 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray  # [centroids, DIMENSIONS]
     languages: list[str]  # of each centroid
-    least: np.ndarray  # the cosine under which a text is rejected
+    least: np.ndarray  # [centroids, CLASSES], the corrected cosine under which a text is rejected
 
-    def predict(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cosine = weigh(c, self.idf) @ self.vectors.T
-        best = cosine.argmax(1)
-        return best, np.clip(cosine[np.arange(len(c)), best], 0, 1)
+    def predict(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best centroid, the cosine with it, and whether that is too low."""
+        x = weigh(c, self.idf)
+        best, cosine, corrected = nearest(x, self.vectors)
+        return best, np.clip(cosine, 0, 1), corrected < self.least[best, length_class(c)]
+
+
+def length_class(c: np.ndarray) -> np.ndarray:
+    return (2 * np.log2(np.maximum(np.count_nonzero(c, axis=1), 1))).astype(int)
+
+
+def nearest(x: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best centroid, its cosine, and the cosine less that of the same weights dealt at random, scaled to end at 1."""
+    cosine = x @ vectors.T
+    best = cosine.argmax(1)
+    cosine = cosine[np.arange(len(x)), best]
+    chance = x.sum(1) * vectors.sum(1)[best] / DIMENSIONS
+    return best, cosine, (cosine - chance) / np.maximum(1 - chance, 1e-9)
+
+
+def limits(corrected: np.ndarray, classes: np.ndarray, quantile: float, slack: float) -> np.ndarray:
+    """``slack`` times the quantile for each class of length, over the rows of the class and of as many shorter ones as it takes.
+
+    A class shorter than all rows has the limit of the shortest, less by the root of the length. No limit is over that of
+    a longer class. Without rows every limit is 0.
+    """
+    out = np.zeros(CLASSES)
+    if not len(classes):
+        return out
+    first = int(classes.min())
+    for k in range(first, CLASSES):
+        low = k
+        while low > first and np.count_nonzero((classes >= low) & (classes <= k)) < CLASS_ROWS:
+            low -= 1
+        out[k] = slack * max(float(np.quantile(corrected[(classes >= low) & (classes <= k)], quantile)), 0.0)
+    out = np.minimum.accumulate(out[::-1])[::-1]
+    out[:first] = out[first] * 2 ** ((np.arange(first) - first) / 4)
+    return out
 
 
 def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -90,6 +129,7 @@ def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quanti
         cell = np.frombuffer(f.as_py(), [("i", "<u2"), ("v", "<u4")])
         c[r, cell["i"]] = cell["v"]
     lang = np.array(got["lang"].to_pylist(), object)
+    classes = length_class(c)
     del got
     idf = (np.log((1 + len(c)) / (1 + np.count_nonzero(c, axis=0))) + 0.1).astype(np.float32)
     x = np.log1p(c, out=c)  # as weigh does, in place
@@ -105,10 +145,9 @@ def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quanti
                 if (near == k).any():
                     s = own[near == k].sum(0)
                     centre[k] = s / max(float(np.sqrt((s * s).sum())), 1e-9)
-        best = (own @ centre.T).max(1)
         vectors += [*centre]
         names += [name] * len(centre)
-        least += [slack * float(np.quantile(best, quantile))] * len(centre)
+        least += [limits(nearest(own, centre)[2], classes[lang == name], quantile, slack)] * len(centre)
     return Centroids(idf, np.array(vectors, np.float32), names, np.array(least))
 
 
@@ -124,19 +163,19 @@ def identify(docs: DataFrame, model: Centroids | None, columns: list[str] | None
     """
     kept = [c for c in columns or ["doc_id"] if c not in ADDED]
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
             for i, j, d, o in slices(*utf8(b.column("_text")), texts=512):
                 known = letters[i:j] & (model is not None)
                 lang, score, far = np.full(j - i, UNKNOWN, object), np.zeros(j - i), np.ones(j - i, bool)
                 if known.any():
-                    best, cosine = model.predict(counts(d, o))
+                    best, cosine, low = model.predict(counts(d, o))
                     lang[known] = np.array(model.languages, object)[best[known]]
                     score[known] = cosine[known]
-                    far[known] = cosine[known] < model.least[best[known]]
+                    far[known] = low[known]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], [*kept, *ADDED])
 
     rows = docs.select(*kept, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
-    return rows.mapInArrow(nearest, ", ".join([*schema, *(f"{k} {v}" for k, v in ADDED.items())]))
+    return rows.mapInArrow(predicted, ", ".join([*schema, *(f"{k} {v}" for k, v in ADDED.items())]))

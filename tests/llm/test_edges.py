@@ -246,6 +246,20 @@ def test_language(spark, docs, empty):
     assert language_id.fit(labelled.limit(0)) is None and language_id.identify(empty, None).count() == 0
 
 
+def test_language_rejects_long_texts(spark, sf_dir):
+    """Texts in no learned language are rejected at every length, and clean short ones of a learned one stay."""
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    r = random.Random(5)
+    alphabets = ("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA))))
+    foreign = [" ".join("".join(r.choices(a, k=r.randint(2, 9))) for _ in range(n)) for a in alphabets for n in (100, 200, 1000, 5000)]
+    foreign += [s * n for n in (1, 10) for s in ("Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. ", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem. ")]
+    model = language_id.fit(known)
+    got = language_id.identify(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model).collect()
+    assert [r["doc_id"] for r in got if not r["rejected"]] == []
+    short = language_id.identify(known.where("n_chars BETWEEN 100 AND 400"), model)
+    assert short.where("NOT rejected").count() >= 0.95 * short.count() > 0
+
+
 def test_repeated_strings(spark, docs, empty):
     rows = known(hard_texts())
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(docs).collect() if r["doc_id"] is not None]
