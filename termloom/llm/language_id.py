@@ -24,6 +24,10 @@ UNKNOWN = "und"
 #: Classes of length, by half powers of two of the number of distinct n-grams; a class's limit stands on this many rows.
 CLASSES = 2 * DIMENSIONS.bit_length()
 CLASS_ROWS = 20
+#: A language gets at least so many rows of the sample, if it has them, and limits of its own from so many rows on.
+LANGUAGE_FLOOR = 50
+OWN_LIMITS = 10
+FOLDS = 5
 #: Space, digits and ASCII signs all count as one byte; what is left is letters and the bytes of other scripts.
 FOLD = LOWER.copy()
 FOLD[SEPARATOR] = 32
@@ -102,15 +106,56 @@ def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
+def bounds(sizes: dict[str, int], max_rows: int) -> dict[str, int]:
+    """How many rows of each language are drawn: all of the small ones, and of the others equal shares of what is left of ``max_rows``.
+
+    No share is under LANGUAGE_FLOOR, so with more than max_rows / LANGUAGE_FLOOR languages the sample has more rows than ``max_rows``.
+    """
+    out, left = {}, max_rows
+    for k, name in enumerate(sorted(sizes, key=lambda name: (sizes[name], name))):
+        out[name] = min(sizes[name], max(left // (len(sizes) - k), LANGUAGE_FLOOR))
+        left = max(left - out[name], 0)
+    return out
+
+
+def sample(known: DataFrame, max_rows: int) -> DataFrame:
+    """The rows of each language in ``known`` whose hash of the id is low enough for about as many as its bound."""
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    scale = 1 << 40
+    cut = [(name, scale * n // sizes[name]) for name, n in bounds(sizes, max_rows).items() if n < sizes[name]]
+    if not cut:
+        return known
+    most = F.create_map(*(F.lit(v) for pair in cut for v in pair))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.coalesce(F.try_element_at(most, F.col("lang")), F.lit(scale)))
+
+
+def centroids(own: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Spherical k-means over one language's vectors; fewer centroids where there are fewer rows."""
+    centre = own[np.linspace(0, len(own) - 1, min(k, len(own))).astype(int)].copy()
+    for _ in range(rounds):
+        near = (own @ centre.T).argmax(1)
+        for j in range(len(centre)):
+            if (near == j).any():
+                s = own[near == j].sum(0)
+                centre[j] = s / max(float(np.sqrt((s * s).sum())), 1e-9)
+    return centre
+
+
+def held_out(own: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """The corrected cosine of each row with the centroids of the rows of other folds."""
+    out, fold = np.zeros(len(own)), np.arange(len(own)) % min(FOLDS, len(own))
+    for f in range(fold.max() + 1):
+        out[fold == f] = nearest(own[fold == f], centroids(own[fold != f], k, rounds))[2]
+    return out
+
+
 def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quantile: float = 0.002, slack: float = 0.6, rounds: int = 10) -> Centroids | None:
-    """Centroids from ``labelled`` (doc_id, text, lang), or from about ``max_rows`` of its rows that a hash of the id picks.
+    """Centroids from ``labelled`` (doc_id, text, lang), or from about ``max_rows`` of its rows, drawn by language (see bounds) with a hash of the id.
 
-    Null texts and languages don't count. None if nothing is left.
+    A language's limits come from rows held out of its centroids. One with under OWN_LIMITS rows takes those of rows of all
+    languages against ``per_language`` rows alone, or folds of a small language's. Null texts and languages don't count. None if nothing is left.
     """
-    known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / n)))
+    known = sample(labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,20 +180,23 @@ def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quanti
     x = np.log1p(c, out=c)  # as weigh does, in place
     x *= idf
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
-    vectors, names, least = [], [], []
+    vectors, names, least, few, few_classes = [], [], [], [], []
     for name in sorted(set(lang)):
-        own = x[lang == name]
-        centre = own[np.linspace(0, len(own) - 1, min(per_language, len(own))).astype(int)].copy()
-        for _ in range(rounds):
-            near = (own @ centre.T).argmax(1)
-            for k in range(len(centre)):
-                if (near == k).any():
-                    s = own[near == k].sum(0)
-                    centre[k] = s / max(float(np.sqrt((s * s).sum())), 1e-9)
-        vectors += [*centre]
-        names += [name] * len(centre)
-        least += [limits(nearest(own, centre)[2], classes[lang == name], quantile, slack)] * len(centre)
-    return Centroids(idf, np.array(vectors, np.float32), names, np.array(least))
+        own, of = x[lang == name], classes[lang == name]
+        vectors.append(centroids(own, per_language, rounds))
+        names += [name] * len(vectors[-1])
+        if len(own) >= OWN_LIMITS:
+            least += [limits(held_out(own, per_language, rounds), of, quantile, slack)] * len(vectors[-1])
+            at = np.linspace(0, len(own) - 1, per_language).astype(int)
+            few.append(nearest(np.delete(own, at, 0), own[at])[2])
+            few_classes.append(np.delete(of, at))
+        else:
+            least += [None] * len(vectors[-1])
+            if len(own) > 1:
+                few.append(held_out(own, per_language, rounds))
+                few_classes.append(of)
+    shared = limits(np.concatenate([*few, []]), np.concatenate([*few_classes, []]).astype(int), quantile, slack)
+    return Centroids(idf, np.concatenate(vectors), names, np.array([shared if own is None else own for own in least]))
 
 
 ADDED = {"lang_pred": "string", "score": "double", "rejected": "boolean"}

@@ -260,6 +260,28 @@ def test_language_rejects_long_texts(spark, sf_dir):
     assert short.where("NOT rejected").count() >= 0.95 * short.count() > 0
 
 
+def test_language_of_few_rows(spark):
+    """A language with 3 rows of 603 is learned from a sample too, and new texts of it and of the large one stay."""
+    r = random.Random(7)
+    words = {k: ["".join(r.choices(a, k=r.randint(2, 7))) for _ in range(150)] for k, a in (("aa", "abcdefghij"), ("zz", "qrstuvwxyz"))}
+    text = lambda k, n: " ".join(r.choices(words[k], k=n))
+    rows = [(i, text("aa", r.randint(20, 120)), "aa") for i in range(600)] + [(600 + i, text("zz", 60), "zz") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=60)
+    new = [(i, text("zz" if i % 2 else "aa", r.randint(20, 120))) for i in range(200)]
+    got = language_id.identify(spark.createDataFrame(new, "doc_id long, text string"), model).collect()
+    assert all(r["lang_pred"] == ("zz" if r["doc_id"] % 2 else "aa") for r in got)
+    assert sum(r["rejected"] for r in got if r["doc_id"] % 2) == 0 and sum(r["rejected"] for r in got) <= 2
+    few = language_id.fit(spark.createDataFrame(rows[-3:], "doc_id long, text string, lang string"))
+    assert language_id.fit(spark.createDataFrame(rows[-1:], "doc_id long, text string, lang string")) is not None
+    assert not any(r["rejected"] for r in language_id.identify(spark.createDataFrame(new[1::2], "doc_id long, text string"), few).collect())
+
+
+def test_language_sample_bounds():
+    assert language_id.bounds({"a": 10**9, "b": 700, "c": 3}, 2000) == {"a": 1297, "b": 700, "c": 3}
+    assert language_id.bounds({str(i): 100 for i in range(100)}, 2000) == {str(i): 50 for i in range(100)}
+    assert language_id.bounds({}, 2000) == {}
+
+
 def test_repeated_strings(spark, docs, empty):
     rows = known(hard_texts())
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(docs).collect() if r["doc_id"] is not None]
