@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KINDS = ("email", "ip", "iban", "ssn", "date", "phone", "card")
+#: Phones in groups of 3, 3 and 4 digits, with or without a country code.
+AMERICAN = "(?:[+][0-9]{1,3}[ .-]?)?(?:[(]?[0-9]{3}[)]?[ .-]{1,2}|[(][0-9]{3}[)])[0-9]{3}[ .-][0-9]{4}"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Alternatives are tried in this order at each place; quantifiers are bounded or possessive, so scanning is linear.
 PATTERN = "|".join((
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
@@ -22,8 +26,10 @@ PATTERN = "|".join((
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<![0-9])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])",
     r"(?<![0-9])[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}(?![0-9])",
-    r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    r"(?<![0-9+])\+[0-9]{11,15}(?![0-9])",
+    rf"(?<![0-9+]){AMERICAN}(?![0-9])",
+    r"(?<![0-9+])\+[0-9]{8,15}(?![0-9])",
+    r"(?<![0-9+])\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9])",
+    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?[(][0-9]{1,4}[)][ .-]?[0-9](?:[ .-]?[0-9]){5,9}(?![0-9])",
     r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 ))
 #: 800 years of days, 1600-01-01 to 2399-12-31: 378 * 773.
@@ -107,13 +113,14 @@ def pseudonym(key: str) -> str:
     area = "q.a div 99 + 1 + if(q.a div 99 + 1 >= 666, 1, 0)"
     ssn = let("transform(split(m, '-'), z -> cast(z as int))", "x", f"case when x[0] between 1 and 899 and x[0] <> 666 and x[1] > 0 and x[2] > 0 then {let(ssn_pair, 'q', f"concat(lpad({area}, 3, '0'), '-', lpad(q.a % 99 + 1, 2, '0'), '-', lpad(q.b + 1, 4, '0'))")} end")
     digits = only_digits("m")
-    country = "if(m rlike '^[+][0-9]+$', substr(m, 1, length(m) - 10), regexp_extract(m, '^[+][0-9]{1,3}[ .-]?', 0))"
-    phone = let(country, "x", f"concat(x, {laid_out('substr(m, length(x) + 1)', permuted_digits(only_digits('substr(m, length(x) + 1)'), key, 'phone'))})")
+    country = f"if(m rlike '^{AMERICAN}$', length(x) - 10, length(regexp_extract(x, '{COUNTRY}', 0)))"
+    phone_new = f"concat(substr(x, 1, z), {permuted_digits('substr(x, z + 1)', key, 'phone')})"
+    phone = let(digits, "x", let(country, "z", laid_out("m", phone_new)))
     payload = permuted_digits("substr(x, 1, length(x) - 1)", key, "card")
     card_new = let(payload, "y", "concat(y, cast(filter(sequence(0, 9), z -> luhn_check(concat(y, z)))[0] as string))")
     card = let(digits, "x", f"case when luhn_check(x) then {laid_out('m', card_new)} end")
     email = f"concat({permuted_name("substring_index(m, '@', 1)", key)}, '@', substring_index(m, '@', -1))"
-    kind = "case when m like '%@%' then 'email' when m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' then 'ip' when m rlike '^[A-Z]' then 'iban' when m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' then 'ssn' when m rlike '^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})$' then 'date' when m like '+%' or m rlike '[(]?[0-9]{3}[)]?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$' and length(regexp_replace(m, '[^0-9]', '')) = 10 then 'phone' else 'card' end"
+    kind = "case when m like '%@%' then 'email' when m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' then 'ip' when m rlike '^[A-Z]' then 'iban' when m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' then 'ssn' when m rlike '^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})$' then 'date' when m like '+%' or m rlike '^AMERICAN$' then 'phone' else 'card' end".replace("AMERICAN", AMERICAN)
     value = f"case kind when 'email' then {email} when 'ip' then {ip} when 'iban' then {iban} when 'ssn' then {ssn} when 'date' then {_date(key)} when 'phone' then {phone} else {card} end"
     return let(kind, "kind", let(value, "value", "named_struct('kind', if(value is null, null, kind), 'value', coalesce(value, m))"))
 

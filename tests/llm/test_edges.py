@@ -88,6 +88,23 @@ def test_pseudonyms(spark, docs, empty):
     assert pseudonyms.pseudonymise(empty).count() == 0
 
 
+def test_pseudonyms_of_phones(spark):
+    """Grouped and unbroken phones of other countries, and a bracket without a separator; equal ones stay equal."""
+    cases = ["(743)555-3824", "+1(743)555-3824", "743-555-3824", "+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+6591234567", "+65 9123 4567", "+4721234567", "+44 (0)20 7946 0958"]
+    left = ["+1234567", "+12345678901234567", "12 345 678"]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"call {c}, or not") for i, c in enumerate(cases + left)], "doc_id long, text string")).collect()
+    new = {(cases + left)[r["doc_id"]]: r["text"][5:-8] for r in rows}
+    assert {c: r["n_phone"] for c, r in zip(cases + left, sorted(rows, key=lambda r: r["doc_id"]))} == {**dict.fromkeys(cases, 1), **dict.fromkeys(left, 0)}
+    for old, now in new.items():
+        assert (now == old) == (old in left) and [c.isdigit() or c for c in now] == [c.isdigit() or c for c in old], old
+    digits = lambda c: "".join(filter(str.isdigit, new[c]))
+    assert digits("(743)555-3824") == digits("743-555-3824") == digits("+1(743)555-3824")[1:]
+    assert digits("+44 20 7946 0958") == digits("+442079460958") and digits("+6591234567") == digits("+65 9123 4567") and digits("+33 1 23 45 67 89") == digits("+33.1.23.45.67.89")
+    assert new["+6591234567"].startswith("+65") and new["+44 20 7946 0958"].startswith("+44 ")
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(0, "+6591234567 2024-01-02")], "doc_id long, text string")).collect()
+    assert (rows[0]["n_phone"], rows[0]["n_date"]) == (1, 1)
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(378 * 11).selectExpr(f"{pseudonyms.feistel('id div 11', 'id % 11', '378', '11', 'k', 't')} AS p").distinct().count()
     assert got == 378 * 11
