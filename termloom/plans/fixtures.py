@@ -10,12 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import associate, ontology, recognize
+from ..operators import associate, ontology, prep, recognize
 from ..session import stage
 
 SECTIONS = ["TITLE", "ABSTRACT", "INTRO", "METHODS", "CASE", "RESULTS", "DISCUSS"]
-#: Queries that stand for the vectors of texts.
-VECTORS = 100
 
 
 class Fixtures:
@@ -154,9 +152,10 @@ class Fixtures:
         return self.once("ngrams", build)
 
     def hits(self) -> DataFrame:
-        """(text, hpo_id, name, score): a text's vector is one of the first queries, by its length and first letter."""
-        key = (F.length("text") * 31 + F.ascii("text")) % VECTORS * 2 + 1
-        return recognize.distinct_candidate_texts(self.ngrams()).withColumn("key", key.cast("long")).join(self.top1(), "key").select("text", "hpo_id", "name", "score")
+        """(text, hpo_id, name, score): a text's vector is one of all queries, by a hash of the text."""
+        asked = self.once("asked", lambda: prep.with_ordinal(self.top1(), "key"))
+        place = F.pmod(F.xxhash64("text"), F.lit(max(asked.count(), 1)))
+        return recognize.distinct_candidate_texts(self.ngrams()).withColumn("doc_ord", place).join(asked, "doc_ord").select("text", "hpo_id", "name", "score")
 
     def samples(self) -> DataFrame:
         """Labelled mentions with the gate's features; the even vectors' scores stand in for retrieved ones."""

@@ -77,3 +77,17 @@ def test_selection_is_greedy(spark, sf_dir):
                 taken.append((start, start - shorter))
                 want.add((article, start, -shorter))
     assert got == want
+
+
+def test_hits_use_all_vectors(spark, sf_dir):
+    """Texts of one length and first letter have different vectors, and all vectors are asked."""
+    from termloom.plans.fixtures import fixtures
+
+    f = fixtures(spark, sf_dir)
+    rows = f.hits().collect()
+    by = {}
+    for r in rows:
+        by.setdefault((len(r["text"]), r["text"][0]), set()).add((r["name"], r["score"]))
+    assert max(len(v) for v in by.values()) > 1
+    assert len(rows) == f.ngrams().select("text").distinct().count()
+    assert {(r["name"], r["score"]) for r in rows} == {(r["name"], r["score"]) for r in f.top1().collect()}
