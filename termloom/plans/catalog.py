@@ -247,11 +247,11 @@ def patient_roster(f: Fixtures) -> DataFrame:
 
 
 def prompt_window(f: Fixtures) -> DataFrame:
-    return A.prompt_window(A.section_lookup(f.pred(), f.segments()), f.patients(), f.texts(), WIDTH)
+    return A.prompt_window(A.section_lookup(f.pred(), f.segments()), f.patients(), f.texts())
 
 
 def prompt_whole(f: Fixtures) -> DataFrame:
-    return A.prompt_whole(f.pred(), f.patients(), f.texts(), WIDTH)
+    return A.prompt_whole(f.pred(), f.patients(), f.texts())
 
 
 def parse_answers(f: Fixtures) -> DataFrame:
@@ -347,7 +347,7 @@ def gate_transform(f: Fixtures) -> DataFrame:
 def _predicted(f: Fixtures) -> DataFrame:
     def build() -> DataFrame:
         state = G.gate_fit(f.samples())
-        model = G.gate_train(f.samples(), state, iterations=50)
+        model = G.gate_train(f.samples(), state)
         return G.gate_predict(f.samples(), state, model.coefficients.toArray().tolist(), model.intercept)
 
     return f.once("predicted", build)

@@ -91,3 +91,28 @@ def test_hits_use_all_vectors(spark, sf_dir):
     assert max(len(v) for v in by.values()) > 1
     assert len(rows) == f.ngrams().select("text").distinct().count()
     assert {(r["name"], r["score"]) for r in rows} == {(r["name"], r["score"]) for r in f.top1().collect()}
+
+
+def test_prompts_have_the_whole_context(spark, sf_dir):
+    """The registered prompts show 120 characters on either side of a mention."""
+    from termloom.operators import associate as A
+    from termloom.plans.fixtures import fixtures
+
+    f = fixtures(spark, sf_dir)
+    want = {
+        "prompt_window": A.prompt_window(A.section_lookup(f.pred(), f.segments()), f.patients(), f.texts(), 120),
+        "prompt_whole": A.prompt_whole(f.pred(), f.patients(), f.texts(), 120),
+    }
+    for name, df in want.items():
+        rows = sorted(tuple(r) for r in catalog.queries()[name](spark, sf_dir).collect())
+        assert rows and rows == sorted(tuple(r) for r in df.collect())
+
+
+def test_gate_runs_its_own_iterations(spark, sf_dir, monkeypatch):
+    from termloom.operators import gate
+    from termloom.plans.fixtures import Fixtures
+
+    asked, train = [], gate.gate_train
+    monkeypatch.setattr(gate, "gate_train", lambda *a, iterations=300, **k: asked.append(iterations) or train(*a, iterations=iterations, **k))
+    catalog._predicted(Fixtures(spark, sf_dir))
+    assert asked == [300]
