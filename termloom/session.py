@@ -1,9 +1,10 @@
-"""Makes the package importable on the executors."""
+"""Makes the package importable on the executors, and keeps intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_staged: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -32,22 +34,51 @@ BROADCAST_LIMIT = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made for a local session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one made for a session with a local master.
+
+    On a cluster a folder of the driver's own machine would lose rows, so there the setting is asked for.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-termloom-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir() or path
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-termloom-"))
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """This application's own folder of intermediate tables."""
+    return f"{shared_dir(spark)}/termloom-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _staged[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the staged tables ``frames`` (as stage gave them), of which all readers have run."""
+    for df in frames:
+        if path := _staged.pop(df, None):
+            _delete(df.sparkSession, path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all tables staged by this application; results that still read them can't be used after that."""
+    _staged.clear()
+    _delete(spark, staging_dir(spark))
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
