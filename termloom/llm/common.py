@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_LIMIT, maybe_broadcast, shared_dir, stage
+from ..session import BROADCAST_LIMIT, maybe_broadcast, shared_dir, stage, unstage
 
-__all__ = ["BROADCAST_LIMIT", "hot_keys", "maybe_broadcast", "salt_of", "salted_join", "shared_dir", "stage"]
+__all__ = ["BROADCAST_LIMIT", "hot_keys", "maybe_broadcast", "salt_of", "salted_join", "shared_dir", "stage", "unstage"]
 
 
 def salt_of(*cols: str, buckets: int) -> Column:

@@ -309,14 +309,35 @@ def test_repeated_strings(spark, docs, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
-def test_repeated_strings_many_surroundings(spark):
-    """Many different surroundings of one passage, cut at different places."""
+def removed_runs(rows):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("members", [suffix_dedup.MEMBERS, 20, 1])
+def test_repeated_strings_many_surroundings(spark, members):
+    """Many different surroundings of one passage, cut at different places; with few members a task, buckets are split down to single strings."""
     passage = prose(60, 40)
     rows = [(i, prose(100 + i, 30) + passage[i % 40 :] + prose(300 + i, 30)) for i in range(90)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = removed_runs(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), members=members))
     assert got == brute.op9(rows)
 
 
+@pytest.mark.parametrize(("length", "gram"), [(200, 8), (200, 128), (60, 32), (40, 16)])
+def test_repeated_strings_lengths(spark, length, gram):
+    rows = [(i, prose(20 + i, 30) + prose(i % 3, 12) + prose(50 + i, 9)) for i in range(40)]
+    assert removed_runs(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length, gram)) == brute.op9(rows, length)
+
+
+def test_repeated_strings_very_long_texts(spark):
+    """Passages over the borders of segments, in a text and in another one, and a run of one character."""
+    r, size = random.Random(4), suffix_dedup.SEGMENT
+    long = "".join(r.choices("abcdefghijklmnop ", k=2 * size + 5000))
+    passage, short = long[size - 150 : size + 250], "".join(r.choices("qrstuvwxyz ", k=500))
+    rows = [(1, long), (2, short + passage), (3, "z" * (size + 3000)), (4, None)]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(size - 150, size + 250)], 2: [(500, 900)], 3: [(0, size + 3000)], 4: []}
+
+
 def test_bpe(spark, docs, empty):
     path = PATH("byte_bpe_multi_50k.tiktoken")
     enc = brute.encoding(path, public_tokenizers.PATTERN)
