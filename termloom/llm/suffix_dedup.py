@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage, unstage
+from .common import stage, unstage
 from .textual import BYTE_VALUE, M1, M2, M3, STEP, U, mix, powers, slices, utf8
 
 #: Bytes of a first q-gram, and the longest run of strings' starts worked on at once, so that a text of any length fits.
@@ -299,7 +299,7 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, members: int = MEM
     groups = stage(buckets.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where((F.col("size") > 1) & (F.col("least") == 1)).select("anchor", "size"), "groups")
     chosen = stage(buckets.join(groups, "anchor").select(F.col("one.doc_id").alias("doc_id"), F.struct(F.col("anchor").alias("cell"), F.col("one.at").alias("at"), single.alias("single"), "size").alias("o")), "chosen")
     by_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("o.cell", "o.at", "o.single")).alias("open"))
-    spans = spans_of(texts.join(maybe_broadcast(by_doc, chosen.count(), 32), "doc_id"), length, gram)
+    spans = spans_of(texts.join(by_doc, "doc_id"), length, gram)
     most = groups.agg(F.max("size")).first()[0] or 0
     if most <= members:
         runs = [stage(finished(spans, length), "runs")]
@@ -313,10 +313,8 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, members: int = MEM
     cuts = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind")).alias("cuts"))
     spans = stage(cuts.mapInArrow(merged, "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
     unstage(twice, met, buckets, groups, chosen, *runs)
-    held = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("s")).first()
     everything = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = everything.join(maybe_broadcast(spans, held["n"] + held["s"], 48), "doc_id", "left")
-    return joined.mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return everything.join(spans, "doc_id", "left").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
