@@ -5,30 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import salt_of, stage, unstage
 
+#: A node's edges are dealt over so many tasks at most, by the other end.
+SALTS = 256
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component): for every node of ``edges`` (a, b) the smallest node that it reaches.
 
-    Each round is two joins with per-node minima, which are summed map-side, so a node with very many edges is no
-    group in any task; the edges are written after each round, and the rounds end when nothing changed.
+def with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with m, the least b of each a.
+
+    The minimum goes back only to the (a, salt) that have edges, so a hub's edges meet it in up to SALTS tasks.
+    """
+    dealt = edges.withColumn("s", salt_of("b", buckets=SALTS))
+    parts = dealt.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+    return dealt.join(least.select("a", F.explode("s").alias("s"), "m"), ["a", "s"]).select("a", "b", "m")
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, which is no a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()
+
+
+def stars(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(node, component), staged: for every node of ``edges`` (a, b) but the smallest of its component, the smallest that it reaches.
+
+    Edges with a null end don't count. Each round's edges are written, so a lost executor costs no earlier round; the
+    rounds end when every node hangs on a root.
     """
     now = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
+        if are_stars(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("a", "b", "m")
+        large = with_least(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = with_least(large)
         step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
-        now = stage(step, "edges")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("the components didn't settle")
-    roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
+        after = stage(step, "edges")
+        unstage(now)
+        now = after
+    raise RuntimeError("the components didn't settle")
+
+
+def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(node, component): for every node of ``edges`` (a, b) that has an edge to another the smallest node that it reaches."""
+    found = stars(edges, most_rounds)
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

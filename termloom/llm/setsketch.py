@@ -7,9 +7,11 @@ two that meet is estimated from all registers by maximum likelihood, and what ma
 sets. Only components are asked for, so links within one are not looked for again:
 
 1. documents of one set are one class; everything below is between classes;
-2. in every bucket (band, value) each class is compared with the smallest class, then with one drawn by a hash;
-3. buckets that still hold several components are compared block by block, all pairs of different components, and each
-   block gives back only the links that join components.
+2. in every bucket (band, value) each class is compared with the smallest class; a class takes the label of the smallest
+   class that two such links lead to;
+3. buckets that still hold several labels are compared block by block, all pairs of different labels, and each pair of
+   blocks gives back only the links that join labels;
+4. the links of 2 and 3 make the components, in one pass.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage
-from .components import components
+from .common import maybe_broadcast, stage, unstage
+from .components import stars
 from .textual import LOWER, M1, U, distinct_by_text, mix, segment_hash, shingles, slices, utf8, words
 
 #: Bands of ROWS registers each. A pair of similarity 0.8 misses all bands with probability under (1 - 0.8 ** 4) ** 28 = 4e-7.
@@ -32,8 +34,8 @@ REGISTERS = BANDS * ROWS
 #: Registers hold floor(1 - log_BASE of the least exponential hash of rate RATE), from 0 to LIMIT.
 BASE, RATE, LIMIT = 1.001, 20, 60000
 SEEDS = mix((np.arange(REGISTERS, dtype=U) + U(7)) * M1)
-#: Classes in a block of step 3.
-BLOCK = 256
+#: Classes in a block of step 3, and about the bytes of their sets.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: How far under the asked similarity an estimate may lie for the pair to be verified: over four and a half of its deviations.
 SLACK = 0.18
 
@@ -119,18 +121,19 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(key, doc): a row for every class and band."""
+    """(key, doc, n): a row for every class and band."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = band_keys(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS))
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(b.column("doc").to_numpy(), BANDS))], ["key", "doc"])
+            columns = [k.ravel(), np.repeat(b.column("doc").to_numpy(), BANDS), np.repeat(b.column("n").to_numpy(), BANDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "n"])
 
-    return classes.select("doc", "sketch").mapInArrow(keys, "key long, doc long")
+    return classes.select("doc", "n", "sketch").mapInArrow(keys, "key long, doc long, n long")
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int, slack: float = SLACK) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and whose estimate is at most ``slack`` under it."""
+    """The pairs (a, b) whose estimate is at most ``slack`` under the asked similarity."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,13 +145,15 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int, slack: float =
 
     side = classes.select("doc", "n", "sketch")
     met = pairs.join(side.withColumnRenamed("doc", "a"), "a").join(side.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-    close = met.where(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-    return close.select("a", "b", "n", "n_b", "sketch", "sketch_b").mapInArrow(estimate, "a long, b long")
+    return met.select("a", "b", "n", "n_b", "sketch", "sketch_b").mapInArrow(estimate, "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc, shingles binary) of the documents of ``wanted`` (doc), from their texts."""
-    rows = wanted.count()
+def sizes_allow(m: str, n: str, percent: int) -> Column:
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, most: int, size: int) -> DataFrame:
+    """(doc, shingles binary) of the documents of ``wanted`` (doc; at most so many rows), from their texts."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,7 +162,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc").slice(i, j - i), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["doc", "shingles"])
 
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return texts.join(maybe_broadcast(wanted, rows, 16), "doc").mapInArrow(made, "doc long, shingles binary")
+    return texts.join(maybe_broadcast(wanted, most, 16), "doc").mapInArrow(made, "doc long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,17 +182,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
-def block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between the classes of two blocks of a bucket (docs, parts, shingles; and docs_b, ...) that join components."""
+def block_links(groups: DataFrame, percent: int) -> DataFrame:
+    """Links that join labels, between the two sides of every row's ``members`` (side, doc, part, shingles)."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for r in frame.to_dict("records"):
-                x, y = r["left"], r["right"]
-                same = r["i"] == r["j"]
-                a, b = [np.frombuffer(m["shingles"], U) for m in x], [np.frombuffer(m["shingles"], U) for m in y]
-                values = np.unique(np.concatenate(a + b), return_inverse=True)[1]
-                rows = np.repeat(np.arange(len(a) + len(b)), [len(v) for v in a + b])
+            for members in frame["members"]:
+                x, y = ([m for m in members if m["side"] == side] for side in (0, 1))
+                a, b = ([np.frombuffer(m["shingles"], U) for m in side] for side in (x, y))
                 out, parent = [], {}
 
                 def find(p: int) -> int:
@@ -195,26 +197,31 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
                         p = parent[p]
                     return p
 
-                common = np.zeros((len(a), len(b)), np.float32)
-                width = 1 << 13
-                order = np.argsort(values, kind="stable")
-                values, rows = values[order], rows[order]
-                for start in range(0, int(values[-1]) + 1, width):
-                    lo, hi = np.searchsorted(values, [start, start + width])
-                    part = np.zeros((len(a) + len(b), min(width, int(values[-1]) + 1 - start)), np.float32)
-                    part[rows[lo:hi], values[lo:hi] - start] = 1
-                    common += part[: len(a)] @ part[len(a) :].T
+                common = common_values(a, b)
                 size_a, size_b = np.array([len(v) for v in a]), np.array([len(v) for v in b])
-                for p, q in np.argwhere(linked(np.rint(common).astype(np.int64), size_a[:, None], size_b[None, :], percent)):
-                    if same and p >= q:
-                        continue
+                for p, q in np.argwhere(linked(common, size_a[:, None], size_b[None, :], percent)):
                     m, n = find(x[p]["part"]), find(y[q]["part"])
                     if m != n:
                         parent[m] = n
                         out.append((x[p]["doc"], y[q]["doc"]))
                 yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return blocks.mapInPandas(compare, "a long, b long")
+    return groups.select("members").mapInPandas(compare, "a long, b long")
+
+
+def common_values(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
+    """How many values each set of ``a`` has in common with each of ``b``; a matrix product over ``width`` values at once."""
+    values = np.unique(np.concatenate(a + b), return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(v) for v in a + b])
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    out = np.zeros((len(a), len(b)))
+    for start in range(0, int(values[-1]) + 1, width):
+        lo, hi = np.searchsorted(values, [start, start + width])
+        part = np.zeros((len(a) + len(b), min(width, int(values[-1]) + 1 - start)), np.float32)
+        part[rows[lo:hi], values[lo:hi] - start] = 1
+        out += part[: len(a)] @ part[len(a) :].T
+    return np.rint(out).astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -228,54 +235,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     sketches = stage(sketch(docs, size), "sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stage(named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m")).select("digest", F.col("m.doc_id").alias("doc"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "classes")
+    one = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m")
+    classes = stage(named.groupBy("digest").agg(one).select("digest", F.col("m.doc_id").alias("doc"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "classes")
     plain = classes.drop("digest")
     keys = banded(plain)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("least"), F.min_by("doc", F.xxhash64("key", "doc")).alias("drawn")).where(F.col("members") > 1)
-    met = stage(keys.join(buckets, "key"), "buckets")
+    least = F.min(F.struct("doc", "n")).alias("least")
+    buckets = stage(keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("values"), least).where(F.col("members") > 1), "buckets")
+    met = stage(keys.join(buckets, "key"), "met")
 
-    first = met.where(F.col("doc") != F.col("least")).select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+    first = met.where((F.col("doc") != F.col("least.doc")) & sizes_allow("n", "least.n", percent)).select(F.col("least.doc").alias("a"), F.col("doc").alias("b")).distinct()
     tried = stage(promising(first, plain, percent), "pairs")
-    sets = stage(full_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), size), "sets")
+    sets = stage(full_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), 2 * tried.count(), size), "sets")
     links = stage(verified(tried, sets, percent), "links")
-    found = components(links)
-
-    label = F.coalesce("component", "doc").alias("part")
-    parts = met.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "members", "drawn", label)
-    mixed = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    open_rows = stage(parts.where(F.col("members") > 2).join(mixed, "key"), "open")
-    if not open_rows.isEmpty():
-        drawn = open_rows.select("key", F.col("drawn").alias("a")).distinct().join(found.select(F.col("node").alias("a"), "component"), "a", "left").select("key", "a", F.coalesce("component", "a").alias("part_a"))
-        second = open_rows.join(drawn, "key").where((F.col("a") != F.col("doc")) & (F.col("part") != F.col("part_a"))).select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-        tried = stage(promising(second, plain, percent), "pairs")
-        missing = tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(sets.select("doc"), "doc", "left_anti")
-        sets = sets.unionByName(stage(full_sets(docs, stage(missing, "missing"), size), "sets"))
-        found = extended(found, stage(verified(tried, sets, percent), "links"))
-        found = extended(found, stage(remaining(docs, open_rows, found, plain, size, percent), "links"))
-
-    in_class = named.join(classes.select("digest", F.col("doc").alias("node")), "digest").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    least = in_class.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    unstage(tried, sets, buckets)
+
+    parent = links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("up"))
+    label = parent.join(parent.select(F.col("doc").alias("up"), F.col("up").alias("top")), "up", "left").select("doc", F.coalesce("top", "up").alias("part"))
+    parts = stage(met.where(F.col("members") > 2).drop("n").join(label, "doc", "left").select("key", "doc", "members", "values", F.coalesce("part", "doc").alias("part")), "parts")
+    more = remaining(docs, parts, plain, size, percent)
+
+    member = stage(named.select("doc_id", "digest").join(classes.select("digest", F.col("doc").alias("node")), "digest").select("doc_id", "node"), "member")
+    several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") != F.col("b")).select("doc_id", "a")
+    shared = member.join(several, "doc_id").select("a", F.col("node").alias("b"))
+    found = stars(links.unionByName(more).unionByName(shared))
+    least = member.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    unstage(met, parts, links, classes)
     return sketches.select("doc_id", "n_shingles").join(least, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
-def extended(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components ``found`` (node, component) with more links (a, b): the stars of the old ones stand for their links."""
-    if links.isEmpty():
-        return found
-    return components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
+def remaining(docs: DataFrame, parts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different labels of a bucket that no star has shown; parts: key, doc, members, values, part.
 
-def remaining(docs: DataFrame, open_rows: DataFrame, found: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between different components of a bucket that no star has shown, by blocks of at most about BLOCK classes.
-
-    Classes whose sketches are far from all classes of other components don't get into a block.
+    A bucket is dealt over blocks of about BLOCK classes and BLOCK_BYTES bytes of sets; every two blocks meet in a task
+    of their own. Classes whose sketches are far from all classes of other labels don't get any further.
     """
-    rows = stage(open_rows.drop("part").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")), "rows")
-    still = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("i")
-    member = F.struct("doc", "part", "n", "sketch")
-    blocks = stage(rows.join(still, "key").join(classes, "doc").select("key", block, member.alias("m")).groupBy("key", "i").agg(F.collect_list("m").alias("left")), "blocks")
-    pairs = blocks.join(blocks.select("key", F.col("i").alias("j"), F.col("left").alias("right")), "key").where(F.col("i") <= F.col("j"))
+    still = stage(parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") != F.col("high")).select("key"), "still")
+    number = F.ceil(F.greatest(F.col("members") / BLOCK, 8 * F.col("values") / BLOCK_BYTES)).cast("int")
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i")
+    rows = parts.join(still, "key").join(classes, "doc").withColumn("blocks", number).select("key", "blocks", block, F.struct("doc", "part", "n", "sketch").alias("m"))
+    blocks = stage(rows.groupBy("key", "blocks", "i").agg(F.collect_list("m").alias("left")), "blocks")
+    alone = blocks.where(F.col("blocks") == 1).select("key", "i", F.col("i").alias("j"), "left", F.col("left").alias("right"))
+    many = blocks.where(F.col("blocks") > 1)
+    left = many.select("key", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"), "left")
+    right = many.select("key", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("left").alias("right"))
+    pairs = alone.unionByName(left.join(right, ["key", "i", "j"]))
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -285,6 +288,8 @@ def remaining(docs: DataFrame, open_rows: DataFrame, found: DataFrame, classes:
                 nx, ny = (np.array([m["n"] for m in s], float) for s in (x, y))
                 px, py = (np.array([m["part"] for m in s]) for s in (x, y))
                 p, q = np.nonzero((px[:, None] != py[None, :]) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny)))
+                if r["i"] == r["j"]:
+                    p, q = p[p < q], q[p < q]
                 kx, ky, keep = band_keys(sx), band_keys(sy), np.zeros(len(p), bool)
                 for s in range(0, len(p), 1 << 14):
                     t = np.arange(s, min(s + (1 << 14), len(p)))
@@ -296,16 +301,13 @@ def remaining(docs: DataFrame, open_rows: DataFrame, found: DataFrame, classes:
                 yield pd.DataFrame(sorted(out), columns=["key", "i", "j", "side", "doc", "part"]).astype("int64")
 
     members = stage(pairs.mapInPandas(near, "key long, i long, j long, side long, doc long, part long"), "members")
-    if members.isEmpty():
-        return members.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     # Pairs of blocks with the same members on both sides are compared once.
     sides = members.groupBy("key", "i", "j").agg(F.min("doc").alias("low"), F.count("*").alias("rows"), F.sum(F.xxhash64("side", "doc").cast("decimal(38,0)")).alias("name"))
     once = sides.groupBy("low", "rows", "name").agg(F.min(F.struct("key", "i", "j")).alias("k")).select("k.key", "k.i", "k.j")
     chosen = stage(members.join(once, ["key", "i", "j"]), "members")
-    sets = stage(full_sets(docs, stage(chosen.select("doc").distinct(), "missing"), size), "sets")
-    place = F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))
-    held = chosen.select("key", place.alias("i"), "doc", "part").distinct().join(sets, "doc").groupBy("key", "i").agg(F.collect_list(F.struct("doc", "part", "shingles")).alias("left"))
-    held = stage(held, "held")
-    wanted = chosen.select("key", "i", "j").distinct()
-    filled = wanted.join(held, ["key", "i"]).join(held.select("key", F.col("i").alias("j"), F.col("left").alias("right")), ["key", "j"])
-    return block_links(filled.select("i", "j", "left", "right"), percent)
+    unstage(members, blocks, still)
+    sets = stage(full_sets(docs, chosen.select("doc").distinct(), chosen.count(), size), "sets")
+    groups = chosen.join(sets, "doc").groupBy("key", "i", "j").agg(F.collect_list(F.struct("side", "doc", "part", "shingles")).alias("members"))
+    out = stage(block_links(groups, percent), "links")
+    unstage(chosen, sets)
+    return out
