@@ -182,13 +182,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
-def block_links(groups: DataFrame, percent: int) -> DataFrame:
-    """Links that join labels, between the two sides of every row's ``members`` (side, doc, part, shingles)."""
+def block_links(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links that join labels, between the classes of two blocks (left, right: doc, part, shingles)."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for members in frame["members"]:
-                x, y = ([m for m in members if m["side"] == side] for side in (0, 1))
+            for x, y in zip(frame["left"], frame["right"], strict=True):
                 a, b = ([np.frombuffer(m["shingles"], U) for m in side] for side in (x, y))
                 out, parent = [], {}
 
@@ -206,7 +205,7 @@ def block_links(groups: DataFrame, percent: int) -> DataFrame:
                         out.append((x[p]["doc"], y[q]["doc"]))
                 yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return groups.select("members").mapInPandas(compare, "a long, b long")
+    return pairs.select("left", "right").mapInPandas(compare, "a long, b long")
 
 
 def common_values(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
@@ -250,15 +249,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     unstage(tried, sets, buckets)
 
     parent = links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("up"))
-    label = parent.join(parent.select(F.col("doc").alias("up"), F.col("up").alias("top")), "up", "left").select("doc", F.coalesce("top", "up").alias("part"))
-    parts = stage(met.where(F.col("members") > 2).drop("n").join(label, "doc", "left").select("key", "doc", "members", "values", F.coalesce("part", "doc").alias("part")), "parts")
+    top = parent.select(F.col("doc").alias("up"), F.col("up").alias("top"))
+    label = stage(parent.join(top, "up", "left").select("doc", F.coalesce("top", "up").alias("part")), "label")
+    parts = stage(met.where(F.col("members") > 2).select("key", "doc", "members", "values").join(label, "doc", "left").withColumn("part", F.coalesce("part", "doc")), "parts")
     more = remaining(docs, parts, plain, size, percent)
 
     member = stage(named.select("doc_id", "digest").join(classes.select("digest", F.col("doc").alias("node")), "digest").select("doc_id", "node"), "member")
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") != F.col("b")).select("doc_id", "a")
     shared = member.join(several, "doc_id").select("a", F.col("node").alias("b"))
-    found = stars(links.unionByName(more).unionByName(shared))
-    least = member.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    # links within a label say nothing more
+    ends = links.unionByName(more).unionByName(shared)
+    for end in ("a", "b"):
+        ends = ends.join(label.select(F.col("doc").alias(end), F.col("part").alias("part")), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+    found = stars(ends)
+    placed = member.join(label.withColumnRenamed("doc", "node"), "node", "left").select("doc_id", F.coalesce("part", "node").alias("node"))
+    least = placed.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     unstage(met, parts, links, classes)
     return sketches.select("doc_id", "n_shingles").join(least, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
@@ -307,7 +312,11 @@ def remaining(docs: DataFrame, parts: DataFrame, classes: DataFrame, size: int,
     chosen = stage(members.join(once, ["key", "i", "j"]), "members")
     unstage(members, blocks, still)
     sets = stage(full_sets(docs, chosen.select("doc").distinct(), chosen.count(), size), "sets")
-    groups = chosen.join(sets, "doc").groupBy("key", "i", "j").agg(F.collect_list(F.struct("side", "doc", "part", "shingles")).alias("members"))
-    out = stage(block_links(groups, percent), "links")
-    unstage(chosen, sets)
+    place = F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j"))
+    held = chosen.select("key", place.alias("i"), "doc", "part").distinct().join(sets, "doc")
+    held = stage(held.groupBy("key", "i").agg(F.collect_list(F.struct("doc", "part", "shingles")).alias("left")), "held")
+    wanted = chosen.select("key", "i", "j").distinct()
+    filled = wanted.join(held, ["key", "i"]).join(held.select("key", F.col("i").alias("j"), F.col("left").alias("right")), ["key", "j"])
+    out = stage(block_links(filled, percent), "links")
+    unstage(chosen, sets, held)
     return out
