@@ -25,9 +25,8 @@ OP1 = f"""WITH rest AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), ':
     domains AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM hosts GROUP BY domain, suffix), tops AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM domains GROUP BY suffix),
     s0 AS ({_strength('tops', 'sn', 'sk')}), s1 AS ({_strength('domains', 'dn', 'dk')}), s2 AS ({_strength('hosts', 'n', 'k')}),
     base AS (SELECT CASE WHEN sum(sn) > 0 THEN CAST(sum(sk) AS DOUBLE) / sum(sn) ELSE 0.5 END AS r FROM tops),
-    top_rates AS (SELECT suffix, (sk + s0.s * base.r) / (sn + s0.s) AS r FROM tops, s0, base),
-    domain_rates AS (SELECT domain, (dk + s1.s * t.r) / (dn + s1.s) AS r FROM domains JOIN top_rates t USING (suffix), s1),
-    rates AS (SELECT host, n, (k + s2.s * d.r) / (n + s2.s) AS rate, n + s2.s AS size FROM hosts JOIN domain_rates d USING (domain), s2),
+    priors AS (SELECT domain, dn, dk, (sk - dk + s0.s * base.r) / (sn - dn + s0.s) AS r FROM domains JOIN tops USING (suffix), s0, base),
+    rates AS (SELECT host, n, (k + s2.s * (dk - k + s1.s * d.r) / (dn - n + s1.s)) / (n + s2.s) AS rate, n + s2.s AS size FROM hosts JOIN priors d USING (domain), s1, s2),
     bounds AS (SELECT host, n AS n_labelled, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) AS lower FROM rates),
     judged AS (SELECT page_id, host, path, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
         WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)

@@ -1,8 +1,8 @@
 """URL filters by empirical-Bayes host reputation.
 
 Labelled page outcomes are counted by host, registered domain and public suffix. A beta-binomial prior is fitted at
-each level by moments, and a host's rate of good pages is shrunk toward its domain's, the domain's toward its
-suffix's, the suffix's toward the corpus rate. A page is allowed where the lower posterior bound of its host reaches
+each level by moments, and a host's rate of good pages is shrunk toward that of its domain's other hosts, theirs toward
+that of the suffix's other domains, and that toward the corpus rate: no outcome counts at two levels. A page is allowed where the lower posterior bound of its host reaches
 ``min_rate``. Fixed rules (host suffix and path prefix) go before the reputation; the longest fitting rule wins.
 """
 
@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted_join
+from .common import hot_keys, salted_join, stage
 
-#: Suffixes of two labels under which names are registered; all others have one label. A parameter of the functions below.
+#: Some suffixes of two labels under which names are registered; all others have one label. The default of the parameter
+#: ``suffixes``, for which a caller gives the list that it keeps.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,31 +96,36 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suf
     hosts = (
         pages.join(known, "page_id", "left").groupBy("host")
         .agg(F.count("*").alias("n_pages"), F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.sum(F.coalesce("k", F.lit(0))).alias("k"))
-        .withColumn("domain", registered_domain(F.col("host"), suffixes)).withColumn("suffix", public_suffix(F.col("host"), suffixes)).persist()
+        .withColumn("domain", registered_domain(F.col("host"), suffixes)).withColumn("suffix", public_suffix(F.col("host"), suffixes))
     )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("n_hosts")).persist()
-    tops = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("n_domains")).persist()
+    hosts = stage(hosts, "hosts")
+    domains = stage(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("n_hosts")), "domains")
+    tops = stage(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("n_domains")), "suffixes")
     s0, s1, s2 = concentration(tops, "sn", "sk"), concentration(domains, "dn", "dk"), concentration(hosts, "n", "k")
     total = tops.agg(F.sum("sn").alias("n"), F.sum("sk").alias("k")).first()
     base = total["k"] / total["n"] if total["n"] else 0.5
-    tops_post = tops.select("suffix", ((F.col("sk") + s0 * base) / (F.col("sn") + s0)).alias("top_rate"))
-    domains_post = salted_join(domains, tops_post, "suffix", hot_keys(tops, "suffix", "n_domains"), by="domain").select(
-        "domain", ((F.col("dk") + s1 * F.col("top_rate")) / (F.col("dn") + s1)).alias("domain_rate"))
-    both = salted_join(hosts, domains_post, "domain", hot_keys(domains, "domain", "n_hosts"), by="host")
-    a, b = F.col("k") + s2 * F.col("domain_rate"), F.col("n") - F.col("k") + s2 * (1 - F.col("domain_rate"))
-    rate, size = a / (a + b), a + b
+    met = salted_join(domains, tops.select("suffix", "sn", "sk"), "suffix", hot_keys(tops, "suffix", "n_domains"), by="domain")
+    top_rate = posterior(F.col("sk") - F.col("dk"), F.col("sn") - F.col("dn"), s0, F.lit(base))
+    both = salted_join(hosts, met.select("domain", "dn", "dk", top_rate.alias("top_rate")), "domain", hot_keys(domains, "domain", "n_hosts"), by="host")
+    prior = posterior(F.col("dk") - F.col("k"), F.col("dn") - F.col("n"), s1, F.col("top_rate"))
+    rate, size = posterior(F.col("k"), F.col("n"), s2, prior), F.col("n") + F.lit(s2)
     return both.select("host", "n_pages", F.col("n").alias("n_labelled"), F.col("k").alias("n_good"), rate.alias("rate"),
                        (rate - z * F.sqrt(rate * (1 - rate) / (size + 1))).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_rate: float = 0.5, z: float = 1.645) -> DataFrame:
+def posterior(k: Column, n: Column, strength: float, prior: Column) -> Column:
+    """The mean of the beta posterior of k good ones of n under a prior of this mean and strength."""
+    return (k + strength * prior) / (n + strength)
+
+
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_rate: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_labelled, lower) of every row of ``pages`` (page_id, url; other columns are ignored).
 
     A null url, or one without ``://``, has an empty host and path and is judged by the reputation of the empty host.
     Repeated rows give repeated results; no pages give no rows; without outcomes the prior rate is one half.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = host_reputation(parts, outcomes, z).persist()
+    known = stage(host_reputation(parts, outcomes, z, suffixes), "reputation")
     hot = hot_keys(known, "host", "n_pages")
     text, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = salted_join(parts, known.select("host", "n_labelled", "lower"), "host", hot, by="page_id")
