@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .textual import BYTE_VALUE, M1, M3, SEPARATOR, U, mix, runs, segment_hash, slices, utf8, words
 
+#: Hashes that draw a sample lie under this number.
+SCALE = 1 << 62
 #: Hash buckets of the features; a power of two.
 BUCKETS = 1 << 11
 SYMBOL = np.zeros(256, np.int64)
@@ -69,6 +71,11 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
 
+def threshold_of(rows: int, n: int) -> int:
+    """The hash, of SCALE, under which about ``rows`` of n rows lie; one at least."""
+    return max(SCALE * rows // n, 1)
+
+
 def train(rows: DataFrame, max_rows: int = 2000, iterations: int = 300, penalty: float = 1e-3) -> QualityModel | None:
     """Fit on ``rows`` (doc_id, text, quality 0/1), or on about ``max_rows`` of them that a hash of the id picks.
 
@@ -78,7 +85,7 @@ def train(rows: DataFrame, max_rows: int = 2000, iterations: int = 300, penalty:
     known = rows.where(F.col("text").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "text", "quality")
     n = known.count()
     if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / n)))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)) < F.lit(threshold_of(max_rows, n)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,6 +100,8 @@ def train(rows: DataFrame, max_rows: int = 2000, iterations: int = 300, penalty:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i).cast(pa.int32()), pa.array([np.concatenate(p).tobytes() for p in packed], pa.binary())], ["doc_id", "quality", "f"])
 
     got = known.mapInArrow(features, "doc_id long, quality int, f binary").toArrow().sort_by("doc_id")
+    if n and not len(got):
+        raise RuntimeError(f"none of {n} labelled rows was drawn")
     y = got["quality"].to_numpy().astype(np.float64)
     if len(y) < 10 or y.min() == y.max():
         return None
