@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textual import BYTE_VALUE, segment_hash, slices, utf8
+from .common import fresh
+from .textual import BYTE_VALUE, OTHER_VALUE, segment_hash, slices, utf8
 
 #: Shortest chunk, longest chunk, and the number of high bits that are zero at a border (so 2 ** BITS bytes between borders).
 LEAST, MOST, BITS = 16, 256, 5
@@ -61,7 +62,11 @@ def chunk_borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, start, end) of every chunk, in bytes of UTF-8; rows without an id or a text have none."""
+    """(digest, check, doc_id, start, end) of every chunk, in bytes of UTF-8; rows without an id or a text have none.
+
+    digest (64 bits) and check (32 bits of another hash) together name a chunk's bytes: of 10 ** 13 chunks a pair is taken
+    for equal wrongly with a probability of under one in a thousand.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,18 +74,20 @@ def chunks(docs: DataFrame) -> DataFrame:
             for i, j, d, o in slices(*utf8(b.column("text")), texts=20000):
                 ends, text = chunk_borders(d, o)
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                yield pa.RecordBatch.from_arrays([pa.array(segment_hash(d, starts, ends).view(np.int64)), pa.array(ids[i:j][text]), pa.array((starts - o[text]).astype(np.int32)), pa.array((ends - o[text]).astype(np.int32))], ["digest", "doc_id", "start", "end"])
+                digest, check = segment_hash(d, starts, ends).view(np.int64), (segment_hash(d, starts, ends, OTHER_VALUE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                places = [(x - o[text]).astype(np.int32) for x in (starts, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest, check, ids[i:j][text], *places)], ["digest", "check", "doc_id", "start", "end"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(cut, "digest long, doc_id long, start int, end int")
+    return rows.mapInArrow(cut, "digest long, check int, doc_id long, start int, end int")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """The chunks of which an equal one came before. The first of each digest is found by a map-side combined minimum."""
-    all_chunks = chunks(docs)
-    first = F.min(F.struct("doc_id", "start")).alias("first")
-    twice = all_chunks.groupBy("digest").agg(first, F.max(F.struct("doc_id", "start")).alias("last")).where(F.col("first") != F.col("last")).select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
-    met = all_chunks.join(twice, "digest")
+    all_chunks, name = chunks(docs), ["digest", "check"]
+    first, last = F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")
+    twice = all_chunks.groupBy(*name).agg(first, last).where(F.col("first") != F.col("last")).select(*name, F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    met = all_chunks.join(twice, name)
     return met.where((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))).select("doc_id", "start", "end")
 
 
@@ -115,15 +122,16 @@ def dedup(docs: DataFrame, min_run: int = 100) -> DataFrame:
     doc_id and text are one document and come out alike; rows that share the id only are one document as well: what
     repeats in one of them counts at its place in all. Columns called n_removed or spans are replaced; others are kept.
     """
-    spans = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).select(F.col("doc_id").alias("_doc"), "_spans")
     plain = docs.drop("n_removed", "spans")
-    joined = plain.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    doc, own = fresh(plain, "doc", "own")
+    spans = repeated_chunks(docs).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("start", "end")).alias(own))
+    joined = plain.join(spans, plain["doc_id"] == spans[doc], "left").drop(doc)
     names = plain.columns
     text_at = names.index("text")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lists, new, removed, cuts = b.column("text"), b.column("_spans"), [], [], []
+            texts, lists, new, removed, cuts = b.column("text"), b.column(own), [], [], []
             for text, found in zip(texts, lists, strict=True):
                 keep, out = [], []
                 if found.is_valid and text.is_valid:

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from ..session import BROADCAST_LIMIT, maybe_broadcast, shared_dir, stage, unstage
 
-__all__ = ["BROADCAST_LIMIT", "hot_keys", "maybe_broadcast", "salt_of", "salted_join", "shared_dir", "stage", "unstage"]
+__all__ = ["BROADCAST_LIMIT", "fresh", "hot_keys", "maybe_broadcast", "salt_of", "salted_join", "shared_dir", "stage", "unstage"]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names, made of ``names``, that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def salt_of(*cols: str, buckets: int) -> Column:

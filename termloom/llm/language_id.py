@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .textual import BYTE_VALUE, LOWER, M1, M3, SEPARATOR, U, slices, utf8
 
 DIMENSIONS = 1 << 12
@@ -121,7 +122,7 @@ def bounds(sizes: dict[str, int], max_rows: int) -> dict[str, int]:
 def sample(known: DataFrame, max_rows: int) -> DataFrame:
     """The rows of each language in ``known`` whose hash of the id is low enough for about as many as its bound."""
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    scale = 1 << 40
+    scale = 1 << 62
     cut = [(name, scale * n // sizes[name]) for name, n in bounds(sizes, max_rows).items() if n < sizes[name]]
     if not cut:
         return known
@@ -210,11 +211,12 @@ def identify(docs: DataFrame, model: Centroids | None, columns: list[str] | None
     three added names are replaced.
     """
     kept = [c for c in columns or ["doc_id"] if c not in ADDED]
+    body, letter = fresh(docs, "body", "letter")
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, d, o in slices(*utf8(b.column("_text")), texts=512):
+            letters = b.column(letter).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, d, o in slices(*utf8(b.column(body)), texts=512):
                 known = letters[i:j] & (model is not None)
                 lang, score, far = np.full(j - i, UNKNOWN, object), np.zeros(j - i), np.ones(j - i, bool)
                 if known.any():
@@ -224,6 +226,6 @@ def identify(docs: DataFrame, model: Centroids | None, columns: list[str] | None
                     far[known] = low[known]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], [*kept, *ADDED])
 
-    rows = docs.select(*kept, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    rows = docs.select(*kept, F.col("text").alias(body), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
     return rows.mapInArrow(predicted, ", ".join([*schema, *(f"{k} {v}" for k, v in ADDED.items())]))

@@ -4,7 +4,7 @@ Candidates are found by one pattern, validated by kind, and permuted within thei
 eight rounds (SHA-256 as round function, addition modulo the half's size): card numbers keep a right Luhn digit, IBANs
 right check digits, dates stay dates of the years 1600 to 2399, addresses stay addresses. Equal values get equal
 pseudonyms in every document, however they are punctuated. What isn't valid (a long number without the Luhn digit, a
-31st of June) stays as it is. Each row is worked on alone, so nothing is shuffled.
+31st of June, a phone of one repeated digit) stays as it is. Each row is worked on alone, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 KINDS = ("email", "ip", "iban", "ssn", "date", "phone", "card")
 #: Phones in groups of 3, 3 and 4 digits, with or without a country code.
@@ -71,15 +73,24 @@ def only_digits(s: str) -> str:
     return f"regexp_replace({s}, '[^0-9]', '')"
 
 
-def permuted_name(name: str, key: str) -> str:
-    """A Feistel permutation of strings of one shape: letters move within their case, digits among digits; up to 128 characters."""
+def permuted_name(address: str, key: str) -> str:
+    """The name before the sign of an address, permuted among the names of its shape and mail domain (128 characters at most).
+
+    Letters move within their case, digits among digits. A name of one character has no two halves: it takes the place
+    of its character in a keyed order of all characters of its kind.
+    """
     shift = "cast(conv(substr(h, 2 * (j % 32) + 1, 2), 16, 10) as int)"
     turn = lambda first, last, size: f"chr(ascii('{first}') + pmod(ascii(c) - ascii('{first}') + {shift}, {size}))"
     moved = f"case when c rlike '^[a-z]$' then {turn('a', 'z', 26)} when c rlike '^[A-Z]$' then {turn('A', 'Z', 26)} when c rlike '^[0-9]$' then {turn('0', '9', 10)} else c end"
-    added = lambda x, y: let(f"sha2(concat({sql_text(key)}, '|email|', i, '|', {y}), 256)", "h", f"if({x} = '', '', array_join(transform(split({x}, ''), (c, j) -> {moved}), ''))")
+    tweak = f"concat({sql_text(key)}, '|email|', lower(w), '|'"
+    added = lambda x, y: let(f"sha2({tweak}, i, '|', {y}), 256)", "h", f"array_join(transform(split({x}, ''), (c, j) -> {moved}), '')")
     start = "named_struct('a', substr(n, 1, length(n) div 2), 'b', substr(n, length(n) div 2 + 1))"
     rounds = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> if(i % 2 = 0, named_struct('a', {added('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {added('s.b', 's.a')})))"
-    return let(name, "n", let(rounds, "p", "concat(p.a, p.b)"))
+    kinds = {"a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0-9": "0123456789"}
+    order = f"array_sort(transform(split(k, ''), c -> named_struct('h', sha2({tweak}, 'one|', c), 256), 'c', c)))"
+    placed = let(f"case {' '.join(f"when n rlike '^[{r}]$' then '{k}'" for r, k in kinds.items())} end", "k", f"if(k is null, n, element_at({order}, locate(n, k)).c)")
+    name = f"if(length(n) = 1, {placed}, {let(rounds, 'p', 'concat(p.a, p.b)')})"
+    return let(f"substring_index({address}, '@', -1)", "w", let(f"substring_index({address}, '@', 1)", "n", name))
 
 
 def _date(key: str) -> str:
@@ -115,27 +126,31 @@ def pseudonym(key: str) -> str:
     digits = only_digits("m")
     country = f"if(m rlike '^{AMERICAN}$', length(x) - 10, length(regexp_extract(x, '{COUNTRY}', 0)))"
     phone_new = f"concat(substr(x, 1, z), {permuted_digits('substr(x, z + 1)', key, 'phone')})"
-    phone = let(digits, "x", let(country, "z", laid_out("m", phone_new)))
+    dialled = f"length(x) between 7 and 15 and replace(substr(x, z + 1), substr(x, -1), '') <> ''"
+    phone = let(digits, "x", let(country, "z", f"case when {dialled} then {laid_out('m', phone_new)} end"))
     payload = permuted_digits("substr(x, 1, length(x) - 1)", key, "card")
     card_new = let(payload, "y", "concat(y, cast(filter(sequence(0, 9), z -> luhn_check(concat(y, z)))[0] as string))")
     card = let(digits, "x", f"case when luhn_check(x) then {laid_out('m', card_new)} end")
-    email = f"concat({permuted_name("substring_index(m, '@', 1)", key)}, '@', substring_index(m, '@', -1))"
+    email = f"concat({permuted_name('m', key)}, '@', substring_index(m, '@', -1))"
     kind = "case when m like '%@%' then 'email' when m rlike '^[0-9]{1,3}([.][0-9]{1,3}){3}$' then 'ip' when m rlike '^[A-Z]' then 'iban' when m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' then 'ssn' when m rlike '^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})$' then 'date' when m like '+%' or m rlike '^AMERICAN$' then 'phone' else 'card' end".replace("AMERICAN", AMERICAN)
     value = f"case kind when 'email' then {email} when 'ip' then {ip} when 'iban' then {iban} when 'ssn' then {ssn} when 'date' then {_date(key)} when 'phone' then {phone} else {card} end"
     return let(kind, "kind", let(value, "value", "named_struct('kind', if(value is null, null, kind), 'value', coalesce(value, m))"))
 
 
-def pseudonymise(docs: DataFrame, key: str = "termloom", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its ``text`` column rewritten and a column ``n_<kind>`` for each of KINDS.
 
-    A null text stays null and counts nothing; so do texts without candidates. Repeated rows give repeated results; a
-    column n_<kind> that is already there is replaced; other columns are kept.
+    ``key`` is the secret: who has it can undo the pseudonyms. It stands in the SQL plan, and so in what shows plans (the
+    UI, event logs), which must be kept as safe as the key. A null text stays null and counts nothing; so do texts
+    without candidates. Repeated rows give repeated results; a column n_<kind> that is already there is replaced; other
+    columns are kept, whatever they are called.
     """
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    named = docs.withColumn("_found", found)
-    named = named.withColumn("_new", F.expr(f"transform(_found, m -> {pseudonym(key)})"))
+    if not key:
+        raise ValueError("a key is asked for")
+    found, new = fresh(docs, "found", "new")
+    candidates = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    named = docs.withColumn(found, candidates).withColumn(new, F.expr(f"transform(`{found}`, m -> {pseudonym(key)})"))
     between = F.split(F.col(text), PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.col("_new"), lambda p, n: F.concat(p, F.coalesce(n["value"], F.lit("")))), "")
-    counts = {f"n_{k}": F.expr(f"size(filter(_new, n -> n.kind = '{k}'))") for k in KINDS}
-    named = named.withColumn("_text", F.when(F.size("_found") > 0, joined).otherwise(F.col(text)))
-    return named.withColumns(counts).withColumn(text, F.col("_text")).drop("_found", "_new", "_text")
+    joined = F.array_join(F.zip_with(between, F.col(new), lambda p, n: F.concat(p, F.coalesce(n["value"], F.lit("")))), "")
+    counts = {f"n_{k}": F.expr(f"size(filter(`{new}`, n -> n.kind = '{k}'))") for k in KINDS}
+    return named.withColumns(counts | {text: F.when(F.size(found) > 0, joined).otherwise(F.col(text))}).drop(found, new)

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret in the setting ``termloom.pseudonym.key``; where it is unset, a public one, fit for tests and checks alone."""
+    return spark.conf.get("termloom.pseudonym.key", "a public key for tests")
+
+
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of the document with its id: good if of quality and not toxic."""
     labels = table(spark, sf_dir, "labels")
@@ -26,7 +31,7 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
     return out.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
 
 

@@ -86,7 +86,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Another set of such values, for hashes that are independent of the first.
+OTHER_VALUE = mix((np.arange(256, dtype=U) + U(1)) * M2)
+
+
+def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
     """A 64-bit hash of each segment data[start:end]; segments are ascending and do not overlap."""
     if not len(starts):
         return np.zeros(0, U)
@@ -100,9 +104,9 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     inner = place - np.repeat(base, length)
     if total != len(data):
         place += np.repeat(starts - base, length)
-        value = BYTE_VALUE[data[place]]
+        value = values[data[place]]
     else:
-        value = BYTE_VALUE[data]
+        value = values[data]
     value *= powers(int(length.max()))[inner]
     full = length > 0
     out = np.zeros(len(starts), U)

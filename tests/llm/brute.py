@@ -111,3 +111,201 @@ def encoding(path, pattern):
 def op10(text, enc):
     ids = enc.encode_ordinary(text or "")
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def op3(docs, min_run=100):
+    """(text, bytes removed) by doc_id: chunks are compared as bytes, none by a digest."""
+    from termloom.llm.chunk_dedup import BITS, GEAR, LEAST, MOST
+
+    pieces, seen = {}, {}
+    for d, t in sorted(docs):
+        raw = (t or "").encode()
+        h, last, own = 0, 0, []
+
+        def cut(end):
+            nonlocal last
+            own.append((last, end))
+            last = end
+
+        for place, byte in enumerate(raw, 1):
+            h = ((h << 1) + int(GEAR[byte])) & 0xFFFFFFFF
+            if h >> (32 - BITS) == 0 and place - last >= LEAST:
+                while place - last > MOST:
+                    cut(last + MOST)
+                if place > last:
+                    cut(place)
+        while len(raw) - last > MOST:
+            cut(last + MOST)
+        if len(raw) > last:
+            cut(len(raw))
+        pieces[d] = (raw, own)
+        for a, z in own:
+            seen.setdefault(raw[a:z], (d, a))
+    out = {}
+    for d, (raw, own) in pieces.items():
+        runs = []
+        for a, z in own:
+            if seen[raw[a:z]] != (d, a):
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = z
+                else:
+                    runs.append([a, z])
+        gone = bytearray(len(raw))
+        for a, z in runs:
+            if z - a < min_run:
+                continue
+            while a < z and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while z > a and z < len(raw) and raw[z] & 0xC0 == 0x80:
+                z -= 1
+            gone[a:z] = b"\1" * (z - a)
+        out[d] = (bytes(b for b, g in zip(raw, gone) if not g).decode(), sum(gone))
+    return out
+
+
+class Pseudonyms:
+    """The pseudonyms of values, one at a time."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def mix(self, tweak, i, x):
+        return int(hashlib.sha256(f"{self.key}|{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16)
+
+    def pair(self, a, b, m, n, tweak):
+        for i in range(8):
+            if i % 2 == 0:
+                a = (a + self.mix(tweak, i, b)) % m
+            else:
+                b = (b + self.mix(tweak, i, a)) % n
+        return a, b
+
+    def digits(self, d, tweak):
+        k = len(d) // 2
+        a, b = self.pair(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), tweak)
+        return f"{a:0{k}d}{b:0{len(d) - k}d}"
+
+    @staticmethod
+    def laid_out(form, digits):
+        rest = iter(digits)
+        return re.sub("[0-9]", lambda m: next(rest), form)
+
+    @staticmethod
+    def luhn(d):
+        doubled = [int(c) * (1 + (i % 2)) for i, c in enumerate(reversed(d))]
+        return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
+
+    def email(self, m):
+        name, domain = m.split("@")[0], m.split("@")[-1]
+        hexed = lambda x: hashlib.sha256(f"{self.key}|email|{domain.lower()}|{x}".encode()).hexdigest()
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"):
+            if len(name) == 1 and name in letters:
+                return sorted(letters, key=lambda c: hexed(f"one|{c}"))[letters.index(name)] + m[1:]
+        if len(name) == 1:
+            return m
+
+        def added(x, h):
+            out = ""
+            for j, c in enumerate(x):
+                shift = int(h[2 * (j % 32) : 2 * (j % 32) + 2], 16)
+                first, size = ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else ("0", 10) if "0" <= c <= "9" else (c, 1)
+                out += chr(ord(first) + (ord(c) - ord(first) + shift) % size)
+            return out
+
+        a, b = name[: len(name) // 2], name[len(name) // 2 :]
+        for i in range(8):
+            if i % 2 == 0:
+                a = added(a, hexed(f"{i}|{b}"))
+            else:
+                b = added(b, hexed(f"{i}|{a}"))
+        return f"{a}{b}@{domain}"
+
+    def ip(self, m):
+        x = [int(p) for p in m.split(".")]
+        if max(x) > 255:
+            return None
+        a, b = self.pair(x[0] * 256 + x[1], x[2] * 256 + x[3], 65536, 65536, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+    def iban(self, m):
+        x = m.replace(" ", "")
+        number = lambda s: int("".join(str(int(c, 36)) for c in s))
+        own = re.sub("[^0-9]", "", x[4:])
+        if not 15 <= len(x) <= 34 or len(own) < 2 or number(x[4:] + x[:4]) % 97 != 1:
+            return None
+        y = self.laid_out(x[4:], self.digits(own, "iban"))
+        rest = iter(f"{x[:2]}{98 - number(y + x[:2] + '00') % 97:02d}{y}")
+        return re.sub("[^ ]", lambda c: next(rest), m)
+
+    def ssn(self, m):
+        a, b, c = (int(p) for p in m.split("-"))
+        if not 1 <= a <= 899 or a == 666 or not b or not c:
+            return None
+        p, q = self.pair((a - 1 - (a > 666)) * 99 + b - 1, c - 1, 898 * 99, 9999, "ssn")
+        area = p // 99 + 1
+        return f"{area + (area >= 666):03d}-{p % 99 + 1:02d}-{q + 1:04d}"
+
+    def date(self, m):
+        import datetime
+
+        sign, p = re.search("[-/.]", m).group(), re.split("[-/.]", m)
+
+        def day(y, mo, d):
+            try:
+                return datetime.date(int(p[y]), int(p[mo]), int(p[d]))
+            except ValueError:
+                return None
+
+        order = (0, 1, 2) if re.match("[0-9]{4}", m) else (2, 0, 1) if sign != "." and day(2, 0, 1) else (2, 1, 0)
+        v, begin = day(*order), datetime.date(1600, 1, 1)
+        if v is None or not 1600 <= v.year <= 2399:
+            return None
+        a, b = self.pair(*divmod((v - begin).days, 773), 378, 773, "date")
+        w = begin + datetime.timedelta(a * 773 + b)
+        short = re.search("(^|[-/.])[0-9]([-/.]|$)", m)
+        part = lambda x: str(x) if short else f"{x:02d}"
+        parts = [""] * 3
+        parts[order[0]], parts[order[1]], parts[order[2]] = f"{w.year:04d}", part(w.month), part(w.day)
+        return sign.join(parts)
+
+    def phone(self, m):
+        from termloom.llm.pseudonyms import AMERICAN, COUNTRY
+
+        x = re.sub("[^0-9]", "", m)
+        z = len(x) - 10 if re.fullmatch(AMERICAN, m) else len((re.match(COUNTRY, x) or re.match("", x)).group())
+        if not 7 <= len(x) <= 15 or len(set(x[z:])) < 2:
+            return None
+        return self.laid_out(m, x[:z] + self.digits(x[z:], "phone"))
+
+    def card(self, m):
+        x = re.sub("[^0-9]", "", m)
+        if not self.luhn(x):
+            return None
+        y = self.digits(x[:-1], "card")
+        return self.laid_out(m, y + next(c for c in "0123456789" if self.luhn(y + c)))
+
+    def kind(self, m):
+        from termloom.llm.pseudonyms import AMERICAN
+
+        forms = [
+            ("email", ".*@.*"), ("ip", r"[0-9]{1,3}([.][0-9]{1,3}){3}"), ("iban", "[A-Z].*"), ("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+            ("date", "[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}"), ("phone", rf"\+.*|{AMERICAN}"), ("card", ".*"),
+        ]
+        return next(k for k, form in forms if re.fullmatch(form, m))
+
+
+def op2(text, key):
+    """(text, counts by kind)."""
+    from termloom.llm.pseudonyms import PATTERN
+
+    if text is None:
+        return None, Counter()
+    p, n = Pseudonyms(key), Counter()
+
+    def new(m):
+        kind = p.kind(m.group())
+        value = getattr(p, kind)(m.group())
+        n[kind] += value is not None
+        return m.group() if value is None else value
+
+    return re.sub(PATTERN, new, text, flags=re.ASCII), n

@@ -65,9 +65,25 @@ def test_reputation_shrinks(spark):
     assert lower["bad.d1.com"] < lower["new.d1.com"] < lower["good.d1.com"]
 
 
+def test_reputation_blocks_and_leaves_own_outcomes_out(spark):
+    """A host of bad outcomes is blocked; its domain's other host has them as a prior, and a host alone in its domain only its suffix's."""
+    hosts = ["bad.one.com"] * 60 + ["bad2.one.com"] * 2 + ["good.two.com"] * 60 + ["alone.org"] * 30
+    pages = spark.createDataFrame([(i, f"http://{h}/{'x' * (20000 if i == 0 else 1)}") for i, h in enumerate(hosts)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, h.startswith("good") or h == "alone.org") for i, h in enumerate(hosts) if h != "bad2.one.com"], "page_id long, good boolean")
+    got = {r["host"]: r for r in url_reputation.judge_urls(pages, outcomes, []).collect()}
+    assert {h: r["verdict"] for h, r in got.items()} == {"bad.one.com": "block", "bad2.one.com": "block", "good.two.com": "allow", "alone.org": "allow"}
+    assert got["bad2.one.com"]["n_labelled"] == 0 and got["bad2.one.com"]["lower"] < 0.2
+    suffix = {r["host"]: r["lower"] for r in url_reputation.judge_urls(pages, outcomes, [], suffixes=("one.com",)).collect()}
+    assert suffix["bad2.one.com"] != got["bad2.one.com"]["lower"]
+    parts = pages.select("page_id", url_reputation.host_of(pages["url"]).alias("host"))
+    # the only host of its domain and suffix: the prior is the corpus rate
+    alone = next(r for r in url_reputation.host_reputation(parts, outcomes).collect() if r["host"] == "alone.org")
+    assert alone["rate"] < 1 and alone["n_good"] == alone["n_labelled"] == 30
+
+
 def test_pseudonyms(spark, docs, empty):
     cases = ["4417744280351547", "4417-7442-8035-1547", "9807915762804490", "+1 (743) 555-3824", "743-555-3824", "97.51.17.173", "999.1.1.1", "1984-02-29", "02/29/1984", "2023-02-31", "123-45-6789", "666-12-3456", "DE89 3704 0044 0532 0130 00", "DE00370400440532013000", "und.34@mail7.example.com"]
-    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"<{c}> and <{c}>") for i, c in enumerate(cases)], "doc_id long, text string")).collect()
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"<{c}> and <{c}>") for i, c in enumerate(cases)], "doc_id long, text string"), "k").collect()
     new = {}
     for r in rows:
         a, b = r["text"].split(" and ")
@@ -83,16 +99,16 @@ def test_pseudonyms(spark, docs, empty):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     digits = [int(c) for c in new["4417744280351547"]]
     assert sum(sum(divmod(2 * d, 10)) if k % 2 == 0 else d for k, d in enumerate(digits)) % 10 == 0
-    out = pseudonyms.pseudonymise(docs)
+    out = pseudonyms.pseudonymise(docs, "k")
     assert out.columns[:5] == docs.columns and out.count() == docs.count()
-    assert pseudonyms.pseudonymise(empty).count() == 0
+    assert pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
 def test_pseudonyms_of_phones(spark):
     """Grouped and unbroken phones of other countries, and a bracket without a separator; equal ones stay equal."""
     cases = ["(743)555-3824", "+1(743)555-3824", "743-555-3824", "+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+6591234567", "+65 9123 4567", "+4721234567", "+44 (0)20 7946 0958"]
     left = ["+1234567", "+12345678901234567", "12 345 678"]
-    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"call {c}, or not") for i, c in enumerate(cases + left)], "doc_id long, text string")).collect()
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"call {c}, or not") for i, c in enumerate(cases + left)], "doc_id long, text string"), "k").collect()
     new = {(cases + left)[r["doc_id"]]: r["text"][5:-8] for r in rows}
     assert {c: r["n_phone"] for c, r in zip(cases + left, sorted(rows, key=lambda r: r["doc_id"]))} == {**dict.fromkeys(cases, 1), **dict.fromkeys(left, 0)}
     for old, now in new.items():
@@ -101,7 +117,7 @@ def test_pseudonyms_of_phones(spark):
     assert digits("(743)555-3824") == digits("743-555-3824") == digits("+1(743)555-3824")[1:]
     assert digits("+44 20 7946 0958") == digits("+442079460958") and digits("+6591234567") == digits("+65 9123 4567") and digits("+33 1 23 45 67 89") == digits("+33.1.23.45.67.89")
     assert new["+6591234567"].startswith("+65") and new["+44 20 7946 0958"].startswith("+44 ")
-    rows = pseudonyms.pseudonymise(spark.createDataFrame([(0, "+6591234567 2024-01-02")], "doc_id long, text string")).collect()
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(0, "+6591234567 2024-01-02")], "doc_id long, text string"), "k").collect()
     assert (rows[0]["n_phone"], rows[0]["n_date"]) == (1, 1)
 
 
@@ -179,7 +195,7 @@ def test_top_k(spark):
     rows += [(None, [1.0] * 8, "x"), (1, None, "x"), (50, [float("nan")] * 8, "x"), (1400, [None] + [1.0] * 7, "x"), (1450, [1e6] * 8, "x")]
     rows = [x for x in rows if x[0] not in (1, 50) or x[1] is None or x[1][0] != x[1][0]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string")
-    for shard in (64, 1 << 15):
+    for shard in (16, 64, 1 << 15):
         got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in kd_search.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=shard, block_rows=7).collect())
         assert got == brute.op5([x[:2] for x in rows])
     doubled = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in kd_search.top_k(df.union(df), df.union(df).where("vec_id % 50 = 0"), 5).collect())
@@ -188,6 +204,11 @@ def test_top_k(spark):
     assert kd_search.top_k(df.limit(1), df.limit(1)).count() == 0
 
 
+def test_trees_are_numbered_without_gaps(spark):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("(cast(spark_partition_id() as long) << 32) + id % 3 AS shard").where("shard >> 32 <> 2").distinct()
+    assert sorted(r["cell"] for r in kd_search.dense(rows, "shard", "cell").collect()) == list(range(18))
+
+
 def test_near_duplicates(spark, docs, empty):
     want = brute.op6(known(hard_texts()), 2)
     got = setsketch.near_duplicates(docs, 2).collect()
@@ -209,6 +230,84 @@ def test_near_groups(spark, size):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute.op6(rows, size)
 
 
+def test_near_group_of_many_blocks(spark, monkeypatch):
+    """A bucket of several blocks by its number of classes, all just about the limit, and one by the bytes of its very long texts."""
+    r, base, rows = random.Random(14), prose(41, 60).split(), []
+    for i in range(700):
+        w = base[:]
+        for k in r.sample(range(len(w)), r.choice([3, 4, 5])):
+            w[k] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    long = [f"x{i}" for i in range(700_000)]
+    for i in range(4):
+        w = long[:]
+        for k in r.sample(range(len(w)), 70_000 if i else 0):
+            w[k] = f"y{i}"
+        rows.append((5000 + i, " ".join(w)))
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1 + 1).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute.op6(rows, 2)
+
+
+def test_rows_that_share_an_id_are_linked(spark):
+    rows = [(1, prose(1, 50)), (5, prose(1, 50)), (5, prose(2, 50)), (7, prose(2, 50)), (7, prose(3, 50)), (9, prose(3, 50)), (11, prose(4, 50))]
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 11: 11}
+
+
+def test_columns_with_the_operators_own_names(spark):
+    names = ["doc", "_doc", "own", "_own", "found", "_found", "new", "_new", "_text", "body", "_body", "letter", "_letters", "n_removed", "spans"]
+    rows = [(i, prose(i % 3, 60) + " x@y.org", "en", *range(len(names))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` long" for n in names))
+    kept = [n for n in names if n not in ("n_removed", "spans")]
+    cut = chunk_dedup.dedup(df)
+    assert cut.count() == 12 and cut.columns == ["doc_id", "text", "lang", *kept, "n_removed", "spans"]
+    hidden = pseudonyms.pseudonymise(df, "k")
+    assert hidden.columns == [*df.columns, *(f"n_{k}" for k in pseudonyms.KINDS)]
+    told = language_id.identify(df, language_id.fit(df), df.columns)
+    assert told.columns == [*df.columns, "lang_pred", "score", "rejected"]
+    for out in (cut, hidden, told):
+        assert {tuple(r[n] for n in kept) for r in out.collect()} == {tuple(names.index(n) for n in kept)}
+    assert all(r["n_email"] == 1 and "x@y.org" not in r["text"] for r in hidden.collect())
+
+
+def test_pseudonyms_are_one_to_one(spark):
+    """Every network permutes its values: dates of all years, all names of two letters and of one, SSNs, IPs and phones with shared parts."""
+    import datetime
+
+    begin = datetime.date(1600, 1, 1)
+    values = {
+        "date": [(begin + datetime.timedelta(k)).isoformat() for k in range(0, 292194, 7)],
+        "email": [f"{a}{b}@x.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in ["", *"abcdefghijklmnopqrstuvwxyz"]],
+        "ssn": [f"{a:03d}-{b:02d}-0001" for a in (*range(1, 666), *range(667, 900)) for b in (1, 50, 99)],
+        "ip": [f"10.0.{a}.{b}" for a in range(256) for b in range(0, 256, 8)],
+        "phone": [f"+1 (743) 555-{n:04d}" for n in range(0, 10000, 3)],
+    }
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    new = {}
+    for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "kind string, text string").repartition(8), "k").collect():
+        assert r[f"n_{r['kind']}"] == 1
+        new.setdefault(r["kind"], []).append(r["text"])
+    for k, vs in values.items():
+        assert len(set(new[k])) == len(vs) == len(new[k])
+    assert sorted(x for x in new["email"] if len(x) == 7) == sorted(x for x in values["email"] if len(x) == 7)
+    p = brute.Pseudonyms("k")
+    assert len({p.card(c) for c in cards()}) == len(cards()) and len({p.iban(c) for c in ibans()}) == len(ibans())
+    same = pseudonyms.pseudonymise(spark.createDataFrame([(c,) for c in (*cards(), *ibans())], "text string"), "k").collect()
+    assert {r["text"] for r in same} == {p.card(c) for c in cards()} | {p.iban(c) for c in ibans()}
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(spark.createDataFrame(rows[:1], "kind string, text string"), "")
+
+
+def cards():
+    numbers = [f"4539{n:011d}" for n in range(0, 3000, 7)]
+    return [d + next(c for c in "0123456789" if brute.Pseudonyms.luhn(d + c)) for d in numbers]
+
+
+def ibans():
+    bodies = [f"37040044{n:010d}" for n in range(0, 3000, 11)]
+    return [f"DE{98 - int(b + '131400') % 97:02d}{b}" for b in bodies]
+
+
 def test_estimate():
     r, out = np.random.default_rng(1), []
     for j in (0.3, 0.6, 0.8, 0.95):
@@ -235,8 +334,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent if any(a != b and x in (a, b) for a, b in edges)}
+    for many in (components.MANY, 0):
+        got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(edges, "a long, b long"), many=many).collect()}
+        assert got == {x: find(x) for x in parent if any(a != b and x in (a, b) for a, b in edges)}
 
 
 def test_quality(spark, docs, empty):
@@ -293,6 +393,18 @@ def test_language_of_few_rows(spark):
     assert not any(r["rejected"] for r in language_id.identify(spark.createDataFrame(new[1::2], "doc_id long, text string"), few).collect())
 
 
+def test_sample_thresholds():
+    for n in (2001, 10**6, 10**12, 10**18):
+        assert word_quality.threshold_of(2000, n) >= 1
+        assert abs(word_quality.threshold_of(2000, n) / word_quality.SCALE * n - 2000) < 1e-3 or n == 10**18
+
+
+def test_rare_language_has_rows_at_any_size():
+    sizes = {"big": 10**12, "rare": 300}
+    bounds = language_id.bounds(sizes, 2000)
+    assert bounds["rare"] == 300 and (1 << 62) * bounds["big"] // sizes["big"] > 0
+
+
 def test_language_sample_bounds():
     assert language_id.bounds({"a": 10**9, "b": 700, "c": 3}, 2000) == {"a": 1297, "b": 700, "c": 3}
     assert language_id.bounds({str(i): 100 for i in range(100)}, 2000) == {str(i): 50 for i in range(100)}

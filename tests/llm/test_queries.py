@@ -6,6 +6,7 @@ import brute
 import public_tokenizers
 import pytest
 
+from termloom.llm import pseudonyms
 from termloom.llm import queries as Q
 
 
@@ -24,6 +25,24 @@ def test_op1(spark, sf_dir):
         assert r["verdict"] == (rule[1] if rule else "allow" if r["lower"] >= 0.5 else "block")
 
 
+def test_op2(spark, sf_dir, docs):
+    rows = Q.op2_feistel_pseudonyms(spark, sf_dir).collect()
+    got, seen = {r["doc_id"]: r for r in rows}, 0
+    for d, text in docs:
+        want, n = brute.op2(text, Q.pseudonym_key(spark))
+        assert got[d]["text"] == want
+        assert {k: v for k, v in n.items() if v} == {k: got[d][f"n_{k}"] for k in pseudonyms.KINDS if text is not None and got[d][f"n_{k}"]}
+        seen += sum(n.values())
+    assert seen > 20 and len(rows) == len(docs)
+
+
+def test_op3(spark, sf_dir, docs):
+    rows = Q.op3_content_chunks(spark, sf_dir).collect()
+    want = brute.op3(docs)
+    assert {r["doc_id"]: (r["text"] or "", r["n_removed"]) for r in rows} == want
+    assert sum(n for _, n in want.values()) > 0
+
+
 def test_op4(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
