@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import chunk_dedup, language_id, packing, pseudonyms, setsketch
-from termloom.llm.common import maybe_broadcast, stage
+from termloom.llm.common import maybe_broadcast, stage, unstage
+from termloom.llm.queries import pseudonym_key
 from termloom.session import ship
 
 #: Most labelled rows that the language model is fitted on.
@@ -40,7 +41,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal data; n_chars follows."""
-    return pseudonyms.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pseudonyms.pseudonymise(docs, pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
