@@ -153,7 +153,8 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
 
 
 #: An open interval: its bucket's cell, the first and last place before the anchor that count, and whether its strings are to be marked.
-OPEN = {"cell": pa.int64(), "low": pa.int32(), "high": pa.int32(), "single": pa.bool_(), "doc_id": pa.int64(), "start": pa.int64(), "lead": pa.int32(), "span": pa.binary()}
+OPEN = {"cell": pa.int64(), "low": pa.int32(), "high": pa.int32(), "single": pa.bool_(), "doc_id": pa.int64(), "start": pa.int64(),
+    "lead": pa.int32(), "span": pa.binary()}
 OPEN_SCHEMA = "cell long, low int, high int, single boolean, doc_id long, start long, lead int, span binary"
 RUNS_SCHEMA = "doc_id long, start long, end long"
 
@@ -170,7 +171,8 @@ def spans_of(met: DataFrame, length: int, gram: int) -> DataFrame:
                 good = np.flatnonzero(start + count - 1 + length <= raw.size)
                 span = [raw[s : s + n - 1 + length].to_pybytes() for s, n in zip(start[good].tolist(), count[good].tolist(), strict=True)]
                 n = len(good)
-                columns = [cell[good], np.zeros(n, np.int32), np.full(n, length - gram, np.int32), single[good], np.full(n, b.column("doc_id")[row].as_py()), start[good], lead[good].astype(np.int32), span]
+                columns = [cell[good], np.zeros(n, np.int32), np.full(n, length - gram, np.int32), single[good],
+                    np.full(n, b.column("doc_id")[row].as_py()), start[good], lead[good].astype(np.int32), span]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, OPEN.values(), strict=True)], [*OPEN])
 
     return met.select("doc_id", "text", "open").mapInArrow(cut, OPEN_SCHEMA)
@@ -200,7 +202,8 @@ def repeated_runs(cells: pa.Table, length: int) -> pa.RecordBatch:
     last = twice.copy()
     last[:-1] &= ~(twice[1:] & (row[1:] == row[:-1]))
     a, z = np.flatnonzero(first), np.flatnonzero(last)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(start[row[a]] + place[a]), pa.array(start[row[a]] + place[z] + length)], ["doc_id", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(start[row[a]] + place[a]), pa.array(start[row[a]] + place[z] + length)],
+        ["doc_id", "start", "end"])
 
 
 def finished(rows: DataFrame, length: int) -> DataFrame:
@@ -273,7 +276,8 @@ def open_runs(rows: DataFrame, length: int, members: int) -> list[DataFrame]:
             unstage(rows)
             return out
         # a cell of one place holds equal strings
-        out.append(stage(large.where((F.col("low") == F.col("high")) & F.col("single")).select("doc_id", "start", (F.col("start") + length).alias("end")), "runs"))
+        out.append(stage(large.where((F.col("low") == F.col("high")) & F.col("single")).select("doc_id", "start",
+            (F.col("start") + length).alias("end")), "runs"))
         halved = stage(split(large.where(F.col("low") < F.col("high")), length), "halves")
         sizes = stage(halved.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > 1), "sizes")
         again = stage(halved.join(sizes, "cell"), "open")
@@ -296,17 +300,21 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, members: int = MEM
     met = stage(intervals(texts, length, gram, ["anchor", "bucket", "doc_id", "at"]).join(twice, "anchor"), "met")
     buckets = stage(met.groupBy("anchor", "bucket").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), "buckets")
     single = F.col("n") == 1
-    groups = stage(buckets.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where((F.col("size") > 1) & (F.col("least") == 1)).select("anchor", "size"), "groups")
-    chosen = stage(buckets.join(groups, "anchor").select(F.col("one.doc_id").alias("doc_id"), F.struct(F.col("anchor").alias("cell"), F.col("one.at").alias("at"), single.alias("single"), "size").alias("o")), "chosen")
+    groups = stage(buckets.groupBy("anchor").agg(F.count("*").alias("size"),
+        F.min("n").alias("least")).where((F.col("size") > 1) & (F.col("least") == 1)).select("anchor", "size"), "groups")
+    chosen = stage(buckets.join(groups, "anchor").select(F.col("one.doc_id").alias("doc_id"),
+        F.struct(F.col("anchor").alias("cell"), F.col("one.at").alias("at"), single.alias("single"), "size").alias("o")), "chosen")
     by_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("o.cell", "o.at", "o.single")).alias("open"))
-    spans = spans_of(texts.join(by_doc, "doc_id"), length, gram)
+    # what is open and what is cut grow with the corpus: texts meet them in merge joins at every size
+    spans = spans_of(texts.join(by_doc.hint("merge"), "doc_id"), length, gram)
     most = groups.agg(F.max("size")).first()[0] or 0
     if most <= members:
         runs = [stage(finished(spans, length), "runs")]
     else:
         runs = open_runs(stage(spans.join(groups.withColumnRenamed("anchor", "cell"), "cell"), "open"), length, members)
     start, count = F.floor(F.col("at") / LEAD).cast("long"), F.floor(F.col("at") / COUNT).cast("long") % 256
-    plain = lambda df, kind: df.select("doc_id", F.lit(kind).cast("byte").alias("kind"), start.alias("start"), (start + count + (length - 1)).alias("end"))
+    plain = lambda df, kind: df.select("doc_id", F.lit(kind).cast("byte").alias("kind"), start.alias("start"),
+        (start + count + (length - 1)).alias("end"))
     marks = plain(met, 1).unionByName(plain(buckets.where(single).select("one.doc_id", "one.at"), 0))
     for r in runs:
         marks = marks.unionByName(r.select("doc_id", F.lit(2).cast("byte").alias("kind"), "start", "end"))
@@ -314,7 +322,8 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, members: int = MEM
     spans = stage(cuts.mapInArrow(merged, "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
     unstage(twice, met, buckets, groups, chosen, *runs)
     everything = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return everything.join(spans, "doc_id", "left").mapInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return everything.join(spans.hint("merge"), "doc_id", "left").mapInArrow(cut_out,
+        "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
