@@ -55,7 +55,8 @@ def rebuild(segments: Column) -> Column:
     clean = F.transform(segments, lambda s: F.struct(F.coalesce(s["offset"], F.lit(0)).alias("offset"), F.coalesce(s["text"], F.lit("")).alias("text")))
     ends = F.transform(clean, lambda s: s["offset"] + F.length(s["text"]))
     starts = F.transform(clean, lambda s: s["offset"])
-    gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))), lambda a, b: a - b)
+    gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))),
+        lambda a, b: a - b)
     pads = F.concat(F.array(F.try_element_at(starts, F.lit(1))), gaps)
     joined = F.array_join(F.zip_with(pads, clean, lambda g, s: F.concat(F.repeat(F.lit(" "), g), s["text"])), "")
     folded = F.aggregate(clean, F.lit(""), _overlay)
@@ -64,5 +65,6 @@ def rebuild(segments: Column) -> Column:
 
 def rebuild_sorted(segments: Column) -> Column:
     """The same with segments laid down by offset, ties in list order: the higher offset overwrites."""
-    keyed = F.transform(segments, lambda s, i: F.struct(F.coalesce(s["offset"], F.lit(0)).alias("offset"), i.alias("i"), F.coalesce(s["text"], F.lit("")).alias("text")))
+    keyed = F.transform(segments, lambda s, i: F.struct(F.coalesce(s["offset"], F.lit(0)).alias("offset"), i.alias("i"),
+        F.coalesce(s["text"], F.lit("")).alias("text")))
     return rebuild(F.transform(F.array_sort(keyed), lambda s: F.struct(s["offset"].alias("offset"), s["text"].alias("text"))))

@@ -14,27 +14,30 @@ MODES = ("assigned", "intersect", "filter", "whole")
 
 def patient_anchors(patients: DataFrame) -> DataFrame:
     """(pmc_id, roster_idx, patient_id, anchor): every offset of a patient's mentions; a patient without one has a null anchor."""
-    each = patients.select("pmc_id", "roster_idx", "patient_id", F.explode_outer(F.filter(F.transform("mentions", lambda m: m["offset"]), lambda x: x.isNotNull())).alias("anchor"))
+    each = patients.select("pmc_id", "roster_idx", "patient_id",
+        F.explode_outer(F.filter(F.transform("mentions", lambda m: m["offset"]), lambda x: x.isNotNull())).alias("anchor"))
     return each.distinct()
 
 
 def nearest(mentions: DataFrame, patients: DataFrame, max_dist: int | None = None) -> DataFrame:
     """``mentions`` (pmc_id, ent_idx, offset, ...) with roster_idx, patient_id and dist of the nearest patient.
 
-    Anchors and mentions of an article are merged by offset, and each mention looks at the last anchor before and the
-    first after it, so the work is linear in both; ties go to the earlier patient. Further than ``max_dist`` is
+    Anchors and mentions of an article are merged by offset, and each mention looks at the last anchor before and, in the
+    other direction, at the first after it, so the work is linear in both; ties go to the earlier patient. Further than ``max_dist`` is
     unassigned (null); without any anchor it is the first patient where no distance is set, else unassigned.
     """
     anchors = patient_anchors(patients).where(F.col("anchor").isNotNull()).groupBy("pmc_id", "anchor").agg(F.min("roster_idx").alias("who"))
     points = anchors.select("pmc_id", F.col("anchor").alias("at"), F.struct("anchor", "who").alias("a"), F.lit(None).cast("int").alias("ent_idx"))
     asked = mentions.select("pmc_id", F.col("offset").alias("at"), F.lit(None).cast("struct<anchor:int,who:int>").alias("a"), "ent_idx")
     left = Window.partitionBy("pmc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    right = Window.partitionBy("pmc_id").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    sides = points.unionByName(asked).select("pmc_id", "at", "ent_idx", F.last("a", ignorenulls=True).over(left).alias("l"), F.first("a", ignorenulls=True).over(right).alias("r")).where(F.col("ent_idx").isNotNull())
+    right = Window.partitionBy("pmc_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = points.unionByName(asked).select("pmc_id", "at", "ent_idx", F.last("a", ignorenulls=True).over(left).alias("l"),
+        F.last("a", ignorenulls=True).over(right).alias("r")).where(F.col("ent_idx").isNotNull())
     options = F.filter(F.array("l", "r"), lambda x: x.isNotNull())
     best = F.array_min(F.transform(options, lambda x: F.struct(F.abs(F.col("at") - x["anchor"]).alias("dist"), x["who"].alias("who"))))
     found = sides.select("pmc_id", "ent_idx", best.alias("b"))
-    wanted = found.select("pmc_id", "ent_idx", F.col("b.dist").alias("dist"), (F.coalesce("b.who", F.lit(0)) if max_dist is None else F.when(F.col("b.dist") <= max_dist, F.col("b.who"))).alias("roster_idx"))
+    wanted = found.select("pmc_id", "ent_idx", F.col("b.dist").alias("dist"),
+        (F.coalesce("b.who", F.lit(0)) if max_dist is None else F.when(F.col("b.dist") <= max_dist, F.col("b.who"))).alias("roster_idx"))
     named = wanted.join(patients.select("pmc_id", "roster_idx", "patient_id"), ["pmc_id", "roster_idx"], "left")
     return mentions.join(named, ["pmc_id", "ent_idx"], "left")
 
@@ -42,7 +45,8 @@ def nearest(mentions: DataFrame, patients: DataFrame, max_dist: int | None = Non
 def with_roster(patients: DataFrame, assigned: DataFrame) -> DataFrame:
     """(pmc_id, roster_idx, patient_id, identifier): distinct identifiers by patient; a patient without any has one null row."""
     given = assigned.where(F.col("patient_id").isNotNull() & F.col("identifier").isNotNull()).select("pmc_id", "patient_id", "identifier").distinct()
-    return patients.select("pmc_id", "roster_idx", "patient_id").join(given, ["pmc_id", "patient_id"], "left").select("pmc_id", "roster_idx", "patient_id", "identifier")
+    return patients.select("pmc_id", "roster_idx", "patient_id").join(given, ["pmc_id", "patient_id"], "left").select("pmc_id", "roster_idx",
+        "patient_id", "identifier")
 
 
 def associate_nearest(mentions: DataFrame, patients: DataFrame, max_dist: int | None = None) -> DataFrame:
@@ -53,20 +57,32 @@ def patient_roster(patients: DataFrame) -> DataFrame:
     """(pmc_id, roster_idx, patient_id, label, refs): the longest mention's text (the first of ties, else empty) and all (text, offset), -1 without one."""
     refs = F.transform("mentions", lambda m: F.struct(F.coalesce(m["text"], F.lit("")).alias("text"), F.coalesce(m["offset"], F.lit(-1)).alias("offset")))
     longest = F.aggregate(refs, F.lit(""), lambda a, r: F.when(F.length(r["text"]) > F.length(a), r["text"]).otherwise(a))
-    return patients.select("pmc_id", "roster_idx", "patient_id", F.coalesce(longest, F.lit("")).alias("label"), F.coalesce(refs, F.array().cast("array<struct<text:string,offset:int>>")).alias("refs"))
+    return patients.select("pmc_id", "roster_idx", "patient_id", F.coalesce(longest, F.lit("")).alias("label"),
+        F.coalesce(refs, F.array().cast("array<struct<text:string,offset:int>>")).alias("refs"))
 
 
 def section_lookup(mentions: DataFrame, segments: DataFrame) -> DataFrame:
-    """``mentions`` with ``section``: the label of the first segment, by start, that holds the offset; ``?`` where none does."""
+    """``mentions`` with ``section``: the label of the first segment, by start, that holds the offset; ``?`` where none does.
+
+    A segment that ends no later than one before it is never the first that holds an offset. The others' ends ascend
+    with their starts, so merged by offset, from the last, each mention needs the segment of the next end alone.
+    """
     label = F.coalesce("section_type", *(["type"] if "type" in segments.columns else []), F.lit("?"))
-    parts = segments.select("pmc_id", "seg_idx", F.col("offset").alias("_s"), (F.col("offset") + F.length("text")).alias("_e"), label.alias("_l"))
-    met = mentions.select("pmc_id", "ent_idx", "offset").join(parts, "pmc_id").where((F.col("offset") >= F.col("_s")) & (F.col("offset") < F.col("_e")))
-    first = met.groupBy("pmc_id", "ent_idx").agg(F.min_by("_l", F.struct("_s", "seg_idx")).alias("section"))
+    parts = segments.select("pmc_id", "seg_idx", F.col("offset").alias("begin"), (F.col("offset") + F.length("text")).alias("at"), label.alias("label"))
+    earlier = Window.partitionBy("pmc_id").orderBy("begin", "seg_idx").rowsBetween(Window.unboundedPreceding, -1)
+    longest = parts.withColumn("_m", F.max("at").over(earlier)).where((F.col("at") > F.col("begin")) & (F.col("_m").isNull() | (F.col("at") > F.col("_m"))))
+    ends = longest.select("pmc_id", "at", F.lit(1).alias("kind"), F.struct("begin", "label").alias("s"), F.lit(None).cast("int").alias("ent_idx"))
+    asked = mentions.select("pmc_id", F.col("offset").alias("at"), F.lit(0).alias("kind"),
+        F.lit(None).cast("struct<begin:int,label:string>").alias("s"), F.col("ent_idx").cast("int").alias("ent_idx"))
+    later = Window.partitionBy("pmc_id").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = ends.unionByName(asked).withColumn("next", F.last("s", ignorenulls=True).over(later)).where(F.col("kind") == 0)
+    first = met.where(F.col("next.begin") <= F.col("at")).select("pmc_id", "ent_idx", F.col("next.label").alias("section"))
     return mentions.join(first, ["pmc_id", "ent_idx"], "left").withColumn("section", F.coalesce("section", F.lit("?")))
 
 
 def _numbered(mentions: DataFrame, line: Column) -> DataFrame:
-    return mentions.groupBy("pmc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ent_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("listed"))
+    return mentions.groupBy("pmc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ent_idx", line.alias("line")))),
+        lambda x: x["line"]), "\n").alias("listed"))
 
 
 #: The fixed parts of the prompts; callers may pass their own.
@@ -74,30 +90,41 @@ HEAD = "Below are the individuals of an article and the numbered phenotype menti
 TAIL = "Answer with one line per mention, <number>: <individual ID or NONE>, and nothing else."
 
 
-def prompt_window(mentions: DataFrame, patients: DataFrame, texts: DataFrame, width: int = 120, most: int = 120, head: str = HEAD, tail: str = TAIL) -> DataFrame:
+def prompt_window(mentions: DataFrame, patients: DataFrame, texts: DataFrame, width: int = 120, most: int = 120, head: str = HEAD,
+    tail: str = TAIL) -> DataFrame:
     """(pmc_id, prompt): the roster (labels up to ``most`` characters) and the numbered mentions, each with section and context.
 
     ``mentions`` carry ``section``; articles without patients or mentions have no prompt.
     """
     line = F.concat(F.lit("  "), "patient_id", F.lit(' = "'), F.substring(collapse(F.col("label")), 1, most), F.lit('"'))
     roster = _roster_lines(patients, line)
-    with_text = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").withColumn("_c", context_window(F.col("_t"), F.col("offset"), F.col("length"), width))
-    listed = _numbered(with_text, F.concat(F.format_string('  %d. [%s] "', F.col("ent_idx") + 1, F.col("section")), collapse(F.col("text")), F.lit('" | context: ...'), "_c", F.lit("...")))
-    return roster.join(listed, "pmc_id").select("pmc_id", F.concat_ws("\n", F.lit(head), F.lit("Individuals:"), "roster", F.lit("Phenotype mentions:"), "listed", F.lit(tail)).alias("prompt"))
+    with_text = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").withColumn("_c",
+        context_window(F.col("_t"), F.col("offset"), F.col("length"), width))
+    listed = _numbered(with_text, F.concat(F.format_string('  %d. [%s] "', F.col("ent_idx") + 1, F.col("section")), collapse(F.col("text")),
+        F.lit('" | context: ...'), "_c", F.lit("...")))
+    return roster.join(listed, "pmc_id").select("pmc_id",
+        F.concat_ws("\n", F.lit(head), F.lit("Individuals:"), "roster", F.lit("Phenotype mentions:"), "listed", F.lit(tail)).alias("prompt"))
 
 
-def prompt_whole(mentions: DataFrame, patients: DataFrame, texts: DataFrame, width: int = 120, most: int = 80, refs: int = 6, head: str = HEAD, tail: str = TAIL) -> DataFrame:
+def prompt_whole(mentions: DataFrame, patients: DataFrame, texts: DataFrame, width: int = 120, most: int = 80, refs: int = 6, head: str = HEAD,
+    tail: str = TAIL) -> DataFrame:
     """(pmc_id, prompt): the article's text, the roster with its first ``refs`` references (empty ones dropped), and the numbered mentions with place and context."""
-    quoted = F.transform(F.filter(F.transform(F.slice("refs", 1, refs), lambda r: F.struct(collapse(r["text"]).alias("t"), r["offset"].alias("o"))), lambda r: r["t"] != ""), lambda r: F.concat(F.lit('"'), r["t"], F.lit('"@'), r["o"].cast("string")))
-    line = F.concat(F.lit("  "), "patient_id", F.lit('  (e.g. "'), F.substring(collapse(F.col("label")), 1, most), F.lit('")  refs: '), F.array_join(quoted, "; "))
-    with_text = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").withColumn("_c", context_window(F.col("_t"), F.col("offset"), F.col("length"), width))
-    listed = _numbered(with_text, F.concat(F.format_string('  %d. "', F.col("ent_idx") + 1), collapse(F.col("text")), F.format_string('" @char%d | context: ...', "offset"), "_c", F.lit("...")))
-    return _roster_lines(patients, line).join(listed, "pmc_id").join(texts.select("pmc_id", "text"), "pmc_id").select("pmc_id", F.concat_ws("\n", F.lit(head), "text", F.lit("Individuals:"), "roster", F.lit("Phenotype mentions:"), "listed", F.lit(tail)).alias("prompt"))
+    quoted = F.transform(F.filter(F.transform(F.slice("refs", 1, refs), lambda r: F.struct(collapse(r["text"]).alias("t"), r["offset"].alias("o"))),
+        lambda r: r["t"] != ""), lambda r: F.concat(F.lit('"'), r["t"], F.lit('"@'), r["o"].cast("string")))
+    line = F.concat(F.lit("  "), "patient_id", F.lit('  (e.g. "'), F.substring(collapse(F.col("label")), 1, most), F.lit('")  refs: '),
+        F.array_join(quoted, "; "))
+    with_text = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").withColumn("_c",
+        context_window(F.col("_t"), F.col("offset"), F.col("length"), width))
+    listed = _numbered(with_text, F.concat(F.format_string('  %d. "', F.col("ent_idx") + 1), collapse(F.col("text")),
+        F.format_string('" @char%d | context: ...', "offset"), "_c", F.lit("...")))
+    return _roster_lines(patients, line).join(listed, "pmc_id").join(texts.select("pmc_id", "text"), "pmc_id").select("pmc_id",
+        F.concat_ws("\n", F.lit(head), "text", F.lit("Individuals:"), "roster", F.lit("Phenotype mentions:"), "listed", F.lit(tail)).alias("prompt"))
 
 
 def _roster_lines(patients: DataFrame, line: Column) -> DataFrame:
     lines = patient_roster(patients).withColumn("line", line)
-    return lines.groupBy("pmc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("roster_idx", "line"))), lambda p: p["line"]), "\n").alias("roster"))
+    return lines.groupBy("pmc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("roster_idx", "line"))), lambda p: p["line"]),
+        "\n").alias("roster"))
 
 
 def strip_reasoning(response: Column) -> Column:
@@ -109,7 +136,9 @@ def strip_reasoning(response: Column) -> Column:
 def answer_lines(answers: DataFrame) -> DataFrame:
     """(pmc_id, line_no, number, target): the lines of (pmc_id, response) that have a number and a name."""
     lines = answers.select("pmc_id", F.posexplode(F.split(strip_reasoning(F.col("response")), r"\r?\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(ANSWER_LINE)).select("pmc_id", "line_no", F.try_to_number(F.regexp_extract("line", ANSWER_LINE, 1), F.lit("999999999")).cast("int").alias("number"), F.regexp_extract("line", ANSWER_LINE, 2).alias("target"))
+    return lines.where(F.col("line").rlike(ANSWER_LINE)).select("pmc_id", "line_no",
+        F.try_to_number(F.regexp_extract("line", ANSWER_LINE, 1), F.lit("999999999")).cast("int").alias("number"),
+        F.regexp_extract("line", ANSWER_LINE, 2).alias("target"))
 
 
 def parse_answers(answers: DataFrame, mentions: DataFrame, patients: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,13 +160,15 @@ def assoc_assigned(mentions: DataFrame, given: DataFrame, patients: DataFrame) -
 
 def gate_intersect_patient(near: DataFrame, given: DataFrame, patients: DataFrame) -> DataFrame:
     """Per patient, the identifiers that both associations (pmc_id, patient_id, identifier) give to that patient."""
-    both = near.join(given.where(F.col("identifier").isNotNull()).select("pmc_id", "patient_id", "identifier").distinct(), ["pmc_id", "patient_id", "identifier"], "left_semi")
+    both = near.join(given.where(F.col("identifier").isNotNull()).select("pmc_id", "patient_id", "identifier").distinct(),
+        ["pmc_id", "patient_id", "identifier"], "left_semi")
     return with_roster(patients, both)
 
 
 def gate_filter_route(mentions: DataFrame, given: DataFrame, patients: DataFrame, max_dist: int | None = None) -> DataFrame:
     """Mentions that were given to anyone, routed to the nearest patient."""
-    return associate_nearest(mentions.join(given.where(F.col("patient_id").isNotNull()).select("pmc_id", "ent_idx"), ["pmc_id", "ent_idx"], "left_semi"), patients, max_dist)
+    return associate_nearest(mentions.join(given.where(F.col("patient_id").isNotNull()).select("pmc_id", "ent_idx"), ["pmc_id", "ent_idx"],
+        "left_semi"), patients, max_dist)
 
 
 def tokens_of(association: DataFrame) -> DataFrame:
@@ -172,31 +203,44 @@ def associate_with_fallback(mentions: DataFrame, patients: DataFrame, answers: D
         chosen = gate_filter_route(mentions, given, patients, max_dist)
     else:
         chosen = assoc_assigned(mentions, given, patients)
-    return chosen.join(read, "pmc_id", "left_semi").withColumn("how", F.lit(mode)).unionByName(near.join(read, "pmc_id", "left_anti").withColumn("how", F.lit("nearest")))
+    return chosen.join(read, "pmc_id", "left_semi").withColumn("how",
+        F.lit(mode)).unionByName(near.join(read, "pmc_id", "left_anti").withColumn("how", F.lit("nearest")))
+
+
+#: An answer's budget of new tokens, by mention and besides.
+BUDGET = (12, 128)
 
 
 def decision_stats(mentions: DataFrame, patients: DataFrame, answers: DataFrame) -> DataFrame:
     """One row: articles answered and fallen back, truncated, short; mentions assigned, none, and the share of none.
 
-    An answer is truncated where it used up its budget of 12 tokens a mention and 128 (n_new_tokens, where it is known).
+    An answer is truncated where it used up its BUDGET (n_new_tokens, where it is known).
     """
     given, counted = parse_answers(answers, mentions, patients)
     asked = mentions.join(patients.select("pmc_id").distinct(), "pmc_id", "left_semi").groupBy("pmc_id").agg(F.count("*").alias("n"))
-    done = asked.join(answers.select("pmc_id", *(["n_new_tokens"] if "n_new_tokens" in answers.columns else [F.lit(None).cast("int").alias("n_new_tokens")])), "pmc_id", "left").join(counted, "pmc_id", "left")
+    done = asked.join(answers.select("pmc_id",
+        *(["n_new_tokens"] if "n_new_tokens" in answers.columns else [F.lit(None).cast("int").alias("n_new_tokens")])), "pmc_id",
+        "left").join(counted, "pmc_id", "left")
     done = done.join(given.groupBy("pmc_id").agg(F.count("*").alias("got")), "pmc_id", "left").fillna(0, ["n_parsed", "got"])
     ok = F.col("n_parsed") > 0
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     total = lambda c: F.coalesce(F.sum(F.when(ok, c).otherwise(0)), F.lit(0))
-    row = done.agg(one(ok).alias("answered"), one(~ok).alias("fallback"), one(ok & (F.col("n_new_tokens") >= 12 * F.col("n") + 128)).alias("truncated"), one(ok & (F.col("n_parsed") < F.col("n"))).alias("shortfall"), total(F.col("got")).alias("assigned"), total(F.col("n") - F.col("got")).alias("none"))
-    return row.withColumn("none_pct", F.round(F.when(F.col("assigned") + F.col("none") > 0, 100.0 * F.col("none") / (F.col("assigned") + F.col("none"))).otherwise(0.0), 4))
+    row = done.agg(one(ok).alias("answered"), one(~ok).alias("fallback"),
+        one(ok & (F.col("n_new_tokens") >= BUDGET[0] * F.col("n") + BUDGET[1])).alias("truncated"),
+        one(ok & (F.col("n_parsed") < F.col("n"))).alias("shortfall"), total(F.col("got")).alias("assigned"), total(F.col("n") - F.col("got")).alias("none"))
+    return row.withColumn("none_pct", F.round(F.when(F.col("assigned") + F.col("none") > 0,
+        100.0 * F.col("none") / (F.col("assigned") + F.col("none"))).otherwise(0.0), 4))
 
 
 def gate_retention(near: DataFrame, gated: DataFrame, answered: DataFrame) -> DataFrame:
     """One row: tokens before and after the gate, the share dropped, articles joined and not covered."""
     before, after = tokens_of(near), tokens_of(gated)
-    articles = near.select("pmc_id").distinct().join(answered.select("pmc_id").distinct().withColumn("hit", F.lit(1)), "pmc_id", "left").agg(F.count("hit").alias("joined"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("not_covered"))
-    sums = before.agg(F.count("*").alias("before")).withColumn("k", F.lit(1)).join(after.agg(F.count("*").alias("after")).withColumn("k", F.lit(1)), "k").join(articles.withColumn("k", F.lit(1)), "k")
-    return sums.select("before", "after", F.round(F.when(F.col("before") > 0, 100.0 * (F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0), 4).alias("dropped_pct"), "joined", "not_covered")
+    articles = near.select("pmc_id").distinct().join(answered.select("pmc_id").distinct().withColumn("hit", F.lit(1)), "pmc_id",
+        "left").agg(F.count("hit").alias("joined"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("not_covered"))
+    sums = before.agg(F.count("*").alias("before")).withColumn("k", F.lit(1)).join(after.agg(F.count("*").alias("after")).withColumn("k", F.lit(1)),
+        "k").join(articles.withColumn("k", F.lit(1)), "k")
+    return sums.select("before", "after", F.round(F.when(F.col("before") > 0,
+        100.0 * (F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0), 4).alias("dropped_pct"), "joined", "not_covered")
 
 
 def fuse(a: DataFrame, b: DataFrame, how: str) -> DataFrame:

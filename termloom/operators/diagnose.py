@@ -23,24 +23,28 @@ def bucket_delta(deltas: DataFrame) -> DataFrame:
     """By size of the gold set (<=2, 3-5, >5): patients, mean scores, mean delta, and the share of the macro change."""
     total = deltas.count()
     size = F.when(F.col("n_gold") <= 2, "<=2").when(F.col("n_gold") <= 5, "3-5").otherwise(">5")
-    return deltas.groupBy(size.alias("bucket")).agg(F.count("*").alias("n"), F.avg("f1_base").alias("f1_base"), F.avg("f1_model").alias("f1_model"), F.avg("delta").alias("delta"), (F.sum("delta") / F.lit(max(total, 1))).alias("contribution"))
+    return deltas.groupBy(size.alias("bucket")).agg(F.count("*").alias("n"), F.avg("f1_base").alias("f1_base"), F.avg("f1_model").alias("f1_model"),
+        F.avg("delta").alias("delta"), (F.sum("delta") / F.lit(max(total, 1))).alias("contribution"))
 
 
 def token_states(gold: DataFrame, base: DataFrame, model: DataFrame) -> DataFrame:
     """(pmc_id, patient_id, token, in_gold, in_base, in_model) of the gold patients."""
     people = gold.select("pmc_id", "patient_id").distinct()
     sides = [patient_tokens(a).withColumn("_b", F.lit(v)) for a, v in ((gold, 1), (base, 2), (model, 4))]
-    stacked = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("pmc_id", "patient_id", "token").agg(F.sum("_b").alias("m"))
+    stacked = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("pmc_id", "patient_id", "token").agg(F.bit_or("_b").alias("m"))
     has = lambda v: F.col("m").bitwiseAND(v) > 0
-    return stacked.join(people, ["pmc_id", "patient_id"], "left_semi").select("pmc_id", "patient_id", "token", has(1).alias("in_gold"), has(2).alias("in_base"), has(4).alias("in_model"))
+    return stacked.join(people, ["pmc_id", "patient_id"], "left_semi").select("pmc_id", "patient_id", "token", has(1).alias("in_gold"),
+        has(2).alias("in_base"), has(4).alias("in_model"))
 
 
 def miss_extra(gold: DataFrame, base: DataFrame, model: DataFrame) -> DataFrame:
     """One row: gold tokens that the model missed, tokens that it has in excess, patients that it zeroed and rescued."""
     s = token_states(gold, base, model)
-    tokens = s.agg(F.coalesce(F.sum((F.col("in_gold") & ~F.col("in_model")).cast("int")), F.lit(0)).alias("missed"), F.coalesce(F.sum((~F.col("in_gold") & F.col("in_model")).cast("int")), F.lit(0)).alias("extra")).withColumn("k", F.lit(1))
+    tokens = s.agg(F.coalesce(F.sum((F.col("in_gold") & ~F.col("in_model")).cast("int")), F.lit(0)).alias("missed"),
+        F.coalesce(F.sum((~F.col("in_gold") & F.col("in_model")).cast("int")), F.lit(0)).alias("extra")).withColumn("k", F.lit(1))
     d = patient_delta(gold, base, model)
-    people = d.agg(F.coalesce(F.sum(((F.col("f1_base") > EQUAL) & (F.col("f1_model") <= EQUAL)).cast("int")), F.lit(0)).alias("zeroed"), F.coalesce(F.sum(((F.col("f1_base") <= EQUAL) & (F.col("f1_model") > EQUAL)).cast("int")), F.lit(0)).alias("rescued")).withColumn("k", F.lit(1))
+    people = d.agg(F.coalesce(F.sum(((F.col("f1_base") > EQUAL) & (F.col("f1_model") <= EQUAL)).cast("int")), F.lit(0)).alias("zeroed"),
+        F.coalesce(F.sum(((F.col("f1_base") <= EQUAL) & (F.col("f1_model") > EQUAL)).cast("int")), F.lit(0)).alias("rescued")).withColumn("k", F.lit(1))
     return tokens.join(people, "k").drop("k")
 
 
@@ -62,5 +66,6 @@ def worst_patients(gold: DataFrame, base: DataFrame, model: DataFrame, n: int =
     s = token_states(gold, base, model).join(worst.select("pmc_id", "patient_id"), ["pmc_id", "patient_id"], "left_semi")
     some = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("token"))))
     g, b, m = F.col("in_gold"), F.col("in_base"), F.col("in_model")
-    sets = s.groupBy("pmc_id", "patient_id").agg(some(g).alias("gold"), some(b).alias("base"), some(m).alias("model"), some(g & ~m).alias("missed"), some(~g & m).alias("extra"))
+    sets = s.groupBy("pmc_id", "patient_id").agg(some(g).alias("gold"), some(b).alias("base"), some(m).alias("model"), some(g & ~m).alias("missed"),
+        some(~g & m).alias("extra"))
     return worst.join(sets, ["pmc_id", "patient_id"], "left").orderBy("delta", "pmc_id", "patient_id")

@@ -1,12 +1,13 @@
 """Scores: mentions, documents, patients (micro and macro), and their sum.
 
 Mentions are (pmc_id, offset, length, identifier, note); associations (pmc_id, patient_id, identifier), with a null row
-for a patient without any. Each score is one row; ids are compared as they are.
+for a patient without any. Each score is one row; ids are compared as they are. Articles that a file repeats go through
+last_mentions and last_associations first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ids
@@ -29,48 +30,70 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [precision(tp, fp).alias("precision"), recall(tp, fn).alias("recall"), f1(tp, fp, fn).alias("f1")]
 
 
-def last_article(df: DataFrame, ordinal: str = "doc_ord") -> DataFrame:
-    """Of articles with one pmc_id, the last by the ordinal."""
-    order = Window.partitionBy("pmc_id").orderBy(F.col(ordinal).desc())
-    return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
+def last_mentions(mentions: DataFrame, versions: DataFrame, ordinal: str = "doc_ord") -> DataFrame:
+    """Of articles that a file holds more than once, the mentions of the last one; versions: (pmc_id, ordinal) of every article in it."""
+    last = versions.groupBy("pmc_id").agg(F.max(ordinal).alias(ordinal))
+    return mentions.join(last, ["pmc_id", ordinal], "left_semi").drop(ordinal)
+
+
+def last_associations(associations: DataFrame, ordinal: str = "doc_ord") -> DataFrame:
+    """Of patients that a file holds more than once, the identifiers of the last article that names them (with any or none)."""
+    last = associations.groupBy("pmc_id", "patient_id").agg(F.max(ordinal).alias(ordinal))
+    return associations.join(last, ["pmc_id", "patient_id", ordinal], "left_semi").drop(ordinal)
 
 
 def units(mentions: DataFrame, *keys: str) -> DataFrame:
-    """Distinct (keys, token) of mentions that aren't negated; compounds are split."""
-    return mentions.where(~F.col("note").eqNullSafe("NO")).select(*keys, F.explode(split_ids(F.col("identifier"))).alias("token")).distinct()
+    """(keys, token) of mentions that aren't negated, repeated as they are; compounds are split."""
+    return mentions.where(~F.col("note").eqNullSafe("NO")).select(*keys, F.explode(split_ids(F.col("identifier"))).alias("token"))
 
 
-def compare(gold: DataFrame, pred: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """tp, fp, fn of two tables of distinct units, for each value of ``by`` or in one row; nulls equal nulls.
+def seen(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """The distinct rows of two tables with s: 1 in gold, 2 in pred, 3 in both; nulls equal nulls.
 
-    The two sides are stacked and counted by unit, which a full outer join would shuffle twice.
+    The two sides are stacked and summed up by row, which a distinct on each and a full outer join would shuffle four times.
     """
-    keys = gold.columns
-    by = by or []
-    both = gold.withColumn("_g", F.lit(1)).unionByName(pred.select(*keys).withColumn("_g", F.lit(2)))
-    seen = both.groupBy(*keys).agg(F.sum("_g").alias("s"))
+    both = gold.withColumn("_g", F.lit(1)).unionByName(pred.select(*gold.columns).withColumn("_g", F.lit(2)))
+    return both.groupBy(*gold.columns).agg(F.bit_or("_g").alias("s"))
+
+
+def counted(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """tp, fp, fn of what ``seen`` gives, for each value of ``by`` or in one row."""
     n = lambda v: F.coalesce(F.sum(F.when(F.col("s") == v, 1).otherwise(0)), F.lit(0))
-    return seen.groupBy(*by).agg(n(3).alias("tp"), n(2).alias("fp"), n(1).alias("fn"))
+    return rows.groupBy(*(by or [])).agg(n(3).alias("tp"), n(2).alias("fp"), n(1).alias("fn"))
+
+
+def compare(gold: DataFrame, pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """tp, fp, fn of the distinct rows of two tables."""
+    return counted(seen(gold, pred), by)
 
 
 def scored(counts: DataFrame) -> DataFrame:
     return counts.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def score_mention(gold: DataFrame, pred: DataFrame, articles: DataFrame, by: list[str] | None = None) -> DataFrame:
+def mentions_seen(gold: DataFrame, pred: DataFrame, articles: DataFrame, by: list[str] | None = None) -> DataFrame:
     """By place and token, in the gold ``articles`` (pmc_id) only."""
     keys = [*(by or []), "pmc_id", "offset", "length"]
-    return scored(compare(units(gold, *keys), units(pred.join(articles, "pmc_id", "left_semi"), *keys), by))
+    return seen(units(gold, *keys), units(pred.join(articles, "pmc_id", "left_semi"), *keys))
+
+
+def documents_seen(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """By token of an article, from what ``mentions_seen`` gives."""
+    return mentions.groupBy(*(by or []), "pmc_id", "token").agg(F.bit_or("s").alias("s"))
+
+
+def score_mention(gold: DataFrame, pred: DataFrame, articles: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """By place and token, in the gold ``articles`` (pmc_id) only."""
+    return scored(counted(mentions_seen(gold, pred, articles, by), by))
 
 
 def score_document(gold: DataFrame, pred: DataFrame, articles: DataFrame, by: list[str] | None = None) -> DataFrame:
     """By token of an article, in the gold ``articles`` only."""
-    keys = [*(by or []), "pmc_id"]
-    return scored(compare(units(gold, *keys), units(pred.join(articles, "pmc_id", "left_semi"), *keys), by))
+    return scored(counted(documents_seen(mentions_seen(gold, pred, articles, by), by), by))
 
 
 def patient_tokens(association: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return association.select(*(by or []), "pmc_id", "patient_id", F.explode(split_ids(F.col("identifier"))).alias("token")).distinct()
+    return association.select(*(by or []), "pmc_id", "patient_id", F.explode(split_ids(F.col("identifier"))).alias("token"))
 
 
 def score_micro(gold: DataFrame, pred: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -80,13 +103,9 @@ def score_micro(gold: DataFrame, pred: DataFrame, by: list[str] | None = None) -
 
 def per_patient(gold: DataFrame, pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn and scores of every gold patient; one without any token on both sides has 1 throughout."""
-    by = by or []
-    keys = [*by, "pmc_id", "patient_id"]
-    people = gold.select(*keys).distinct()
-    tokens = patient_tokens(gold, by).withColumn("_g", F.lit(1)).unionByName(patient_tokens(pred, by).withColumn("_g", F.lit(2)))
-    seen = tokens.groupBy(*keys, "token").agg(F.sum("_g").alias("s"))
-    n = lambda v: F.sum(F.when(F.col("s") == v, 1).otherwise(0))
-    counts = people.join(seen.groupBy(*keys).agg(n(3).alias("tp"), n(2).alias("fp"), n(1).alias("fn")), keys, "left").fillna(0, ["tp", "fp", "fn"])
+    keys = [*(by or []), "pmc_id", "patient_id"]
+    counts = gold.select(*keys).distinct().join(counted(seen(patient_tokens(gold, by), patient_tokens(pred, by)), keys), keys, "left").fillna(0,
+        ["tp", "fp", "fn"])
     empty = F.col("tp") + F.col("fp") + F.col("fn") == 0
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return counts.select(*keys, "tp", "fp", "fn", *(F.when(empty, 1.0).otherwise(c).alias(a) for c, a in ((p, "precision"), (r, "recall"), (f, "f1"))))
@@ -98,15 +117,16 @@ def score_macro(gold: DataFrame, pred: DataFrame, by: list[str] | None = None) -
     return per_patient(gold, pred, by).groupBy(*(by or [])).agg(F.count("*").alias("patients"), *means)
 
 
-def score_total(gold_mentions: DataFrame, pred_mentions: DataFrame, articles: DataFrame, gold: DataFrame, pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+def score_total(gold_mentions: DataFrame, pred_mentions: DataFrame, articles: DataFrame, gold: DataFrame, pred: DataFrame,
+    by: list[str] | None = None) -> DataFrame:
     """f1_men, f1_doc, f1_micro, f1_macro and score, a quarter of each."""
     by = by or []
-    parts = [
-        score_mention(gold_mentions, pred_mentions, articles, by).select(*by, F.lit("f1_men").alias("k"), "f1"),
-        score_document(gold_mentions, pred_mentions, articles, by).select(*by, F.lit("f1_doc").alias("k"), "f1"),
-        score_micro(gold, pred, by).select(*by, F.lit("f1_micro").alias("k"), "f1"),
-        score_macro(gold, pred, by).select(*by, F.lit("f1_macro").alias("k"), "f1"),
-    ]
+    places = mentions_seen(gold_mentions, pred_mentions, articles, by)  # both scores of mentions come from one exchange
+    scores = {
+        "f1_men": scored(counted(places, by)), "f1_doc": scored(counted(documents_seen(places, by), by)),
+        "f1_micro": score_micro(gold, pred, by), "f1_macro": score_macro(gold, pred, by),
+    }
+    parts = [df.select(*by, F.lit(k).alias("k"), "f1") for k, df in scores.items()]
     names = ["f1_men", "f1_doc", "f1_micro", "f1_macro"]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     wide = rows.groupBy(*by).agg(*(F.coalesce(F.max(F.when(F.col("k") == k, F.col("f1"))), F.lit(0.0)).alias(k) for k in names))

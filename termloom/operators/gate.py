@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ids
-from .associate import associate_nearest, patient_anchors
+from .associate import associate_nearest, nearest
 from .evaluate import score_total
 
 #: Words that negate, and words for a normal finding.
-NEGATION = r"\b(no|not|without|absent|denies|denied|deny|negative|neither|nor|none|rule(d)?\s+out|rules\s+out|cannot)\b"
+NEGATION = r"\b(no|not|without|absent|denies|denied|deny|negative|neither|nor|none|ruled?\s+out|rules\s+out|cannot)\b"
 NORMAL = r"\b(normal|unremarkable|within\s+normal\s+limits|wnl|unaffected)\b"
 KEEP_WORDS = (NEGATION, NORMAL)
 NUMERIC = ["retrieved_score", "mention_char_len", "mention_word_len", "hpo_depth", "rel_position", "dist_to_nearest_anchor_norm", "patient_count"]
@@ -26,7 +26,8 @@ def gold_union(gold: DataFrame) -> DataFrame:
 
 def label_samples(mentions: DataFrame, gold: DataFrame) -> DataFrame:
     """``mentions`` with label 1 where any of its tokens is in the article's gold union, else 0."""
-    hit = mentions.select("pmc_id", "ent_idx", F.explode(split_ids(F.col("identifier"))).alias("token")).join(gold_union(gold), ["pmc_id", "token"], "left_semi").select("pmc_id", "ent_idx").distinct().withColumn("label", F.lit(1))
+    hit = mentions.select("pmc_id", "ent_idx", F.explode(split_ids(F.col("identifier"))).alias("token")).join(gold_union(gold), ["pmc_id", "token"],
+        "left_semi").select("pmc_id", "ent_idx").distinct().withColumn("label", F.lit(1))
     return mentions.join(hit, ["pmc_id", "ent_idx"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
@@ -42,13 +43,16 @@ def cue(text: Column, pattern: str) -> Column:
 
 def gate_features(mentions: DataFrame, texts: DataFrame, patients: DataFrame, depth: DataFrame, width: int = 120) -> DataFrame:
     """``mentions`` (with ``section``, and retrieved_score where retrieved) with the eleven raw features; no gold is used."""
-    window = F.substring("_t", F.greatest(F.lit(0), F.col("offset") - width) + 1, F.col("offset") + F.col("length") + width - F.greatest(F.lit(0), F.col("offset") - width))
+    window = F.substring("_t", F.greatest(F.lit(0), F.col("offset") - width) + 1,
+        F.col("offset") + F.col("length") + width - F.greatest(F.lit(0), F.col("offset") - width))
     if "retrieved_score" not in mentions.columns:
         mentions = mentions.withColumn("retrieved_score", F.lit(None).cast("double"))
-    depths = mentions.select("pmc_id", "ent_idx", F.explode(split_ids(F.col("identifier"))).alias("id")).join(depth, "id").groupBy("pmc_id", "ent_idx").agg(F.min("depth").alias("hpo_depth"))
-    has = patient_anchors(patients).groupBy("pmc_id").agg(F.countDistinct("roster_idx").alias("patient_count"), F.sort_array(F.collect_set("anchor")).alias("_a"))
-    out = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").join(has, "pmc_id", "left").join(depths, ["pmc_id", "ent_idx"], "left")
-    dist = F.array_min(F.transform("_a", lambda a: F.abs(F.col("offset") - a)))
+    depths = mentions.select("pmc_id", "ent_idx", F.explode(split_ids(F.col("identifier"))).alias("id")).join(depth, "id").groupBy("pmc_id",
+        "ent_idx").agg(F.min("depth").alias("hpo_depth"))
+    has = patients.groupBy("pmc_id").agg(F.countDistinct("roster_idx").alias("patient_count"))
+    near = nearest(mentions.select("pmc_id", "ent_idx", "offset"), patients).select("pmc_id", "ent_idx", F.col("dist").alias("_d"))
+    out = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").join(has, "pmc_id", "left").join(depths, ["pmc_id", "ent_idx"],
+        "left").join(near, ["pmc_id", "ent_idx"], "left")
     size = F.length("_t")
     return out.withColumns({
         "section_type": F.upper("section"),
@@ -56,11 +60,11 @@ def gate_features(mentions: DataFrame, texts: DataFrame, patients: DataFrame, de
         "mention_char_len": F.length(F.coalesce("text", F.lit(""))),
         "mention_word_len": F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z0-9]+)"), F.lit(1))),
         "rel_position": F.when(size > 0, F.col("offset") / size).otherwise(0.0),
-        "dist_to_nearest_anchor_norm": dist / F.greatest(F.lit(1), size),
+        "dist_to_nearest_anchor_norm": F.col("_d") / F.greatest(F.lit(1), size),
         "patient_count": F.coalesce("patient_count", F.lit(0)),
         "has_negation_cue": cue(window, NEGATION),
         "has_normal_cue": cue(window, NORMAL),
-    }).drop("_t", "_a")
+    }).drop("_t", "_d")
 
 
 def gate_fit(samples: DataFrame) -> dict:
@@ -84,7 +88,8 @@ def gate_vector(state: dict) -> list[Column]:
     known = [s for s in state["sections"] if s != OTHER]
     scaled = [(F.coalesce(F.col(c).cast("double"), F.lit(state["fill"][c])) - state["mean"][c]) / state["std"][c] for c in NUMERIC]
     section = F.when(F.col("section_type").isin(known), F.col("section_type")).otherwise(OTHER)
-    return [*scaled, *(F.col(c).cast("double") for c in BINARY), *(F.when(F.col(c).isNull(), 1.0).otherwise(0.0) for c in MISSABLE), *(F.when(section == s, 1.0).otherwise(0.0) for s in state["sections"])]
+    return [*scaled, *(F.col(c).cast("double") for c in BINARY), *(F.when(F.col(c).isNull(), 1.0).otherwise(0.0) for c in MISSABLE),
+        *(F.when(section == s, 1.0).otherwise(0.0) for s in state["sections"])]
 
 
 def gate_transform(samples: DataFrame, state: dict) -> DataFrame:
@@ -96,7 +101,8 @@ def gate_train(samples: DataFrame, state: dict, positive_weight: float = 1.0, it
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    rows = gate_transform(samples, state).select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, positive_weight).otherwise(1.0).alias("weight"))
+    rows = gate_transform(samples, state).select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"),
+        F.when(F.col("label") == 1, positive_weight).otherwise(1.0).alias("weight"))
     return LogisticRegression(regParam=0.0, standardization=False, weightCol="weight", maxIter=iterations).fit(rows)
 
 
@@ -113,7 +119,8 @@ def gate_sweep(predicted: DataFrame, thresholds: list[float]) -> DataFrame:
     each = predicted.select("label", "keep_prob", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
     keep = F.col("keep_prob") >= F.col("threshold")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    counts = each.groupBy("threshold").agg(n(keep & (F.col("label") == 1)).alias("tp"), n(keep & (F.col("label") == 0)).alias("fp"), n(~keep & (F.col("label") == 1)).alias("fn"), F.count("*").alias("n"))
+    counts = each.groupBy("threshold").agg(n(keep & (F.col("label") == 1)).alias("tp"), n(keep & (F.col("label") == 0)).alias("fp"),
+        n(~keep & (F.col("label") == 1)).alias("fn"), F.count("*").alias("n"))
     from .evaluate import prf
 
     return counts.select("threshold", (100.0 * (F.col("tp") + F.col("fp")) / F.col("n")).alias("retention_pct"), *prf(F.col("tp"), F.col("fp"), F.col("fn")))
@@ -124,7 +131,8 @@ def gate_apply(predicted: DataFrame, patients: DataFrame, threshold: float) -> D
     return associate_nearest(predicted.where(F.col("keep_prob") >= threshold), patients)
 
 
-def gate_threshold_scan(predicted: DataFrame, patients: DataFrame, gold_mentions: DataFrame, gold: DataFrame, articles: DataFrame, thresholds: list[float]) -> DataFrame:
+def gate_threshold_scan(predicted: DataFrame, patients: DataFrame, gold_mentions: DataFrame, gold: DataFrame, articles: DataFrame,
+    thresholds: list[float]) -> DataFrame:
     """(threshold, kept, f1_micro, f1_macro, score, delta_macro, best) by threshold, all in one pass; best is the first highest score.
 
     ``predicted`` are the recognised mentions with keep_prob. Routing doesn't depend on the threshold: mentions are
@@ -132,14 +140,15 @@ def gate_threshold_scan(predicted: DataFrame, patients: DataFrame, gold_mentions
     """
     from pyspark.sql import Window
 
-    from .associate import nearest
-
     grid = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")
     routed = nearest(predicted, patients).select("pmc_id", "patient_id", "identifier", "keep_prob")
     roster = patients.select("pmc_id", "patient_id", F.lit(None).cast("string").alias("identifier"), grid)
-    kept = routed.where(F.col("patient_id").isNotNull()).select("pmc_id", "patient_id", "identifier", "keep_prob", grid).where(F.col("keep_prob") >= F.col("threshold")).drop("keep_prob")
+    kept = routed.where(F.col("patient_id").isNotNull()).select("pmc_id", "patient_id", "identifier", "keep_prob",
+        grid).where(F.col("keep_prob") >= F.col("threshold")).drop("keep_prob")
     counts = predicted.select("keep_prob", grid).groupBy("threshold").agg(F.sum(F.when(F.col("keep_prob") >= F.col("threshold"), 1).otherwise(0)).alias("kept"))
-    scores = score_total(gold_mentions.select("*", grid), predicted.select("pmc_id", "offset", "length", "identifier", "note", grid), articles, gold.select("*", grid), kept.unionByName(roster), ["threshold"])
+    scores = score_total(gold_mentions.select("*", grid), predicted.select("pmc_id", "offset", "length", "identifier", "note", grid), articles,
+        gold.select("*", grid), kept.unionByName(roster), ["threshold"])
     order = Window.orderBy("threshold")
     best = F.row_number().over(Window.orderBy(F.col("score").desc(), "threshold")) == 1
-    return counts.join(scores, "threshold").withColumn("delta_macro", F.col("f1_macro") - F.first("f1_macro").over(order)).withColumn("best", best).select("threshold", "kept", "f1_micro", "f1_macro", "score", "delta_macro", "best")
+    return counts.join(scores, "threshold").withColumn("delta_macro", F.col("f1_macro") - F.first("f1_macro").over(order)).withColumn("best",
+        best).select("threshold", "kept", "f1_micro", "f1_macro", "score", "delta_macro", "best")

@@ -15,12 +15,14 @@ ROOT = "HP:0000118"
 def stanza_terms(stanzas: DataFrame) -> DataFrame:
     """(ord, id, name, syns, obsolete, replaced_by, alt_ids, parents) of the term stanzas of (ord, stanza)."""
     lines = stanzas.select("ord", F.split(F.regexp_replace("stanza", "\r", ""), "\n").alias("l")).where(F.regexp_replace(F.col("l")[0], r"^\[", "") == "Term]")
-    values = lambda tag: F.transform(F.filter("l", lambda x: x.startswith(tag + ":")), lambda x: F.trim(F.substring(x, F.lit(len(tag) + 2), F.length(x))))
+    values = lambda tag: F.transform(F.filter("l", lambda x: x.startswith(tag + ":")),
+        lambda x: F.trim(F.substring(x, F.lit(len(tag) + 2), F.length(x))))
     first = lambda tag: F.try_element_at(values(tag), F.lit(1))
     out = lines.select(
         "ord", first("id").alias("id"), first("name").alias("name"),
         F.filter(F.transform(values("synonym"), lambda x: F.regexp_extract(x, r'"(.*?)"', 1)), lambda x: x != "").alias("syns"),
-        F.exists(values("is_obsolete"), lambda x: F.lower(x) == "true").alias("obsolete"), first("replaced_by").alias("replaced_by"), values("alt_id").alias("alt_ids"),
+        F.exists(values("is_obsolete"), lambda x: F.lower(x) == "true").alias("obsolete"), first("replaced_by").alias("replaced_by"),
+            values("alt_id").alias("alt_ids"),
         F.transform(values("is_a"), lambda x: F.trim(F.substring_index(x, "!", 1))).alias("parents"))
     return out.where(F.col("id").isNotNull() & (F.col("id") != ""))
 
@@ -60,7 +62,8 @@ def ontology_descendants(edges: DataFrame, root: str = ROOT) -> DataFrame:
 def ontology_alias_map(terms: DataFrame) -> DataFrame:
     """(alias, id): alternative ids, and obsolete ids with a replacement, one hop; the last in file order wins."""
     alternative = terms.select(F.explode("alt_ids").alias("alias"), "id", "ord", F.lit(0).alias("kind"))
-    replaced = terms.where(F.col("obsolete") & F.col("replaced_by").isNotNull()).select(F.col("id").alias("alias"), F.col("replaced_by").alias("id"), "ord", F.lit(1).alias("kind"))
+    replaced = terms.where(F.col("obsolete") & F.col("replaced_by").isNotNull()).select(F.col("id").alias("alias"), F.col("replaced_by").alias("id"),
+        "ord", F.lit(1).alias("kind"))
     return alternative.unionByName(replaced).groupBy("alias").agg(F.max_by("id", F.struct("ord", "kind")).alias("id"))
 
 
@@ -70,7 +73,8 @@ def phrase_dictionary(terms: DataFrame, descendants: DataFrame) -> DataFrame:
     A phrase is dropped under three characters, or under four without a space. Of several ids the smallest wins.
     """
     live = terms.where(~F.col("obsolete")).join(descendants, "id", "left_semi")
-    each = live.select("id", F.explode(F.concat(F.array("name"), F.coalesce("syns", F.array().cast("array<string>")))).alias("raw")).select("id", normalise_phrase(F.col("raw")).alias("phrase"))
+    each = live.select("id", F.explode(F.concat(F.array("name"), F.coalesce("syns", F.array().cast("array<string>")))).alias("raw")).select("id",
+        normalise_phrase(F.col("raw")).alias("phrase"))
     kept = each.where((F.length("phrase") >= 3) & ((F.instr("phrase", " ") > 0) | (F.length("phrase") >= 4)))
     one = kept.groupBy("phrase").agg(F.min("id").alias("hpo_id"))
     return one.select("phrase", F.size(F.split("phrase", " ")).alias("n_tokens"), F.substring_index("phrase", " ", 1).alias("first_token"), "hpo_id")
@@ -82,7 +86,9 @@ def concept_names(terms: DataFrame, descendants: DataFrame) -> DataFrame:
     Order by hpo_id and alias_idx to number the rows.
     """
     live = terms.where(~F.col("obsolete")).join(descendants, "id", "left_semi")
-    each = live.select(F.col("id").alias("hpo_id"), F.posexplode(F.concat(F.array("name"), F.coalesce("syns", F.array().cast("array<string>")))).alias("pos", "raw")).select("hpo_id", "pos", collapse(F.col("raw")).alias("name")).where(F.col("name") != "")
+    each = live.select(F.col("id").alias("hpo_id"),
+        F.posexplode(F.concat(F.array("name"), F.coalesce("syns", F.array().cast("array<string>")))).alias("pos", "raw")).select("hpo_id", "pos",
+        collapse(F.col("raw")).alias("name")).where(F.col("name") != "")
     same = Window.partitionBy("hpo_id", F.lower("name")).orderBy("pos")
     first = each.withColumn("_r", F.row_number().over(same)).where(F.col("_r") == 1)
     return first.select("hpo_id", (F.row_number().over(Window.partitionBy("hpo_id").orderBy("pos")) - 1).alias("alias_idx"), "name")

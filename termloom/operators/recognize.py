@@ -19,36 +19,43 @@ QUERY_ROWS, CONCEPT_ROWS = 1024, 1 << 12
 
 
 def tokenize(texts: DataFrame) -> DataFrame:
-    """(pmc_id, tok_idx, token, start, end): the ASCII alphanumeric runs of (pmc_id, text), with code-point offsets.
+    """(pmc_id, tok_idx, token, start, end, run, gap): the ASCII alphanumeric runs of (pmc_id, text), with code-point offsets.
 
-    Texts are dealt by pmc_id before they are exploded, so the windows and what follows by pmc_id reuse that exchange.
+    ``token`` is the run in lower case, ``gap`` what stands between it and the next one. Texts are dealt by pmc_id before
+    they are exploded, so the windows and what follows by pmc_id reuse that exchange.
     """
     runs = texts.repartition("pmc_id").select("pmc_id", F.posexplode(F.regexp_extract_all("text", F.lit(RUNS), F.lit(1))).alias("pos", "run"))
     order = Window.partitionBy("pmc_id").orderBy("pos")
-    placed = runs.withColumn("start", F.coalesce(F.sum(F.length("run")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).where(F.col("run").rlike("^[A-Za-z0-9]"))
-    return placed.select("pmc_id", (F.row_number().over(order) - 1).alias("tok_idx"), F.lower("run").alias("token"), "start", (F.col("start") + F.length("run")).cast("int").alias("end"))
+    start = F.coalesce(F.sum(F.length("run")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = runs.withColumns({"start": start, "gap": F.coalesce(F.lead("run").over(order), F.lit(""))}).where(F.col("run").rlike("^[A-Za-z0-9]"))
+    return placed.select("pmc_id", (F.row_number().over(order) - 1).alias("tok_idx"), F.lower("run").alias("token"), "start",
+        (F.col("start") + F.length("run")).cast("int").alias("end"), "run", "gap")
 
 
 def dictionary_candidates(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """(pmc_id, tok_idx, n_tokens, hpo_id, start, end) of every n-gram of 1 to 8 tokens that is a phrase.
 
-    Tokens meet phrases on the first token; the other tokens come from a window over the next seven.
+    Tokens carry the next seven as plain columns and meet phrases on the first one; only what met is put together.
     """
-    ahead = Window.partitionBy("pmc_id").orderBy("tok_idx").rowsBetween(0, MAX_NGRAM - 1)
+    order, places = Window.partitionBy("pmc_id").orderBy("tok_idx"), range(1, MAX_NGRAM)
     known = phrases.where(F.col("n_tokens") <= MAX_NGRAM).select("phrase", "n_tokens", "hpo_id", F.col("first_token").alias("token"))
-    grams = tokens.select("pmc_id", "tok_idx", "token", "start", F.collect_list("token").over(ahead).alias("ahead"), F.collect_list("end").over(ahead).alias("ends"))
-    met = grams.join(maybe_broadcast(known, phrases.count(), 100), "token").where((F.size("ahead") >= F.col("n_tokens")) & (F.array_join(F.slice("ahead", F.lit(1), F.col("n_tokens")), " ") == F.col("phrase")))
-    return met.select("pmc_id", "tok_idx", "n_tokens", "hpo_id", "start", F.element_at("ends", F.col("n_tokens")).alias("end"))
+    following = [F.lead(c, k).over(order).alias(f"_{c}{k}") for c in ("token", "end") for k in places]
+    met = tokens.select("pmc_id", "tok_idx", "token", "start", "end", *following).join(maybe_broadcast(known, phrases.count(), 100), "token")
+    words, ends = F.array("token", *(f"_token{k}" for k in places)), F.array("end", *(f"_end{k}" for k in places))
+    same = met.where(F.array_join(F.slice(words, F.lit(1), F.col("n_tokens")), " ") == F.col("phrase"))
+    return same.select("pmc_id", "tok_idx", "n_tokens", "hpo_id", "start", F.element_at(ends, F.col("n_tokens")).alias("end"))
 
 
 def leftmost_longest(candidates: DataFrame) -> DataFrame:
     """The longest candidate at each token, then from left to right those that begin at or after the last one's end."""
     longest = candidates.groupBy("pmc_id", "tok_idx").agg(F.max(F.struct("n_tokens", "hpo_id", "start", "end")).alias("m"))
-    item = F.struct("tok_idx", F.col("m.n_tokens").alias("n_tokens"), F.col("m.hpo_id").alias("hpo_id"), F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+    item = F.struct("tok_idx", F.col("m.n_tokens").alias("n_tokens"), F.col("m.hpo_id").alias("hpo_id"), F.col("m.start").alias("start"),
+        F.col("m.end").alias("end"))
     ordered = longest.groupBy("pmc_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
     kind = "struct<tok_idx:int,n_tokens:int,hpo_id:string,start:int,end:int>"
     begin = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{kind}>").alias("taken"))
-    take = lambda acc, x: F.when(x["tok_idx"] >= acc["last"], F.struct((x["tok_idx"] + x["n_tokens"]).alias("last"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc)
+    take = lambda acc, x: F.when(x["tok_idx"] >= acc["last"],
+        F.struct((x["tok_idx"] + x["n_tokens"]).alias("last"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc)
     folded = ordered.select("pmc_id", F.aggregate("c", begin, take, lambda acc: acc["taken"]).alias("taken"))
     return folded.select("pmc_id", F.inline("taken"))
 
@@ -57,23 +64,28 @@ def dictionary_match(texts: DataFrame, tokens: DataFrame, phrases: DataFrame) ->
     """(pmc_id, tok_idx, n_tokens, identifier, offset, length, text, note): the dictionary's mentions, note null."""
     spans = leftmost_longest(dictionary_candidates(tokens, phrases))
     joined = spans.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id")
-    return joined.select("pmc_id", "tok_idx", "n_tokens", F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"), F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), F.lit(None).cast("string").alias("note"))
+    return joined.select("pmc_id", "tok_idx", "n_tokens", F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"),
+        (F.col("end") - F.col("start")).alias("length"), F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
+        F.lit(None).cast("string").alias("note"))
 
 
-def free_token_ngrams(texts: DataFrame, tokens: DataFrame, matches: DataFrame, most: int = 4) -> DataFrame:
-    """(pmc_id, run_id, start, length, text): the n-grams of 1 to ``most`` consecutive tokens outside all matches.
+def free_token_ngrams(tokens: DataFrame, matches: DataFrame, most: int = 4) -> DataFrame:
+    """(pmc_id, run_id, start, length, text): the n-grams of 1 to ``most`` consecutive tokens outside all matches, each once.
 
-    Matches are whole tokens, so a token is taken where the running count of match starts exceeds that of match ends;
-    runs are the islands between.
+    Matches are whole tokens. Runs are the islands of tokens between them; a token's place less its rank among the free
+    ones is the same within an island. An n-gram's text is put together from its tokens and the gaps between them, so an
+    article's length doesn't count.
     """
     taken = matches.select("pmc_id", F.explode(F.sequence(F.col("tok_idx"), F.col("tok_idx") + F.col("n_tokens") - 1)).alias("tok_idx"))
     free = tokens.join(taken, ["pmc_id", "tok_idx"], "left_anti")
     order = Window.partitionBy("pmc_id").orderBy("tok_idx")
     islands = free.withColumn("run_id", F.col("tok_idx") - F.row_number().over(order) + 1)
     inside = Window.partitionBy("pmc_id", "run_id").orderBy("tok_idx").rowsBetween(0, most - 1)
-    ends = islands.withColumn("ends", F.collect_list("end").over(inside)).select("pmc_id", "run_id", "start", F.explode("ends").alias("end"))
-    joined = ends.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id")
-    return joined.select("pmc_id", "run_id", "start", (F.col("end") - F.col("start")).alias("length"), F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+    ahead = islands.select("pmc_id", "run_id", "start", F.collect_list(F.struct("run", "gap", "end")).over(inside).alias("ahead"))
+    each = ahead.select("pmc_id", "run_id", "start", F.transform("ahead", lambda x: F.concat(x["run"], x["gap"])).alias("parts"),
+        F.posexplode("ahead").alias("before", "last"))
+    text = F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("before")), ""), F.col("last.run"))
+    return each.select("pmc_id", "run_id", "start", (F.col("last.end") - F.col("start")).alias("length"), text.alias("text"))
 
 
 def is_candidate(text: Column) -> Column:
@@ -107,7 +119,8 @@ def retrieve_top1(queries: DataFrame, concepts: DataFrame) -> DataFrame:
                     piece = b.slice(s, size)
                     keys = piece.column(0).to_numpy().astype("<i8")
                     x = np.array(piece.column(1).to_pylist(), "<f8").reshape(len(keys), -1)
-                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([keys.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [name, f"{name}_keys", f"{name}_x"])
+                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([keys.tobytes()], pa.binary()),
+                        pa.array([x.tobytes()], pa.binary())], [name, f"{name}_keys", f"{name}_x"])
                     made += 1
 
         return rows.select(F.col(key).cast("long"), "embedding").mapInArrow(run, f"{name} long, {name}_keys binary, {name}_x binary")
@@ -127,7 +140,8 @@ def retrieve_top1(queries: DataFrame, concepts: DataFrame) -> DataFrame:
     dealt = shards.withColumn("cell", F.pmod(F.xxhash64("c"), F.lit(cells)))
     copies = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     scored = dealt.join(copies, "cell").select("q_keys", "q_x", "c_keys", "c_x").mapInArrow(best, "key long, row_idx long, score double")
-    won = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("row_idx")).alias("neg"))).alias("w")).select("key", (-F.col("w.neg")).alias("row_idx"), F.col("w.score").alias("score"))
+    won = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("row_idx")).alias("neg"))).alias("w")).select("key",
+        (-F.col("w.neg")).alias("row_idx"), F.col("w.score").alias("score"))
     return won.join(concepts.select("row_idx", "hpo_id", "name"), "row_idx").select("key", "row_idx", "hpo_id", "name", "score")
 
 
@@ -139,36 +153,43 @@ def similarity_profile(scores: DataFrame) -> DataFrame:
     counted = scores.groupBy("score").agg(F.count("*").alias("n"))
     n = counted.agg(F.sum("n")).first()[0] or 0
     sliced = stage(counted.repartitionByRange(F.col("score").desc()).withColumn("part", F.spark_partition_id()), "scores")  # the parts are drawn once
-    ahead = sliced.groupBy("part").agg(F.sum("n").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ahead = sliced.groupBy("part").agg(F.sum("n").alias("size")).withColumn("before",
+        F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     first = sliced.join(F.broadcast(ahead), "part").withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     at = lambda rank: F.max(F.when((F.col("first") <= rank) & (F.col("first") + F.col("n") > rank), F.col("score")))
-    return first.agg(F.max("score").alias("max"), at(int(n * 0.10)).alias("p10"), at(int(n * 0.25)).alias("p25"), at(int(n * 0.5)).alias("median"), F.min("score").alias("min"))
+    return first.agg(F.max("score").alias("max"), at(int(n * 0.10)).alias("p10"), at(int(n * 0.25)).alias("p25"), at(int(n * 0.5)).alias("median"),
+        F.min("score").alias("min"))
 
 
 def select_retrieved(ngrams: DataFrame, hits: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, pmc_id, run_id, start, length, text, hpo_id, name, score): the n-grams taken at each threshold.
 
-    ``hits`` (text, hpo_id, name, score) are the texts' concepts. Within a run, which no other run overlaps, n-grams are
-    taken by score, then start, then length from the longest, where they overlap none taken before. N-grams are first
-    dealt into islands that overlap nothing outside, so the groups stay small.
+    ``ngrams`` (pmc_id, run_id, start, length, text) are distinct, ``hits`` (text, hpo_id, name, score) one for a text.
+    Within a run, which no other run overlaps, n-grams are taken by score, then start, then length from the longest,
+    where they overlap none taken before. As the order is by score, what is taken at a threshold is what the lowest one
+    takes with a score that reaches it: the selection runs once. N-grams are first dealt into islands that overlap
+    nothing outside, so the groups stay small.
     """
-    keys = F.explode(F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= F.col("score"))).alias("threshold")
-    close = hits.where(F.col("score") >= min(thresholds)).select("text", "hpo_id", "name", "score", keys)
+    close = hits.where(F.col("score") >= min(thresholds)).select("text", "hpo_id", "name", "score")
     item = F.struct((-F.col("score")).alias("neg"), "start", (-F.col("length")).alias("shorter"), "length", "text", "hpo_id", "name", "score")
-    run = Window.partitionBy("threshold", "pmc_id", "run_id").orderBy("start", "length")
-    met = ngrams.join(close, "text").distinct()
+    run = Window.partitionBy("pmc_id", "run_id").orderBy("start", "length")
     reach = F.max(F.col("start") + F.col("length")).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    apart = met.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("island", F.sum("_new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = apart.groupBy("threshold", "pmc_id", "run_id", "island").agg(F.sort_array(F.collect_list(item)).alias("c"))
+    apart = ngrams.join(close, "text").withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
+    apart = apart.withColumn("island", F.sum("_new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = apart.groupBy("pmc_id", "run_id", "island").agg(F.sort_array(F.collect_list(item)).alias("c"))
     free = lambda acc, x: ~F.exists(acc, lambda y: (x["start"] < y["start"] + y["length"]) & (y["start"] < x["start"] + x["length"]))
     taken = F.aggregate("c", F.expr("filter(c, x -> false)"), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return grouped.select("threshold", "pmc_id", "run_id", F.inline(taken)).drop("neg", "shorter")
+    chosen = grouped.select("pmc_id", "run_id", F.inline(taken)).drop("neg", "shorter")
+    reached = F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= F.col("score"))
+    return chosen.select(F.explode(reached).alias("threshold"), "pmc_id", "run_id", "start", "length", "text", "hpo_id", "name", "score")
 
 
 def merge_mentions(matches: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Dictionary mentions, then retrieved ones with name and score (rounded to four places), numbered per article by place."""
-    a = matches.select("pmc_id", F.lit(0).alias("source"), "identifier", "offset", "length", "text", "note", F.lit(None).cast("string").alias("retrieved_name"), F.lit(None).cast("double").alias("retrieved_score"))
-    b = retrieved.select("pmc_id", F.lit(1).alias("source"), F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"), "length", "text", F.lit(None).cast("string").alias("note"), F.col("name").alias("retrieved_name"), F.round("score", 4).alias("retrieved_score"))
+    a = matches.select("pmc_id", F.lit(0).alias("source"), "identifier", "offset", "length", "text", "note",
+        F.lit(None).cast("string").alias("retrieved_name"), F.lit(None).cast("double").alias("retrieved_score"))
+    b = retrieved.select("pmc_id", F.lit(1).alias("source"), F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"), "length", "text",
+        F.lit(None).cast("string").alias("note"), F.col("name").alias("retrieved_name"), F.round("score", 4).alias("retrieved_score"))
     order = Window.partitionBy("pmc_id").orderBy("source", "offset")
     return a.unionByName(b).withColumn("ent_idx", F.row_number().over(order) - 1)

@@ -37,7 +37,8 @@ def _articles(f: Fixtures) -> DataFrame:
     empty = {"pmid": "string", "patient": f"array<{S.PATIENT}>"}
     full = f.nested().withColumns({k: F.lit(None).cast(v) for k, v in empty.items()})
     entity = F.struct("ent_idx", "identifier", F.lit("Phenotype").alias("type"), "offset", "length", "text", "note")
-    ents = f.gold().groupBy("pmc_id").agg(F.sort_array(F.collect_list(entity)).alias("e")).select("pmc_id", F.expr("transform(e, x -> named_struct('identifier', x.identifier, 'type', x.type, 'offset', x.offset, 'length', x.length, 'text', x.text, 'note', x.note))").alias("entities"))
+    ents = f.gold().groupBy("pmc_id").agg(F.sort_array(F.collect_list(entity)).alias("e")).select("pmc_id",
+        F.expr("transform(e, x -> named_struct('identifier', x.identifier, 'type', x.type, 'offset', x.offset, 'length', x.length, 'text', x.text, 'note', x.note))").alias("entities"))
     return full.join(ents, "pmc_id", "left")
 
 
@@ -59,14 +60,18 @@ def read_articles_tolerant(f: Fixtures) -> DataFrame:
     path = _path(f, "lines")
     f.articles().select(F.explode(F.array(F.to_json(F.struct("pmc_id")), F.concat(F.lit('{"pmc_id": "'), "pmc_id"))).alias("value")).write.text(path)
     good, bad = S.read_articles_tolerant(f.spark, path)
-    return good.select("pmc_id", F.lit("good").alias("state")).unionByName(bad.select(F.regexp_extract("line", "PMC[0-9]+", 0).alias("pmc_id"), F.lit("bad").alias("state")))
+    return good.select("pmc_id", F.lit("good").alias("state")).unionByName(bad.select(F.regexp_extract("line", "PMC[0-9]+", 0).alias("pmc_id"),
+        F.lit("bad").alias("state")))
 
 
 def _stanzas(f: Fixtures) -> DataFrame:
     t, up = f.terms(), f.edges().groupBy("child").agg(F.sort_array(F.collect_list("parent")).alias("parents"))
     line = lambda tag, c: F.concat(F.lit(tag + ": "), c)
     each = t.join(up, t["id"] == up["child"])
-    parts = F.flatten(F.array(F.array(F.lit("Term]"), line("id", F.col("id")), line("name", F.col("name"))), F.transform("syns", lambda s: F.concat(F.lit('synonym: "'), s, F.lit('" EXACT []'))), F.transform("parents", lambda p: F.concat(F.lit("is_a: "), p, F.lit(" ! label"))), F.transform("alt_ids", lambda a: line("alt_id", a)), F.when(F.col("obsolete"), F.array(F.lit("is_obsolete: true"), line("replaced_by", F.col("replaced_by")))).otherwise(F.array().cast("array<string>"))))
+    parts = F.flatten(F.array(F.array(F.lit("Term]"), line("id", F.col("id")), line("name", F.col("name"))),
+        F.transform("syns", lambda s: F.concat(F.lit('synonym: "'), s, F.lit('" EXACT []'))),
+        F.transform("parents", lambda p: F.concat(F.lit("is_a: "), p, F.lit(" ! label"))), F.transform("alt_ids", lambda a: line("alt_id", a)),
+        F.when(F.col("obsolete"), F.array(F.lit("is_obsolete: true"), line("replaced_by", F.col("replaced_by")))).otherwise(F.array().cast("array<string>"))))
     return each.select("ord", F.array_join(parts, "\n").alias("stanza"))
 
 
@@ -75,14 +80,16 @@ def read_ontology(f: Fixtures) -> DataFrame:
     path = _path(f, "ontology")
     _stanzas(f).select(F.concat(F.lit("["), "stanza", F.lit("\n")).alias("value")).write.text(path)
     parsed = O.stanza_terms(S.read_ontology_text(f.spark, path))
-    return O.ontology_terms(parsed).select("id", "name", F.size("syns").alias("n_syns"), "obsolete", "replaced_by", F.array_join("alt_ids", "|").alias("alt_ids"))
+    return O.ontology_terms(parsed).select("id", "name", F.size("syns").alias("n_syns"), "obsolete", "replaced_by",
+        F.array_join("alt_ids", "|").alias("alt_ids"))
 
 
 def write_predictions(f: Fixtures) -> DataFrame:
     path = _path(f, "predictions")
     S.write_predictions(S.nest_predictions(f.articles().withColumn("pmid", F.lit(None).cast("string")), f.pred(), f.assoc_pred()), path)
     back = S.read_articles(f.spark, path)
-    return back.select("pmc_id", F.explode("association").alias("a")).select("pmc_id", F.col("a.patient_id").alias("patient_id"), F.explode_outer("a.phenotype").alias("identifier"))
+    return back.select("pmc_id", F.explode("association").alias("a")).select("pmc_id", F.col("a.patient_id").alias("patient_id"),
+        F.explode_outer("a.phenotype").alias("identifier"))
 
 
 def write_gate_dataset(f: Fixtures) -> DataFrame:
@@ -149,7 +156,7 @@ def rebuild_text_sorted(f: Fixtures) -> DataFrame:
 
 
 def tokenize_offsets(f: Fixtures) -> DataFrame:
-    return f.tokens()
+    return f.tokens().select("pmc_id", "tok_idx", "token", "start", "end")
 
 
 def section_lookup(f: Fixtures) -> DataFrame:
@@ -181,7 +188,7 @@ def dictionary_match(f: Fixtures) -> DataFrame:
 
 
 def free_token_ngrams(f: Fixtures) -> DataFrame:
-    return R.free_token_ngrams(f.texts(), f.tokens(), f.matches(), 4)
+    return R.free_token_ngrams(f.tokens(), f.matches(), 4)
 
 
 def candidate_filter(f: Fixtures) -> DataFrame:
@@ -202,11 +209,13 @@ def similarity_profile(f: Fixtures) -> DataFrame:
 
 
 def select_retrieved(f: Fixtures) -> DataFrame:
-    return R.select_retrieved(f.ngrams(), f.hits(), SIMILARITY).select("threshold", "pmc_id", "start", "length", "text", "hpo_id", F.round("score", 6).alias("score"))
+    return R.select_retrieved(f.ngrams(), f.hits(), SIMILARITY).select("threshold", "pmc_id", "start", "length", "text", "hpo_id",
+        F.round("score", 6).alias("score"))
 
 
 def merge_mentions(f: Fixtures) -> DataFrame:
-    return R.merge_mentions(f.matches(), R.select_retrieved(f.ngrams(), f.hits(), [0.5])).select("pmc_id", "ent_idx", "source", "identifier", "offset", "length", "text", "retrieved_name", "retrieved_score")
+    return R.merge_mentions(f.matches(), R.select_retrieved(f.ngrams(), f.hits(), [0.5])).select("pmc_id", "ent_idx", "source", "identifier",
+        "offset", "length", "text", "retrieved_name", "retrieved_score")
 
 
 def threshold_scan_recognition(f: Fixtures) -> DataFrame:
@@ -216,7 +225,8 @@ def threshold_scan_recognition(f: Fixtures) -> DataFrame:
     taken = f.once("taken", lambda: R.select_retrieved(f.ngrams(), f.hits(), SIMILARITY))
     grid = F.explode(F.array(*(F.lit(t) for t in SIMILARITY))).alias("threshold")
     base = f.matches().select("pmc_id", "identifier", "offset", "length", "note", grid)
-    new = taken.select("pmc_id", F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"), "length", F.lit(None).cast("string").alias("note"), "threshold")
+    new = taken.select("pmc_id", F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"), "length",
+        F.lit(None).cast("string").alias("note"), "threshold")
     both = f.once("scanned", lambda: base.unionByName(new).withColumn("ent_idx", F.xxhash64("threshold", "offset", "length")))
     routed = A.nearest(both.withColumn("ent_idx", F.row_number().over(Window.partitionBy("pmc_id").orderBy("threshold", "offset", "length"))), f.patients())
     roster = f.patients().select("pmc_id", "patient_id", F.lit(None).cast("string").alias("identifier"), grid)
@@ -224,7 +234,8 @@ def threshold_scan_recognition(f: Fixtures) -> DataFrame:
     scores = E.score_total(f.gold().select("*", grid), both, f.articles(), f.assoc_gold().select("*", grid), pred, ["threshold"])
     counts = taken.groupBy("threshold").agg(F.count("*").alias("n_new"))
     best = F.row_number().over(Window.orderBy(F.col("score").desc(), "threshold")) == 1
-    return rounded(scores.join(counts, "threshold", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0))).withColumn("best", best), "f1_men", "f1_doc", "f1_micro", "f1_macro", "score")
+    return rounded(scores.join(counts, "threshold", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0))).withColumn("best", best), "f1_men",
+        "f1_doc", "f1_micro", "f1_macro", "score")
 
 
 # association
@@ -308,8 +319,10 @@ def check_mentions_aligned(f: Fixtures) -> DataFrame:
 
 def fusion_compare(f: Fixtures) -> DataFrame:
     a, b = f.assoc_pred(), f.assigned()
-    named = lambda df, v: df.select("pmc_id", "patient_id", F.col("token" if "token" in df.columns else "identifier").alias("identifier"), F.lit(v).alias("variant"))
-    pred = named(a, "A").unionByName(named(b, "B")).unionByName(named(A.fuse(a, b, "intersect"), "intersect")).unionByName(named(A.fuse(a, b, "union"), "union"))
+    named = lambda df, v: df.select("pmc_id", "patient_id", F.col("token" if "token" in df.columns else "identifier").alias("identifier"),
+        F.lit(v).alias("variant"))
+    pred = named(a, "A").unionByName(named(b, "B")).unionByName(named(A.fuse(a, b, "intersect"),
+        "intersect")).unionByName(named(A.fuse(a, b, "union"), "union"))
     gold = f.assoc_gold().select("*", F.explode(F.array(*(F.lit(v) for v in ("A", "B", "intersect", "union")))).alias("variant"))
     micro = E.score_micro(gold, pred, ["variant"]).select("variant", F.col("f1").alias("f1_micro"))
     return rounded(micro.join(E.score_macro(gold, pred, ["variant"]).select("variant", F.col("f1").alias("f1_macro")), "variant"), "f1_micro", "f1_macro")
@@ -331,7 +344,8 @@ def label_balance(f: Fixtures) -> DataFrame:
 
 
 def gate_features(f: Fixtures) -> DataFrame:
-    return rounded(f.samples().select("pmc_id", "ent_idx", "section_type", *G.NUMERIC, *G.BINARY), "retrieved_score", "rel_position", "dist_to_nearest_anchor_norm")
+    return rounded(f.samples().select("pmc_id", "ent_idx", "section_type", *G.NUMERIC, *G.BINARY), "retrieved_score", "rel_position",
+        "dist_to_nearest_anchor_norm")
 
 
 def gate_fit(f: Fixtures) -> DataFrame:
@@ -359,11 +373,19 @@ def gate_train(f: Fixtures) -> DataFrame:
     loss = lambda q: -(F.col("label") * F.log(q) + (1 - F.col("label")) * F.log(1 - q))
     rows = _predicted(f)
     share = rows.agg(F.avg("label").alias("share"), F.avg(loss(p)).alias("loss"), F.count("*").alias("n"))
-    return share.select("n", F.round("share", 6).alias("share"), F.round("loss", 4).alias("loss"), F.round(-(F.col("share") * F.log("share") + (1 - F.col("share")) * F.log(1 - F.col("share"))), 4).alias("constant_loss"))
+    return share.select("n", F.round("share", 6).alias("share"), F.round("loss", 4).alias("loss"),
+        F.round(-(F.col("share") * F.log("share") + (1 - F.col("share")) * F.log(1 - F.col("share"))), 4).alias("constant_loss"))
+
+
+def given_weight(i: int) -> float:
+    return ((i * 7) % 11 - 5) / 10
 
 
 def gate_predict(f: Fixtures) -> DataFrame:
-    return _predicted(f).select("pmc_id", "ent_idx", "label", F.round("keep_prob", 4).alias("keep_prob"))
+    """By given weights, so that SQL can have the same; gate_train predicts with those of the fitted model."""
+    state = G.gate_fit(f.samples())
+    weights = [given_weight(i) for i in range(len(G.feature_names(state)))]
+    return G.gate_predict(f.samples(), state, weights, 0.25).select("pmc_id", "ent_idx", "label", F.round("keep_prob", 4).alias("keep_prob"))
 
 
 def _given_prob(f: Fixtures) -> DataFrame:
@@ -392,28 +414,34 @@ def _score(df: DataFrame) -> DataFrame:
 
 
 def prf(f: Fixtures) -> DataFrame:
-    n = f.given("lineitem").groupBy("l_suppkey").agg(F.sum((F.col("l_returnflag") == "N").cast("long")).alias("tp"), F.sum((F.col("l_returnflag") == "A").cast("long")).alias("fp"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("fn"))
+    n = f.given("lineitem").groupBy("l_suppkey").agg(F.sum((F.col("l_returnflag") == "N").cast("long")).alias("tp"),
+        F.sum((F.col("l_returnflag") == "A").cast("long")).alias("fp"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("fn"))
     return _score(n.select("l_suppkey", *E.prf(F.col("tp"), F.col("fp"), F.col("fn"))))
 
 
 def score_mention(f: Fixtures) -> DataFrame:
-    return _score(E.score_mention(f.gold(), f.pred(), f.articles()))
+    return _score(E.score_mention(f.gold(), f.scored_pred()[0], f.articles()))
 
 
 def score_document(f: Fixtures) -> DataFrame:
-    return _score(E.score_document(f.gold(), f.pred(), f.articles()))
+    return _score(E.score_document(f.gold(), f.scored_pred()[0], f.articles()))
 
 
 def score_micro(f: Fixtures) -> DataFrame:
-    return _score(E.score_micro(f.assoc_gold(), f.assoc_pred()))
+    return _score(E.score_micro(f.assoc_gold(), f.scored_pred()[1]))
 
 
 def score_macro(f: Fixtures) -> DataFrame:
-    return _score(E.score_macro(f.assoc_gold(), f.assoc_pred()))
+    return _score(E.score_macro(f.assoc_gold(), f.scored_pred()[1]))
+
+
+def _total(f: Fixtures) -> DataFrame:
+    mentions, associations = f.scored_pred()
+    return E.score_total(f.gold(), mentions, f.articles(), f.assoc_gold(), associations)
 
 
 def score_total(f: Fixtures) -> DataFrame:
-    return rounded(E.score_total(f.gold(), f.pred(), f.articles(), f.assoc_gold(), f.assoc_pred()), "f1_men", "f1_doc", "f1_micro", "f1_macro", "score")
+    return rounded(_total(f), "f1_men", "f1_doc", "f1_micro", "f1_macro", "score")
 
 
 def check_coverage(f: Fixtures) -> DataFrame:
@@ -449,12 +477,13 @@ def worst_patients(f: Fixtures) -> DataFrame:
 
 def experiments_upsert(f: Fixtures) -> DataFrame:
     folded = K.experiments_fold(f.experiments())
-    return rounded(folded.select("tag", "ord", "ts_local", F.col("local.score").alias("local_score"), F.col("online.score").alias("online_score")), "local_score", "online_score")
+    return rounded(folded.select("tag", "ord", "ts_local", F.col("local.score").alias("local_score"), F.col("online.score").alias("online_score")),
+        "local_score", "online_score")
 
 
 def record_local(f: Fixtures) -> DataFrame:
     """The local scores of the derived prediction, appended to the log and folded."""
-    scores = E.score_total(f.gold(), f.pred(), f.articles(), f.assoc_gold(), f.assoc_pred())
+    scores = _total(f)
     log = K.experiments_upsert(f.experiments(), K.record_local(scores, "own", "2024-12-31 00:00"))
     return K.experiments_fold(log).where(F.col("local.f1_men").isNotNull()).select("tag", *(F.col(f"local.{c}").alias(c) for c in K.LOCAL))
 
@@ -462,7 +491,8 @@ def record_local(f: Fixtures) -> DataFrame:
 def record_online(f: Fixtures) -> DataFrame:
     """A leaderboard score for the tag of the first user, and its gap to the local one."""
     log = K.experiments_upsert(f.experiments(), K.record_online(f.spark, "exp1", board="A", score=50.0))
-    return rounded(K.experiments_fold(log).select("tag", F.col("online.board").alias("board"), (F.col("online.score") - F.col("local.score")).alias("gap")), "gap")
+    return rounded(K.experiments_fold(log).select("tag", F.col("online.board").alias("board"),
+        (F.col("online.score") - F.col("local.score")).alias("gap")), "gap")
 
 
 def experiments_report(f: Fixtures) -> DataFrame:
@@ -472,13 +502,22 @@ def experiments_report(f: Fixtures) -> DataFrame:
 # preparation
 
 
+def _input(f: Fixtures) -> str:
+    """The articles as a file in the reverse order of their ids."""
+    path = _path(f, "input")
+    S.write_in_order(f.documents().select("doc_id", F.to_json(F.struct("pmc_id")).alias("value")), path, F.desc("doc_id"))
+    return path
+
+
 def split_every_k(f: Fixtures) -> DataFrame:
-    return P.split_every_k(P.with_ordinal(f.articles(), "pmc_id")).select("pmc_id", "doc_ord", "split")
+    """By the articles' places in the input, not by their ids."""
+    return P.split_every_k(S.read_articles_numbered(f.spark, _input(f))).select("pmc_id", "doc_ord", "split")
 
 
 def blank_answers(f: Fixtures) -> DataFrame:
     blank = P.blank_answers(_articles(f).withColumn("association", F.array().cast(f"array<{S.ASSOCIATION}>")))
-    return blank.select("pmc_id", F.size("full_text").alias("n_segments"), F.size("entities").alias("n_entities"), F.size("association").alias("n_associations"))
+    return blank.select("pmc_id", F.size("full_text").alias("n_segments"), F.size("entities").alias("n_entities"),
+        F.size("association").alias("n_associations"))
 
 
 def corpus_stats(f: Fixtures) -> DataFrame:
@@ -490,9 +529,14 @@ def section_counts(f: Fixtures) -> DataFrame:
 
 
 def check_offsets(f: Fixtures) -> DataFrame:
-    """Gold mentions with every third moved by one character."""
-    moved = f.gold().withColumn("offset", F.when(F.col("ent_idx") % 3 == 0, F.col("offset") + 1).otherwise(F.col("offset")))
-    return P.check_offsets(moved, f.texts()).select("pmc_id", "ent_idx", "offset", "text", "found")
+    """Gold mentions and patients' mentions, every third moved by one character."""
+    at = F.when(F.col("idx") % 3 == 0, F.col("offset") + 1).otherwise(F.col("offset")).alias("offset")
+    gold = f.gold().select("pmc_id", F.lit("entity").alias("kind"), F.lit("").alias("owner"), F.col("ent_idx").alias("idx"), "offset", "length", "text")
+    each = P.patient_mentions(f.patients()).select("pmc_id", F.lit("patient").alias("kind"), F.col("patient_id").alias("owner"), "idx", "offset",
+        "length", "text")
+    moved = gold.unionByName(each).select("pmc_id", "kind", "owner", "idx", at, "length", "text")
+    text = f.nested().select("pmc_id", T.rebuild_sorted(F.col("full_text")).alias("text"))
+    return P.check_offsets(moved, text).select("pmc_id", "kind", "owner", "idx", "offset", "text", "found")
 
 
 def check_ontology_ids(f: Fixtures) -> DataFrame:
@@ -500,9 +544,13 @@ def check_ontology_ids(f: Fixtures) -> DataFrame:
 
 
 def check_submission(f: Fixtures) -> DataFrame:
-    inputs = P.with_ordinal(f.articles(), "pmc_id")
+    """The prediction written in the order of the input, read again line by line."""
+    inputs = S.read_articles_numbered(f.spark, _input(f)).select("doc_ord", "pmc_id")
     nested = S.nest_predictions(inputs.withColumn("pmid", F.lit(None).cast("string")), f.pred(), f.assoc_pred()).join(inputs, "pmc_id")
-    return P.check_submission(inputs, nested.select("doc_ord", F.to_json(F.struct("pmc_id", "pmid", "entities", "association"), {"ignoreNullFields": "false"}).alias("value")))
+    path = _path(f, "submission")
+    S.write_in_order(nested.select("doc_ord",
+        F.to_json(F.struct("pmc_id", "pmid", "entities", "association"), {"ignoreNullFields": "false"}).alias("value")), path, "doc_ord")
+    return P.check_submission(inputs, S.read_lines_numbered(f.spark, path))
 
 
 ALL = (

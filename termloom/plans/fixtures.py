@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import associate, ontology, prep, recognize
+from ..operators import associate, evaluate, ontology, prep, recognize
 from ..session import stage
 
 SECTIONS = ["TITLE", "ABSTRACT", "INTRO", "METHODS", "CASE", "RESULTS", "DISCUSS"]
@@ -31,7 +31,8 @@ class Fixtures:
         return self.kept[name]
 
     def documents(self) -> DataFrame:
-        return self.given("documents").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.concat(F.lit("PMC"), "doc_id").alias("pmc_id"), "text")
+        return self.given("documents").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id",
+            F.concat(F.lit("PMC"), "doc_id").alias("pmc_id"), "text")
 
     def articles(self) -> DataFrame:
         """(pmc_id) of every article."""
@@ -44,14 +45,16 @@ class Fixtures:
         def build() -> DataFrame:
             lines = self.documents().select("pmc_id", F.posexplode(F.split("text", "\n")).alias("seg_idx", "text"))
             before = F.sum(F.length("text")).over(Window.partitionBy("pmc_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1))
-            return lines.select("pmc_id", "seg_idx", (F.coalesce(before, F.lit(0)) + F.col("seg_idx")).cast("int").alias("offset"), "text", F.element_at(F.array(*(F.lit(s) for s in SECTIONS)), F.col("seg_idx") % 7 + 1).alias("section_type"))
+            return lines.select("pmc_id", "seg_idx", (F.coalesce(before, F.lit(0)) + F.col("seg_idx")).cast("int").alias("offset"), "text",
+                F.element_at(F.array(*(F.lit(s) for s in SECTIONS)), F.col("seg_idx") % 7 + 1).alias("section_type"))
 
         return self.once("segments", build)
 
     def nested(self) -> DataFrame:
         """(pmc_id, full_text): articles as nested segments."""
         item = F.struct("seg_idx", "offset", "text", "section_type")
-        return self.segments().groupBy("pmc_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda s: F.struct(s["offset"].alias("offset"), s["text"].alias("text"), s["section_type"].alias("section_type"))).alias("full_text"))
+        return self.segments().groupBy("pmc_id").agg(F.transform(F.sort_array(F.collect_list(item)),
+            lambda s: F.struct(s["offset"].alias("offset"), s["text"].alias("text"), s["section_type"].alias("section_type"))).alias("full_text"))
 
     def terms(self) -> DataFrame:
         def build() -> DataFrame:
@@ -59,7 +62,9 @@ class Fixtures:
             part = lambda a, b: F.array_join(F.slice("k", a + 1, b - a), " ")
             hp = lambda n: F.concat(F.lit("HP:"), F.lpad((n).cast("string"), 7, "0"))
             gone = F.col("i") % 11 == 10
-            return k.select(F.col("i").alias("ord"), hp(F.col("i") + 1000).alias("id"), part(0, 2).alias("name"), F.array(part(2, 3), part(3, 6), part(6, 10), part(4, 5), part(10, 12)).alias("syns"), gone.alias("obsolete"), F.when(gone, hp(F.col("i") + 999)).alias("replaced_by"), F.array(hp(F.col("i") + 900000)).alias("alt_ids"))
+            return k.select(F.col("i").alias("ord"), hp(F.col("i") + 1000).alias("id"), part(0, 2).alias("name"),
+                F.array(part(2, 3), part(3, 6), part(6, 10), part(4, 5), part(10, 12)).alias("syns"), gone.alias("obsolete"),
+                F.when(gone, hp(F.col("i") + 999)).alias("replaced_by"), F.array(hp(F.col("i") + 900000)).alias("alt_ids"))
 
         return self.once("terms", build)
 
@@ -89,26 +94,32 @@ class Fixtures:
         return kept.withColumn("ent_idx", F.row_number().over(Window.partitionBy("pmc_id").orderBy("offset")) - 1)
 
     def pred(self) -> DataFrame:
-        return self.once("pred", lambda: self._entities(self.matches().where(F.col("offset") % 5 != 0)).select("pmc_id", "ent_idx", "identifier", "offset", "length", "text", "note"))
+        return self.once("pred", lambda: self._entities(self.matches().where(F.col("offset") % 5 != 0)).select("pmc_id", "ent_idx", "identifier",
+            "offset", "length", "text", "note"))
 
     def gold(self) -> DataFrame:
         def build() -> DataFrame:
             following = F.concat(F.lit("HP:"), F.lpad((F.substring("identifier", 4, 7).cast("int") + 1).cast("string"), 7, "0"))
             rows = self._entities(self.matches().where(F.col("offset") % 7 != 0))
-            return rows.select("pmc_id", "ent_idx", F.when(F.col("offset") % 13 == 0, F.concat("identifier", F.lit(";"), following)).otherwise(F.col("identifier")).alias("identifier"), "offset", "length", "text", F.when(F.col("offset") % 11 == 0, "NO").alias("note"))
+            return rows.select("pmc_id", "ent_idx", F.when(F.col("offset") % 13 == 0,
+                F.concat("identifier", F.lit(";"), following)).otherwise(F.col("identifier")).alias("identifier"), "offset", "length", "text",
+                F.when(F.col("offset") % 11 == 0, "NO").alias("note"))
 
         return self.once("gold", build)
 
     def patients(self) -> DataFrame:
         def build() -> DataFrame:
             n = (F.col("doc_id") % 3 + 1).cast("int")
-            roster = self.documents().where(F.col("doc_id") % 10 != 9).select("doc_id", "pmc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("roster_idx"))
-            refs = self.segments().where(F.col("seg_idx") < 12).select("pmc_id", "seg_idx", "offset", F.substring("text", 1, 20).alias("t"))
+            roster = self.documents().where(F.col("doc_id") % 10 != 9).select("doc_id", "pmc_id", n.alias("n"),
+                F.explode(F.sequence(F.lit(0), n - 1)).alias("roster_idx"))
+            refs = self.segments().select("pmc_id", "seg_idx", "offset", F.substring("text", 1, 20).alias("t"))
             silent = (F.col("roster_idx") == 2) & (F.col("doc_id") % 4 == 0)
             met = roster.join(refs, "pmc_id", "left")
-            mine = F.when((F.col("seg_idx") % F.col("n") == F.col("roster_idx")) & ~silent, F.struct("seg_idx", "offset", F.length("t").alias("length"), F.col("t").alias("text")))
+            mine = F.when((F.col("seg_idx") % F.col("n") == F.col("roster_idx")) & ~silent,
+                F.struct("seg_idx", "offset", F.length("t").alias("length"), F.col("t").alias("text")))
             grouped = met.groupBy("pmc_id", "doc_id", "roster_idx").agg(F.sort_array(F.collect_list(mine)).alias("m"))
-            return grouped.select("pmc_id", "doc_id", "roster_idx", F.concat(F.lit("P"), F.col("roster_idx") + 1).alias("patient_id"), F.transform("m", lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"), x["text"].alias("text"))).alias("mentions"))
+            return grouped.select("pmc_id", "doc_id", "roster_idx", F.concat(F.lit("P"), F.col("roster_idx") + 1).alias("patient_id"),
+                F.transform("m", lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"), x["text"].alias("text"))).alias("mentions"))
 
         return self.once("patients", build)
 
@@ -118,13 +129,35 @@ class Fixtures:
     def assoc_gold(self) -> DataFrame:
         return self.once("assoc_gold", lambda: associate.associate_nearest(self.gold(), self.patients()))
 
+    def pred_file(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(versions, mentions, associations) with doc_ord of a file in which every eighth article comes twice.
+
+        The first version of such an article has the gold mentions moved by one character, a wrong identifier for P1, and
+        a patient P9 that the last one lacks.
+        """
+        twice = self.documents().where(F.col("doc_id") % 8 == 0).select("pmc_id")
+        versions = self.articles().withColumn("doc_ord", F.lit(1)).unionByName(twice.withColumn("doc_ord", F.lit(0)))
+        wrong = self.gold().join(twice, "pmc_id", "left_semi").withColumns({"offset": F.col("offset") + 1, "doc_ord": F.lit(0)})
+        people = self.patients().join(twice, "pmc_id", "left_semi").where(F.col("roster_idx") == 0)
+        named = people.select("pmc_id", F.explode(F.array(F.lit("P1"), F.lit("P9"))).alias("patient_id"), F.lit("HP:9999999").alias("identifier"),
+            F.lit(0).alias("doc_ord"))
+        mentions = self.pred().withColumn("doc_ord", F.lit(1)).unionByName(wrong)
+        return versions, mentions, self.assoc_pred().select("pmc_id", "patient_id", "identifier", F.lit(1).alias("doc_ord")).unionByName(named)
+
+    def scored_pred(self) -> tuple[DataFrame, DataFrame]:
+        """(mentions, associations) of that file that count."""
+        versions, mentions, associations = self.pred_file()
+        return evaluate.last_mentions(mentions, versions), evaluate.last_associations(associations)
+
     def answers(self) -> DataFrame:
         def build() -> DataFrame:
             size = self.patients().groupBy("pmc_id", "doc_id").agg(F.count("*").alias("k"))
             n = F.col("ent_idx") + 1
             line = F.concat(n.cast("string"), F.lit(": "), F.when(n % 3 == 0, "NONE").otherwise(F.concat(F.lit("P"), (n % F.col("k") + 1).cast("string"))))
-            rows = self.pred().join(size, "pmc_id").groupBy("pmc_id", "doc_id").agg(F.sort_array(F.collect_list(F.when(n % 17 != 0, F.struct(n.alias("n"), line.alias("l"))))).alias("x"))
-            return rows.select("pmc_id", F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.array_join(F.transform("x", lambda r: r["l"]), "\n")).alias("response"))
+            rows = self.pred().join(size, "pmc_id").groupBy("pmc_id",
+                "doc_id").agg(F.sort_array(F.collect_list(F.when(n % 17 != 0, F.struct(n.alias("n"), line.alias("l"))))).alias("x"))
+            return rows.select("pmc_id", F.when(F.col("doc_id") % 20 == 0,
+                "").otherwise(F.array_join(F.transform("x", lambda r: r["l"]), "\n")).alias("response"))
 
         return self.once("answers", build)
 
@@ -136,25 +169,28 @@ class Fixtures:
 
     def concepts(self) -> DataFrame:
         v = self.given("embeddings").where(F.col("vec_id") % 2 == 0)
-        return v.select((F.col("vec_id") / 2).cast("long").alias("row_idx"), F.concat(F.lit("HP:"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("hpo_id"), F.concat(F.lit("concept "), "vec_id").alias("name"), recognize.normalised(F.col("embedding")).alias("embedding"))
+        return v.select((F.col("vec_id") / 2).cast("long").alias("row_idx"),
+            F.concat(F.lit("HP:"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("hpo_id"),
+            F.concat(F.lit("concept "), "vec_id").alias("name"), recognize.normalised(F.col("embedding")).alias("embedding"))
 
     def top1(self) -> DataFrame:
         def build() -> DataFrame:
-            asked = self.given("embeddings").where(F.col("vec_id") % 2 == 1).select(F.col("vec_id").alias("key"), recognize.normalised(F.col("embedding")).alias("embedding"))
+            asked = self.given("embeddings").where(F.col("vec_id") % 2 == 1).select(F.col("vec_id").alias("key"),
+                recognize.normalised(F.col("embedding")).alias("embedding"))
             return recognize.retrieve_top1(asked, self.concepts())
 
         return self.once("top1", build)
 
     def ngrams(self) -> DataFrame:
         def build() -> DataFrame:
-            return recognize.free_token_ngrams(self.texts(), self.tokens(), self.matches(), 4).where(recognize.is_candidate(F.col("text")))
+            return recognize.free_token_ngrams(self.tokens(), self.matches(), 4).where(recognize.is_candidate(F.col("text")))
 
         return self.once("ngrams", build)
 
     def hits(self) -> DataFrame:
         """(text, hpo_id, name, score): a text's vector is one of all queries, by a hash of the text."""
         asked = self.once("asked", lambda: prep.with_ordinal(self.top1(), "key"))
-        place = F.pmod(F.xxhash64("text"), F.lit(max(asked.count(), 1)))
+        place = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % F.lit(max(asked.count(), 1))
         return recognize.distinct_candidate_texts(self.ngrams()).withColumn("doc_ord", place).join(asked, "doc_ord").select("text", "hpo_id", "name", "score")
 
     def samples(self) -> DataFrame:
@@ -173,9 +209,12 @@ class Fixtures:
         e = self.given("events")
         zero = F.lit(None).cast("double")
         return e.select(
-            F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts_local"), F.concat(F.lit("exp"), "user_id").alias("tag"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("pred"),
+            F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts_local"), F.concat(F.lit("exp"), "user_id").alias("tag"),
+                F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("pred"),
             F.struct(*(zero.alias(c) for c in ("f1_men", "f1_doc", "f1_micro", "f1_macro")), F.when(local, F.col("value")).alias("score")).alias("local"),
-            F.struct(F.lit(None).cast("string").alias("board"), F.when(~local, F.col("value")).alias("score"), *(zero.alias(c) for c in ("task1_menF1", "task1_docF1", "task2_micF1", "task2_macF1")), F.lit(None).cast("string").alias("submit_ts")).alias("online"))
+            F.struct(F.lit(None).cast("string").alias("board"), F.when(~local, F.col("value")).alias("score"),
+                *(zero.alias(c) for c in ("task1_menF1", "task1_docF1", "task2_micF1", "task2_macF1")),
+                F.lit(None).cast("string").alias("submit_ts")).alias("online"))
 
 
 _made: dict[tuple[str, str], Fixtures] = {}

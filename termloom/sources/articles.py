@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.prep import with_ordinal
+
 SEGMENT = "struct<offset:int,text:string,section_type:string,type:string>"
 PATIENT = "struct<patient_id:string,mention:array<struct<offset:int,length:int,text:string>>>"
 ENTITY = "struct<identifier:string,type:string,offset:int,length:int,text:string,note:string,retrieved_name:string,retrieved_score:double>"
@@ -20,6 +22,30 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTICLE).option("mode", "FAILFAST").json(path)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, just read from files, with doc_ord: their place from 0 by file name and place in the file.
+
+    Files are read in splits, so a row's place is that of its split in the file, then that in the split.
+    """
+    at = {"_file": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    return with_ordinal(rows.select("*", *(c.alias(k) for k, c in at.items())), *at).drop(*at)
+
+
+def read_articles_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """read_articles with doc_ord, an article's place in the input."""
+    return numbered(read_articles(spark, path))
+
+
+def read_lines_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(value, doc_ord): the lines of text files, unparsed; blank ones are skipped."""
+    return numbered(spark.read.text(path).where(F.trim("value") != ""))
+
+
+def write_in_order(rows: DataFrame, path: str, *order: str | Column) -> None:
+    """(value) as lines of files whose names and lines follow ``order``."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
 def read_articles_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(articles, bad lines): the bad ones as (file, line_no from 1, line).
 
@@ -50,12 +76,17 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 def nest_predictions(articles: DataFrame, mentions: DataFrame, associations: DataFrame) -> DataFrame:
     """(pmc_id, pmid, entities, association): mentions by ent_idx and patients in roster order, back into one row per article."""
     fields = ["identifier", "type", "offset", "length", "text", "note", "retrieved_name", "retrieved_score"]
-    full = mentions.select("pmc_id", "ent_idx", *(F.col(f) if f in mentions.columns else F.lit("Phenotype" if f == "type" else None).cast("double" if f == "retrieved_score" else "string").alias(f) for f in fields))
-    entities = full.groupBy("pmc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ent_idx", *fields))), lambda e: F.struct(*(e[f].alias(f) for f in fields))).alias("entities"))
+    full = mentions.select("pmc_id", "ent_idx",
+        *(F.col(f) if f in mentions.columns else F.lit("Phenotype" if f == "type" else None).cast("double" if f == "retrieved_score"
+        else "string").alias(f) for f in fields))
+    entities = full.groupBy("pmc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ent_idx", *fields))),
+        lambda e: F.struct(*(e[f].alias(f) for f in fields))).alias("entities"))
     by_patient = associations.groupBy("pmc_id", "roster_idx", "patient_id").agg(F.sort_array(F.collect_set("identifier")).alias("phenotype"))
-    roster = by_patient.groupBy("pmc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("roster_idx", "patient_id", "phenotype"))), lambda p: F.struct(p["patient_id"].alias("patient_id"), p["phenotype"].alias("phenotype"))).alias("association"))
+    roster = by_patient.groupBy("pmc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("roster_idx", "patient_id", "phenotype"))),
+        lambda p: F.struct(p["patient_id"].alias("patient_id"), p["phenotype"].alias("phenotype"))).alias("association"))
     out = articles.select("pmc_id", "pmid").join(entities, "pmc_id", "left").join(roster, "pmc_id", "left")
-    return out.select("pmc_id", "pmid", F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")).alias("entities"), F.coalesce("association", F.array().cast(f"array<{ASSOCIATION}>")).alias("association"))
+    return out.select("pmc_id", "pmid", F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")).alias("entities"),
+        F.coalesce("association", F.array().cast(f"array<{ASSOCIATION}>")).alias("association"))
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -71,7 +102,8 @@ def write_gate_dataset(samples: DataFrame, path: str) -> None:
 def write_concept_index(concepts: DataFrame, path: str, model: str, pooling: str) -> None:
     """``concepts`` (row_idx, hpo_id, name, embedding) with its manifest."""
     concepts.write.mode("overwrite").parquet(f"{path}/vectors")
-    made = concepts.agg(F.lit(model).alias("model"), F.lit(pooling).alias("pooling"), F.max(F.size("embedding")).alias("dim"), F.count("*").alias("num_entries"), F.countDistinct("hpo_id").alias("num_concepts"))
+    made = concepts.agg(F.lit(model).alias("model"), F.lit(pooling).alias("pooling"), F.max(F.size("embedding")).alias("dim"),
+        F.count("*").alias("num_entries"), F.countDistinct("hpo_id").alias("num_concepts"))
     made.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 

@@ -47,7 +47,8 @@ def test_rebuild(spark, segments, plain, by_offset):
 
 
 def test_phrases(spark):
-    terms = spark.createDataFrame([(0, "HP:1", "a b", ["ab", "abc", "abcd", "A-B", " Two  Words "], False), (1, "HP:0", "abcd", [], False), (2, "HP:2", "gone one", [], True)], "ord int, id string, name string, syns array<string>, obsolete boolean")
+    terms = spark.createDataFrame([(0, "HP:1", "a b", ["ab", "abc", "abcd", "A-B", " Two  Words "], False), (1, "HP:0", "abcd", [], False),
+        (2, "HP:2", "gone one", [], True)], "ord int, id string, name string, syns array<string>, obsolete boolean")
     got = {r["phrase"]: (r["n_tokens"], r["hpo_id"]) for r in O.phrase_dictionary(terms, terms.select("id")).collect()}
     assert got == {"a b": (2, "HP:1"), "abcd": (1, "HP:0"), "two words": (2, "HP:1")}
     names = [(r["hpo_id"], r["name"]) for r in O.concept_names(terms, terms.select("id")).orderBy("hpo_id", "alias_idx").collect()]
@@ -56,7 +57,8 @@ def test_phrases(spark):
 
 def match(spark, text, phrases):
     texts = spark.createDataFrame([("p", text)], "pmc_id string, text string")
-    table = spark.createDataFrame([(p, len(p.split()), p.split()[0], f"H:{p}") for p in phrases], "phrase string, n_tokens int, first_token string, hpo_id string")
+    table = spark.createDataFrame([(p, len(p.split()), p.split()[0], f"H:{p}") for p in phrases],
+        "phrase string, n_tokens int, first_token string, hpo_id string")
     return sorted((r["offset"], r["text"]) for r in R.dictionary_match(texts, R.tokenize(texts), table).collect())
 
 
@@ -68,19 +70,23 @@ def test_match_is_leftmost_longest(spark):
 
 
 def test_greedy_by_score(spark):
-    grams = spark.createDataFrame([("p", 0, 0, 3, "a b"), ("p", 0, 2, 5, "b c d"), ("p", 0, 8, 1, "e")], "pmc_id string, run_id int, start int, length int, text string")
-    hits = spark.createDataFrame([("a b", "H:1", "one", 0.8), ("b c d", "H:2", "two", 0.9), ("e", "H:3", "three", 0.5)], "text string, hpo_id string, name string, score double")
+    grams = spark.createDataFrame([("p", 0, 0, 3, "a b"), ("p", 0, 2, 5, "b c d"), ("p", 0, 8, 1, "e")],
+        "pmc_id string, run_id int, start int, length int, text string")
+    hits = spark.createDataFrame([("a b", "H:1", "one", 0.8), ("b c d", "H:2", "two", 0.9), ("e", "H:3", "three", 0.5)],
+        "text string, hpo_id string, name string, score double")
     got = sorted((r["threshold"], r["start"]) for r in R.select_retrieved(grams, hits, [0.5, 0.85, 0.95]).collect())
     assert got == [(0.5, 2), (0.5, 8), (0.85, 2)]
 
 
 @pytest.fixture
 def people(spark):
-    return spark.createDataFrame([("p", 0, "P1", [(10, 1, "x")]), ("p", 1, "P2", [(20, 1, "xx"), (40, 2, "yyy"), (None, None, "")]), ("q", 0, "P1", []), ("q", 1, "P2", [])], PATIENTS)
+    return spark.createDataFrame([("p", 0, "P1", [(10, 1, "x")]), ("p", 1, "P2", [(20, 1, "xx"), (40, 2, "yyy"), (None, None, "")]),
+        ("q", 0, "P1", []), ("q", 1, "P2", [])], PATIENTS)
 
 
 def test_nearest(spark, people):
-    m = spark.createDataFrame([("p", 0, "a", 15, 1, "", None), ("p", 1, "b", 48, 1, "", None), ("p", 2, "c", 0, 1, "", None), ("q", 0, "d", 5, 1, "", None), ("r", 0, "e", 5, 1, "", None)], MENTIONS)
+    m = spark.createDataFrame([("p", 0, "a", 15, 1, "", None), ("p", 1, "b", 48, 1, "", None), ("p", 2, "c", 0, 1, "", None),
+        ("q", 0, "d", 5, 1, "", None), ("r", 0, "e", 5, 1, "", None)], MENTIONS)
     who = lambda d: {(r["pmc_id"], r["ent_idx"]): r["patient_id"] for r in A.nearest(m, people, d).collect()}
     assert who(None) == {("p", 0): "P1", ("p", 1): "P2", ("p", 2): "P1", ("q", 0): "P1", ("r", 0): None}
     assert who(8) == {("p", 0): "P1", ("p", 1): "P2", ("p", 2): None, ("q", 0): None, ("r", 0): None}
@@ -118,7 +124,8 @@ def test_gates_differ(spark, people):
 def test_scores(spark):
     """One article, two patients, a negated mention and a compound id: 2/3, 2/3, 3/4 and (0.8 + 2/3) / 2."""
     gold_m = spark.createDataFrame([("d", 0, "H:1", 0, 2, "", None), ("d", 1, "H:2;H:3", 5, 2, "", None), ("d", 2, "H:9", 9, 2, "", "NO")], MENTIONS)
-    pred_m = spark.createDataFrame([("d", 0, "H:1", 0, 2, "", None), ("d", 1, "H:2", 5, 2, "", None), ("d", 2, "H:7", 20, 2, "", None), ("x", 0, "H:1", 0, 2, "", None)], MENTIONS)
+    pred_m = spark.createDataFrame([("d", 0, "H:1", 0, 2, "", None), ("d", 1, "H:2", 5, 2, "", None), ("d", 2, "H:7", 20, 2, "", None),
+        ("x", 0, "H:1", 0, 2, "", None)], MENTIONS)
     gold = spark.createDataFrame([("d", "P1", "H:1"), ("d", "P1", "H:2;H:3"), ("d", "P2", "H:4")], ASSOC)
     pred = spark.createDataFrame([("d", "P1", "H:1"), ("d", "P1", "H:2"), ("d", "P2", "H:4"), ("d", "P2", "H:5")], ASSOC)
     articles = spark.createDataFrame([("d",)], "pmc_id string")
@@ -140,7 +147,8 @@ def test_empty_patients(spark):
 
 def test_fit_rules(spark):
     names = [*G.NUMERIC, *G.BINARY]
-    rows = spark.createDataFrame([(None, 3.0, 1.0, None, 0.5, None, 2.0, 1, 0, 0, "A"), (None, 3.0, 2.0, None, 0.7, None, 2.0, 0, 1, 0, "B")], ", ".join(f"{n} double" for n in G.NUMERIC) + ", " + ", ".join(f"{n} int" for n in G.BINARY) + ", section_type string")
+    rows = spark.createDataFrame([(None, 3.0, 1.0, None, 0.5, None, 2.0, 1, 0, 0, "A"), (None, 3.0, 2.0, None, 0.7, None, 2.0, 0, 1, 0, "B")],
+        ", ".join(f"{n} double" for n in G.NUMERIC) + ", " + ", ".join(f"{n} int" for n in G.BINARY) + ", section_type string")
     state = G.gate_fit(rows)
     assert state["fill"]["retrieved_score"] == 0.0 and state["std"]["mention_char_len"] == 1.0 and state["std"]["mention_word_len"] == 0.5 and state["sections"] == ["A", "B", G.OTHER]
     v = G.gate_transform(rows.limit(1).withColumn("section_type", F.lit("Z")), state).first()["features"]
@@ -148,7 +156,8 @@ def test_fit_rules(spark):
 
 
 def test_log_fold(spark):
-    log = spark.createDataFrame([(0, None, "t", "first", None, None, (0.1, None, None, None, 0.5), None), (1, "2024", "t", None, None, None, None, ("A", 0.7, None, None, None, None, None)), (2, "2023", "u", None, None, None, None, None)], K.RECORD)
+    log = spark.createDataFrame([(0, None, "t", "first", None, None, (0.1, None, None, None, 0.5), None),
+        (1, "2024", "t", None, None, None, None, ("A", 0.7, None, None, None, None, None)), (2, "2023", "u", None, None, None, None, None)], K.RECORD)
     rows = {r["tag"]: r for r in K.experiments_fold(log).collect()}
     assert rows["t"]["note"] == "first" and rows["t"]["ts_local"] == "2024" and rows["t"]["local"]["score"] == 0.5 and rows["t"]["online"]["score"] == 0.7
     lines = [r["line"] for r in K.experiments_report(K.experiments_fold(log)).orderBy("pos").collect()]
@@ -156,9 +165,99 @@ def test_log_fold(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    articles = spark.createDataFrame([("a", "1", [(0, "Big head", None, None)], [("P1", [(0, 1, "x")])], None, None), ("b", "2", [(3, "no match", None, None)], [], None, None)], S.ARTICLE)
+    articles = spark.createDataFrame([("a", "1", [(0, "Big head", None, None)], [("P1", [(0, 1, "x")])], None, None),
+        ("b", "2", [(3, "no match", None, None)], [], None, None)], S.ARTICLE)
     phrases = spark.createDataFrame([("big head", 2, "big", "H:1")], "phrase string, n_tokens int, first_token string, hpo_id string")
     S.write_predictions(articles, str(tmp_path / "in"))
     stream.recognise_stream(stream.stream_articles(spark, str(tmp_path / "in")), phrases, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     flat = lambda df: sorted(str(r) for r in df.select("pmc_id", "pmid", "entities", "association").collect())
     assert flat(S.read_articles(spark, str(tmp_path / "out" / "*"))) == flat(stream.recognise(articles, phrases))
+
+
+def test_the_last_version_counts(spark):
+    """An article that comes twice: its last mentions, also where it has none; a patient's last identifiers, from the last version that names them."""
+    mentions = spark.createDataFrame([("p", 0, "H:1", 1, 2, 0), ("p", 0, "H:2", 5, 2, 1), ("q", 0, "H:3", 1, 2, 0)],
+        "pmc_id string, ent_idx int, identifier string, offset int, length int, doc_ord int")
+    versions = spark.createDataFrame([("p", 0), ("p", 1), ("q", 0), ("q", 2)], "pmc_id string, doc_ord int")
+    assert [(r["pmc_id"], r["identifier"]) for r in E.last_mentions(mentions, versions).collect()] == [("p", "H:2")]
+    pairs = [("p", "P1", "H:1", 0), ("p", "P1", "H:2", 1), ("p", "P1", "H:3", 1), ("p", "P2", "H:4", 0), ("p", "P3", "H:5", 0), ("p", "P3", None, 1)]
+    given = spark.createDataFrame(pairs, "pmc_id string, patient_id string, identifier string, doc_ord int")
+    got = {(r["patient_id"], r["identifier"]) for r in E.last_associations(given).collect()}
+    assert got == {("P1", "H:2"), ("P1", "H:3"), ("P2", "H:4"), ("P3", None)}
+
+
+def test_section_of_overlapping_segments(spark):
+    """The first segment by start that holds the offset, against a plain search; touching, nested and empty ones, ties and gaps."""
+    import random
+
+    r = random.Random(5)
+    segments = [(p, i, r.randrange(60), "x" * r.choice([0, 1, 5, 20, 50]), f"s{i}") for p in "ab" for i in range(12)] + [("c", 0, 3, "abc", None)]
+    mentions = [(p, i, o) for p in "abcd" for i, o in enumerate(range(0, 110, 1))]
+    got = A.section_lookup(spark.createDataFrame(mentions, "pmc_id string, ent_idx int, offset int"),
+        spark.createDataFrame(segments, "pmc_id string, seg_idx int, offset int, text string, section_type string")).collect()
+    assert len(got) == len(mentions)
+    for row in got:
+        held = [(s[2], s[1], s[4]) for s in segments if s[0] == row["pmc_id"] and s[2] <= row["offset"] < s[2] + len(s[3])]
+        assert row["section"] == ((min(held)[2] or "?") if held else "?")
+
+
+def test_places_in_the_input(spark, tmp_path):
+    """Ordinals follow file names and lines, also over several splits of a file."""
+    for k, name in enumerate(["b.jsonl", "a.jsonl"]):
+        (tmp_path / name).write_text("".join(f'{{"pmc_id": "{name[0]}{i}"}}\n' + "\n" * (i % 2) for i in range(300 + k)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        rows = S.read_articles_numbered(spark, str(tmp_path)).orderBy("doc_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["pmc_id"] for r in rows] == [f"a{i}" for i in range(301)] + [f"b{i}" for i in range(300)]
+    assert [r["doc_ord"] for r in rows] == list(range(601))
+
+
+def test_report_over_many_parts(spark):
+    """delta_prev is carried over ranges that hold no local score."""
+    import random
+
+    r, before = random.Random(1), spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(f"t{i}", i, f"2024-{i // 28 % 12 + 1:02d}-{i % 28 + 1:02d}", r.choice([None, None, None, round(r.random(), 4)]), 0.5) for i in range(200)]
+    folded = spark.createDataFrame(rows, "tag string, ord int, ts_local string, l double, o double").selectExpr("tag", "ord", "ts_local",
+        "named_struct('score', l) AS local", "named_struct('score', o) AS online")
+    got = K.experiments_report(folded).orderBy("pos").collect()
+    last = None
+    for x, (tag, _, _, local, _) in zip(got, sorted(rows, key=lambda x: (x[2], x[1])), strict=True):
+        assert x["tag"] == tag
+        assert x["delta_prev"] == (None if last is None or local is None else pytest.approx(local - last))
+        last = local if local is not None else last
+    assert [x["pos"] for x in got] == list(range(1, 201)) and before
+
+
+def test_ngram_texts(spark):
+    """N-grams with their gaps, beyond the basic plane as well, as they stand in the text."""
+    text = "Ab  😀 c-d\tE9! \n f " * 3
+    texts = spark.createDataFrame([("p", text)], "pmc_id string, text string")
+    tokens = R.tokenize(texts)
+    none = spark.createDataFrame([], "pmc_id string, tok_idx int, n_tokens int")
+    got = {(r["start"], r["length"]): r["text"] for r in R.free_token_ngrams(tokens, none, 6).collect()}
+    assert len(got) == 6 * 15 - 15 and all(text[s : s + n] == t for (s, n), t in got.items())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from termloom import session
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *a: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        session.shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_staged_tables_go(spark):
+    import os
+
+    from termloom import session
+
+    df = session.stage(spark.range(5), "some")
+    path = session._staged[df]
+    session.unstage(df)
+    assert not os.path.exists(path.removeprefix("file:"))
