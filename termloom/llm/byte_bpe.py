@@ -88,20 +88,22 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32768, overlap
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
-                text, starts = text.as_py(), None
+            for row in range(len(b)):
+                text = b.column("text")[row].as_py()
                 starts = range(0, len(text), chunk)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(starts), pa.int64()), pa.array([key] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array([s + chunk >= len(text) for s in starts]), pa.array([text[s : s + chunk + overlap] for s in starts], pa.string())],
-                    ["doc_id", "key", "start", "last", "text"])
+                columns = [pa.array([b.column(c)[row].as_py()] * len(starts), pa.int64()) for c in ("doc_id", "key", "size")]
+                columns += [pa.array(starts, pa.int64()), pa.array([s + chunk >= len(text) for s in starts])]
+                columns.append(pa.array([text[s : s + chunk + overlap] for s in starts], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "size", "start", "last", "text"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         e, find = encoder(path, pattern), regex.compile(pattern)
+        own = ["doc_id", "key", "size", "start", "last"]
         for b in batches:
             for row in range(len(b)):
-                start, last, text = b.column("start")[row].as_py(), b.column("last")[row].as_py(), b.column("text")[row].as_py()
+                start, last, text = (b.column(c)[row].as_py() for c in ("start", "last", "text"))
                 bounds = [m.start() for m in find.finditer(text)] + [len(text)]
                 head = [x for x in bounds if x <= overlap and x < len(text)] if start else [0]
                 tail = [x for x in bounds if chunk <= x < len(text)] if not last else []
@@ -114,10 +116,10 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32768, overlap
                     tokens += len(packed[-1]) // 4
                     at.append(tokens)
                 place = dict(zip(marks, at, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(row, 1), b.column("key").slice(row, 1), b.column("start").slice(row, 1), b.column("last").slice(row, 1), pa.array([text[:chunk]]), pa.array([b"".join(packed)], pa.binary()),
-                     *(pa.array([x], pa.list_(pa.int64())) for x in ([start + x for x in head], [place[x] for x in head], [start + x for x in tail], [place[x] for x in tail]))],
-                    ["doc_id", "key", "start", "last", "text", "ids", "head", "head_at", "tail", "tail_at"])
+                lists = ([start + x for x in head], [place[x] for x in head], [start + x for x in tail], [place[x] for x in tail])
+                columns = [*(b.column(c).slice(row, 1) for c in own), pa.array([text[:chunk]]), pa.array([b"".join(packed)], pa.binary())]
+                columns += [pa.array([x], pa.list_(pa.int64())) for x in lists]
+                yield pa.RecordBatch.from_arrays(columns, [*own, "text", "ids", "head", "head_at", "tail", "tail_at"])
 
     def stitch(table: pa.Table) -> pa.Table:
         table = table.sort_by("start")
@@ -132,16 +134,18 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32768, overlap
             meets = dict(zip(after["head"], after["head_at"], strict=True))
             found = next(((x, at) for x, at in zip(r["tail"], r["tail_at"], strict=True) if x in meets), None)
             if found is None:
-                out = [encoder(path, pattern).encode("".join(r["text"] if not r["last"] else r["text"] for r in rows))]
+                out = [encoder(path, pattern).encode("".join(r["text"] for r in rows))]
                 break
             out.append(r["ids"][4 * begin : 4 * found[1]])
             begin = meets[found[0]]
         return pa.table([pa.array([rows[0]["doc_id"]] * copies, pa.int64()), id_lists([b"".join(out)] * copies)], names=["doc_id", "ids"])
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
-    chunks = rows.where(F.length("text") > chunk).withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(cut, "doc_id long, key long, start long, last boolean, text string")
-    encoded = chunks.repartition("key", "start").mapInArrow(pieces, "doc_id long, key long, start long, last boolean, text string, ids binary, head array<long>, head_at array<long>, tail array<long>, tail_at array<long>")
-    return short.unionByName(encoded.groupBy("key").applyInArrow(stitch, "doc_id long, ids array<int>"))
+    named = rows.where(F.length("text") > chunk).withColumns({"key": F.xxhash64("text"), "size": F.octet_length("text").cast("long")})
+    place = "doc_id long, key long, size long, start long, last boolean, text string"
+    marks = "ids binary, head array<long>, head_at array<long>, tail array<long>, tail_at array<long>"
+    encoded = named.mapInArrow(cut, place).repartition("doc_id", "key", "start").mapInArrow(pieces, f"{place}, {marks}")
+    return short.unionByName(encoded.groupBy("doc_id", "key", "size").applyInArrow(stitch, "doc_id long, ids array<int>"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -152,6 +156,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             for i in range(0, max(len(b), 1), 512):
                 part = b.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([e.decode(x.values.to_numpy()) if x.is_valid and len(x) else b"" for x in part.column("ids")], pa.binary())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns,
+                    pa.array([e.decode(x.values.to_numpy()) if x.is_valid and len(x) else b"" for x in part.column("ids")], pa.binary())],
+                    ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(back, "doc_id long, ids array<int>, decoded binary")

@@ -74,7 +74,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             for i, j, d, o in slices(*utf8(b.column("text")), texts=20000):
                 ends, text = chunk_borders(d, o)
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                digest, check = segment_hash(d, starts, ends).view(np.int64), (segment_hash(d, starts, ends, OTHER_VALUE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                digest, check = segment_hash(d, starts, ends).view(np.int64), (segment_hash(d, starts, ends,
+                    OTHER_VALUE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 places = [(x - o[text]).astype(np.int32) for x in (starts, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest, check, ids[i:j][text], *places)], ["digest", "check", "doc_id", "start", "end"])
 
@@ -86,7 +87,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """The chunks of which an equal one came before. The first of each digest is found by a map-side combined minimum."""
     all_chunks, name = chunks(docs), ["digest", "check"]
     first, last = F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")
-    twice = all_chunks.groupBy(*name).agg(first, last).where(F.col("first") != F.col("last")).select(*name, F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    twice = all_chunks.groupBy(*name).agg(first, last).where(F.col("first") != F.col("last")).select(*name, F.col("first.doc_id").alias("first_doc"),
+        F.col("first.start").alias("first_start"))
     met = all_chunks.join(twice, name)
     return met.where((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))).select("doc_id", "start", "end")
 

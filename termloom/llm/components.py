@@ -27,7 +27,8 @@ def with_least(edges: DataFrame, many: bool) -> DataFrame:
 
 def shape(edges: DataFrame) -> tuple[int, bool]:
     """(how many edges, whether every a has one b, which is no a)."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
     nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
     odd = (F.col("out") > 1) | ((F.col("out") > 0) & (F.col("least") == 0))
     r = nodes.agg(F.sum("out").alias("edges"), F.max(odd).alias("odd")).first()
@@ -48,7 +49,8 @@ def stars(edges: DataFrame, most_rounds: int = 40, many: int = MANY) -> DataFram
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         large = with_least(both, n > many).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         small = with_least(large, n > many)
-        step = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        step = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
+            F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         after = stage(step.where(F.col("a") != F.col("b")).distinct(), "edges")
         unstage(now)
         now = after

@@ -59,7 +59,8 @@ class Tree:
 
     def row(self) -> dict:
         vectors, kind = narrow(self.vectors)
-        return {"ids": packed(self.ids), "vectors": vectors, "vector_kind": kind, "nodes": packed(np.array(self.nodes)), "lo": packed(np.array(self.lo)), "hi": packed(np.array(self.hi)), "width": self.vectors.shape[1]}
+        return {"ids": packed(self.ids), "vectors": vectors, "vector_kind": kind, "nodes": packed(np.array(self.nodes)),
+            "lo": packed(np.array(self.lo)), "hi": packed(np.array(self.hi)), "width": self.vectors.shape[1]}
 
 
 def pad(x: np.ndarray, width: int) -> np.ndarray:
@@ -145,7 +146,9 @@ def build(vectors: DataFrame, shard_rows: int) -> DataFrame:
                 both = np.unique(np.column_stack([i, v]), axis=0)
                 i, v = both[:, 0], both[:, 1:]
             row = {"shard": (part << 32) + made} | Tree(i, v).row()
-            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), *((n, pa.binary()) for n in ("ids", "vectors")), ("vector_kind", pa.string()), *((n, pa.binary()) for n in ("nodes", "lo", "hi")), ("width", pa.int32())]))
+            return pa.RecordBatch.from_pylist([row],
+                pa.schema([("shard", pa.int64()), *((n, pa.binary()) for n in ("ids", "vectors")), ("vector_kind", pa.string()),
+                *((n, pa.binary()) for n in ("nodes", "lo", "hi")), ("width", pa.int32())]))
 
         for b in batches:
             for s in range(0, len(b), shard_rows):
@@ -178,7 +181,8 @@ def blocks_of(queries: DataFrame, block_rows: int) -> DataFrame:
             for s in range(0, len(rows), block_rows):
                 own = slice(s, s + block_rows)
                 vectors, kind = narrow(x[own])
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([packed(ids[own])], pa.binary()), pa.array([vectors], pa.binary()), pa.array([kind])], [c.split()[0] for c in BLOCK.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([packed(ids[own])], pa.binary()),
+                    pa.array([vectors], pa.binary()), pa.array([kind])], [c.split()[0] for c in BLOCK.split(", ")])
                 n += 1
 
     known = queries.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
@@ -191,7 +195,8 @@ def dense(df: DataFrame, name: str, to: str) -> DataFrame:
     sizes = df.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))  # a row for each task that made any
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return df.withColumn("_task", task).join(F.broadcast(base), "_task").withColumn(to, F.col("_base") + F.col(name).bitwiseAND(F.lit((1 << 32) - 1))).drop("_task", "_base")
+    return df.withColumn("_task", task).join(F.broadcast(base), "_task").withColumn(to,
+        F.col("_base") + F.col(name).bitwiseAND(F.lit((1 << 32) - 1))).drop("_task", "_base")
 
 
 def found(met: DataFrame, k: int) -> DataFrame:
@@ -214,7 +219,8 @@ def found(met: DataFrame, k: int) -> DataFrame:
                 best = tree.search(ids, np.frombuffer(r["queries"], r["query_kind"]).reshape(len(ids), -1), least, k)
                 flat = np.array([(q, -i, s) for q, hits in enumerate(best) for s, i in hits], np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(flat), r["block"])), pa.array(flat[:, 0].astype(np.int32)), pa.array(ids[flat[:, 0]]), pa.array(flat[:, 1]), pa.array(flat[:, 2])],
+                    [pa.array(np.full(len(flat), r["block"])), pa.array(flat[:, 0].astype(np.int32)), pa.array(ids[flat[:, 0]]), pa.array(flat[:, 1]),
+                        pa.array(flat[:, 2])],
                     [c.split()[0] for c in HITS.split(", ")])
 
     return met.mapInArrow(run, HITS)
@@ -239,15 +245,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     own, other = [c.split()[0] for c in TREE.split(", ")[1:]], [c.split()[0] for c in BLOCK.split(", ")]
     none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in [*TREE.split(", ")[1:], *BLOCK.split(", ")]}
     none["kth"] = F.lit(None).cast("array<struct<pos:int,score:long>>")
-    side = trees.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *own, *(none[c].alias(c) for c in [*other, "kth"]))
+    side = trees.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *own,
+        *(none[c].alias(c) for c in [*other, "kth"]))
     best, first, width = None, 0, 1
     while first < cells:
         steps = F.sequence(F.lit(first), F.lit(min(first + width, cells) - 1))
-        ready = asked if best is None else asked.join(best.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("pos", "score")).alias("kth")), "block", "left")
+        ready = asked if best is None else asked.join(best.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("pos",
+            "score")).alias("kth")), "block", "left")
         if best is None:
             ready = ready.withColumn("kth", none["kth"])
         copies = ready.withColumn("step", F.explode(steps)).withColumn("cell", F.pmod(home + F.col("step"), F.lit(cells)))
-        copies = copies.select("cell", F.pmod(F.xxhash64("block", "cell"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), *(none[c].alias(c) for c in own), *other, "kth")
+        copies = copies.select("cell", F.pmod(F.xxhash64("block", "cell"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"),
+            *(none[c].alias(c) for c in own), *other, "kth")
         hits = found(side.unionByName(copies).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind"), k)
         known = hits if best is None else hits.unionByName(best.drop("rank"))
         best_now = stage(ranked(known.distinct(), k, "block", "pos"), "best")

@@ -119,15 +119,15 @@ def bounds(sizes: dict[str, int], max_rows: int) -> dict[str, int]:
     return out
 
 
-def sample(known: DataFrame, max_rows: int) -> DataFrame:
-    """The rows of each language in ``known`` whose hash of the id is low enough for about as many as its bound."""
+def sample(known: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """The rows of each language in ``known`` whose hash of the id is low enough for about as many as its bound, and whether ``known`` has any."""
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     scale = 1 << 62
     cut = [(name, scale * n // sizes[name]) for name, n in bounds(sizes, max_rows).items() if n < sizes[name]]
     if not cut:
-        return known
+        return known, bool(sizes)
     most = F.create_map(*(F.lit(v) for pair in cut for v in pair))
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.coalesce(F.try_element_at(most, F.col("lang")), F.lit(scale)))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.coalesce(F.try_element_at(most, F.col("lang")), F.lit(scale))), True
 
 
 def centroids(own: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quanti
     A language's limits come from rows held out of its centroids. One with under OWN_LIMITS rows takes those of rows of all
     languages against ``per_language`` rows alone, or folds of a small language's. Null texts and languages don't count. None if nothing is left.
     """
-    known = sample(labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), max_rows)
+    known, any_rows = sample(labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,10 +165,13 @@ def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quanti
                 for r in c:
                     at = np.flatnonzero(r)
                     cells.append(np.rec.fromarrays([at, r[at]], dtype=[("i", "<u2"), ("v", "<u4")]).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("lang").slice(i, j - i), pa.array(cells, pa.binary())], ["doc_id", "lang", "f"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("lang").slice(i, j - i), pa.array(cells, pa.binary())],
+                    ["doc_id", "lang", "f"])
 
     got = known.mapInArrow(features, "doc_id long, lang string, f binary").toArrow().sort_by("doc_id")
     if not len(got):
+        if any_rows:
+            raise RuntimeError("no labelled row was drawn")
         return None
     c = np.zeros((len(got), DIMENSIONS), np.float32)
     for r, f in enumerate(got["f"]):
@@ -224,7 +227,8 @@ def identify(docs: DataFrame, model: Centroids | None, columns: list[str] | None
                     lang[known] = np.array(model.languages, object)[best[known]]
                     score[known] = cosine[known]
                     far[known] = low[known]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far)], [*kept, *ADDED])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in kept), pa.array(lang, pa.string()),
+                    pa.array(score, pa.float64()), pa.array(far)], [*kept, *ADDED])
 
     rows = docs.select(*kept, F.col("text").alias(body), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]

@@ -9,39 +9,56 @@ _two = "(" + ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES) + ")"
 
 def _strength(table: str, n: str, k: str) -> str:
     """The prior's strength at one level; see url_reputation.concentration."""
-    return f"""SELECT CASE WHEN j < 2 OR n <= j THEN 10.0 WHEN rho >= 1 THEN 10.0 WHEN rho <= 1.0 / 1001 THEN 1000.0 ELSE greatest(1.0, 1 / rho - 1) END AS s FROM (SELECT *, CASE WHEN j < 2 OR n <= j THEN 0 WHEN b + (z - 1) * w > 0 THEN (b - w) / (b + (z - 1) * w) ELSE 0 END AS rho FROM (
-        SELECT j, n, CASE WHEN j > 1 THEN (kk - n * (k / n) * (k / n)) / (j - 1) END AS b, CASE WHEN n > j THEN (k - kk) / (n - j) END AS w, CASE WHEN j > 1 THEN (n - nn / n) / (j - 1) END AS z FROM (
-        SELECT count(*) AS j, CAST(sum({n}) AS DOUBLE) AS n, CAST(sum({k}) AS DOUBLE) AS k, sum(CAST({n} AS DOUBLE) * {n}) AS nn, sum(CAST({k} AS DOUBLE) * {k} / {n}) AS kk FROM {table} WHERE {n} > 0)))"""
+    return f"""SELECT CASE WHEN j < 2 OR n <= j THEN 10.0 WHEN rho >= 1 THEN 10.0 WHEN rho <= 1.0 / 1001 THEN 1000.0 ELSE greatest(1.0, 1 / rho - 1)
+        END AS s FROM (SELECT *, CASE WHEN j < 2 OR n <= j THEN 0 WHEN b + (z - 1) * w > 0 THEN (b - w) / (b + (z - 1) * w) ELSE 0 END AS rho FROM (
+        SELECT j, n, CASE WHEN j > 1 THEN (kk - n * (k / n) * (k / n)) / (j - 1) END AS b, CASE WHEN n > j THEN (k - kk) / (n - j) END AS w, CASE WHEN
+        j > 1 THEN (n - nn / n) / (j - 1) END AS z FROM (
+        SELECT count(*) AS j, CAST(sum({n}) AS DOUBLE) AS n, CAST(sum({k}) AS DOUBLE) AS k, sum(CAST({n} AS DOUBLE) * {n}) AS nn, sum(CAST({k} AS
+        DOUBLE) * {k} / {n}) AS kk FROM {table} WHERE {n} > 0)))"""
 
 
-OP1 = f"""WITH rest AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
-    parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+OP1 = f"""WITH rest AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS r FROM
+        pages),
+    parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM rest),
     outcomes AS (SELECT doc_id AS page_id, quality = 1 AND coalesce(toxic, 0) = 0 AS good FROM labels),
-    known AS (SELECT page_id, count(*) AS n, sum(CAST(good AS BIGINT)) AS k FROM outcomes WHERE page_id IS NOT NULL AND good IS NOT NULL GROUP BY page_id),
+    known AS (SELECT page_id, count(*) AS n, sum(CAST(good AS BIGINT)) AS k FROM outcomes WHERE page_id IS NOT NULL AND good IS NOT NULL GROUP BY
+        page_id),
     counted AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(k), 0) AS k FROM parts LEFT JOIN known USING (page_id) GROUP BY host),
     cut AS (SELECT *, string_split(host, '.') AS l, regexp_matches(host, '^[0-9.]+$') AS ip FROM counted),
     two AS (SELECT *, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS t FROM cut),
-    hosts AS (SELECT host, n, k, CASE WHEN ip THEN host WHEN t IN {_two} THEN array_to_string(l[greatest(len(l) - 2, 1):], '.') ELSE t END AS domain, CASE WHEN ip THEN '' WHEN t IN {_two} THEN t ELSE l[len(l)] END AS suffix FROM two),
-    domains AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM hosts GROUP BY domain, suffix), tops AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM domains GROUP BY suffix),
+    hosts AS (SELECT host, n, k, CASE WHEN ip THEN host WHEN t IN {_two} THEN array_to_string(l[greatest(len(l) - 2, 1):], '.') ELSE t END AS domain,
+        CASE WHEN ip THEN '' WHEN t IN {_two} THEN t ELSE l[len(l)] END AS suffix FROM two),
+    domains AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM hosts GROUP BY domain, suffix), tops AS (SELECT suffix, sum(dn) AS sn, sum(dk)
+        AS sk FROM domains GROUP BY suffix),
     s0 AS ({_strength('tops', 'sn', 'sk')}), s1 AS ({_strength('domains', 'dn', 'dk')}), s2 AS ({_strength('hosts', 'n', 'k')}),
     base AS (SELECT CASE WHEN sum(sn) > 0 THEN CAST(sum(sk) AS DOUBLE) / sum(sn) ELSE 0.5 END AS r FROM tops),
     priors AS (SELECT domain, dn, dk, (sk - dk + s0.s * base.r) / (sn - dn + s0.s) AS r FROM domains JOIN tops USING (suffix), s0, base),
-    rates AS (SELECT host, n, (k + s2.s * (dk - k + s1.s * d.r) / (dn - n + s1.s)) / (n + s2.s) AS rate, n + s2.s AS size FROM hosts JOIN priors d USING (domain), s1, s2),
+    rates AS (SELECT host, n, (k + s2.s * (dk - k + s1.s * d.r) / (dn - n + s1.s)) / (n + s2.s) AS rate, n + s2.s AS size FROM hosts JOIN priors d
+        USING (domain), s1, s2),
     bounds AS (SELECT host, n AS n_labelled, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) AS lower FROM rates),
-    judged AS (SELECT page_id, host, path, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
-        WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
-    SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, n_labelled, round(lower, 6) AS lower FROM judged JOIN bounds USING (host)"""
+    judged AS (SELECT page_id, host, path, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN
+        'example.net/en/' WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR suffix(host, '.net')) AND
+        starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower >=
+        0.5 THEN 'allow' ELSE 'block' END AS verdict, n_labelled, round(lower, 6) AS lower FROM judged JOIN bounds USING (host)"""
 
-OP5 = """WITH q AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
-    SELECT query_id, rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS rank
+OP5 = """WITH q AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT query_id, rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS rank
     FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5"""
 
-OP6 = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS k FROM documents),
-    shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(k) < 2 THEN k ELSE list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) END) AS s FROM words),
+OP6 = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS k
+        FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(k) < 2 THEN k ELSE list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])
+        END) AS s FROM words),
     sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
     pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
     links AS (SELECT x, y FROM pairs JOIN sizes m ON m.doc_id = x JOIN sizes n ON n.doc_id = y WHERE 100 * c >= 80 * (m.n + n.n - c)),
     sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
     reach AS (SELECT DISTINCT doc_id AS d, doc_id AS r FROM documents UNION SELECT s.y, reach.r FROM reach JOIN sides s ON s.x = reach.d),
     least AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
-    SELECT t.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id, t.doc_id = l.component_id AS kept FROM documents t JOIN least l ON l.d = t.doc_id LEFT JOIN sizes z ON z.doc_id = t.doc_id"""
+    SELECT t.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id, t.doc_id = l.component_id AS kept FROM documents t JOIN least l ON l.d = t.doc_id
+        LEFT JOIN sizes z ON z.doc_id = t.doc_id"""

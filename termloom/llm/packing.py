@@ -49,7 +49,8 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, end_id:
                 out = [[] for _ in range(7)]
                 for doc, text in zip(ids[i : i + 512], texts.slice(i, 512).to_pylist(), strict=True):
                     text = text or ""
-                    packed = (np.asarray(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if any(t in text for t in added) else fast.encode(text)) + end
+                    packed = (np.asarray(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if any(t in text for t in added)
+                        else fast.encode(text)) + end
                     n, at, piece = len(packed) // 4, 0, 0
                     while at < n:
                         length = (n - at) % capacity or capacity
@@ -57,9 +58,12 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, end_id:
                             column.append(x)
                         seen[length] += 1
                         at, piece = at + length, piece + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids", "part", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c,
+                    t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
+                    ["doc_id", "piece", "start", "length", "ids", "part", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary, part long, place long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut,
+        "doc_id long, piece int, start long, length long, ids binary, part long, place long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -131,9 +135,12 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, end_id: int
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs = spark.createDataFrame(plan(counts, capacity), "length long, first long, end long, sequence long, at long, each long")
     ranked = pieces.join(maybe_broadcast(sizes.drop("n"), sizes.count(), 40), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
+    # the runs' number depends on the capacity alone
     placed = ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     step = F.col("rank") - F.col("first")
-    return placed.select("doc_id", "piece", "start", pieces["length"], "ids", (F.col("sequence") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(step, F.col("each")) * pieces["length"]).alias("offset"))
+    return placed.select("doc_id", "piece", "start", pieces["length"], "ids",
+        (F.col("sequence") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"),
+        (F.col("at") + F.pmod(step, F.col("each")) * pieces["length"]).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

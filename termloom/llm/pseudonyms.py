@@ -88,7 +88,8 @@ def permuted_name(address: str, key: str) -> str:
     rounds = f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> if(i % 2 = 0, named_struct('a', {added('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {added('s.b', 's.a')})))"
     kinds = {"a-z": "abcdefghijklmnopqrstuvwxyz", "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0-9": "0123456789"}
     order = f"array_sort(transform(split(k, ''), c -> named_struct('h', sha2({tweak}, 'one|', c), 256), 'c', c)))"
-    placed = let(f"case {' '.join(f"when n rlike '^[{r}]$' then '{k}'" for r, k in kinds.items())} end", "k", f"if(k is null, n, element_at({order}, locate(n, k)).c)")
+    placed = let(f"case {' '.join(f"when n rlike '^[{r}]$' then '{k}'" for r, k in kinds.items())} end", "k",
+        f"if(k is null, n, element_at({order}, locate(n, k)).c)")
     name = f"if(length(n) = 1, {placed}, {let(rounds, 'p', 'concat(p.a, p.b)')})"
     return let(f"substring_index({address}, '@', -1)", "w", let(f"substring_index({address}, '@', 1)", "n", name))
 
@@ -122,7 +123,8 @@ def pseudonym(key: str) -> str:
     iban = let("replace(m, ' ', '')", "x", f"case when length(x) between 15 and 34 and length({only_digits('substr(x, 5)')}) >= 2 and {remainder('concat(substr(x, 5), substr(x, 1, 4))')} = 1 then {let(iban_new, 't', spaced)} end")
     ssn_pair = feistel("(x[0] - 1 - if(x[0] > 666, 1, 0)) * 99 + x[1] - 1", "x[2] - 1", str(898 * 99), "9999", key, "ssn")
     area = "q.a div 99 + 1 + if(q.a div 99 + 1 >= 666, 1, 0)"
-    ssn = let("transform(split(m, '-'), z -> cast(z as int))", "x", f"case when x[0] between 1 and 899 and x[0] <> 666 and x[1] > 0 and x[2] > 0 then {let(ssn_pair, 'q', f"concat(lpad({area}, 3, '0'), '-', lpad(q.a % 99 + 1, 2, '0'), '-', lpad(q.b + 1, 4, '0'))")} end")
+    ssn = let("transform(split(m, '-'), z -> cast(z as int))", "x",
+        f"case when x[0] between 1 and 899 and x[0] <> 666 and x[1] > 0 and x[2] > 0 then {let(ssn_pair, 'q', f"concat(lpad({area}, 3, '0'), '-', lpad(q.a % 99 + 1, 2, '0'), '-', lpad(q.b + 1, 4, '0'))")} end")
     digits = only_digits("m")
     country = f"if(m rlike '^{AMERICAN}$', length(x) - 10, length(regexp_extract(x, '{COUNTRY}', 0)))"
     phone_new = f"concat(substr(x, 1, z), {permuted_digits('substr(x, z + 1)', key, 'phone')})"

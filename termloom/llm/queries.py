@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, chunk_dedup, kd_search, language_id, oracles, packing, pseudonyms, setsketch, suffix_dedup, url_reputation, word_quality
 
-RULES = [url_reputation.Rule("block", "net", "/"), url_reputation.Rule("allow", "example.net", "/en/"), url_reputation.Rule("block", "example.com", "/de/"), url_reputation.Rule("allow", "org", "/fr/")]
+RULES = [url_reputation.Rule("block", "net", "/"), url_reputation.Rule("allow", "example.net", "/en/"),
+    url_reputation.Rule("block", "example.com", "/de/"), url_reputation.Rule("allow", "org", "/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,8 @@ def op3_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
-    packed = packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=2, capacity=1024)
+    packed = packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        end_id=2, capacity=1024)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -67,7 +69,8 @@ def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     model = language_id.fit(docs.where(~held))
     predicted = language_id.identify(docs, model)
-    return predicted.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return predicted.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))).select("doc_id", "held_out",
+        "lang_pred", "score", "rejected")
 
 
 def op9_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +83,13 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode(encoded, path, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k, op6_setsketch, op7_quality_model, op8_language_centroids, op9_suffix_buckets, op10_chunked_bpe)}
+    return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k,
+        op6_setsketch, op7_quality_model, op8_language_centroids, op9_suffix_buckets, op10_chunked_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

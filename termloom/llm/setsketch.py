@@ -115,7 +115,9 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 other = np.concatenate([np.zeros(1, U), np.cumsum(mix(sets + M1), dtype=U)])
                 digests = np.column_stack([total[at[1:]] - total[at[:-1]], other[at[1:]] - other[at[:-1]]])
                 regs = registers(sets, at)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(np.diff(at)), pa.array([x.tobytes() for x in digests], pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(np.diff(at)),
+                    pa.array([x.tobytes() for x in digests], pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n_shingles long, digest binary, sketch binary")
 
@@ -144,7 +146,8 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int, slack: float =
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     side = classes.select("doc", "n", "sketch")
-    met = pairs.join(side.withColumnRenamed("doc", "a"), "a").join(side.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    met = pairs.join(side.withColumnRenamed("doc", "a"),
+        "a").join(side.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
     return met.select("a", "b", "n", "n_b", "sketch", "sketch_b").mapInArrow(estimate, "a long, b long")
 
 
@@ -159,7 +162,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, most: int, size: int) -> DataF
         for b in batches:
             for i, j, d, o in slices(*utf8(b.column("text")), texts=4096):
                 sets, at = shingle_sets(d, o, size)
-                yield pa.RecordBatch.from_arrays([b.column("doc").slice(i, j - i), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("doc").slice(i, j - i),
+                    pa.array([sets[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["doc", "shingles"])
 
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
     return texts.join(maybe_broadcast(wanted, most, 16), "doc").mapInArrow(made, "doc long, shingles binary")
@@ -178,7 +182,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(bool(linked(common, len(p), len(q), percent)))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    met = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
+    met = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")),
+        "b").join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
     return met.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
@@ -235,14 +240,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketches = stage(sketch(docs, size), "sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     one = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m")
-    classes = stage(named.groupBy("digest").agg(one).select("digest", F.col("m.doc_id").alias("doc"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "classes")
+    classes = stage(named.groupBy("digest").agg(one).select("digest", F.col("m.doc_id").alias("doc"), F.col("m.n_shingles").alias("n"),
+        F.col("m.sketch").alias("sketch")), "classes")
     plain = classes.drop("digest")
     keys = banded(plain)
     least = F.min(F.struct("doc", "n")).alias("least")
     buckets = stage(keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("values"), least).where(F.col("members") > 1), "buckets")
     met = stage(keys.join(buckets, "key"), "met")
 
-    first = met.where((F.col("doc") != F.col("least.doc")) & sizes_allow("n", "least.n", percent)).select(F.col("least.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    first = met.where((F.col("doc") != F.col("least.doc")) & sizes_allow("n", "least.n", percent)).select(F.col("least.doc").alias("a"),
+        F.col("doc").alias("b")).distinct()
     tried = stage(promising(first, plain, percent), "pairs")
     sets = stage(full_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), 2 * tried.count(), size), "sets")
     links = stage(verified(tried, sets, percent), "links")
@@ -251,7 +258,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     parent = links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("up"))
     top = parent.select(F.col("doc").alias("up"), F.col("up").alias("top"))
     label = stage(parent.join(top, "up", "left").select("doc", F.coalesce("top", "up").alias("part")), "label")
-    parts = stage(met.where(F.col("members") > 2).select("key", "doc", "members", "values").join(label, "doc", "left").withColumn("part", F.coalesce("part", "doc")), "parts")
+    parts = stage(met.where(F.col("members") > 2).select("key", "doc", "members", "values").join(label, "doc", "left").withColumn("part",
+        F.coalesce("part", "doc")), "parts")
     more = remaining(docs, parts, plain, size, percent)
 
     member = stage(named.select("doc_id", "digest").join(classes.select("digest", F.col("doc").alias("node")), "digest").select("doc_id", "node"), "member")
@@ -277,13 +285,15 @@ def remaining(docs: DataFrame, parts: DataFrame, classes: DataFrame, size: int,
     still = stage(parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") != F.col("high")).select("key"), "still")
     number = F.ceil(F.greatest(F.col("members") / BLOCK, 8 * F.col("values") / BLOCK_BYTES)).cast("int")
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("i")
-    rows = parts.join(still, "key").join(classes, "doc").withColumn("blocks", number).select("key", "blocks", block, F.struct("doc", "part", "n", "sketch").alias("m"))
+    rows = parts.join(still, "key").join(classes, "doc").withColumn("blocks", number).select("key", "blocks", block,
+        F.struct("doc", "part", "n", "sketch").alias("m"))
     blocks = stage(rows.groupBy("key", "blocks", "i").agg(F.collect_list("m").alias("left")), "blocks")
     alone = blocks.where(F.col("blocks") == 1).select("key", "i", F.col("i").alias("j"), "left", F.col("left").alias("right"))
     many = blocks.where(F.col("blocks") > 1)
     left = many.select("key", "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"), "left")
     right = many.select("key", F.explode(F.sequence(F.lit(0), "i")).alias("i"), F.col("i").alias("j"), F.col("left").alias("right"))
-    pairs = alone.unionByName(left.join(right, ["key", "i", "j"]))
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism  # dealt by number: the rows are small, the work on them is not
+    pairs = alone.unionByName(left.join(right, ["key", "i", "j"])).repartition(tasks, "key", "i", "j")
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -307,7 +317,8 @@ def remaining(docs: DataFrame, parts: DataFrame, classes: DataFrame, size: int,
 
     members = stage(pairs.mapInPandas(near, "key long, i long, j long, side long, doc long, part long"), "members")
     # Pairs of blocks with the same members on both sides are compared once.
-    sides = members.groupBy("key", "i", "j").agg(F.min("doc").alias("low"), F.count("*").alias("rows"), F.sum(F.xxhash64("side", "doc").cast("decimal(38,0)")).alias("name"))
+    sides = members.groupBy("key", "i", "j").agg(F.min("doc").alias("low"), F.count("*").alias("rows"),
+        F.sum(F.xxhash64("side", "doc").cast("decimal(38,0)")).alias("name"))
     once = sides.groupBy("low", "rows", "name").agg(F.min(F.struct("key", "i", "j")).alias("k")).select("k.key", "k.i", "k.j")
     chosen = stage(members.join(once, ["key", "i", "j"]), "members")
     unstage(members, blocks, still)

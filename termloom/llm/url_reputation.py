@@ -75,7 +75,8 @@ def concentration(counts: DataFrame, n: str, k: str, least: float = 1.0, most: f
     Only sums over the groups with labels are gathered: one row, whatever the number of groups.
     """
     c = counts.where(F.col(n) > 0).select(F.col(n).cast("double").alias("n"), F.col(k).cast("double").alias("k"))
-    s = c.agg(F.count("*").alias("j"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk")).first()
+    s = c.agg(F.count("*").alias("j"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn"),
+        F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk")).first()
     if s["j"] < 2 or s["n"] <= s["j"]:
         return default
     mean = s["k"] / s["n"]
@@ -92,7 +93,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suf
     ``outcomes`` (page_id, good boolean): rows with a null id or outcome don't count; an id that occurs twice counts
     twice. Hosts without labels get their domain's posterior as prior, and so their bound is wide.
     """
-    known = outcomes.where(F.col("page_id").isNotNull() & F.col("good").isNotNull()).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
+    known = outcomes.where(F.col("page_id").isNotNull() & F.col("good").isNotNull()).groupBy("page_id").agg(F.count("*").alias("n"),
+        F.sum(F.col("good").cast("long")).alias("k"))
     hosts = (
         pages.join(known, "page_id", "left").groupBy("host")
         .agg(F.count("*").alias("n_pages"), F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.sum(F.coalesce("k", F.lit(0))).alias("k"))
@@ -118,7 +120,8 @@ def posterior(k: Column, n: Column, strength: float, prior: Column) -> Column:
     return (k + strength * prior) / (n + strength)
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_rate: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_rate: float = 0.5, z: float = 1.645,
+    suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_labelled, lower) of every row of ``pages`` (page_id, url; other columns are ignored).
 
     A null url, or one without ``://``, has an empty host and path and is judged by the reputation of the empty host.

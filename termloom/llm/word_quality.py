@@ -97,7 +97,8 @@ def train(rows: DataFrame, max_rows: int = 2000, iterations: int = 300, penalty:
                     for t in range(j - i):
                         v, c = np.unique(bucket[bounds[t] : bounds[t + 1]], return_counts=True)
                         packed[t].append(np.rec.fromarrays([v + k * BUCKETS, c / max(c.sum(), 1)], dtype=[("i", "<u2"), ("v", "<f4")]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i).cast(pa.int32()), pa.array([np.concatenate(p).tobytes() for p in packed], pa.binary())], ["doc_id", "quality", "f"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i).cast(pa.int32()),
+                    pa.array([np.concatenate(p).tobytes() for p in packed], pa.binary())], ["doc_id", "quality", "f"])
 
     got = known.mapInArrow(features, "doc_id long, quality int, f binary").toArrow().sort_by("doc_id")
     if n and not len(got):
@@ -200,9 +201,11 @@ def judge(docs: DataFrame, labelled: DataFrame, threshold: float = 0.2, max_rows
                 c = base_counts(d, o)
                 failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat * c["n_words"])
                 p = model.score(d, o) if model else np.ones(j - i)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *(pa.array(c[k], pa.int64()) for k in c), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], [*COLUMNS])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *(pa.array(c[k], pa.int64()) for k in c), pa.array(failed),
+                    pa.array(p), pa.array(~failed & (p >= threshold))], [*COLUMNS])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
 
 
-COLUMNS = {"doc_id": "long", "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "quality": "double", "kept": "boolean"}
+COLUMNS = {"doc_id": "long", "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
+    "base_failed": "boolean", "quality": "double", "kept": "boolean"}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
 import corpus_pipeline
@@ -26,7 +27,8 @@ def hard_texts():
     passage = prose(1, 60)
     return [
         (0, None), (1, ""), (2, " \n\t"), (3, "word"), (4, "a b"), (5, prose(2, 80)), (6, prose(2, 80)), (7, prose(3, 40) + " " + passage + " " + prose(4, 40)),
-        (8, prose(5, 30) + " " + passage + " " + prose(6, 50)), (9, "é" * 300), (10, "é" * 301), (11, "na na " * 200), (12, "x" * 5000), (13, prose(7, 9000)), (14, "12345 678 !!"), (15, "a  b   c\n\n d  "),
+        (8, prose(5, 30) + " " + passage + " " + prose(6, 50)), (9, "é" * 300), (10, "é" * 301), (11, "na na " * 200), (12, "x" * 5000),
+            (13, prose(7, 9000)), (14, "12345 678 !!"), (15, "a  b   c\n\n d  "),
         (16, "emoji 😀 " * 30), (None, prose(8, 50)), (17, prose(9, 50)), (17, prose(9, 50)),
     ]
 
@@ -46,7 +48,8 @@ def known(rows):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "http://A.B.net", "HTTP://X.net/a?b#c", "http://e.net/en/x", "http://m.example.net/en/1", "a://b://c/d", "http://h.org/fr/", "http://h.org?q=/fr/", "http://É.com/"]
+    urls = [None, "", "no scheme", "http://", "http://A.B.net", "HTTP://X.net/a?b#c", "http://e.net/en/x", "http://m.example.net/en/1", "a://b://c/d",
+        "http://h.org/fr/", "http://h.org?q=/fr/", "http://É.com/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, None, "y")], "page_id long, url string, host string")
     outcomes = spark.createDataFrame([(0, True), (4, False), (4, False), (None, True), (5, None)], "page_id long, good boolean")
     for known_outcomes in (outcomes, outcomes.limit(0)):
@@ -59,7 +62,8 @@ def test_urls(spark):
 
 
 def test_reputation_shrinks(spark):
-    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else 'good'}.d{i % 7}.com/{i}") for i in range(80)] + [(80, "http://new.d1.com/")], "page_id long, url string")
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else 'good'}.d{i % 7}.com/{i}") for i in range(80)] + [(80, "http://new.d1.com/")],
+        "page_id long, url string")
     outcomes = spark.createDataFrame([(i, i >= 40) for i in range(80)], "page_id long, good boolean")
     lower = {r["host"]: r["lower"] for r in url_reputation.judge_urls(pages, outcomes, []).collect()}
     assert lower["bad.d1.com"] < lower["new.d1.com"] < lower["good.d1.com"]
@@ -69,7 +73,8 @@ def test_reputation_blocks_and_leaves_own_outcomes_out(spark):
     """A host of bad outcomes is blocked; its domain's other host has them as a prior, and a host alone in its domain only its suffix's."""
     hosts = ["bad.one.com"] * 60 + ["bad2.one.com"] * 2 + ["good.two.com"] * 60 + ["alone.org"] * 30
     pages = spark.createDataFrame([(i, f"http://{h}/{'x' * (20000 if i == 0 else 1)}") for i, h in enumerate(hosts)], "page_id long, url string")
-    outcomes = spark.createDataFrame([(i, h.startswith("good") or h == "alone.org") for i, h in enumerate(hosts) if h != "bad2.one.com"], "page_id long, good boolean")
+    outcomes = spark.createDataFrame([(i, h.startswith("good") or h == "alone.org") for i, h in enumerate(hosts) if h != "bad2.one.com"],
+        "page_id long, good boolean")
     got = {r["host"]: r for r in url_reputation.judge_urls(pages, outcomes, []).collect()}
     assert {h: r["verdict"] for h, r in got.items()} == {"bad.one.com": "block", "bad2.one.com": "block", "good.two.com": "allow", "alone.org": "allow"}
     assert got["bad2.one.com"]["n_labelled"] == 0 and got["bad2.one.com"]["lower"] < 0.2
@@ -82,7 +87,9 @@ def test_reputation_blocks_and_leaves_own_outcomes_out(spark):
 
 
 def test_pseudonyms(spark, docs, empty):
-    cases = ["4417744280351547", "4417-7442-8035-1547", "9807915762804490", "+1 (743) 555-3824", "743-555-3824", "97.51.17.173", "999.1.1.1", "1984-02-29", "02/29/1984", "2023-02-31", "123-45-6789", "666-12-3456", "DE89 3704 0044 0532 0130 00", "DE00370400440532013000", "und.34@mail7.example.com"]
+    cases = ["4417744280351547", "4417-7442-8035-1547", "9807915762804490", "+1 (743) 555-3824", "743-555-3824", "97.51.17.173", "999.1.1.1",
+        "1984-02-29", "02/29/1984", "2023-02-31", "123-45-6789", "666-12-3456", "DE89 3704 0044 0532 0130 00", "DE00370400440532013000",
+        "und.34@mail7.example.com"]
     rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"<{c}> and <{c}>") for i, c in enumerate(cases)], "doc_id long, text string"), "k").collect()
     new = {}
     for r in rows:
@@ -106,9 +113,11 @@ def test_pseudonyms(spark, docs, empty):
 
 def test_pseudonyms_of_phones(spark):
     """Grouped and unbroken phones of other countries, and a bracket without a separator; equal ones stay equal."""
-    cases = ["(743)555-3824", "+1(743)555-3824", "743-555-3824", "+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "+6591234567", "+65 9123 4567", "+4721234567", "+44 (0)20 7946 0958"]
+    cases = ["(743)555-3824", "+1(743)555-3824", "743-555-3824", "+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+33.1.23.45.67.89",
+        "+6591234567", "+65 9123 4567", "+4721234567", "+44 (0)20 7946 0958"]
     left = ["+1234567", "+12345678901234567", "12 345 678"]
-    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"call {c}, or not") for i, c in enumerate(cases + left)], "doc_id long, text string"), "k").collect()
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(i, f"call {c}, or not") for i, c in enumerate(cases + left)], "doc_id long, text string"),
+        "k").collect()
     new = {(cases + left)[r["doc_id"]]: r["text"][5:-8] for r in rows}
     assert {c: r["n_phone"] for c, r in zip(cases + left, sorted(rows, key=lambda r: r["doc_id"]))} == {**dict.fromkeys(cases, 1), **dict.fromkeys(left, 0)}
     for old, now in new.items():
@@ -162,7 +171,8 @@ def test_packing(spark, docs, empty):
     got = packing.pack(df, PATH("byte_bpe_50k.json"), PATH("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     cells = got.collect()
     key = lambda p: (p[0] is None, p)
-    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"]) for r in cells), key=lambda p: str(p)) == sorted(((i, *p[:3]) for i, x in rows for p in brute.op4_pieces(x, t)), key=lambda p: str(p)) and key
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"]) for r in cells),
+        key=lambda p: str(p)) == sorted(((i, *p[:3]) for i, x in rows for p in brute.op4_pieces(x, t)), key=lambda p: str(p)) and key
     joined = packing.sequences(got).collect()
     assert sum(r["n_tokens"] for r in joined) == sum(r["length"] for r in cells) and all(len(r["ids"]) == 4 * r["n_tokens"] <= 4096 for r in joined)
     assert packing.pack(empty, PATH("byte_bpe_50k.json"), PATH("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
@@ -196,9 +206,11 @@ def test_top_k(spark):
     rows = [x for x in rows if x[0] not in (1, 50) or x[1] is None or x[1][0] != x[1][0]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string")
     for shard in (16, 64, 1 << 15):
-        got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in kd_search.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=shard, block_rows=7).collect())
+        got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"])
+            for q in kd_search.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=shard, block_rows=7).collect())
         assert got == brute.op5([x[:2] for x in rows])
-    doubled = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in kd_search.top_k(df.union(df), df.union(df).where("vec_id % 50 = 0"), 5).collect())
+    doubled = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"])
+        for q in kd_search.top_k(df.union(df), df.union(df).where("vec_id % 50 = 0"), 5).collect())
     assert doubled == brute.op5([x[:2] for x in rows])
     assert kd_search.top_k(df.limit(0), df.limit(0)).count() == 0
     assert kd_search.top_k(df.limit(1), df.limit(1)).count() == 0
@@ -340,7 +352,8 @@ def test_components(spark):
 
 
 def test_quality(spark, docs, empty):
-    labelled = spark.createDataFrame([(i, prose(i, 60), 1) for i in range(60)] + [(100 + i, " ".join(f"{w}%%%" for w in prose(i, 60).split()), 0) for i in range(60)], "doc_id long, text string, quality int")
+    labelled = spark.createDataFrame([(i, prose(i, 60), 1) for i in range(60)] + [(100 + i, " ".join(f"{w}%%%" for w in prose(i, 60).split()), 0)
+        for i in range(60)], "doc_id long, text string, quality int")
     got = {r["doc_id"]: r for r in word_quality.judge(docs, labelled).collect()}
     for i, t in known(hard_texts()):
         want = brute.op7(t)
@@ -413,7 +426,8 @@ def test_language_sample_bounds():
 
 def test_repeated_strings(spark, docs, empty):
     rows = known(hard_texts())
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(docs).collect() if r["doc_id"] is not None]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest())
+        for r in suffix_dedup.dedup(docs).collect() if r["doc_id"] is not None]
     once = [x for x in rows if x[0] != 17]
     want = brute.op9(once)
     assert sorted(x for x in got if x[0] != 17) == sorted((d, *v) for d, v in want.items())
@@ -446,7 +460,8 @@ def test_repeated_strings_very_long_texts(spark):
     long = "".join(r.choices("abcdefghijklmnop ", k=2 * size + 5000))
     passage, short = long[size - 150 : size + 250], "".join(r.choices("qrstuvwxyz ", k=500))
     rows = [(1, long), (2, short + passage), (3, "z" * (size + 3000)), (4, None)]
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]]
+        for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [(size - 150, size + 250)], 2: [(500, 900)], 3: [(0, size + 3000)], 4: []}
 
 
@@ -463,22 +478,53 @@ def test_bpe(spark, docs, empty):
 
 
 def test_pipeline_stages(spark, sf_dir):
+    """Every stage against a plain version on what the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, before = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = corpus_pipeline.stage(stage(spark, docs, sf_dir), name)
         assert out.columns == columns
-        after = {r["doc_id"]: r["text"] for r in out.collect()}
-        assert set(after) <= set(before)
+        rows = out.collect()
+        after = {r["doc_id"]: r["text"] for r in rows}
+        assert set(after) <= set(before) and len(rows) == len(after)
         if name == "language_id":
             assert len(after) >= 0.97 * len(before) and all(before[d] == t for d, t in after.items())
         if name == "minhash_near_dedup":
             want = brute.op6(before.items(), 5)
             assert set(after) == {d for d, (_, c) in want.items() if d == c}
-        if name in ("substring_dedup", "pii"):
-            assert set(after) == set(before)
         if name == "substring_dedup":
+            assert {d: t or "" for d, t in after.items()} == {d: t for d, (t, _) in brute.op3(before.items()).items()}
             assert sum(map(len, after.values())) < sum(map(len, before.values()))
+        if name == "pii":
+            assert after == {d: brute.op2(t, Q.pseudonym_key(spark))[0] for d, t in before.items()}
+        if name in ("substring_dedup", "pii"):
+            assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None)
         docs, before = out, after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    assert {r["doc_id"] for r in packed} == set(before)
+    tokenizer = brute_tokenizer()
+    want = sorted((d, *p) for d, text in before.items() for p in brute.op4_pieces(text, tokenizer))
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], zlib.crc32(r["ids"])) for r in packed) == want
+
+
+def brute_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH("byte_bpe_50k.json"))
+
+
+def test_pipeline_stages_on_hard_rows(spark, empty):
+    """Nulls in every column, repeated rows, an extra column, and no rows at all."""
+    rows = [(i, t, "en" if i is None or i % 2 else None, None, None, 7) for i, t in hard_texts()]
+    docs = spark.createDataFrame(rows, SCHEMA + ", digest long")
+    kept = {}
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, empty, None).count() == 0
+        out = function(spark, docs, None)
+        kept[name] = sorted((r["doc_id"] for r in out.collect()), key=str)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns and {r["digest"] for r in out.collect()} == {7}
+    ids = sorted((i for i, _ in hard_texts()), key=str)
+    assert not {0, 1, 2, 14} & set(kept["language_id"]) and kept["language_id"].count(17) == 2
+    linked = brute.op6(known(hard_texts()), 5)
+    assert kept["minhash_near_dedup"] == sorted((i for i in ids if i is None or linked[i][1] == i), key=str)
+    assert kept["substring_dedup"] == kept["pii"] == ids and set(kept["best_fit_packing"]) == set(ids)
