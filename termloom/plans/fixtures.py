@@ -217,8 +217,16 @@ class Fixtures:
                 F.lit(None).cast("string").alias("submit_ts")).alias("online"))
 
 
-_made: dict[tuple[str, str], Fixtures] = {}
+_made: dict[tuple, Fixtures] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, times and sizes of what the folder holds now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in found))
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return _made.setdefault((spark.sparkContext.applicationId, sf_dir), Fixtures(spark, sf_dir))
+    """The folder's derived tables, made anew where it has changed."""
+    return _made.setdefault((spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir)), Fixtures(spark, sf_dir))

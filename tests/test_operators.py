@@ -261,3 +261,12 @@ def test_staged_tables_go(spark):
     path = session._staged[df]
     session.unstage(df)
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_a_changed_folder_has_new_tables(spark, tmp_path):
+    from termloom.plans.fixtures import fixtures
+
+    for n in (3, 5):
+        spark.range(n).selectExpr("id AS doc_id", "'a b' AS text").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        assert fixtures(spark, str(tmp_path)).segments().count() == n
+        assert fixtures(spark, str(tmp_path)) is fixtures(spark, str(tmp_path))
