@@ -18,7 +18,8 @@ from .textual import BYTE_VALUE, M1, M3, SEPARATOR, U, mix, runs, segment_hash,
 
 #: Hashes that draw a sample lie under this number.
 SCALE = 1 << 62
-#: Hash buckets of the features; a power of two.
+#: Hash buckets of each family of features; a power of two. With 600 labelled rows held out of 2600, 2 ** 11 buckets gave a
+#: log-loss of 0.155 and 2 ** 14 one of 0.153, for eight times the memory of a fit.
 BUCKETS = 1 << 11
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
