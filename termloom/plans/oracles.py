@@ -180,20 +180,25 @@ PARTS = {
         AND 3 FOLLOWING)) AS "end" FROM fx_free) g JOIN fx_texts x ON x.pmc_id = g.pmc_id""",
     "fx_ngrams": "SELECT * FROM fx_grams WHERE length(text) > 2 AND regexp_matches(text, '^[A-Za-z]')",
     "fx_asked": "SELECT *, row_number() OVER (ORDER BY key) - 1 AS doc_ord FROM fx_top1",
-    "fx_hits": """SELECT t.text, a.hpo_id, a.name, a.score FROM (SELECT DISTINCT text FROM fx_ngrams) t
-        JOIN fx_asked a ON a.doc_ord = CAST('0x' || substring(md5(t.text), 1, 8) AS BIGINT) % (SELECT count(*) FROM fx_asked)""",
+    "fx_asked_size": "SELECT count(*) AS size FROM fx_asked",
+    "fx_named": """SELECT text, CAST('0x' || substring(md5(text), 1, 8) AS BIGINT) % size AS place FROM (SELECT DISTINCT text FROM fx_ngrams), fx_asked_size""",
+    "fx_hits": "SELECT t.text, a.hpo_id, a.name, a.score FROM fx_named t JOIN fx_asked a ON a.doc_ord = t.place",
     "fx_near_grams": """SELECT g.pmc_id, g.run_id, CAST(g."start" AS BIGINT) AS a, CAST(g."start" + g.length AS BIGINT) AS z, g.text, h.hpo_id,
         h.name, h.score,
         row_number() OVER (PARTITION BY g.pmc_id, g.run_id ORDER BY h.score DESC, g."start", g.length DESC) AS place FROM fx_ngrams g JOIN fx_hits h
         ON h.text = g.text WHERE h.score >= 0.3""",
-    # each step takes the n-grams that no better one overlaps, and drops what these overlap
+    # each step takes the n-grams that no better one overlaps, and drops what these overlap; cells of 200 characters bring overlaps together
     "fx_greedy": """SELECT pmc_id, run_id, a, z, place, FALSE AS taken FROM fx_near_grams UNION ALL SELECT * FROM (
         WITH still AS (SELECT * FROM fx_greedy WHERE NOT taken),
-        best AS (SELECT * FROM still x WHERE NOT EXISTS (SELECT 1 FROM still y WHERE y.pmc_id = x.pmc_id AND y.run_id = x.run_id AND y.place < x.place
-        AND y.a < x.z AND x.a < y.z))
+        spread AS (SELECT *, unnest(range(a // 200, (z - 1) // 200 + 1)) AS cell FROM still),
+        beaten AS (SELECT DISTINCT x.pmc_id, x.run_id, x.place FROM spread x JOIN spread y ON y.pmc_id = x.pmc_id AND y.run_id = x.run_id
+            AND y.cell = x.cell AND y.place < x.place AND y.a < x.z AND x.a < y.z),
+        best AS (SELECT s.* FROM still s ANTI JOIN beaten b ON b.pmc_id = s.pmc_id AND b.run_id = s.run_id AND b.place = s.place),
+        winners AS (SELECT *, unnest(range(a // 200, (z - 1) // 200 + 1)) AS cell FROM best),
+        gone AS (SELECT DISTINCT x.pmc_id, x.run_id, x.place FROM spread x JOIN winners y ON y.pmc_id = x.pmc_id AND y.run_id = x.run_id
+            AND y.cell = x.cell AND y.a < x.z AND x.a < y.z)
         SELECT pmc_id, run_id, a, z, place, TRUE FROM best
-        UNION ALL SELECT pmc_id, run_id, a, z, place, FALSE FROM still x WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.pmc_id = x.pmc_id AND y.run_id
-        = x.run_id AND y.a < x.z AND x.a < y.z))""",
+        UNION ALL SELECT s.pmc_id, s.run_id, s.a, s.z, s.place, FALSE FROM still s ANTI JOIN gone g ON g.pmc_id = s.pmc_id AND g.run_id = s.run_id AND g.place = s.place)""",
     "fx_selected": """SELECT t.threshold, n.* FROM fx_near_grams n JOIN fx_greedy g ON g.taken AND g.pmc_id = n.pmc_id AND g.run_id = n.run_id AND
         g.place = n.place
         JOIN (SELECT unnest([0.3, 0.4, 0.5]::DOUBLE[]) AS threshold) t ON t.threshold <= n.score""",
@@ -461,6 +466,10 @@ STATEMENTS = {
 }
 
 
+#: Parts that are used more than once and dear to make.
+KEPT = {"fx_matches", "fx_tokens", "fx_top1", "fx_asked", "fx_ngrams", "fx_named", "fx_near_grams", "fx_selected"}
+
+
 def with_parts(statement: str) -> str:
     """A statement after the common parts that it needs, in order."""
     order: list[str] = []
@@ -472,7 +481,7 @@ def with_parts(statement: str) -> str:
                 order.append(name)
 
     need(statement)
-    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({PARTS[n]})" for n in order) + " " if order else "") + statement
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({PARTS[n]})" for n in order) + " " if order else "") + statement
 
 
 def oracle_sql() -> dict[str, str]:
