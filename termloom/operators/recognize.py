@@ -81,9 +81,10 @@ def free_token_ngrams(tokens: DataFrame, matches: DataFrame, most: int = 4) -> D
     order = Window.partitionBy("pmc_id").orderBy("tok_idx")
     islands = free.withColumn("run_id", F.col("tok_idx") - F.row_number().over(order) + 1)
     inside = Window.partitionBy("pmc_id", "run_id").orderBy("tok_idx").rowsBetween(0, most - 1)
-    ahead = islands.select("pmc_id", "run_id", "start", F.collect_list(F.struct("run", "gap", "end")).over(inside).alias("ahead"))
-    each = ahead.select("pmc_id", "run_id", "start", F.transform("ahead", lambda x: F.concat(x["run"], x["gap"])).alias("parts"),
-        F.posexplode("ahead").alias("before", "last"))
+    parts = islands.withColumn("part", F.concat("run", "gap"))
+    ahead = parts.select("pmc_id", "run_id", "start", F.collect_list("part").over(inside).alias("parts"),
+        F.collect_list(F.struct("run", "end")).over(inside).alias("ahead"))
+    each = ahead.select("pmc_id", "run_id", "start", "parts", F.posexplode("ahead").alias("before", "last"))
     text = F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("before")), ""), F.col("last.run"))
     return each.select("pmc_id", "run_id", "start", (F.col("last.end") - F.col("start")).alias("length"), text.alias("text"))
 
