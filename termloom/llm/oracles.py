@@ -62,3 +62,39 @@ OP6 = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(c
     least AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
     SELECT t.doc_id, coalesce(z.n, 0) AS n_shingles, l.component_id, t.doc_id = l.component_id AS kept FROM documents t JOIN least l ON l.d = t.doc_id
         LEFT JOIN sizes z ON z.doc_id = t.doc_id"""
+
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS r, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t, coalesce(lang, '') AS lang,
+        coalesce(source, '') AS source FROM documents),
+    w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    found AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    sizes AS (SELECT lang, source, sum(c) AS n FROM found GROUP BY lang, source), known AS (SELECT DISTINCT lang, source FROM d),
+    langs AS (SELECT lang, sum(total) AS lang_n, count(*) AS v FROM kept GROUP BY lang),
+    cells AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 5) // (coalesce(n, 0) + 5 * v) AS p,
+        1 + CAST(1000000000 AS HUGEINT) * (total + 5) // (lang_n + 5 * v) AS q
+        FROM known JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN sizes USING (lang, source) LEFT JOIN found USING (lang, source, term)),
+    apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM cells a JOIN cells b USING (lang, term) GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM known a JOIN known b ON a.lang = b.lang AND
+        a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+    both_parts AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM cells WHERE c > 0 AND p > q),
+    ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC,
+        item) AS rank FROM both_parts)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+def op12(k: int, rounds: int) -> str:
+    """A round is an assignment and a mean; floor division is by the remainder, as // rounds towards zero."""
+    squares = "list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = f"(SELECT vec_id, row, v, number, distance FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, number) AS place FROM (SELECT vec_id, row, v, number, {squares} AS distance FROM kept, c{{}})) WHERE place = 1)"
+    parts = ["""kept AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS number, v AS m FROM kept ORDER BY number LIMIT {k})"]
+    for r in range(rounds):
+        parts.append(f"""a{r} AS MATERIALIZED {near.format(r)}""")
+        parts.append(f"""s{r} AS (SELECT number, i, sum(x) AS total, count(*) AS n FROM (SELECT number, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY number, i)""")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.number, coalesce(any_value(moved.m), any_value(c{r}.m)) AS m FROM c{r} LEFT JOIN (SELECT number, list(CAST((total -
+            ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{r} GROUP BY number) moved USING (number) GROUP BY c{r}.number)""")
+    parts.append(f"last AS MATERIALIZED {near.format(rounds)}")
+    parts.append("spread AS (SELECT number, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM last GROUP BY number)")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(number AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, cluster_inertia, (SELECT CAST(sum(cluster_inertia)
+        AS BIGINT) FROM spread) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM last JOIN spread USING (number) JOIN c{rounds} USING (number)"""

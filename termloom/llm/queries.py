@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, kd_search, language_id, oracles, packing, pseudonyms, setsketch, suffix_dedup, url_reputation, word_quality
+from . import byte_bpe, chunk_dedup, divergence, kd_search, language_id, oracles, packing, pseudonyms, quality_additive, setsketch, suffix_dedup, threshold_clusters
+from . import url_reputation, word_quality
 
 RULES = [url_reputation.Rule("block", "net", "/"), url_reputation.Rule("allow", "example.net", "/en/"),
     url_reputation.Rule("block", "example.com", "/de/"), url_reputation.Rule("allow", "org", "/fr/")]
@@ -87,11 +88,30 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
+
+
+def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_clusters.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dimensions=64, scale=64, seed="1")
+
+
+def op13_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels of documents that are not held out; a document's label is the greatest of its rows'."""
+    docs, held = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    model = quality_additive.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = quality_additive.score(docs, model, threshold=0.3).withColumn("held_out", F.coalesce(held, F.lit(False)))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_reputation, op2_feistel_pseudonyms, op3_content_chunks, op4_large_item_packing, op5_kd_top_k,
-        op6_setsketch, op7_quality_model, op8_language_centroids, op9_suffix_buckets, op10_chunked_bpe)}
+        op6_setsketch, op7_quality_model, op8_language_centroids, op9_suffix_buckets, op10_chunked_bpe, op11_source_divergence,
+        op12_threshold_clusters, op13_additive_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others have models, tokenizers, hashes or byte offsets that SQL has not; tests hold them against plain versions."""
-    return {"op1_url_reputation": oracles.OP1, "op5_kd_top_k": oracles.OP5, "op6_setsketch": oracles.OP6}
+    return {"op1_url_reputation": oracles.OP1, "op5_kd_top_k": oracles.OP5, "op6_setsketch": oracles.OP6,
+        "op11_source_divergence": oracles.OP11, "op12_threshold_clusters": oracles.op12(16, 3)}

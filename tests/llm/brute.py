@@ -309,3 +309,48 @@ def op2(text, key):
         return m.group() if value is None else value
 
     return re.sub(PATTERN, new, text, flags=re.ASCII), n
+
+
+def op11(rows, least_docs=30, most_terms=50):
+    """{(lang, source, part, item): (value, rank)} of rows (lang, source, text)."""
+    rows = [tuple(v or "" for v in r) for r in rows]
+    lower, counts, docs = {i: i + 32 for i in range(65, 91)}, {}, {}
+    for lang, source, text in rows:
+        mine = counts.setdefault(lang, {}).setdefault(source, Counter())
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(lower))
+        mine.update(terms)
+        docs.setdefault(lang, Counter()).update(set(terms))
+    out = {}
+    for lang, sources in counts.items():
+        kept = [t for t, n in docs[lang].items() if n >= least_docs]
+
+        def shares(c, kept=kept):
+            size = sum(c[t] for t in kept) + 5 * len(kept)
+            return {t: 1 + 10**9 * (c[t] + 5) // size for t in kept}
+
+        whole, each = shares(sum(sources.values(), Counter())), {s: shares(c) for s, c in sources.items()}
+        for s, p in each.items():
+            pairs = [(-sum(abs(p[t] - q[t]) for t in kept), o.encode()) for o, q in each.items() if o != s]
+            terms = [(whole[t] - p[t], t.encode()) for t in kept if sources[s][t] and p[t] > whole[t]]
+            for part, found, most in (("pair", pairs, len(pairs)), ("term", terms, most_terms)):
+                for k, (value, item) in enumerate(sorted(found)[:most], 1):
+                    out[lang, s, part, item.decode()] = (-value, k)
+    return out
+
+
+def op12(rows, k=16, rounds=3, dimensions=64, scale=64, seed="1"):
+    """{row number: (cluster, distance, cluster inertia, inertia, hash of the centroid)} of the kept ones of rows (vec_id, components)."""
+    kept = {i: [math.floor(scale * x) for x in v] for i, (_, v) in enumerate(rows) if v is not None and len(v) == dimensions and all(x is not None and math.isfinite(x) for x in v)}
+    name = lambda i: hashlib.sha256(f"{seed}:{rows[i][0]}".encode()).hexdigest()
+    centroids = [list(kept[i]) for i in sorted(kept, key=lambda i: (rows[i][0] is None, name(i), kept[i]))[:k]]
+    for r in range(rounds + 1):
+        near = {i: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), n) for n, c in enumerate(centroids)) for i, v in kept.items()}
+        for n in range(len(centroids) if r < rounds else 0):
+            own = [kept[i] for i in kept if near[i][1] == n]
+            if own:
+                centroids[n] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    spread = Counter()
+    for d, n in near.values() if kept else ():
+        spread[n] += d
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return {i: (n, d, spread[n], sum(spread.values()), names[n]) for i, (d, n) in (near.items() if kept else ())}
