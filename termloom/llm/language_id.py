@@ -9,15 +9,17 @@ compared with training texts of about as many distinct n-grams.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh
+from .sampling import counted_keys, least_of_key, row_key, threshold_of
 from .textual import BYTE_VALUE, LOWER, M1, M3, SEPARATOR, U, slices, utf8
 
 DIMENSIONS = 1 << 12
@@ -110,24 +112,31 @@ def weigh(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def bounds(sizes: dict[str, int], max_rows: int) -> dict[str, int]:
     """How many rows of each language are drawn: all of the small ones, and of the others equal shares of what is left of ``max_rows``.
 
-    No share is under LANGUAGE_FLOOR, so with more than max_rows / LANGUAGE_FLOOR languages the sample has more rows than ``max_rows``.
+    No share is under LANGUAGE_FLOOR, or under an equal part of max_rows where there are too many languages for that; the
+    sum is never over max_rows.
     """
     out, left = {}, max_rows
     for k, name in enumerate(sorted(sizes, key=lambda name: (sizes[name], name))):
-        out[name] = min(sizes[name], max(left // (len(sizes) - k), LANGUAGE_FLOOR))
-        left = max(left - out[name], 0)
+        out[name] = min(sizes[name], max(left // (len(sizes) - k), min(LANGUAGE_FLOOR, max_rows // len(sizes))))
+        left -= out[name]
     return out
 
 
-def sample(known: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """The rows of each language in ``known`` whose hash of the id is low enough for about as many as its bound, and whether ``known`` has any."""
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    scale = 1 << 62
-    cut = [(name, scale * n // sizes[name]) for name, n in bounds(sizes, max_rows).items() if n < sizes[name]]
-    if not cut:
-        return known, bool(sizes)
-    most = F.create_map(*(F.lit(v) for pair in cut for v in pair))
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.coalesce(F.try_element_at(most, F.col("lang")), F.lit(scale))), True
+def sample(known: DataFrame, key: str, max_rows: int, max_languages: int) -> tuple[DataFrame, dict[str, int]]:
+    """Rows of ``known`` (lang, and ``key``, see sampling.row_key) whose key is low enough, and how many distinct keys each language may keep.
+
+    Only the ``max_languages`` languages with the most rows are learned; a warning names the next one.
+    """
+    largest = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages + 1).collect()
+    if len(largest) > max_languages:
+        warnings.warn(f"languages from {largest[-1]['lang']!r} on ({largest[-1]['count']} rows or fewer) are not learned", stacklevel=3)
+    own = known.where(F.col("lang").isin([r["lang"] for r in largest[:max_languages]]))
+    sizes = {r["lang"]: max(r["n_keys"], 1) for r in counted_keys(own, key, "lang").collect()} if largest else {}
+    most = bounds(sizes, max_rows)
+    if not sizes:
+        return own, most
+    limit = F.create_map(*(F.lit(v) for name in sizes for v in (name, threshold_of(most[name], sizes[name]))))
+    return own.where(F.col(key) < F.try_element_at(limit, F.col("lang"))), most
 
 
 def centroids(own: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -150,29 +159,41 @@ def held_out(own: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quantile: float = 0.002, slack: float = 0.6, rounds: int = 10) -> Centroids | None:
-    """Centroids from ``labelled`` (doc_id, text, lang), or from about ``max_rows`` of its rows, drawn by language (see bounds) with a hash of the id.
+def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quantile: float = 0.002, slack: float = 0.6, rounds: int = 10,
+        max_languages: int = 32) -> Centroids | None:
+    """Centroids from at most ``max_rows`` rows of ``labelled`` (doc_id, text, lang), drawn by language (see bounds) with a hash of the id.
+
+    Rows of one language and id count once, as do rows without an id that have one text. At most ``max_languages``
+    languages are learned, those with the most rows; no more than max_rows rows of features reach the driver.
 
     A language's limits come from rows held out of its centroids. One with under OWN_LIMITS rows takes those of rows of all
     languages against ``per_language`` rows alone, or folds of a small language's. Null texts and languages don't count. None if nothing is left.
     """
-    known, any_rows = sample(labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), max_rows)
+    key, tie = "key", "tie"
+    named = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", row_key().alias(key), F.xxhash64("text").alias(tie))
+    drawn, most = sample(named, key, max_rows, max_languages)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[str, int], int] = {}
         for b in batches:
+            keys = list(zip(b.column("lang").to_pylist(), b.column(key).to_pylist(), strict=True))
+            b = b.take(pa.array(least_of_key(keys, b.column(tie).to_pylist(), least), pa.int64()))
             for i, j, d, o in slices(*utf8(b.column("text")), texts=256):
                 c, cells = counts(d, o), []
                 for r in c:
                     at = np.flatnonzero(r)
                     cells.append(np.rec.fromarrays([at, r[at]], dtype=[("i", "<u2"), ("v", "<u4")]).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("lang").slice(i, j - i), pa.array(cells, pa.binary())],
-                    ["doc_id", "lang", "f"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in (key, tie, "lang")), pa.array(cells, pa.binary())], [key, tie, "lang", "f"])
 
-    got = known.mapInArrow(features, "doc_id long, lang string, f binary").toArrow().sort_by("doc_id")
-    if not len(got):
-        if any_rows:
-            raise RuntimeError("no labelled row was drawn")
+    if not most:
         return None
+    made = drawn.select(key, tie, "lang", "text").mapInArrow(features, "key long, tie long, lang string, f binary")
+    once = made.groupBy("lang", key).agg(F.min(F.struct(tie, "f"))["f"].alias("f"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(key))
+    limit = F.create_map(*(F.lit(v) for pair in most.items() for v in pair))
+    got = once.withColumn("place", place).where(F.col("place") <= F.try_element_at(limit, F.col("lang"))).select(key, "lang", "f").toArrow().sort_by(key)
+    if not len(got):
+        raise RuntimeError("no labelled row was drawn")
     c = np.zeros((len(got), DIMENSIONS), np.float32)
     for r, f in enumerate(got["f"]):
         cell = np.frombuffer(f.as_py(), [("i", "<u2"), ("v", "<u4")])

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import additive
-from .common import fresh
-from .sampling import counted_keys, row_key, threshold_of
+from .sampling import counted_keys, least_of_key, row_key, threshold_of
 from .textual import U, runs, segment_hash, slices, utf8, words
 from .word_quality import base_counts
 
@@ -59,29 +58,29 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         (log_words - per_word(spread)) / np.maximum(log_words, 1)], 1)  # the last: the words' entropy, against the most it can be
 
 
-def train(rows: DataFrame, max_rows: int = 4000, **options: int) -> additive.AdditiveModel | float:
+def train(rows: DataFrame, max_rows: int = 4000, drawn: bool = False, **options: int) -> additive.AdditiveModel | float:
     """The model of ``rows`` (doc_id, text, quality 0/1), fitted on at most ``max_rows`` of them that a hash picks (see sampling.row_key).
 
     Rows of one id count once, as do rows without an id that have one text. A null text is empty; null labels don't count.
-    With under ten rows, or one kind of label alone, the result is the smoothed share of label 1 instead.
+    If they are ``drawn`` already (by sampling.labelled), they aren't counted first. With under ten rows, or one kind of
+    label alone, the result is the smoothed share of label 1 instead.
     """
-    key, = fresh(rows, "key")
-    known = rows.where(F.col("quality").isin(0, 1)).select("doc_id", "text", F.col("quality").cast("int").alias("quality"), row_key().alias(key))
-    n_keys = counted_keys(known, key).first()["n_keys"]
-    drawn = known.where(F.col(key) < F.lit(threshold_of(max_rows, n_keys)))
+    known = rows.where(F.col("quality").isin(0, 1)).select("text", F.col("quality").cast("int").alias("quality"), row_key().alias("key"),
+        F.xxhash64("text", "quality").alias("tie"))
+    if not drawn:
+        known = known.where(F.col("key") < F.lit(threshold_of(max_rows, counted_keys(known, "key").first()["n_keys"])))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        least: dict[int, int] = {}
         for b in batches:
-            keys = b.column(key).to_pylist()
-            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            b = b.take(pa.array(new, pa.int64()))
+            b = b.take(pa.array(least_of_key(b.column("key").to_pylist(), b.column("tie").to_pylist(), least), pa.int64()))
             for i, j, d, o in slices(*utf8(b.column("text")), texts=TEXTS):
                 cells = [r.tobytes() for r in features(d, o)]
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), b.column("quality").slice(i, j - i), pa.array(cells, pa.binary())], [key, "quality", "f"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("key", "tie", "quality")), pa.array(cells, pa.binary())],
+                    ["key", "tie", "quality", "f"])
 
-    once = drawn.select(key, "text", "quality").mapInArrow(made, f"`{key}` long, quality int, f binary").groupBy(key)
-    got = once.agg(F.max(F.struct("quality", "f")).alias("m")).orderBy(key).limit(max_rows).select("m.quality", "m.f").toArrow()
+    once = known.select("key", "tie", "text", "quality").mapInArrow(made, "key long, tie long, quality int, f binary").groupBy("key")
+    got = once.agg(F.min(F.struct("tie", "quality", "f")).alias("m")).orderBy("key").limit(max_rows).select("m.quality", "m.f").toArrow()
     y = got["quality"].to_numpy().astype(np.float64)
     if len(y) < 10 or y.min() == y.max():
         return float((y.sum() + 1) / (len(y) + 2))

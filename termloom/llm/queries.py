@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, divergence, kd_search, language_id, oracles, packing, pseudonyms, quality_additive, setsketch, suffix_dedup, threshold_clusters
+from . import byte_bpe, chunk_dedup, divergence, kd_search, language_id, oracles, packing, pseudonyms, quality_additive, sampling, setsketch, suffix_dedup, threshold_clusters
 from . import url_reputation, word_quality
 
 RULES = [url_reputation.Rule("block", "net", "/"), url_reputation.Rule("allow", "example.net", "/en/"),
@@ -61,8 +61,7 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return word_quality.judge(docs, docs.select("doc_id", "text").join(labelled, "doc_id"))
+    return word_quality.judge(docs, sampling.labelled(docs, labels, "quality", max_rows=2000), max_rows=2000, drawn=True)
 
 
 def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +98,8 @@ def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from labels of documents that are not held out; a document's label is the greatest of its rows'."""
     docs, held = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    labels = table(spark, sf_dir, "labels").where(~held & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    model = quality_additive.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    known = sampling.labelled(docs, table(spark, sf_dir, "labels").where(~held), "quality", max_rows=4000)
+    model = quality_additive.train(known, max_rows=4000, drawn=True)
     scored = quality_additive.score(docs, model, threshold=0.3).withColumn("held_out", F.coalesce(held, F.lit(False)))
     return scored.select("doc_id", "held_out", "score", "predicted")
 

@@ -14,10 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import counted_keys, least_of_key, row_key, threshold_of
 from .textual import BYTE_VALUE, M1, M3, SEPARATOR, U, mix, runs, segment_hash, slices, utf8, words
 
-#: Hashes that draw a sample lie under this number.
-SCALE = 1 << 62
 #: Hash buckets of each family of features; a power of two. With 600 labelled rows held out of 2600, 2 ** 11 buckets gave a
 #: log-loss of 0.155 and 2 ** 14 one of 0.153, for eight times the memory of a fit.
 BUCKETS = 1 << 11
@@ -72,36 +71,36 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
 
-def threshold_of(rows: int, n: int) -> int:
-    """The hash, of SCALE, under which about ``rows`` of n rows lie; one at least."""
-    return max(SCALE * rows // n, 1)
-
-
-def train(rows: DataFrame, max_rows: int = 2000, iterations: int = 300, penalty: float = 1e-3) -> QualityModel | None:
-    """Fit on ``rows`` (doc_id, text, quality 0/1), or on about ``max_rows`` of them that a hash of the id picks.
+def train(rows: DataFrame, max_rows: int = 2000, drawn: bool = False, iterations: int = 300, penalty: float = 1e-3) -> QualityModel | None:
+    """Fit on at most ``max_rows`` of ``rows`` (doc_id, text, quality 0/1) that a hash of the id picks.
 
+    Rows of one id count once, as do rows without an id that have one text. If they are ``drawn`` already (by
+    sampling.labelled), they aren't counted first.
     A fifth of the sample is held out of the fit and calibrates its margins (Platt). Null texts and labels don't count.
     Without rows of both kinds there is no model.
     """
-    known = rows.where(F.col("text").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "text", "quality")
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SCALE)) < F.lit(threshold_of(max_rows, n)))
+    known = rows.where(F.col("text").isNotNull() & F.col("quality").isin(0, 1)).select("text", F.col("quality").cast("int").alias("quality"), row_key().alias("key"),
+        F.xxhash64("text", "quality").alias("tie"))
+    n = 0 if drawn else counted_keys(known, "key").first()["n_keys"]
+    if n:
+        known = known.where(F.col("key") < F.lit(threshold_of(max_rows, n)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
         for b in batches:
-            data, offsets = utf8(b.column("text"))
-            for i, j, d, o in slices(data, offsets):
+            b = b.take(pa.array(least_of_key(b.column("key").to_pylist(), b.column("tie").to_pylist(), least), pa.int64()))
+            for i, j, d, o in slices(*utf8(b.column("text"))):
                 packed = [[] for _ in range(j - i)]
                 for k, (bucket, text) in enumerate(ngram_keys(d, o)):
                     bounds = np.searchsorted(text, np.arange(j - i + 1))
                     for t in range(j - i):
                         v, c = np.unique(bucket[bounds[t] : bounds[t + 1]], return_counts=True)
                         packed[t].append(np.rec.fromarrays([v + k * BUCKETS, c / max(c.sum(), 1)], dtype=[("i", "<u2"), ("v", "<f4")]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i).cast(pa.int32()),
-                    pa.array([np.concatenate(p).tobytes() for p in packed], pa.binary())], ["doc_id", "quality", "f"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("key", "tie", "quality")),
+                    pa.array([np.concatenate(p).tobytes() for p in packed], pa.binary())], ["key", "tie", "quality", "f"])
 
-    got = known.mapInArrow(features, "doc_id long, quality int, f binary").toArrow().sort_by("doc_id")
+    made = known.select("key", "tie", "text", "quality").mapInArrow(features, "key long, tie long, quality int, f binary")
+    got = made.groupBy("key").agg(F.min(F.struct("tie", "quality", "f")).alias("m")).orderBy("key").limit(max_rows).select("m.quality", "m.f").toArrow()
     if n and not len(got):
         raise RuntimeError(f"none of {n} labelled rows was drawn")
     y = got["quality"].to_numpy().astype(np.float64)
@@ -186,14 +185,15 @@ def _repeated(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(text[np.cumsum(edge[:-1]) > 0], minlength=len(count))
 
 
-def judge(docs: DataFrame, labelled: DataFrame, threshold: float = 0.2, max_rows: int = 2000, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def judge(docs: DataFrame, labelled: DataFrame, threshold: float = 0.2, max_rows: int = 2000, drawn: bool = False, min_words: int = 20,
+        max_repeat: int = 30) -> DataFrame:
     """Counts, base verdict, probability and verdict of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     base_failed: under ``min_words`` words, or more than ``max_repeat`` % of them in repeated 8-word windows. kept is
     false for these, else whether the calibrated probability of quality reaches ``threshold`` (always, without a model).
     A null text has no words. Repeated rows give repeated results; no rows give none.
     """
-    model = train(labelled, max_rows)
+    model = train(labelled, max_rows, drawn)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

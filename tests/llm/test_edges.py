@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import warnings
 import zlib
 
 import brute
@@ -10,8 +11,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from termloom.llm import byte_bpe, chunk_dedup, components, kd_search, language_id, packing, pseudonyms, setsketch, suffix_dedup, url_reputation, word_quality
+from termloom.llm import additive, byte_bpe, chunk_dedup, components, divergence, kd_search, language_id, packing, pseudonyms, quality_additive, sampling
+from termloom.llm import setsketch, suffix_dedup, threshold_clusters, url_reputation, word_quality
 from termloom.llm import queries as Q
+from termloom.llm.textual import utf8
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PATH = public_tokenizers.path
@@ -408,8 +411,8 @@ def test_language_of_few_rows(spark):
 
 def test_sample_thresholds():
     for n in (2001, 10**6, 10**12, 10**18):
-        assert word_quality.threshold_of(2000, n) >= 1
-        assert abs(word_quality.threshold_of(2000, n) / word_quality.SCALE * n - 2000) < 1e-3 or n == 10**18
+        wanted = sampling.threshold_of(2000, n) / sampling.SCALE * n
+        assert 2000 <= wanted < 2400
 
 
 def test_rare_language_has_rows_at_any_size():
@@ -420,10 +423,34 @@ def test_rare_language_has_rows_at_any_size():
 
 def test_language_sample_bounds():
     assert language_id.bounds({"a": 10**9, "b": 700, "c": 3}, 2000) == {"a": 1297, "b": 700, "c": 3}
-    assert language_id.bounds({str(i): 100 for i in range(100)}, 2000) == {str(i): 50 for i in range(100)}
+    assert language_id.bounds({str(i): 100 for i in range(100)}, 2000) == {str(i): 20 for i in range(100)}
+    assert language_id.bounds({"a": 10**9, "b": 10**9, "c": 3}, 60) == {"a": 28, "b": 29, "c": 3}
     assert language_id.bounds({}, 2000) == {}
 
 
+@pytest.mark.parametrize("kind", ["null ids", "one id", "many languages"])
+def test_samples_are_bounded(spark, monkeypatch, kind):
+    """What reaches the driver is never more than max_rows rows, and no row without an id is lost to the sample."""
+    ids = {"null ids": "CAST(NULL AS LONG)", "one id": "IF(id < 4000, 7, id)", "many languages": "id"}[kind]
+    lang = "concat('l', id % 1000)" if kind == "many languages" else "IF(id % 2 = 0, 'aa', 'bb')"
+    rows = spark.range(8000).selectExpr(f"{ids} AS doc_id", "concat('text ', id, IF(id % 2 = 0, ' even', ' odd')) AS text", f"{lang} AS lang", "CAST(id % 2 AS INT) AS quality")
+    got, plain = [], type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: got.append(plain(df)) or got[-1])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        model = language_id.fit(rows, max_rows=600)
+    assert len(set(model.languages)) == (32 if kind == "many languages" else 2)
+    assert word_quality.train(rows, max_rows=600, iterations=5) and quality_additive.train(rows, max_rows=600, cycles=2)
+    assert len(got) == 3 and all((250 if kind == "many languages" else 550) <= len(t) <= 600 for t in got)
+
+
+def test_sample_is_the_same_in_every_division(spark):
+    """Of an id with many texts the same one is drawn, however rows are dealt."""
+    rows = spark.range(300).selectExpr("id % 30 AS doc_id", "concat('w', id, ' v', id * 7 % 11) AS text", "CAST(id % 2 AS INT) AS quality")
+    a, b = (quality_additive.train(rows.repartition(n), cycles=2) for n in (1, 7))
+    assert all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))
+
+
 def test_repeated_strings(spark, docs, empty):
     rows = known(hard_texts())
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest())
@@ -528,3 +555,114 @@ def test_pipeline_stages_on_hard_rows(spark, empty):
     linked = brute.op6(known(hard_texts()), 5)
     assert kept["minhash_near_dedup"] == sorted((i for i in ids if i is None or linked[i][1] == i), key=str)
     assert kept["substring_dedup"] == kept["pii"] == ids and set(kept["best_fit_packing"]) == set(ids)
+
+
+def test_divergence(spark, docs, empty, monkeypatch):
+    r = random.Random(4)
+    rows = [(None, None, None), ("", "", ""), ("xx", None, "A b C"), ("xx", "s1", "12 .,"), ("yy", "only", None)]
+    words = ["alpha", "Beta", "größe", "été", "don't", "日本", "x1y"]
+    rows += [(r.choice(["aa", "bb"]), r.choice(["s1", "s2", "S3", "é", None]), " ".join(r.choices(words, r.choices(range(1, 8), k=7), k=r.randint(0, 30)))) for _ in range(300)]
+    rows += [("aa", "hot", "alpha " * 5000), ("bb", "hot", "beta\n" * 3)] * 40
+    table = spark.createDataFrame([(*x, 1, 2) for x in rows], "lang string, source string, text string, value int, rank int").repartition(5)
+    for least, block in ((30, 1 << 18), (2, 4)):
+        monkeypatch.setattr(divergence, "BLOCK", block)
+        monkeypatch.setattr(divergence, "PAIRS", block)
+        got = divergence.audit(table, least_docs=least, shards=3).collect()
+        assert {(x["lang"], x["source"], x["part"], x["item"]): (x["value"], x["rank"]) for x in got} == brute.op11(rows, least)
+        assert len(got) == len(brute.op11(rows, least))
+    assert divergence.audit(empty).count() == 0
+    assert divergence.audit(docs).count() == 0  # one language, one source
+
+
+def test_runs_are_merged_in_order():
+    """Small blocks spill many runs; their postings come out of the heap in order, none lost."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts = [" ".join(r.choices(WORDS[:500], k=40)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"lang": [r.choice("ab") for _ in texts], "source": [r.choice("xyz") for _ in texts], "text": texts})
+    parts = [p for b in (batch.slice(i, 10) for i in range(0, 200, 10)) for p in divergence.index(iter([b]), shards=1, block=50)]
+    assert len(parts) >= 20
+    pieces = sorted((x["lang"], x["first"], n) for p in parts for n, x in enumerate(p.to_pylist()))
+    rows = [x for p in parts for x in p.to_pylist()]
+    rows.sort(key=lambda x: (x["lang"], x["first"]))
+    got = list(divergence.in_order((x["lang"], x["first"], zip([x["lang"]] * len(x["terms"]), x["terms"], x["sources"], x["counts"], x["docs"], strict=True)) for x in rows))
+    assert [p[:2] for p in got] == sorted(p[:2] for p in got) and len(pieces) == len(rows)
+    assert sum(p[3] for p in got) == sum(len([w for w in divergence_terms(t)]) for t in texts)
+
+
+def divergence_terms(text):
+    import re
+
+    return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text)
+
+
+def test_threshold_clusters(spark):
+    r = random.Random(6)
+    vectors = [[r.uniform(-1, 1) for _ in range(8)] for _ in range(400)] + [[float(r.randint(-1, 1)) for _ in range(8)] for _ in range(200)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, vectors[5]), (3, vectors[3]), (None, vectors[0]), (900, None), (901, [1.0] * 7), (902, []),
+        (903, [None] + [1.0] * 7), (904, [float("nan")] * 8), (905, [float("inf")] * 8), (906, [2.0**20] * 8), (907, [-(2.0**20)] * 8)]
+    table = spark.createDataFrame([(i, v, "x", 7) for i, v in rows], "vec_id long, embedding array<double>, hash string, cluster int").repartition(3)
+    for k, rounds in ((16, 3), (1, 0), (700, 1)):
+        got = threshold_clusters.cluster(table, k=k, rounds=rounds, dimensions=8).collect()
+        want = [(rows[i][0], *w) for i, w in brute.op12(rows, k, rounds, 8).items()]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert threshold_clusters.cluster(table.limit(0), dimensions=8).count() == 0 and threshold_clusters.cluster(table, dimensions=9).count() == 0
+    with pytest.raises(Exception, match="in magnitude"):
+        threshold_clusters.cluster(spark.createDataFrame([(1, [1e12])], table.select("vec_id", "embedding").schema), dimensions=1).count()
+
+
+def test_threshold_walk_is_exact_and_stops_early():
+    r = np.random.default_rng(3)
+    for k, d, high in ((16, 64, 50), (16, 3, 3), (5, 1, 2), (40, 8, 1000)):
+        centroids, x = r.integers(-high, high, (k, d)), r.integers(-high, high, (500, d))
+        near, distance, depth = threshold_clusters.SortedLists(centroids).nearest(x)
+        plain = ((x[:, None] - centroids[None]) ** 2).sum(2)
+        assert (near == plain.argmin(1)).all() and (distance == plain.min(1)).all()
+        assert k < 16 or depth.mean() < 0.7 * k
+    assert threshold_clusters._whole(np.array([2**62, 2**62, 5])) == 2**63 + 5
+
+
+def test_additive_model():
+    """Tables follow a curve and a pair's interaction; scores are the sums of cells."""
+    r = np.random.default_rng(1)
+    x = np.stack([r.random(4000), r.random(4000), r.integers(0, 2, 4000), np.zeros(4000)], 1)
+    odds = 4 * np.sin(6 * x[:, 0]) + 6 * ((x[:, 1] > 0.5) ^ (x[:, 2] > 0)) - 3
+    y = (r.random(4000) < 1 / (1 + np.exp(-odds))).astype(float)
+    model = additive.fit(x[:3000], y[:3000], n_pairs=2)
+    assert (1, 2) in model.pairs and len(model.tables[3]) == 1
+    p, best = model.score(x[3000:]), 1 / (1 + np.exp(-odds[3000:]))
+    assert additive.log_loss(np.log(p / (1 - p)), y[3000:]) < additive.log_loss(odds[3000:], y[3000:]) + 0.04
+    assert np.abs(p - best).mean() < 0.08
+    bins = model.bins(x[:5])
+    by_hand = [model.bias + sum(t[b[f]] for f, t in enumerate(model.tables)) + sum(t[b[i], b[j]] for (i, j), t in model.pairs.items()) for b in bins]
+    assert np.allclose(model.margin(bins), by_hand)
+
+
+def test_additive_quality(spark, docs, empty):
+    r = random.Random(8)
+    good = [(i, prose(i, r.randint(5, 80)), 1) for i in range(150)]
+    bad = [(200 + i, " ".join(f"{w}%%%" for w in prose(i, r.randint(5, 80)).split()), 0) for i in range(100)]
+    labelled = spark.createDataFrame([*good, *bad, (900, None, 1), (901, "x", None), (902, "x", 5)], "doc_id long, text string, quality int")
+    model = quality_additive.train(labelled.where("doc_id % 5 <> 0"))
+    held = {x["doc_id"]: x for x in quality_additive.score(labelled.where("doc_id % 5 = 0 AND quality IS NOT NULL"), model).collect()}
+    assert all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.3) for x in held.values())
+    assert min(x["score"] for i, x in held.items() if i < 200) > 0.7 and max(x["score"] for i, x in held.items() if 200 <= i < 300) < 0.2
+    rows = quality_additive.score(docs, model).collect()
+    assert len(rows) == docs.count() and all(x["score"] is not None for x in rows)
+    assert quality_additive.score(empty, model).count() == 0
+    assert quality_additive.train(labelled.limit(0)) == 0.5 and quality_additive.score(docs, 0.5).where("predicted = 1").count() == docs.count()
+
+
+def test_additive_features():
+    got = quality_additive.features(*utf8(pa_strings(["", None, "The The dog\n\n1 É!", "a" * 13])))
+    by = [dict(zip(quality_additive.NAMES, row, strict=True)) for row in got.tolist()]
+    assert got.shape == (4, len(quality_additive.NAMES)) and set(by[0].values()) == set(by[1].values()) == {0.0}
+    assert by[2]["echoes"] == 1 / 5 and by[2]["distinct"] == 4 / 5 and by[2]["top_word"] == 2 / 5 and by[2]["letterless"] == 1 / 5
+    assert by[2]["lines"] == 2 / 5 and by[2]["digits"] == 1 / 17 and by[2]["upper"] == 2 / 17 and by[2]["high"] == 1 / 17 and by[3]["long_words"] == 1
+
+
+def pa_strings(values):
+    import pyarrow as pa
+
+    return pa.array(values, pa.string())

@@ -113,3 +113,29 @@ def test_op10(spark, sf_dir, docs):
     enc = brute.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = Q.op10_chunked_bpe(spark, sf_dir).collect()
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows} == {d: brute.op10(t, enc) for d, t in docs}
+
+
+def test_op11(spark, sf_dir):
+    rows = [(r["lang"], r["source"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = Q.op11_source_divergence(spark, sf_dir).collect()
+    assert {(r["lang"], r["source"], r["part"], r["item"]): (r["value"], r["rank"]) for r in got} == brute.op11(rows) and len(got) == len(brute.op11(rows))
+
+
+def test_op12(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = sorted(map(tuple, Q.op12_threshold_clusters(spark, sf_dir).collect()))
+    assert got == sorted((rows[i][0], *w) for i, w in brute.op12(rows).items())
+
+
+def test_op13(spark, sf_dir):
+    """Held-out rows alone are judged: their labels are never learned from. A larger table, as a hundredth of the small one's are too few to learn from."""
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = Q.op13_additive_quality(spark, larger).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    held = [(r["score"], r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(held) > 60 and sum(p == y for _, p, y in held) >= 0.95 * len(held)
+    ups, downs = [s for s, _, y in held if y], [s for s, _, y in held if not y]
+    assert sum(a > b for a in ups for b in downs) >= 0.95 * len(ups) * len(downs)
