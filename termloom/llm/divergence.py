@@ -1,8 +1,8 @@
 """Source divergence audit: how far each source's use of words is from that of the other sources of its language.
 
 Term counts come from single-pass in-memory indexing. A task builds a block of postings in memory; when the block is full
-it leaves the task as a run, sorted by term and cut by hash shard. In a shard the runs are merged over a heap, so that a
-term's counts of all runs come together and are final when the next term begins. Differences between sources are summed
+it leaves the task as a run, sorted by term and cut by hash shard. In a shard the runs are merged over a heap of their open
+pieces, band of terms by band, so that a term's counts of all runs come together. Differences between sources are summed
 from constants for terms that neither has, corrected by what the terms of one and the terms of both change; the latter
 stream by in blocks of terms.
 """
@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ from .textual import LOWER, M1, mix, runs, segment_hash, slices, utf8
 #: Letters A-Z and a-z, and the bytes of all characters that are not ASCII.
 TERM = np.zeros(256, bool)
 TERM[65:91] = TERM[97:123] = TERM[128:] = True
-#: Postings of a block in memory; postings of a piece of a run; pairs that are made at a time.
-BLOCK, PIECE, PAIRS = 1 << 18, 1 << 11, 1 << 19
+#: Postings of a block in memory, of a piece of a run, and of what is merged at a time; pairs that are made at a time.
+BLOCK, PIECE, BAND, PAIRS = 1 << 18, 1 << 11, 1 << 16, 1 << 19
 UNIT = 1_000_000_000
 RUN = "shard int, lang string, first string, terms array<string>, sources array<string>, counts array<long>, docs array<long>"
 
@@ -93,56 +93,56 @@ def index(batches: Iterator[pa.RecordBatch], shards: int, block: int = BLOCK) ->
         yield run_pieces(summed(held), shards)
 
 
-def in_order(pieces: Iterator[tuple[str, str, Iterator[tuple]]]) -> Iterator[tuple]:
-    """The postings of pieces, which come by (language, first term), in one order: a heap holds the pieces begun."""
-    heap: list[tuple] = []
+def bands(pieces: Iterator[tuple[str, str, pa.Table]], size: int = BAND) -> Iterator[pa.Table]:
+    """The postings of sorted pieces, which come by (language, first term), in tables that hold all postings of the terms they hold.
 
-    def least() -> tuple:
-        posting, n, rest = heap[0]
-        if (following := next(rest, None)) is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (following, n, rest))
-        return posting
-
-    for n, (lang, first, postings) in enumerate(pieces):
-        while heap and heap[0][0] < (lang, first):
-            yield least()
-        heapq.heappush(heap, (next(postings), n, postings))
-    while heap:
-        yield least()
+    A heap keeps the open pieces by their last term. After about ``size`` postings the next piece's first term is a bound:
+    pieces that end under it leave the heap whole, of the others goes what is under it.
+    """
+    heap: list[tuple[tuple[str, str], int, pa.Table]] = []
+    new = 0
+    for n, (lang, first, table) in enumerate(pieces):
+        if new >= size:
+            done = []
+            while heap and heap[0][0] < (lang, first):
+                done.append(heapq.heappop(heap)[2])
+            for k, (last, m, t) in enumerate(heap):
+                if last[0] == lang:
+                    cut = pc.sum(pc.less(t["term"], first)).as_py()
+                    done.append(t.slice(0, cut))
+                    heap[k] = (last, m, t.slice(cut))  # its last term is as it was, so the heap stays one
+            if any(map(len, done)):
+                yield pa.concat_tables(done)
+                new = 0
+        heapq.heappush(heap, ((lang, table["term"][-1].as_py()), n, table))
+        new += len(table)
+    if heap:
+        yield pa.concat_tables([t for _, _, t in heap])
 
 
 def merge(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
     """(lang, term, source, count, total, head) of the terms that enough documents have; total is the language's count, head marks one row of each term."""
 
-    def pieces() -> Iterator[tuple[str, str, Iterator[tuple]]]:
+    def pieces() -> Iterator[tuple[str, str, pa.Table]]:
         for b in batches:
             for r in range(len(b)):
                 lang, first = b.column("lang")[r].as_py(), b.column("first")[r].as_py()
-                columns = [b.column(c)[r].values.to_pylist() for c in ("terms", "sources", "counts", "docs")]
-                yield lang, first, zip(repeat(lang), *columns)
-
-    out: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["lang", "term", "source", "count", "total", "head"])
-
-    for (lang, term), postings in groupby(in_order(pieces()), key=lambda p: p[:2]):
-        by_source: dict[str, int] = {}
-        docs = 0
-        for _, _, source, count, d in postings:
-            by_source[source] = by_source.get(source, 0) + count
-            docs += d
-        if docs >= least_docs:
-            total = sum(by_source.values())
-            out += [(lang, term, s, c, total, k == 0) for k, (s, c) in enumerate(by_source.items())]
-            if len(out) > 1 << 14:
-                yield batch()
-                out.clear()
-    if out:
-        yield batch()
+                terms, *rest = (b.column(c)[r].values for c in ("terms", "sources", "counts", "docs"))
+                yield lang, first, pa.table([pa.repeat(lang, len(terms)), terms, *rest], ["lang", "term", "source", "count", "docs"])
+
+    for band in bands(pieces()):
+        terms = band.group_by(["lang", "term"]).aggregate([("docs", "sum"), ("count", "sum")])
+        kept = terms.filter(pc.greater_equal(terms["docs_sum"], least_docs)).select(["lang", "term", "count_sum"]).rename_columns(["lang", "term", "total"])
+        if not len(kept):
+            continue
+        own = band.select(["lang", "term", "source", "count"]).join(kept, ["lang", "term"], join_type="inner")
+        out = own.group_by(["lang", "term", "source", "total"]).aggregate([("count", "sum")]).combine_chunks()
+        codes = [out[c].combine_chunks().dictionary_encode() for c in ("lang", "term")]
+        key = codes[0].indices.to_numpy().astype(np.int64) * len(codes[1].dictionary) + codes[1].indices.to_numpy()
+        head = np.zeros(len(out), bool)
+        head[np.unique(key, return_index=True)[1]] = True
+        rows = pa.table([out["lang"], out["term"], out["source"], out["count_sum"], out["total"], pa.array(head)], ["lang", "term", "source", "count", "total", "head"])
+        yield from rows.to_batches()
 
 
 def both_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

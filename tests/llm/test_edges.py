@@ -567,6 +567,7 @@ def test_divergence(spark, docs, empty, monkeypatch):
     for least, block in ((30, 1 << 18), (2, 4)):
         monkeypatch.setattr(divergence, "BLOCK", block)
         monkeypatch.setattr(divergence, "PAIRS", block)
+        monkeypatch.setattr(divergence.bands, "__defaults__", (block,))
         got = divergence.audit(table, least_docs=least, shards=3).collect()
         assert {(x["lang"], x["source"], x["part"], x["item"]): (x["value"], x["rank"]) for x in got} == brute.op11(rows, least)
         assert len(got) == len(brute.op11(rows, least))
@@ -574,21 +575,24 @@ def test_divergence(spark, docs, empty, monkeypatch):
     assert divergence.audit(docs).count() == 0  # one language, one source
 
 
-def test_runs_are_merged_in_order():
-    """Small blocks spill many runs; their postings come out of the heap in order, none lost."""
+@pytest.mark.parametrize("size", [1, 300, 1 << 16])
+def test_runs_are_merged_by_bands(size):
+    """Small blocks spill many runs; every term's postings come out of the heap in one band, none lost."""
     import pyarrow as pa
 
     r = random.Random(9)
     texts = [" ".join(r.choices(WORDS[:500], k=40)) for _ in range(200)]
     batch = pa.RecordBatch.from_pydict({"lang": [r.choice("ab") for _ in texts], "source": [r.choice("xyz") for _ in texts], "text": texts})
-    parts = [p for b in (batch.slice(i, 10) for i in range(0, 200, 10)) for p in divergence.index(iter([b]), shards=1, block=50)]
-    assert len(parts) >= 20
-    pieces = sorted((x["lang"], x["first"], n) for p in parts for n, x in enumerate(p.to_pylist()))
-    rows = [x for p in parts for x in p.to_pylist()]
-    rows.sort(key=lambda x: (x["lang"], x["first"]))
-    got = list(divergence.in_order((x["lang"], x["first"], zip([x["lang"]] * len(x["terms"]), x["terms"], x["sources"], x["counts"], x["docs"], strict=True)) for x in rows))
-    assert [p[:2] for p in got] == sorted(p[:2] for p in got) and len(pieces) == len(rows)
-    assert sum(p[3] for p in got) == sum(len([w for w in divergence_terms(t)]) for t in texts)
+    runs = [p for i in range(0, 200, 10) for p in divergence.index(iter([batch.slice(i, 10)]), shards=1, block=50)]
+    assert len(runs) >= 20
+    rows = sorted((x for p in runs for x in p.to_pylist()), key=lambda x: (x["lang"], x["first"]))
+    tables = [(x["lang"], x["first"], pa.table({"lang": [x["lang"]] * len(x["terms"]), "term": x["terms"], "count": x["counts"]})) for x in rows]
+    got, seen = list(divergence.bands(iter(tables), size)), set()
+    for band in got:
+        terms = {(x["lang"], x["term"]) for x in band.to_pylist()}
+        assert not terms & seen
+        seen |= terms
+    assert sum(sum(band["count"].to_pylist()) for band in got) == sum(len(divergence_terms(t)) for t in texts) and (len(got) == 1) == (size > 300)
 
 
 def divergence_terms(text):
