@@ -27,12 +27,6 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def context_window(text: Column, offset: Column, length: Column, width: int) -> Column:
-    """Text from ``width`` before a span to ``width`` after it, white space collapsed."""
-    begin = F.greatest(F.lit(0), offset - width)
-    return collapse(F.substring(text, begin + 1, offset + length + width - begin))
-
-
 def normalise_phrase(c: Column) -> Column:
     """Lower case, then the ASCII alphanumeric tokens joined by one space."""
     return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"([A-Za-z0-9]+)"), F.lit(1)), " ")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, context_window, split_ids
+from ..functions.blocks import with_context
+from ..functions.text import collapse, split_ids
 
 #: Fixed value: a line of an answer, the mention's number, a sign, the patient's id.
 ANSWER_LINE = r"^\s*[#\-*]?\s*(\d+)\s*[:.)]\s*([A-Za-z0-9_.:\-]+)"
@@ -98,9 +99,7 @@ def prompt_window(mentions: DataFrame, patients: DataFrame, texts: DataFrame, wi
     """
     line = F.concat(F.lit("  "), "patient_id", F.lit(' = "'), F.substring(collapse(F.col("label")), 1, most), F.lit('"'))
     roster = _roster_lines(patients, line)
-    with_text = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").withColumn("_c",
-        context_window(F.col("_t"), F.col("offset"), F.col("length"), width))
-    listed = _numbered(with_text, F.concat(F.format_string('  %d. [%s] "', F.col("ent_idx") + 1, F.col("section")), collapse(F.col("text")),
+    listed = _numbered(with_context(mentions, texts, width, "_c"), F.concat(F.format_string('  %d. [%s] "', F.col("ent_idx") + 1, F.col("section")), collapse(F.col("text")),
         F.lit('" | context: ...'), "_c", F.lit("...")))
     return roster.join(listed, "pmc_id").select("pmc_id",
         F.concat_ws("\n", F.lit(head), F.lit("Individuals:"), "roster", F.lit("Phenotype mentions:"), "listed", F.lit(tail)).alias("prompt"))
@@ -113,9 +112,7 @@ def prompt_whole(mentions: DataFrame, patients: DataFrame, texts: DataFrame, wid
         lambda r: r["t"] != ""), lambda r: F.concat(F.lit('"'), r["t"], F.lit('"@'), r["o"].cast("string")))
     line = F.concat(F.lit("  "), "patient_id", F.lit('  (e.g. "'), F.substring(collapse(F.col("label")), 1, most), F.lit('")  refs: '),
         F.array_join(quoted, "; "))
-    with_text = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").withColumn("_c",
-        context_window(F.col("_t"), F.col("offset"), F.col("length"), width))
-    listed = _numbered(with_text, F.concat(F.format_string('  %d. "', F.col("ent_idx") + 1), collapse(F.col("text")),
+    listed = _numbered(with_context(mentions, texts, width, "_c"), F.concat(F.format_string('  %d. "', F.col("ent_idx") + 1), collapse(F.col("text")),
         F.format_string('" @char%d | context: ...', "offset"), "_c", F.lit("...")))
     return _roster_lines(patients, line).join(listed, "pmc_id").join(texts.select("pmc_id", "text"), "pmc_id").select("pmc_id",
         F.concat_ws("\n", F.lit(head), "text", F.lit("Individuals:"), "roster", F.lit("Phenotype mentions:"), "listed", F.lit(tail)).alias("prompt"))

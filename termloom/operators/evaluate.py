@@ -7,7 +7,7 @@ last_mentions and last_associations first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_ids
@@ -133,6 +133,96 @@ def score_total(gold_mentions: DataFrame, pred_mentions: DataFrame, articles: Da
     return wide.withColumn("score", sum(F.col(k) for k in names) * 0.25)
 
 
+def level_of(prob: Column, thresholds: list[float]) -> Column:
+    """How many of the ascending thresholds a probability reaches; a null one reaches none."""
+    return F.coalesce(F.size(F.filter(F.array(*(F.lit(float(t)) for t in sorted(thresholds))), lambda t: t <= prob)), F.lit(0))
+
+
+def levelled(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """The distinct rows of ``gold`` and of ``pred`` (the same columns and level) with g, 1 if in gold, and level, the highest in pred or 0.
+
+    What is predicted at a threshold is predicted at all lower ones, so one row holds what is known about it at every threshold.
+    """
+    both = gold.withColumns({"g": F.lit(1), "level": F.lit(0)}).unionByName(pred.select(*gold.columns, F.lit(0).alias("g"), "level"))
+    return both.groupBy(*gold.columns).agg(F.max("g").alias("g"), F.max("level").alias("level"))
+
+
+def cumulated(counts: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """``counts`` (level, columns) summed from the highest of n levels down: a row for every level from 1 to n.
+
+    The rows have been summed up by level before: the window is over n + 1 rows.
+    """
+    every = counts.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("level"), *(F.lit(0).alias(c) for c in columns))
+    summed = counts.select("level", *columns).unionByName(every).groupBy("level").agg(*(F.sum(c).alias(c) for c in columns))
+    down = Window.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select("level", *(F.sum(c).over(down).alias(c) for c in columns)).where(F.col("level") > 0)
+
+
+def f1_by_level(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """(level, name): the F1 of what ``levelled`` gives, of rows that reach each level."""
+    hit = rows.groupBy("level").agg(F.sum("g").alias("tp"), F.sum(1 - F.col("g")).alias("fp"))
+    gold = rows.agg(F.coalesce(F.sum("g"), F.lit(0)).alias("_gold"))  # one row
+    return cumulated(hit, ["tp", "fp"], n).join(F.broadcast(gold)).select("level", f1(F.col("tp"), F.col("fp"), F.col("_gold") - F.col("tp")).alias(name))
+
+
+def macro_by_level(rows: DataFrame, n: int) -> DataFrame:
+    """(level, f1_macro): the mean F1 of the patients that have a row without token in what ``levelled`` gives, as gold has them.
+
+    A patient's F1 changes only at the levels of its own tokens: these changes are added up by level, from the highest down.
+    """
+    by = Window.partitionBy("pmc_id", "patient_id")
+    levels = rows.groupBy("pmc_id", "patient_id", "level").agg(F.max(F.col("token").isNull()).alias("known"),
+        F.sum(F.when(F.col("token").isNotNull(), F.col("g")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("token").isNotNull(), 1 - F.col("g")).otherwise(0)).alias("fp"))
+    down = by.orderBy(F.col("level").desc())
+    total = lambda c: F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    placed = levels.select("pmc_id", "patient_id", "level", F.max("known").over(by).alias("known"), F.sum("tp").over(by).alias("gold"), total("tp").alias("tp"),
+        total("fp").alias("fp")).where("known")
+    nothing = F.when(F.col("gold") == 0, 1.0).otherwise(0.0)  # a patient without any token on both sides has 1
+    at = F.when(F.col("tp") + F.col("fp") == 0, nothing).otherwise(f1(F.col("tp"), F.col("fp"), F.col("gold") - F.col("tp")))
+    scored = placed.withColumn("_f1", at)
+    change = F.col("_f1") - F.coalesce(F.lag("_f1").over(down), nothing)
+    changes = scored.select("level", change.alias("change"), F.when(F.col("level") == 0, nothing).alias("first"))
+    # every known patient has one row of level 0, that of its missing token: there the changes are of no threshold
+    sums = changes.groupBy("level").agg(F.sum(F.when(F.col("level") > 0, F.col("change")).otherwise(0.0)).alias("change"))
+    base = changes.agg(F.coalesce(F.sum("first"), F.lit(0.0)).alias("_base"), F.count("first").alias("_n"))
+    mean = F.when(F.col("_n") > 0, (F.col("_base") + F.col("change")) / F.col("_n")).otherwise(0.0)
+    return cumulated(sums, ["change"], n).join(F.broadcast(base)).select("level", mean.alias("f1_macro"))
+
+
+def score_thresholds(gold_mentions: DataFrame, pred_mentions: DataFrame, articles: DataFrame, gold: DataFrame, pred: DataFrame,
+    thresholds: list[float]) -> DataFrame:
+    """(threshold, f1_men, f1_doc, f1_micro, f1_macro, score): score_total of the predictions whose ``prob`` reaches each threshold.
+
+    ``pred_mentions`` and ``pred`` carry prob; a null one reaches no threshold. Nothing is repeated by threshold: every
+    distinct place, token and patient is one row with the highest level it reaches, and scores are sums over levels.
+    """
+    distinct = sorted(set(thresholds))
+    n, level = len(distinct), level_of(F.col("prob"), distinct).alias("level")
+    keys = ["pmc_id", "offset", "length"]
+    inside = pred_mentions.join(articles, "pmc_id", "left_semi").withColumn("level", level_of(F.col("prob"), distinct))
+    places = levelled(units(gold_mentions, *keys), units(inside, *keys, "level"))
+    documents = places.groupBy("pmc_id", "token").agg(F.max("g").alias("g"), F.max("level").alias("level"))
+    people = gold.select("pmc_id", "patient_id", F.lit(None).cast("string").alias("token"))
+    given = pred.select("pmc_id", "patient_id", "identifier", level)
+    rows = levelled(patient_tokens(gold).unionByName(people), given.select("pmc_id", "patient_id", "level", F.explode(split_ids(F.col("identifier"))).alias("token")))
+    parts = [f1_by_level(places, n, "f1_men"), f1_by_level(documents, n, "f1_doc"), f1_by_level(rows.where(F.col("token").isNotNull()), n, "f1_micro"),
+        macro_by_level(rows, n)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part), "level")  # n rows each
+    threshold = F.element_at(F.array(*(F.lit(float(t)) for t in distinct)), F.col("level"))
+    names = ["f1_men", "f1_doc", "f1_micro", "f1_macro"]
+    return out.select(threshold.alias("threshold"), *names, (sum(F.col(k) for k in names) * 0.25).alias("score"))
+
+
+def threshold_counts(rows: DataFrame, thresholds: list[float], name: str) -> DataFrame:
+    """(threshold, name): how many rows of (prob) reach each threshold."""
+    distinct = sorted(set(thresholds))
+    counted = rows.groupBy(level_of(F.col("prob"), distinct).alias("level")).agg(F.count("*").alias(name))
+    threshold = F.element_at(F.array(*(F.lit(float(t)) for t in distinct)), F.col("level"))
+    return cumulated(counted, [name], len(distinct)).select(threshold.alias("threshold"), name)
+
+
 def check_coverage(gold: DataFrame, pred: DataFrame, strict: bool = True) -> DataFrame:
     """One row: missing and extra articles. Disjoint sets are an error if ``strict``."""
     g, p = gold.select("pmc_id").distinct(), pred.select("pmc_id").distinct()

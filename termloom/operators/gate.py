@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import with_slice
 from ..functions.text import split_ids
 from .associate import associate_nearest, nearest
-from .evaluate import score_total
+from .evaluate import score_thresholds, threshold_counts
 
 #: Words that negate, and words for a normal finding.
 NEGATION = r"\b(no|not|without|absent|denies|denied|deny|negative|neither|nor|none|ruled?\s+out|rules\s+out|cannot)\b"
@@ -43,17 +44,18 @@ def cue(text: Column, pattern: str) -> Column:
 
 def gate_features(mentions: DataFrame, texts: DataFrame, patients: DataFrame, depth: DataFrame, width: int = 120) -> DataFrame:
     """``mentions`` (with ``section``, and retrieved_score where retrieved) with the eleven raw features; no gold is used."""
-    window = F.substring("_t", F.greatest(F.lit(0), F.col("offset") - width) + 1,
-        F.col("offset") + F.col("length") + width - F.greatest(F.lit(0), F.col("offset") - width))
     if "retrieved_score" not in mentions.columns:
         mentions = mentions.withColumn("retrieved_score", F.lit(None).cast("double"))
     depths = mentions.select("pmc_id", "ent_idx", F.explode(split_ids(F.col("identifier"))).alias("id")).join(depth, "id").groupBy("pmc_id",
         "ent_idx").agg(F.min("depth").alias("hpo_depth"))
     has = patients.groupBy("pmc_id").agg(F.countDistinct("roster_idx").alias("patient_count"))
+    sizes = texts.select("pmc_id", F.length("text").alias("_size"))
+    window = with_slice(mentions, texts, F.greatest(F.lit(0), F.col("offset") - width), F.col("offset") + F.col("length") + width, "_w")
+    cues = window.withColumns({"has_negation_cue": cue(F.col("_w"), NEGATION), "has_normal_cue": cue(F.col("_w"), NORMAL)}).drop("_w")
     near = nearest(mentions.select("pmc_id", "ent_idx", "offset"), patients).select("pmc_id", "ent_idx", F.col("dist").alias("_d"))
-    out = mentions.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id").join(has, "pmc_id", "left").join(depths, ["pmc_id", "ent_idx"],
+    out = cues.join(sizes, "pmc_id").join(has, "pmc_id", "left").join(depths, ["pmc_id", "ent_idx"],
         "left").join(near, ["pmc_id", "ent_idx"], "left")
-    size = F.length("_t")
+    size = F.col("_size")
     return out.withColumns({
         "section_type": F.upper("section"),
         "is_dict_hit": F.when(F.col("retrieved_score").isNull(), 1).otherwise(0),
@@ -62,9 +64,7 @@ def gate_features(mentions: DataFrame, texts: DataFrame, patients: DataFrame, de
         "rel_position": F.when(size > 0, F.col("offset") / size).otherwise(0.0),
         "dist_to_nearest_anchor_norm": F.col("_d") / F.greatest(F.lit(1), size),
         "patient_count": F.coalesce("patient_count", F.lit(0)),
-        "has_negation_cue": cue(window, NEGATION),
-        "has_normal_cue": cue(window, NORMAL),
-    }).drop("_t", "_d")
+    }).drop("_size", "_d")
 
 
 def gate_fit(samples: DataFrame) -> dict:
@@ -135,20 +135,14 @@ def gate_threshold_scan(predicted: DataFrame, patients: DataFrame, gold_mentions
     thresholds: list[float]) -> DataFrame:
     """(threshold, kept, f1_micro, f1_macro, score, delta_macro, best) by threshold, all in one pass; best is the first highest score.
 
-    ``predicted`` are the recognised mentions with keep_prob. Routing doesn't depend on the threshold: mentions are
-    routed once and kept or not afterwards.
+    ``predicted`` are the recognised mentions with keep_prob. Routing doesn't depend on the threshold, and what is kept at
+    one is kept at all lower ones: mentions are routed once, and counted by the highest threshold they reach.
     """
-    from pyspark.sql import Window
-
-    grid = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")
-    routed = nearest(predicted, patients).select("pmc_id", "patient_id", "identifier", "keep_prob")
-    roster = patients.select("pmc_id", "patient_id", F.lit(None).cast("string").alias("identifier"), grid)
-    kept = routed.where(F.col("patient_id").isNotNull()).select("pmc_id", "patient_id", "identifier", "keep_prob",
-        grid).where(F.col("keep_prob") >= F.col("threshold")).drop("keep_prob")
-    counts = predicted.select("keep_prob", grid).groupBy("threshold").agg(F.sum(F.when(F.col("keep_prob") >= F.col("threshold"), 1).otherwise(0)).alias("kept"))
-    scores = score_total(gold_mentions.select("*", grid), predicted.select("pmc_id", "offset", "length", "identifier", "note", grid), articles,
-        gold.select("*", grid), kept.unionByName(roster), ["threshold"])
-    order = Window.orderBy("threshold")
+    routed = nearest(predicted, patients).where(F.col("patient_id").isNotNull()).select("pmc_id", "patient_id", "identifier", F.col("keep_prob").alias("prob"))
+    all_mentions = predicted.select("pmc_id", "offset", "length", "identifier", "note", F.lit(float("inf")).alias("prob"))
+    scores = score_thresholds(gold_mentions, all_mentions, articles, gold, routed, thresholds)
+    counts = threshold_counts(predicted.select(F.col("keep_prob").alias("prob")), thresholds, "kept")
+    order = Window.orderBy("threshold")  # of one row a threshold
     best = F.row_number().over(Window.orderBy(F.col("score").desc(), "threshold")) == 1
-    return counts.join(scores, "threshold").withColumn("delta_macro", F.col("f1_macro") - F.first("f1_macro").over(order)).withColumn("best",
+    return counts.join(F.broadcast(scores), "threshold").withColumn("delta_macro", F.col("f1_macro") - F.first("f1_macro").over(order)).withColumn("best",
         best).select("threshold", "kept", "f1_micro", "f1_macro", "score", "delta_macro", "best")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import with_slice
 from ..functions.text import split_ids, split_ids_real
 from ..session import stage
 
@@ -74,8 +75,8 @@ def patient_mentions(patients: DataFrame) -> DataFrame:
 def check_offsets(mentions: DataFrame, texts: DataFrame) -> DataFrame:
     """Mentions whose text isn't what stands at their place in (pmc_id, text); a null offset or text is skipped."""
     size = F.coalesce("length", F.length("text"))
-    known = mentions.where(F.col("offset").isNotNull() & F.col("text").isNotNull()).join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id")
-    return known.withColumn("found", F.substring("_t", F.col("offset") + 1, size)).where(F.col("found") != F.col("text")).drop("_t")
+    known = mentions.where(F.col("offset").isNotNull() & F.col("text").isNotNull())
+    return with_slice(known, texts, F.col("offset"), F.col("offset") + size, "found").where(F.col("found") != F.col("text"))
 
 
 def check_ontology_ids(mentions: DataFrame, aliases: DataFrame, descendants: DataFrame, terms: DataFrame) -> DataFrame:

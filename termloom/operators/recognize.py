@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import with_slice
 from ..functions.text import RUNS
-from ..session import maybe_broadcast, stage
+from ..session import maybe_broadcast, stage, unstage
 
 #: Fixed value: the longest n-gram that the dictionary is probed with.
 MAX_NGRAM = 8
@@ -35,38 +36,59 @@ def tokenize(texts: DataFrame) -> DataFrame:
 def dictionary_candidates(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """(pmc_id, tok_idx, n_tokens, hpo_id, start, end) of every n-gram of 1 to 8 tokens that is a phrase.
 
-    Tokens carry the next seven as plain columns and meet phrases on the first one; only what met is put together.
+    The first level of the phrases' trie is a table of first tokens with the lengths of what they begin. Tokens not in it
+    are dropped before anything is shuffled; the others are put together in these lengths alone, and probe the phrases
+    by their whole text, so that a word that begins many phrases meets one at most.
     """
     order, places = Window.partitionBy("pmc_id").orderBy("tok_idx"), range(1, MAX_NGRAM)
-    known = phrases.where(F.col("n_tokens") <= MAX_NGRAM).select("phrase", "n_tokens", "hpo_id", F.col("first_token").alias("token"))
+    known = phrases.where(F.col("n_tokens") <= MAX_NGRAM).select("phrase", "n_tokens", "hpo_id")
+    begins = phrases.where(F.col("n_tokens") <= MAX_NGRAM).groupBy(F.col("first_token").alias("token")).agg(F.sort_array(F.collect_set("n_tokens")).alias("_sizes"))
     following = [F.lead(c, k).over(order).alias(f"_{c}{k}") for c in ("token", "end") for k in places]
-    met = tokens.select("pmc_id", "tok_idx", "token", "start", "end", *following).join(maybe_broadcast(known, phrases.count(), 100), "token")
+    met = tokens.select("pmc_id", "tok_idx", "token", "start", "end", *following).join(maybe_broadcast(begins, begins.count(), 100), "token")
     words, ends = F.array("token", *(f"_token{k}" for k in places)), F.array("end", *(f"_end{k}" for k in places))
-    same = met.where(F.array_join(F.slice(words, F.lit(1), F.col("n_tokens")), " ") == F.col("phrase"))
-    return same.select("pmc_id", "tok_idx", "n_tokens", "hpo_id", "start", F.element_at(ends, F.col("n_tokens")).alias("end"))
+    sized = met.select("pmc_id", "tok_idx", "start", words.alias("_words"), ends.alias("_ends"), F.explode("_sizes").alias("n_tokens"))
+    probes = sized.where(F.element_at("_ends", F.col("n_tokens")).isNotNull()).select("pmc_id", "tok_idx", "n_tokens", "start",
+        F.element_at("_ends", F.col("n_tokens")).alias("end"), F.array_join(F.slice("_words", F.lit(1), F.col("n_tokens")), " ").alias("phrase"))
+    found = probes.join(maybe_broadcast(known, phrases.count(), 100), ["phrase", "n_tokens"])
+    return found.select("pmc_id", "tok_idx", "n_tokens", "hpo_id", "start", "end")
+
+
+def after(earlier: Column, later: Column) -> Column:
+    """Two steps as one. A step maps 0 to 7 to 0 to 7, in four bits for each number it maps."""
+    through = lambda s: F.call_function("shiftright", later, F.call_function("shiftright", earlier, F.lit(4 * s)).bitwiseAND(F.lit(15)).cast("int") * 4)
+    return sum((F.shiftleft(through(s).bitwiseAND(F.lit(15)), 4 * s) for s in range(MAX_NGRAM)), F.lit(0).cast("long"))
 
 
 def leftmost_longest(candidates: DataFrame) -> DataFrame:
-    """The longest candidate at each token, then from left to right those that begin at or after the last one's end."""
-    longest = candidates.groupBy("pmc_id", "tok_idx").agg(F.max(F.struct("n_tokens", "hpo_id", "start", "end")).alias("m"))
-    item = F.struct("tok_idx", F.col("m.n_tokens").alias("n_tokens"), F.col("m.hpo_id").alias("hpo_id"), F.col("m.start").alias("start"),
-        F.col("m.end").alias("end"))
-    ordered = longest.groupBy("pmc_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
-    kind = "struct<tok_idx:int,n_tokens:int,hpo_id:string,start:int,end:int>"
-    begin = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{kind}>").alias("taken"))
-    take = lambda acc, x: F.when(x["tok_idx"] >= acc["last"],
-        F.struct((x["tok_idx"] + x["n_tokens"]).alias("last"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc)
-    folded = ordered.select("pmc_id", F.aggregate("c", begin, take, lambda acc: acc["taken"]).alias("taken"))
-    return folded.select("pmc_id", F.inline("taken"))
+    """The longest candidate at each token, then from left to right those that begin at or after the last one's end.
+
+    How many tokens the last one taken still covers where a candidate begins, 0 to 7, decides about it; from one candidate
+    to the next that number goes through a map. Maps of neighbours are put together over distances of 1, 2, 4, ... until
+    each reaches back to where no candidate spans: there the number is 0 whatever came before. So the work is linear in
+    candidates times the doublings, an article is never one value, and only the longest unbroken run's length is
+    fetched first.
+    """
+    longest = candidates.groupBy("pmc_id", "tok_idx").agg(F.max(F.struct("n_tokens", "hpo_id", "start", "end")).alias("m")).select("pmc_id", "tok_idx", "m.*")
+    order = Window.partitionBy("pmc_id").orderBy("tok_idx")
+    reach = F.max(F.col("tok_idx") + F.col("n_tokens")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap, size = F.col("tok_idx") - F.lag("tok_idx").over(order), F.lag("n_tokens").over(order)
+    step = sum((F.shiftleft(F.greatest(F.lit(0), (size if s == 0 else F.lit(s)) - gap).cast("long"), 4 * s) for s in range(MAX_NGRAM)), F.lit(0).cast("long"))
+    marked = longest.withColumns({"_new": F.coalesce(reach <= F.col("tok_idx"), F.lit(True)), "_n": F.row_number().over(order), "_step": step})
+    begun = F.max(F.when(F.col("_new"), F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = stage(marked.withColumns({"_place": F.col("_n") - begun, "_step": F.when(F.col("_new"), F.lit(0).cast("long")).otherwise(F.col("_step"))}).drop("_n", "_new"), "longest")
+    out = placed
+    for t in range(int(placed.agg(F.max("_place")).first()[0] or 0).bit_length()):
+        out = out.withColumn("_step", after(F.coalesce(F.lag("_step", 1 << t).over(order), F.lit(0).cast("long")), F.col("_step")))
+    taken = stage(out.where(F.col("_step").bitwiseAND(F.lit(15)) == 0).drop("_step", "_place"), "spans")
+    unstage(placed)
+    return taken
 
 
 def dictionary_match(texts: DataFrame, tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """(pmc_id, tok_idx, n_tokens, identifier, offset, length, text, note): the dictionary's mentions, note null."""
-    spans = leftmost_longest(dictionary_candidates(tokens, phrases))
-    joined = spans.join(texts.select("pmc_id", F.col("text").alias("_t")), "pmc_id")
-    return joined.select("pmc_id", "tok_idx", "n_tokens", F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"),
-        (F.col("end") - F.col("start")).alias("length"), F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
-        F.lit(None).cast("string").alias("note"))
+    spans = with_slice(leftmost_longest(dictionary_candidates(tokens, phrases)), texts, F.col("start"), F.col("end"), "text")
+    return spans.select("pmc_id", "tok_idx", "n_tokens", F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"),
+        (F.col("end") - F.col("start")).alias("length"), "text", F.lit(None).cast("string").alias("note"))
 
 
 def free_token_ngrams(tokens: DataFrame, matches: DataFrame, most: int = 4) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import text as T
 from ..operators import associate as A
 from ..operators import diagnose as D
@@ -15,6 +16,7 @@ from ..operators import gate as G
 from ..operators import ontology as O
 from ..operators import prep as P
 from ..operators import recognize as R
+from ..operators import scan as N
 from ..operators import track as K
 from ..session import shared_dir
 from ..sources import articles as S
@@ -23,7 +25,8 @@ from .fixtures import Fixtures, fixtures
 #: Thresholds of the scans over similarity and over keep probability.
 SIMILARITY = [0.3, 0.4, 0.5]
 KEEP = [0.0, 0.25, 0.5, 0.75]
-WIDTH = 40
+#: Fixed value: characters of context on either side of a mention.
+WIDTH = 120
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -164,8 +167,7 @@ def section_lookup(f: Fixtures) -> DataFrame:
 
 
 def context_window(f: Fixtures) -> DataFrame:
-    met = f.gold().join(f.texts().select("pmc_id", F.col("text").alias("t")), "pmc_id")
-    return met.select("pmc_id", "ent_idx", T.context_window(F.col("t"), F.col("offset"), F.col("length"), WIDTH).alias("context"))
+    return B.with_context(f.gold(), f.texts(), WIDTH, "context").select("pmc_id", "ent_idx", "context")
 
 
 def split_ids(f: Fixtures) -> DataFrame:
@@ -219,23 +221,11 @@ def merge_mentions(f: Fixtures) -> DataFrame:
 
 
 def threshold_scan_recognition(f: Fixtures) -> DataFrame:
-    """(threshold, n_new, scores, best): thresholds stay a key from selection to scoring; routing runs once over all."""
-    from pyspark.sql import Window
-
-    taken = f.once("taken", lambda: R.select_retrieved(f.ngrams(), f.hits(), SIMILARITY))
-    grid = F.explode(F.array(*(F.lit(t) for t in SIMILARITY))).alias("threshold")
-    base = f.matches().select("pmc_id", "identifier", "offset", "length", "note", grid)
-    new = taken.select("pmc_id", F.col("hpo_id").alias("identifier"), F.col("start").alias("offset"), "length",
-        F.lit(None).cast("string").alias("note"), "threshold")
-    both = f.once("scanned", lambda: base.unionByName(new).withColumn("ent_idx", F.xxhash64("threshold", "offset", "length")))
-    routed = A.nearest(both.withColumn("ent_idx", F.row_number().over(Window.partitionBy("pmc_id").orderBy("threshold", "offset", "length"))), f.patients())
-    roster = f.patients().select("pmc_id", "patient_id", F.lit(None).cast("string").alias("identifier"), grid)
-    pred = routed.where(F.col("patient_id").isNotNull()).select("pmc_id", "patient_id", "identifier", "threshold").unionByName(roster)
-    scores = E.score_total(f.gold().select("*", grid), both, f.articles(), f.assoc_gold().select("*", grid), pred, ["threshold"])
-    counts = taken.groupBy("threshold").agg(F.count("*").alias("n_new"))
-    best = F.row_number().over(Window.orderBy(F.col("score").desc(), "threshold")) == 1
-    return rounded(scores.join(counts, "threshold", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0))).withColumn("best", best), "f1_men",
-        "f1_doc", "f1_micro", "f1_macro", "score")
+    """(threshold, n_new, scores, best)"""
+    taken = R.select_retrieved(f.ngrams(), f.hits(), [min(SIMILARITY)])
+    both = f.once("taken", lambda: taken.select("pmc_id", "hpo_id", "start", "length", "score"))
+    scan = N.threshold_scan_recognition(f.matches(), both, f.patients(), f.gold(), f.assoc_gold(), f.articles(), SIMILARITY)
+    return rounded(scan, "f1_men", "f1_doc", "f1_micro", "f1_macro", "score")
 
 
 # association

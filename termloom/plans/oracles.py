@@ -286,8 +286,8 @@ SCAN = f"""SELECT *, row_number() OVER (ORDER BY raw DESC, threshold) = 1 AS bes
     JOIN (SELECT threshold, avg(f) AS f FROM ({people('fx_scan_people', 'fx_scan_routed', 'threshold')}) GROUP BY threshold) d ON d.threshold =
         t.threshold))"""
 SCAN = SCAN.replace("SELECT *, row_number()", "SELECT threshold, f1_men, f1_doc, f1_micro, f1_macro, score, n_new, row_number()", 1)
-CTX = """trim(regexp_replace(substring(x.text, CAST(greatest(0, m."offset" - 40) + 1 AS BIGINT), CAST(m."offset" + m.length + 40 - greatest(0,
-        m."offset" - 40) AS BIGINT)), '\\s+', ' ', 'g'))"""
+CTX = """trim(regexp_replace(substring(x.text, CAST(greatest(0, m."offset" - 120) + 1 AS BIGINT), CAST(m."offset" + m.length + 120 - greatest(0,
+        m."offset" - 120) AS BIGINT)), '\\s+', ' ', 'g'))"""
 _values = ", ".join([*_scaled, *(f"CAST({c} AS DOUBLE)" for c in BINARY), *(f"CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END" for c in MISSABLE)])
 
 STATEMENTS = {

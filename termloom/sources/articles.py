@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.prep import with_ordinal
+from ..session import stage
 
 SEGMENT = "struct<offset:int,text:string,section_type:string,type:string>"
 PATIENT = "struct<patient_id:string,mention:array<struct<offset:int,length:int,text:string>>>"
@@ -46,17 +51,48 @@ def write_in_order(rows: DataFrame, path: str, *order: str | Column) -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
+def place_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (file, split, line) as they are read: those with a line, numbered from 1 in their split, and each split's number of rows, without line."""
+
+    def out(file: str, split: int, places: list[int], lines: list[str | None]) -> pa.RecordBatch:
+        n = len(places)
+        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([split] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(lines, pa.string())],
+            ["file", "split", "place", "line"])
+
+    here, n = None, 0
+    for b in batches:
+        codes = [b.column(c).dictionary_encode().indices.to_numpy() for c in ("file", "split")]
+        begins = [0, *(np.flatnonzero((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])) + 1)] if len(b) else []
+        for i, j in zip(begins, [*begins[1:], len(b)], strict=False):
+            now = (b.column("file")[i].as_py(), b.column("split")[i].as_py())
+            if now != here:
+                if here:
+                    yield out(*here, [n], [None])
+                here, n = now, 0
+            lines = b.column("line").slice(i, j - i)
+            at = np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                yield out(*here, (at + n + 1).tolist(), lines.take(pa.array(at)).to_pylist())
+            n += j - i
+    if here:
+        yield out(*here, [n], [None])
+
+
 def read_articles_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(articles, bad lines): the bad ones as (file, line_no from 1, line).
+    """(articles, bad lines): the bad ones as (file, line_no from 1, line); blank ones are neither, but count.
 
-    Only the lines' places are numbered in file order; the articles are read apart.
+    Lines are numbered where they are read, split by split; what the splits before hold is added from their counts, one
+    row a split. Only bad lines are written or moved, so a corpus in one file is read by as many tasks as it has splits.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
     parsed = lines.withColumn("article", F.from_json("line", _with_corrupt(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    order = Window.partitionBy("file").orderBy("at")
-    numbered = parsed.select("file", "line", F.row_number().over(order).alias("line_no"), F.col("article._bad").isNotNull().alias("bad"))
-    good = parsed.where((F.trim("line") != "") & F.col("article._bad").isNull()).select("article.*").drop("_bad")
-    return good, numbered.where(F.col("bad") & (F.trim("line") != "")).select("file", "line_no", "line")
+    there = F.trim("line") != ""
+    marked = parsed.select("file", "split", F.when(there & F.col("article._bad").isNotNull(), F.col("line")).alias("line"))
+    placed = stage(marked.mapInArrow(place_in_split, "file string, split long, place long, line string"), "bad_lines")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.where(F.col("line").isNull()).select("file", "split", F.coalesce(F.sum("place").over(earlier), F.lit(0)).alias("_before"))
+    bad = placed.where(F.col("line").isNotNull()).join(before, ["file", "split"]).select("file", (F.col("_before") + F.col("place")).alias("line_no"), "line")
+    return parsed.where(there & F.col("article._bad").isNull()).select("article.*").drop("_bad"), bad
 
 
 def _with_corrupt() -> T.StructType:
@@ -64,9 +100,9 @@ def _with_corrupt() -> T.StructType:
 
 
 def read_ontology_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row per stanza of an ontology file: (ord, stanza). The record separator is the line that opens a stanza."""
-    raw = spark.read.option("lineSep", "\n[").text(path)
-    return raw.select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("stanza"))
+    """One row per stanza of ontology files: (ord, stanza), ord from 0 by file name and place. The record separator is the line that opens a stanza."""
+    raw = numbered(spark.read.option("lineSep", "\n[").text(path))
+    return raw.select(F.col("doc_ord").alias("ord"), F.col("value").alias("stanza"))
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Small literal frames for the edges of the operators' rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import blocks as B
 from termloom.functions import text as T
 from termloom.operators import associate as A
 from termloom.operators import evaluate as E
@@ -270,3 +273,123 @@ def test_a_changed_folder_has_new_tables(spark, tmp_path):
         spark.range(n).selectExpr("id AS doc_id", "'a b' AS text").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         assert fixtures(spark, str(tmp_path)).segments().count() == n
         assert fixtures(spark, str(tmp_path)) is fixtures(spark, str(tmp_path))
+
+
+def test_slices_come_from_blocks(spark):
+    """Slices of any length and place, against plain ones; characters outside the basic plane count as one."""
+    r = random.Random(3)
+    texts = {"a": "".join(r.choices("abc \n😀é", k=20_000)), "b": "short", "c": "", "d": None, "e": "x" * B.SIZE, "f": "y" * (B.SIZE + 1)}
+    spans = [(k, i, r.randint(0, len(t or "") + 10)) for k, t in texts.items() for i in range(60)]
+    rows = [(k, i, at, at + r.choice([0, 1, 30, B.OVERLAP, B.OVERLAP + 1, 5000, 12_000])) for k, i, at in spans]
+    rows += [("a", 100, -3, 5), ("a", 101, None, 5), ("a", 102, 5, None), ("a", 103, 9, 2), ("zz", 104, 0, 5), (None, 105, 0, 5), *rows[:5]]
+    df = spark.createDataFrame(rows, "pmc_id string, i int, begin int, finish int")
+    got = B.with_slice(df, spark.createDataFrame(list(texts.items()), "pmc_id string, text string"), F.col("begin"), F.col("finish"), "found")
+    assert got.columns == [*df.columns, "found"]
+    plain = lambda k, a, z: "" if a is None or z is None or a < 0 else (texts.get(k) or "")[a:z]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((k, i, a, z, plain(k, a, z))) for k, i, a, z in rows)
+
+
+def test_context(spark):
+    texts = spark.createDataFrame([("p", "one  two\nthree four")], "pmc_id string, text string")
+    spans = spark.createDataFrame([("p", 5, 3), ("p", 0, 3)], "pmc_id string, offset int, length int")
+    assert [r["c"] for r in B.with_context(spans, texts, 4, "c").orderBy("offset").collect()] == ["one tw", "ne two thr"]
+
+
+def test_leftmost_longest_over_long_runs(spark):
+    """Random candidates, sparse and without a gap, against a plain run from left to right."""
+    r = random.Random(5)
+    rows, want = [], []
+    for name, n, density in (("gaps", 400, 0.2), ("dense", 3000, 1.0), ("ones", 50, 1.0)):
+        best = {}
+        for at in range(n):
+            for _ in range(2):
+                if r.random() < density:
+                    size = 1 if name == "ones" else r.randint(1, 8)
+                    rows.append((name, at, size, f"H{size}", at, at + size))
+                    best[at] = max(best.get(at, 0), size)
+        last = 0
+        for at in sorted(best):
+            if at >= last:
+                last = at + best[at]
+                want.append((name, at, best[at], f"H{best[at]}", at, last))
+    df = spark.createDataFrame(rows, "pmc_id string, tok_idx int, n_tokens int, hpo_id string, start int, end int").repartition(3)
+    assert sorted(map(tuple, R.leftmost_longest(df).collect())) == sorted(want)
+    assert R.leftmost_longest(df.limit(0)).count() == 0
+
+
+def test_candidates_are_filtered_before_they_meet_phrases(spark, monkeypatch):
+    """Many phrases with one first word, too large to broadcast: tokens that begin none are dropped first, and probes are whole phrases."""
+    monkeypatch.setattr("termloom.session.BROADCAST_LIMIT", 1000)
+    phrases = spark.range(5000).selectExpr("concat('the w', id, IF(id % 2 = 0, '', ' x')) AS phrase", "IF(id % 2 = 0, 2, 3) AS n_tokens", "'the' AS first_token",
+        "concat('H', id) AS hpo_id")
+    text = " ".join(f"the w{i} x" for i in range(300)) + " none of these"
+    tokens = R.tokenize(spark.createDataFrame([("p", text)], "pmc_id string, text string"))
+    found = R.dictionary_candidates(tokens, phrases)
+    got = sorted((r["tok_idx"], r["n_tokens"], r["hpo_id"]) for r in found.collect())
+    assert got == [(3 * i, 2 + i % 2, f"H{i}") for i in range(300)]
+    assert found._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == 1  # the first words alone
+
+
+@pytest.mark.parametrize("n", [1, 4, 100])
+def test_threshold_scores(spark, n):
+    """Scores by level against those of the whole table at each threshold; ties, nulls, repeated rows, patients without tokens."""
+    r = random.Random(n)
+    thresholds = sorted(r.choice([0.0, 1.0, round(r.random(), 2)]) for _ in range(n))
+    prob = lambda: r.choice([None, 0.0, 1.0, float("inf"), round(r.random(), 2)])
+    ids = lambda: r.choice(["a", "b", "c;d", " a ; a", "-1", "", None])
+    place = lambda: (r.choice("pqrs"), r.randint(0, 5), r.randint(1, 2), ids(), r.choice(["NO", None, None]))
+    gold_m, pred_m = [place() for _ in range(40)], [(*place(), prob()) for _ in range(60)]
+    gold_a = [(r.choice("pq"), r.choice(["P1", "P2", "P3"]), ids()) for _ in range(12)] + [("r", "P1", None), ("s", "P1", None)]
+    pred_a = [(r.choice("pqr"), r.choice(["P1", "P2", "P4"]), ids(), prob()) for _ in range(40)]
+    m, a = "pmc_id string, offset int, length int, identifier string, note string", "pmc_id string, patient_id string, identifier string"
+    gm, ga = spark.createDataFrame(gold_m, m), spark.createDataFrame(gold_a, a)
+    articles = spark.createDataFrame([(k,) for k in "pqr"], "pmc_id string")
+    pm, pa_ = spark.createDataFrame(pred_m, m + ", prob double"), spark.createDataFrame(pred_a, a + ", prob double")
+    got = {x["threshold"]: tuple(x)[1:] for x in E.score_thresholds(gm, pm, articles, ga, pa_, thresholds).collect()}
+    assert sorted(got) == sorted(set(thresholds))
+    for t in sorted(set(thresholds))[:: max(1, len(set(thresholds)) // 5)]:
+        want = E.score_total(gm, pm.where(F.col("prob") >= t), articles, ga, pa_.where(F.col("prob") >= t)).first()
+        assert got[t] == pytest.approx(tuple(want), abs=1e-9)
+    counts = {x["threshold"]: x["k"] for x in E.threshold_counts(pa_, thresholds, "k").collect()}
+    assert counts == {t: sum(x[3] is not None and x[3] >= t for x in pred_a) for t in thresholds}
+
+
+def test_threshold_scores_of_nothing(spark):
+    empty = spark.createDataFrame([], "pmc_id string, offset int, length int, identifier string, note string, prob double")
+    people = spark.createDataFrame([], "pmc_id string, patient_id string, identifier string, prob double")
+    got = E.score_thresholds(empty.drop("prob"), empty, empty.select("pmc_id"), people.drop("prob"), people, [0.5, 0.1]).collect()
+    assert [tuple(x) for x in sorted(got)] == [(0.1, 0, 0, 0, 0, 0), (0.5, 0, 0, 0, 0, 0)]
+
+
+def test_bad_lines_of_files_with_many_splits(spark, tmp_path):
+    """Line numbers over many splits and files, blank lines and long ones among them; no line goes through an exchange."""
+    r, want, good = random.Random(2), [], 0
+    for name in ("b.json", "a.json", "empty.json"):
+        lines = []
+        for i in range(0 if name == "empty.json" else 700):
+            kind = r.choice(["good", "good", "bad", "blank", "long"])
+            line = {"good": f'{{"pmc_id": "P{i}"}}', "bad": f'{{"pmc_id": "P{i}', "blank": r.choice(["", "  "]), "long": '{"pmc_id": "' + "x" * 3000 + '"}'}[kind]
+            good += kind in ("good", "long")
+            want += [(name, i + 1, line)] * (kind == "bad")
+            lines.append(line)
+        (tmp_path / name).write_text("\n".join(lines) + ("" if name == "a.json" else "\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        articles, bad = S.read_articles_tolerant(spark, str(tmp_path))
+        got = sorted((x["file"].rsplit("/", 1)[1], x["line_no"], x["line"]) for x in bad.collect())
+        assert got == sorted(want) and articles.count() == good and articles.rdd.getNumPartitions() > 100
+        splits = bad.sparkSession.read.text(str(tmp_path)).rdd.getNumPartitions()
+        assert splits > 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ontology_stanzas_are_in_order(spark, tmp_path):
+    """By file name and place, whatever the files' sizes."""
+    for name, n in (("b.obo", 3), ("a.obo", 400), ("c.obo", 50)):
+        (tmp_path / name).write_text("".join(f"[Term]\nid: {name}{i:03d}\nname: n\n\n" for i in range(n)))
+    rows = S.read_ontology_text(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [x["ord"] for x in rows] == list(range(453))
+    ids = [x["stanza"].split("id: ")[1].split("\n")[0] for x in rows]
+    assert ids == sorted(ids)
