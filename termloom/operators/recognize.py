@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from ..session import maybe_broadcast, stage, unstage
 MAX_NGRAM = 8
 #: Rows of a block of the matrix product, and rows of the concept matrix in one shard (25 MB at 768 dimensions).
 QUERY_ROWS, CONCEPT_ROWS = 1024, 1 << 12
+#: Rounds of the selection in which all local maxima are taken at once; states of a span after them.
+ROUNDS = 12
+OPEN, TAKEN, DROPPED = range(3)
 
 
 def tokenize(texts: DataFrame) -> DataFrame:
@@ -185,25 +189,99 @@ def similarity_profile(scores: DataFrame) -> DataFrame:
         F.min("score").alias("min"))
 
 
+def settle(group: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which spans are taken and which stay open, of spans in order of group and start; a lower rank comes first.
+
+    In rounds, spans that come before all open ones that they overlap are taken, if they are ``sure`` (nothing that comes
+    later overlaps them), and what overlaps them is dropped. What is left then waits for a span that isn't sure. Long
+    chains, of which a round settles one end alone, are settled in order of rank after ROUNDS rounds.
+    """
+    taken, left = np.zeros(len(group), bool), np.arange(len(group))
+    for n_round in itertools.count():
+        if not len(left):
+            break
+        g, s, e, r = group[left], start[left], end[left], rank[left]
+        pairs = []
+        for k in range(1, len(left)):  # those that one overlaps follow it without a gap
+            over = np.flatnonzero((g[k:] == g[:-k]) & (s[k:] < e[:-k]))
+            if not len(over):
+                break
+            pairs.append((over, over + k))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (left[:0], left[:0])
+        if n_round == ROUNDS:
+            state = in_rank_order(r, np.where(r[a] < r[b], a, b), np.where(r[a] < r[b], b, a), sure[left])
+            taken[left[state == TAKEN]] = True
+            left = left[state == OPEN]
+            break
+        beaten = np.zeros(len(left), bool)
+        beaten[np.where(r[a] < r[b], b, a)] = True
+        won = ~beaten & sure[left]
+        if not won.any():
+            break
+        gone = won.copy()
+        gone[b[won[a]]] = True
+        gone[a[won[b]]] = True
+        taken[left[won]] = True
+        left = left[~gone]
+    open_ = np.zeros(len(group), bool)
+    open_[left] = True
+    return taken, open_
+
+
+def in_rank_order(rank: np.ndarray, better: np.ndarray, worse: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """The state of each span, settled one after the other by rank: it depends on the better ones that it overlaps alone."""
+    order = np.argsort(worse, kind="stable")
+    first = np.searchsorted(worse[order], np.arange(len(rank) + 1)).tolist()
+    better, certain, state = better[order].tolist(), sure.tolist(), [OPEN] * len(rank)
+    for i in np.argsort(rank).tolist():
+        above = {state[j] for j in better[first[i] : first[i + 1]]}
+        state[i] = DROPPED if TAKEN in above else TAKEN if certain[i] and OPEN not in above else OPEN
+    return np.array(state)
+
+
+def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans taken, of rows (pmc_id, run_id, start, length, score, ...) in order of the first four.
+
+    Only spans whose fate hangs on what hasn't come yet are kept from batch to batch: chains of overlapping spans, each
+    scored higher than the one before, so fewer than there are distinct scores in a row.
+    """
+    kept: pa.Table | None = None
+
+    def chosen(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+        code, (run, start, length, score) = rows["pmc_id"].combine_chunks().dictionary_encode().indices.to_numpy(), (rows[c].to_numpy() for c in ("run_id", "start", "length", "score"))
+        group = np.cumsum(np.concatenate([[False], (code[1:] != code[:-1]) | (run[1:] != run[:-1])]))
+        rank = np.empty(len(rows), np.int64)
+        rank[np.lexsort((-length, start, -score))] = np.arange(len(rows))
+        end = start.astype(np.int64) + length
+        sure = np.ones(len(rows), bool) if last else (group < group[-1]) | (end <= start[-1])
+        taken, left = settle(group, start, end, rank, sure)
+        return rows.filter(pa.array(taken)), rows.filter(pa.array(left))
+
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        waiting.append(b)
+        new = pa.Table.from_batches(waiting)
+        if len(new) >= max(1, len(kept) if kept is not None else 0):  # so that a long chain isn't gone through with every batch
+            out, kept = chosen(pa.concat_tables([kept, new]) if kept is not None else new, False)
+            waiting = []
+            yield from out.to_batches()
+    rest = [t for t in (kept, pa.Table.from_batches(waiting) if waiting else None) if t is not None and len(t)]
+    if rest:
+        yield from chosen(pa.concat_tables(rest), True)[0].to_batches()
+
+
 def select_retrieved(ngrams: DataFrame, hits: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, pmc_id, run_id, start, length, text, hpo_id, name, score): the n-grams taken at each threshold.
 
     ``ngrams`` (pmc_id, run_id, start, length, text) are distinct, ``hits`` (text, hpo_id, name, score) one for a text.
     Within a run, which no other run overlaps, n-grams are taken by score, then start, then length from the longest,
     where they overlap none taken before. As the order is by score, what is taken at a threshold is what the lowest one
-    takes with a score that reaches it: the selection runs once. N-grams are first dealt into islands that overlap
-    nothing outside, so the groups stay small.
+    takes with a score that reaches it: the selection runs once. Runs stream by in order of place; see greedy.
     """
     close = hits.where(F.col("score") >= min(thresholds)).select("text", "hpo_id", "name", "score")
-    item = F.struct((-F.col("score")).alias("neg"), "start", (-F.col("length")).alias("shorter"), "length", "text", "hpo_id", "name", "score")
-    run = Window.partitionBy("pmc_id", "run_id").orderBy("start", "length")
-    reach = F.max(F.col("start") + F.col("length")).over(run.rowsBetween(Window.unboundedPreceding, -1))
-    apart = ngrams.join(close, "text").withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    apart = apart.withColumn("island", F.sum("_new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = apart.groupBy("pmc_id", "run_id", "island").agg(F.sort_array(F.collect_list(item)).alias("c"))
-    free = lambda acc, x: ~F.exists(acc, lambda y: (x["start"] < y["start"] + y["length"]) & (y["start"] < x["start"] + x["length"]))
-    taken = F.aggregate("c", F.expr("filter(c, x -> false)"), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    chosen = grouped.select("pmc_id", "run_id", F.inline(taken)).drop("neg", "shorter")
+    met = ngrams.join(close, "text").select("pmc_id", "run_id", "start", "length", "score", "text", "hpo_id", "name")
+    ordered = met.repartition("pmc_id", "run_id").sortWithinPartitions("pmc_id", "run_id", "start", "length")
+    chosen = ordered.mapInArrow(greedy, met.schema)
     reached = F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= F.col("score"))
     return chosen.select(F.explode(reached).alias("threshold"), "pmc_id", "run_id", "start", "length", "text", "hpo_id", "name", "score")
 

@@ -393,3 +393,31 @@ def test_ontology_stanzas_are_in_order(spark, tmp_path):
     assert [x["ord"] for x in rows] == list(range(453))
     ids = [x["stanza"].split("id: ")[1].split("\n")[0] for x in rows]
     assert ids == sorted(ids)
+
+
+def plain_greedy(rows):
+    """(start, length) taken of (start, length, score) of one run."""
+    covered, taken = set(), set()
+    for s, n, _ in sorted(rows, key=lambda x: (-x[2], x[0], -x[1])):
+        if covered.isdisjoint(range(s, s + n)):
+            covered.update(range(s, s + n))
+            taken.add((s, n))
+    return taken
+
+
+@pytest.mark.parametrize("scores", ["random", "few", "rising", "falling"])
+def test_greedy_selection_of_long_runs(spark, scores):
+    """50,000 n-grams that all hang together, in batches, against a plain greedy run; other runs before and after."""
+    r = random.Random(4)
+    score = {"random": lambda i: r.random(), "few": lambda i: r.choice([0.5, 0.6, 0.7]), "rising": lambda i: 0.3 + i / 1e6, "falling": lambda i: 0.9 - i / 1e6}[scores]
+    rows = [(article, run, 2 * i, 2 * n - 1, f"{article} {run} {i} {n}", score(i)) for article, run, m in (("p", 0, 12_500), ("p", 30_000, 30), ("o", 0, 40), ("q", 5, 1))
+        for i in range(m) for n in (1, 2, 3, 4) if i + n <= m]
+    df = spark.createDataFrame(rows, "pmc_id string, run_id int, start int, length int, text string, score double").repartition(4)
+    hits = df.select("text", F.lit("H").alias("hpo_id"), F.lit("n").alias("name"), "score")
+    got = {}
+    for x in R.select_retrieved(df.drop("score"), hits, [0.0]).collect():
+        got.setdefault((x["pmc_id"], x["run_id"]), set()).add((x["start"], x["length"]))
+    want = {}
+    for a, run, s, n, _, v in rows:
+        want.setdefault((a, run), []).append((s, n, v))
+    assert got == {k: plain_greedy(v) for k, v in want.items()}
