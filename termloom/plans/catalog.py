@@ -351,8 +351,7 @@ def gate_transform(f: Fixtures) -> DataFrame:
 def _predicted(f: Fixtures) -> DataFrame:
     def build() -> DataFrame:
         state = G.gate_fit(f.samples())
-        model = G.gate_train(f.samples(), state)
-        return G.gate_predict(f.samples(), state, model.coefficients.toArray().tolist(), model.intercept)
+        return G.gate_predict(f.samples(), state, *G.gate_train(f.samples(), state))
 
     return f.once("predicted", build)
 
@@ -367,32 +366,21 @@ def gate_train(f: Fixtures) -> DataFrame:
         F.round(-(F.col("share") * F.log("share") + (1 - F.col("share")) * F.log(1 - F.col("share"))), 4).alias("constant_loss"))
 
 
-def given_weight(i: int) -> float:
-    return ((i * 7) % 11 - 5) / 10
-
-
 def gate_predict(f: Fixtures) -> DataFrame:
-    """By given weights, so that SQL can have the same; gate_train predicts with those of the fitted model."""
-    state = G.gate_fit(f.samples())
-    weights = [given_weight(i) for i in range(len(G.feature_names(state)))]
-    return G.gate_predict(f.samples(), state, weights, 0.25).select("pmc_id", "ent_idx", "label", F.round("keep_prob", 4).alias("keep_prob"))
-
-
-def _given_prob(f: Fixtures) -> DataFrame:
-    """Probabilities by rule instead of by the model, so that SQL can have the same."""
-    return f.samples().withColumn("keep_prob", (F.col("offset") * 7 + F.col("length") * 3) % 100 / 100.0)
+    """By the trained weights."""
+    return _predicted(f).select("pmc_id", "ent_idx", "label", F.round("keep_prob", 4).alias("keep_prob"))
 
 
 def gate_sweep(f: Fixtures) -> DataFrame:
-    return rounded(G.gate_sweep(_given_prob(f), KEEP), "retention_pct", "precision", "recall", "f1")
+    return rounded(G.gate_sweep(_predicted(f), KEEP), "retention_pct", "precision", "recall", "f1")
 
 
 def gate_apply(f: Fixtures) -> DataFrame:
-    return G.gate_apply(_given_prob(f), f.patients(), 0.5).select("pmc_id", "patient_id", "identifier")
+    return G.gate_apply(_predicted(f), f.patients(), 0.5).select("pmc_id", "patient_id", "identifier")
 
 
 def gate_threshold_scan(f: Fixtures) -> DataFrame:
-    scan = G.gate_threshold_scan(_given_prob(f), f.patients(), f.gold(), f.assoc_gold(), f.articles(), KEEP)
+    scan = G.gate_threshold_scan(_predicted(f), f.patients(), f.gold(), f.assoc_gold(), f.articles(), KEEP)
     return rounded(scan, "f1_micro", "f1_macro", "score", "delta_macro")
 
 

@@ -9,8 +9,8 @@ from ..operators.gate import BINARY, KEEP_WORDS, MISSABLE, NUMERIC, OTHER
 from .fixtures import SECTIONS
 
 ROOT = "HP:0000118"
-#: The bias of gate_predict's given weights, and the weight of the ith feature, as catalog.given_weight has it.
-BIAS, GIVEN_SQL = 0.25, "CAST((i * 7) % 11 - 5 AS DOUBLE) / 10"
+#: The ridge of the gate's fit, as gate.gate_train has it, and how many Newton steps the SQL takes.
+RIDGE, STEPS = 1e-6, 12
 
 
 def hp(n: str) -> str:
@@ -96,6 +96,7 @@ def prompt(roster_line: str, mention_line: str, text: str = "") -> str:
 
 _state = "".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, " for c in NUMERIC)
 _scaled = [f"(coalesce(CAST({c} AS DOUBLE), coalesce(m_{c}, 0.0)) - coalesce(m_{c}, 0.0)) / d_{c}" for c in NUMERIC]
+_values = ", ".join([*_scaled, *(f"CAST({c} AS DOUBLE)" for c in BINARY), *(f"CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END" for c in MISSABLE)])
 
 #: Common parts by name; a statement gets those that it names, and what they name.
 PARTS = {
@@ -236,7 +237,20 @@ PARTS = {
         JOIN fx_depth d ON d.id = m.identifier
         LEFT JOIN fx_dist a ON a.pmc_id = m.pmc_id AND a.ent_idx = m.ent_idx LEFT JOIN fx_sizes z ON z.pmc_id = m.pmc_id LEFT JOIN fx_union u ON
         u.pmc_id = m.pmc_id AND u.token = m.identifier""",
-    "fx_prob": 'SELECT *, ("offset" * 7 + length * 3) % 100 / 100.0 AS keep_prob FROM fx_samples',
+    "fx_prob": f"SELECT d.* EXCLUDE (v), 1 / (1 + exp(-list_dot_product(v, w))) AS keep_prob FROM fx_design d, fx_w{STEPS}",
+    "fx_design": f"""SELECT s.*, list_concat([{_values}], list_transform(names, lambda s: CASE WHEN s = section_type THEN 1.0 ELSE 0.0 END), [1.0])::DOUBLE[]
+        AS v FROM fx_samples s, fx_means, fx_spread, fx_gate_sections""",
+    "fx_w0": "SELECT list_transform(v, lambda x: 0.0::DOUBLE) AS w FROM fx_design LIMIT 1",
+    # a step: the matrix of second derivatives with the gradient beside it, eliminated column by column, and the solution taken off
+    **{f"fx_m{t}": f"""SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(x ORDER BY j) AS line FROM (SELECT i, j, CASE WHEN j > len(any_value(w)) THEN
+        avg((p - label) * v[i]) + {RIDGE} * any_value(w[i]) ELSE avg(p * (1 - p) * v[i] * coalesce(v[j], 0)) + CASE WHEN i = j THEN {RIDGE} ELSE 0 END END AS x
+        FROM (SELECT v, w, label, 1 / (1 + exp(-list_dot_product(v, w))) AS p FROM fx_design, fx_w{t}), (SELECT unnest(range(1, len(w) + 1)) AS i FROM fx_w{t}),
+        (SELECT unnest(range(1, len(w) + 2)) AS j FROM fx_w{t}) GROUP BY i, j) GROUP BY i)""" for t in range(STEPS)},
+    **{f"fx_e{t}": f"""SELECT 0 AS k, m FROM fx_m{t} UNION ALL SELECT k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k + 1 THEN line ELSE
+        list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][k + 1] * line[j]) END) FROM (SELECT k, m, list_transform(m[k + 1], lambda x: x / m[k +
+        1][k + 1]) AS line FROM fx_e{t} WHERE k < len(m))""" for t in range(STEPS)},
+    **{f"fx_w{t + 1}": f"""SELECT list_transform(range(1, len(w) + 1), lambda i: w[i] - m[i][len(w) + 1]) AS w FROM fx_e{t}, fx_w{t} WHERE k = len(w)"""
+        for t in range(STEPS)},
     "fx_means": "SELECT " + _state.rstrip(", ") + " FROM fx_samples",
     "fx_spread": "SELECT " + ", ".join(f"CASE WHEN coalesce(stddev_pop(coalesce(CAST({c} AS DOUBLE), m_{c}, 0.0)), 0) = 0 THEN 1.0 ELSE stddev_pop(coalesce(CAST({c} AS DOUBLE), m_{c}, 0.0)) END AS d_{c}" for c in NUMERIC) + " FROM fx_samples, fx_means",
     "fx_gate_sections": f"SELECT list_concat(list_sort(list(DISTINCT section_type)), ['{OTHER}']) AS names FROM fx_samples",
@@ -270,7 +284,7 @@ MEN = counts(units("fx_gold", 'pmc_id, "offset", length'), units("fx_pred", 'pmc
 DOC = counts(units("fx_gold", "pmc_id"), units("fx_pred", "pmc_id"), "pmc_id, token")
 MICRO = counts(tokens("fx_assoc_gold"), tokens("fx_assoc_seen"), "pmc_id, patient_id, token")
 TOTAL = f"SELECT (SELECT {F1} FROM ({MEN})) AS a, (SELECT {F1} FROM ({DOC})) AS b, (SELECT {F1} FROM ({MICRO})) AS c, (SELECT avg(f) FROM ({people('fx_assoc_gold', 'fx_assoc_pred')})) AS d"
-SCAN = f"""SELECT *, row_number() OVER (ORDER BY raw DESC, threshold) = 1 AS best FROM (SELECT threshold, round(f1_men, 6) AS f1_men, round(f1_doc, 6)
+SCAN = f"""SELECT *, row_number() OVER (ORDER BY round(raw, 9) DESC, threshold) = 1 AS best FROM (SELECT threshold, round(f1_men, 6) AS f1_men, round(f1_doc, 6)
         AS f1_doc, round(f1_micro, 6) AS f1_micro, round(f1_macro, 6) AS f1_macro,
     round(raw, 6) AS score, n_new, raw FROM (SELECT t.threshold, a.f AS f1_men, b.f AS f1_doc, c.f AS f1_micro, d.f AS f1_macro, (a.f + b.f + c.f +
         d.f) * 0.25 AS raw, (SELECT count(*) FROM fx_selected s WHERE s.threshold = t.threshold) AS n_new FROM fx_similar t
@@ -288,7 +302,6 @@ SCAN = f"""SELECT *, row_number() OVER (ORDER BY raw DESC, threshold) = 1 AS bes
 SCAN = SCAN.replace("SELECT *, row_number()", "SELECT threshold, f1_men, f1_doc, f1_micro, f1_macro, score, n_new, row_number()", 1)
 CTX = """trim(regexp_replace(substring(x.text, CAST(greatest(0, m."offset" - 120) + 1 AS BIGINT), CAST(m."offset" + m.length + 120 - greatest(0,
         m."offset" - 120) AS BIGINT)), '\\s+', ' ', 'g'))"""
-_values = ", ".join([*_scaled, *(f"CAST({c} AS DOUBLE)" for c in BINARY), *(f"CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END" for c in MISSABLE)])
 
 STATEMENTS = {
     "read_articles": """SELECT s.pmc_id, s.n AS n_segments, coalesce(g.n, 0) AS n_entities FROM (SELECT pmc_id, count(*) AS n FROM fx_segments GROUP
@@ -388,17 +401,17 @@ STATEMENTS = {
     "gate_transform": f"""SELECT pmc_id, ent_idx, unnest(range(len(v))) AS pos, round(unnest(v), 6) AS value FROM (SELECT pmc_id, ent_idx,
         list_concat([{_values}], list_transform(names, lambda s: CASE WHEN s = section_type THEN 1.0 ELSE 0.0 END)) AS v FROM fx_samples, fx_means,
         fx_spread, fx_gate_sections)""",
-    "gate_predict": f"""SELECT pmc_id, ent_idx, label, round(1 / (1 + exp(-({BIAS} + list_dot_product(v, list_transform(range(len(v)), lambda i:
-        {GIVEN_SQL}))))), 4) AS keep_prob
-        FROM (SELECT pmc_id, ent_idx, label, list_concat([{_values}], list_transform(names, lambda s: CASE WHEN s = section_type THEN 1.0 ELSE 0.0
-        END))::DOUBLE[] AS v FROM fx_samples, fx_means, fx_spread, fx_gate_sections)""",
+    "gate_train": """SELECT n, round(share, 6) AS share, round(loss, 4) AS loss, round(-(share * ln(share) + (1 - share) * ln(1 - share)), 4) AS constant_loss
+        FROM (SELECT count(*) AS n, avg(label) AS share, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS loss FROM (SELECT label, least(greatest(keep_prob,
+        1e-9), 1 - 1e-9) AS p FROM fx_prob))""",
+    "gate_predict": "SELECT pmc_id, ent_idx, label, round(keep_prob, 4) AS keep_prob FROM fx_prob",
     "gate_sweep": f"""SELECT threshold, round(100.0 * (tp + fp) / n, 6) AS retention_pct, {PRF} FROM (SELECT threshold, sum(CASE WHEN keep_prob >=
         threshold AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN keep_prob >= threshold AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN
         keep_prob < threshold AND label = 1 THEN 1 ELSE 0 END) AS fn, count(*) AS n FROM fx_prob, (SELECT unnest([0.0, 0.25, 0.5, 0.75]::DOUBLE[]) AS
         threshold) GROUP BY threshold)""",
     "gate_apply": roster("SELECT n.* FROM fx_near n JOIN fx_prob k ON k.pmc_id = n.pmc_id AND k.ent_idx = n.ent_idx WHERE k.keep_prob >= 0.5"),
     "gate_threshold_scan": f"""SELECT threshold, kept, round(f1_micro, 6) AS f1_micro, round(f1_macro, 6) AS f1_macro, round(score, 6) AS score,
-        round(f1_macro - first_value(f1_macro) OVER (ORDER BY threshold), 6) AS delta_macro, row_number() OVER (ORDER BY score DESC, threshold) = 1 AS
+        round(f1_macro - first_value(f1_macro) OVER (ORDER BY threshold), 6) AS delta_macro, row_number() OVER (ORDER BY round(score, 9) DESC, threshold) = 1 AS
         best FROM (
         SELECT a.threshold, k.kept, {F1} AS f1_micro, b.f AS f1_macro, 0.25 * ((SELECT {F1} FROM ({MEN})) + (SELECT {F1} FROM ({DOC})) + {F1} + b.f)
         AS score FROM
@@ -467,7 +480,7 @@ STATEMENTS = {
 
 
 #: Parts that are used more than once and dear to make.
-KEPT = {"fx_matches", "fx_tokens", "fx_top1", "fx_asked", "fx_ngrams", "fx_named", "fx_near_grams", "fx_selected"}
+KEPT = {"fx_samples", "fx_design", *(f"fx_{k}{t}" for k in "mw" for t in range(STEPS + 1)), "fx_matches", "fx_tokens", "fx_top1", "fx_asked", "fx_ngrams", "fx_named", "fx_near_grams", "fx_selected"}
 
 
 def with_parts(statement: str) -> str:

@@ -421,3 +421,25 @@ def test_greedy_selection_of_long_runs(spark, scores):
     for a, run, s, n, _, v in rows:
         want.setdefault((a, run), []).append((s, n, v))
     assert got == {k: plain_greedy(v) for k, v in want.items()}
+
+
+def test_gate_weights_are_the_least_loss(spark):
+    """Weighted rows, sections that depend on each other, classes that come apart, no rows: finite weights, and the plain optimum."""
+    import numpy as np
+
+    r = random.Random(1)
+    names = [*G.NUMERIC, *G.BINARY, "section_type", "label"]
+    schema = ", ".join(f"{c} {'string' if c == 'section_type' else 'int' if c == 'label' else 'double'}" for c in names)
+    row = lambda apart: (lambda x: (*x, *(float(r.random() < 0.5) for _ in G.BINARY), r.choice("AB"), int(x[1] > 0.5 if apart else r.random() < 1 / (1 + 2.7 ** (2 - 4 * x[1])))))(
+        [r.random() for _ in G.NUMERIC])
+    for apart in (False, True):
+        samples = spark.createDataFrame([row(apart) for _ in range(400)], schema)
+        state = G.gate_fit(samples)
+        weights, bias = G.gate_train(samples, state, positive_weight=2.0)
+        rows = G.gate_transform(samples, state).select("features", "label").collect()
+        x, y = np.array([[*v["features"], 1.0] for v in rows]), np.array([v["label"] for v in rows], float)
+        each = np.where(y == 1, 2.0, 1.0)
+        objective = lambda w: (each * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() / each.sum() + 5e-7 * w @ w
+        best = np.array([*weights, bias])
+        assert np.isfinite(best).all() and all(objective(best) <= objective(best + 1e-3 * np.eye(len(best))[k] * s) + 1e-12 for k in range(len(best)) for s in (1, -1))
+    assert G.gate_train(samples.limit(0), state) == ([0.0] * len(weights), 0.0)
