@@ -32,33 +32,32 @@ def normalise_phrase(c: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"([A-Za-z0-9]+)"), F.lit(1)), " ")
 
 
-def _overlay(acc: Column, s: Column) -> Column:
-    """Lay a segment at its offset over what is there; gaps become spaces."""
-    text, at, end = s["text"], s["offset"], s["offset"] + F.length(s["text"])
-    gap = F.concat(F.rpad(acc, at, " "), text)
-    over = F.concat(F.substring(acc, F.lit(1), at), text, F.when(F.length(acc) > end, F.substring(acc, end + 1, F.length(acc))).otherwise(F.lit("")))
-    return F.when(F.length(acc) < at, gap).otherwise(over)
+def laid_out(segments: Column, by_offset: bool = False) -> Column:
+    """The segments (offset, text) in the order in which they are laid down: the list's, or ``by_offset`` with ties in list order.
 
+    Missing offsets are 0, missing texts empty; no segments are an empty list.
+    """
+    offset, text = (lambda s: F.coalesce(s["offset"], F.lit(0)).alias("offset")), (lambda s: F.coalesce(s["text"], F.lit("")).alias("text"))
+    clean = F.transform(segments, lambda s: F.struct(offset(s), text(s)))
+    if by_offset:
+        keyed = F.array_sort(F.transform(segments, lambda s, i: F.struct(offset(s), i.alias("i"), text(s))))
+        clean = F.transform(keyed, lambda s: F.struct(s["offset"].alias("offset"), s["text"].alias("text")))
+    return F.coalesce(clean, F.array().cast("array<struct<offset:int,text:string>>"))
 
-def rebuild(segments: Column) -> Column:
-    """The global text of segments (offset, text) laid down in list order: a later one overwrites.
 
-    Where none overlaps its successor the pieces are joined; else they are folded one by one. Missing offsets are 0,
-    missing texts empty; no segments give an empty text.
-    """
-    clean = F.transform(segments, lambda s: F.struct(F.coalesce(s["offset"], F.lit(0)).alias("offset"), F.coalesce(s["text"], F.lit("")).alias("text")))
-    ends = F.transform(clean, lambda s: s["offset"] + F.length(s["text"]))
-    starts = F.transform(clean, lambda s: s["offset"])
-    gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))),
-        lambda a, b: a - b)
-    pads = F.concat(F.array(F.try_element_at(starts, F.lit(1))), gaps)
-    joined = F.array_join(F.zip_with(pads, clean, lambda g, s: F.concat(F.repeat(F.lit(" "), g), s["text"])), "")
-    folded = F.aggregate(clean, F.lit(""), _overlay)
-    return F.when(segments.isNull() | (F.size(clean) == 0), F.lit("")).when(F.forall(gaps, lambda g: g >= 0), joined).otherwise(folded)
-
-
-def rebuild_sorted(segments: Column) -> Column:
-    """The same with segments laid down by offset, ties in list order: the higher offset overwrites."""
-    keyed = F.transform(segments, lambda s, i: F.struct(F.coalesce(s["offset"], F.lit(0)).alias("offset"), i.alias("i"),
-        F.coalesce(s["text"], F.lit("")).alias("text")))
-    return rebuild(F.transform(F.array_sort(keyed), lambda s: F.struct(s["offset"].alias("offset"), s["text"].alias("text"))))
+def _gaps(segments: Column) -> Column:
+    """Between each segment's end and the next one's start."""
+    ends, starts = F.transform(segments, lambda s: s["offset"] + F.length(s["text"])), F.transform(segments, lambda s: s["offset"])
+    rest = F.greatest(F.size(segments) - 1, F.lit(0))
+    return F.zip_with(F.slice(starts, 2, rest), F.slice(ends, 1, rest), lambda a, b: a - b)
+
+
+def overlapping(segments: Column) -> Column:
+    """Whether a segment begins before the end of the one before it, in what laid_out gives."""
+    return F.exists(_gaps(segments), lambda g: g < 0)
+
+
+def joined(segments: Column) -> Column:
+    """The text of segments that don't overlap, in what laid_out gives; gaps become spaces."""
+    pads = F.concat(F.array(F.try_element_at(F.transform(segments, lambda s: s["offset"]), F.lit(1))), _gaps(segments))
+    return F.when(F.size(segments) == 0, F.lit("")).otherwise(F.array_join(F.zip_with(pads, segments, lambda g, s: F.concat(F.repeat(F.lit(" "), g), s["text"])), ""))

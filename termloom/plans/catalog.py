@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
+from ..functions import rebuild as W
 from ..functions import text as T
 from ..operators import associate as A
 from ..operators import diagnose as D
@@ -150,12 +151,12 @@ def concept_names(f: Fixtures) -> DataFrame:
 
 
 def rebuild_text(f: Fixtures) -> DataFrame:
-    return f.nested().select("pmc_id", T.rebuild(F.col("full_text")).alias("text"))
+    return W.rebuild_texts(f.nested())
 
 
 def rebuild_text_sorted(f: Fixtures) -> DataFrame:
     """Segments in reversed list order, laid down by offset."""
-    return f.nested().select("pmc_id", T.rebuild_sorted(F.reverse("full_text")).alias("text"))
+    return W.rebuild_texts(f.nested().select("pmc_id", F.reverse("full_text").alias("full_text")), by_offset=True)
 
 
 def tokenize_offsets(f: Fixtures) -> DataFrame:
@@ -513,7 +514,7 @@ def check_offsets(f: Fixtures) -> DataFrame:
     each = P.patient_mentions(f.patients()).select("pmc_id", F.lit("patient").alias("kind"), F.col("patient_id").alias("owner"), "idx", "offset",
         "length", "text")
     moved = gold.unionByName(each).select("pmc_id", "kind", "owner", "idx", at, "length", "text")
-    text = f.nested().select("pmc_id", T.rebuild_sorted(F.col("full_text")).alias("text"))
+    text = W.rebuild_texts(f.nested(), by_offset=True)
     return P.check_offsets(moved, text).select("pmc_id", "kind", "owner", "idx", "offset", "text", "found")
 
 

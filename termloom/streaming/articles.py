@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import rebuild
+from ..functions.rebuild import rebuild_texts
 from ..operators.associate import associate_nearest
 from ..operators.recognize import dictionary_match, tokenize
 from ..sources.articles import ARTICLE, nest_predictions, write_predictions
@@ -22,7 +22,7 @@ def stream_articles(spark: SparkSession, path: str, files_per_trigger: int = 100
 
 def recognise(articles: DataFrame, phrases: DataFrame) -> DataFrame:
     """Predictions (pmc_id, pmid, entities, association) of a batch of articles by dictionary and nearest routing."""
-    texts = articles.select("pmc_id", rebuild(F.col("full_text")).alias("text"))
+    texts = rebuild_texts(articles)
     order = Window.partitionBy("pmc_id").orderBy("offset")
     mentions = dictionary_match(texts, tokenize(texts), phrases).withColumn("ent_idx", F.row_number().over(order) - 1)
     patients = articles.select("pmc_id", F.posexplode("patient").alias("roster_idx", "p")).select("pmc_id", "roster_idx", F.col("p.patient_id").alias("patient_id"), F.coalesce("p.mention", F.array().cast("array<struct<offset:int,length:int,text:string>>")).alias("mentions"))

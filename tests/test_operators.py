@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import blocks as B
+from termloom.functions import rebuild as W
 from termloom.functions import text as T
 from termloom.operators import associate as A
 from termloom.operators import evaluate as E
@@ -44,11 +45,35 @@ def test_ids(spark):
     ],
 )
 def test_rebuild(spark, segments, plain, by_offset):
-    df = spark.createDataFrame([(segments,)], "s array<struct<offset:int,text:string>>")
-    got = df.select(T.rebuild(F.col("s")), T.rebuild_sorted(F.col("s"))).first()
+    df = spark.createDataFrame([("p", segments)], "pmc_id string, full_text array<struct<offset:int,text:string>>")
+    got = [W.rebuild_texts(df, by).first()["text"] for by in (False, True)]
     assert (got[0].rstrip(), got[1].rstrip()) == (plain.rstrip(), by_offset.rstrip())
 
 
+def plain_layers(segments):
+    out = []
+    for offset, text in segments:
+        offset, text = offset or 0, text or ""
+        out += " " * max(0, offset + len(text) - len(out))
+        out[offset : offset + len(text)] = text
+    return "".join(out)
+
+
+def test_rebuild_of_many_layers(spark):
+    """Random segments over each other, one under thousands, thousands under one, empty and null ones, with and without overlap."""
+    r = random.Random(7)
+    word = lambda n: "".join(r.choices("abcdé😀", k=n))
+    articles = {f"r{i}": [(r.choice([None, *range(30)]), r.choice([None, word(r.randint(0, 12))])) for _ in range(r.randint(0, 12))] for i in range(40)}
+    articles["under"] = [(0, word(30_000)), *((r.randint(0, 31_000), word(r.randint(1, 4))) for _ in range(3000))]
+    articles["over"] = [*((r.randint(0, 20_000), word(r.randint(1, 50))) for _ in range(3000)), (10, word(9000))]
+    articles["none"], articles["plain"] = None, [(3, "abc"), (9, "d")]
+    df = spark.createDataFrame(list(articles.items()), "pmc_id string, full_text array<struct<offset:int,text:string>>").repartition(3)
+    for by_offset in (False, True):
+        order = (lambda s: sorted(s, key=lambda x: x[0] or 0)) if by_offset else (lambda s: s)
+        got = {x["pmc_id"]: x["text"] for x in W.rebuild_texts(df, by_offset).collect()}
+        assert got == {k: plain_layers(order(v or [])) for k, v in articles.items()}
+
+
 def test_phrases(spark):
     terms = spark.createDataFrame([(0, "HP:1", "a b", ["ab", "abc", "abcd", "A-B", " Two  Words "], False), (1, "HP:0", "abcd", [], False),
         (2, "HP:2", "gone one", [], True)], "ord int, id string, name string, syns array<string>, obsolete boolean")
