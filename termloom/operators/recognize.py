@@ -18,6 +18,8 @@ from ..session import maybe_broadcast, stage, unstage
 MAX_NGRAM = 8
 #: Rows of a block of the matrix product, and rows of the concept matrix in one shard (25 MB at 768 dimensions).
 QUERY_ROWS, CONCEPT_ROWS = 1024, 1 << 12
+#: Most pivots that concepts are packed around.
+MOST_PIVOTS = 256
 #: Rounds of the selection in which all local maxima are taken at once; states of a span after them.
 ROUNDS = 12
 OPEN, TAKEN, DROPPED = range(3)
@@ -129,47 +131,135 @@ def normalised(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
-def retrieve_top1(queries: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(key, row_idx, hpo_id, name, score): the concept of the highest cosine for each query; ties go to the lowest row_idx.
+def _vectors(rows: DataFrame, key: str, size: int | None) -> DataFrame:
+    """(key, x) of the vectors without null or non-finite components, all of one size."""
+    whole = F.forall("embedding", lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)))
+    return rows.where(F.col(key).isNotNull() & whole & (F.size("embedding") == F.lit(size or 0))).select(F.col(key).cast("long").alias("key"),
+        F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles of vectors with pivots, and which vectors are of length one: bounds hold for these alone."""
+    length = np.sqrt(np.einsum("ij,ij->i", x, x))
+    return np.arccos(np.clip(x / np.maximum(length, 1e-30)[:, None] @ pivots.T, -1, 1)), np.abs(length - 1) < 1e-6
 
-    ``queries`` (key, embedding) and ``concepts`` (row_idx, hpo_id, name, embedding) hold vectors of length one. Concepts
-    are packed into shards of bounded size; each shard meets every block of queries, and the best of the shards wins.
+
+def _packed(rows: DataFrame, pivots: np.ndarray, most: int, name: str) -> DataFrame:
+    """(id, cell, radius, keys, x): up to ``most`` rows of (key, x) that have one nearest pivot, and their largest angle with it.
+
+    Rows are dealt by ranges of pivot and hash, so a pivot that is nearest to most of them has many packs in many tasks.
     """
 
-    def pack(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            angle, unit = _angles(x, pivots)
+            cell = angle.argmin(1)
+            at = np.where(unit, angle[np.arange(len(x)), cell], np.inf)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("x"), pa.array(cell.astype(np.int32)), pa.array(at)], ["key", "x", "cell", "angle"])
 
-            part, made = TaskContext.get().partitionId(), 0
-            for b in batches:
-                for s in range(0, len(b), size):
-                    piece = b.slice(s, size)
-                    keys = piece.column(0).to_numpy().astype("<i8")
-                    x = np.array(piece.column(1).to_pylist(), "<f8").reshape(len(keys), -1)
-                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([keys.tobytes()], pa.binary()),
-                        pa.array([x.tobytes()], pa.binary())], [name, f"{name}_keys", f"{name}_x"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 32
+        for b in batches:
+            cell = b.column("cell").to_numpy()
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            borders = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+            for i, end in zip(borders[:-1], borders[1:], strict=True):
+                for s in range(i, end, most):
+                    z = min(s + most, end)
+                    yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([int(cell[s])], pa.int32()), pa.array([b.column("angle").to_numpy()[s:z].max()]),
+                        pa.array([b.column("key").to_numpy()[s:z].tobytes()], pa.binary()), pa.array([x[s:z].tobytes()], pa.binary())], ["id", "cell", "radius", "keys", "x"])
                     made += 1
 
-        return rows.select(F.col(key).cast("long"), "embedding").mapInArrow(run, f"{name} long, {name}_keys binary, {name}_x binary")
+    placed = rows.mapInArrow(near, "key long, x array<double>, cell int, angle double")
+    dealt = placed.repartitionByRange("cell", F.xxhash64("key")).sortWithinPartitions("cell")
+    return stage(dealt.mapInArrow(pack, "id long, cell int, radius double, keys binary, x binary"), name)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                cell = lambda c, kind, r=r, b=b: np.frombuffer(b.column(c)[r].as_py(), kind)
-                keys, rows = cell("q_keys", "<i8"), cell("c_keys", "<i8")
-                score = cell("q_x", "<f8").reshape(len(keys), -1) @ cell("c_x", "<f8").reshape(len(rows), -1).T
-                order = np.argsort(rows, kind="stable")
-                at = order[score[:, order].argmax(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows[at]), pa.array(score[np.arange(len(keys)), at])], ["key", "row_idx", "score"])
-
-    shards, blocks = pack(concepts, "row_idx", CONCEPT_ROWS, "c"), pack(queries, "key", QUERY_ROWS, "q")
-    cells = max(1, -(-concepts.count() // CONCEPT_ROWS))
-    dealt = shards.withColumn("cell", F.pmod(F.xxhash64("c"), F.lit(cells)))
-    copies = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-    scored = dealt.join(copies, "cell").select("q_keys", "q_x", "c_keys", "c_x").mapInArrow(best, "key long, row_idx long, score double")
-    won = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("row_idx")).alias("neg"))).alias("w")).select("key",
-        (-F.col("w.neg")).alias("row_idx"), F.col("w.score").alias("score"))
-    return won.join(concepts.select("row_idx", "hpo_id", "name"), "row_idx").select("key", "row_idx", "hpo_id", "name", "score")
+
+def _best_of_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, row_idx, score): the best of a pack of concepts for each query that came to it; of equal ones the lowest row_idx."""
+    for b in batches:
+        for r in range(len(b)):
+            cell = lambda c, kind, r=r, b=b: np.frombuffer(b.column(c)[r].as_py(), kind)
+            keys, rows = cell("q_keys", "<i8"), cell("keys", "<i8")
+            score = cell("q_x", "<f8").reshape(len(keys), -1) @ cell("x", "<f8").reshape(len(rows), -1).T
+            order = np.argsort(rows, kind="stable")
+            at = order[score[:, order].argmax(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[r].as_py()] * len(keys)), pa.array(keys), pa.array(rows[at]), pa.array(score[np.arange(len(keys)), at])],
+                ["block", "key", "row_idx", "score"])
+
+
+def retrieve_top1(queries: DataFrame, concepts: DataFrame, report: bool = False) -> DataFrame:
+    """(key, row_idx, hpo_id, name, score): the concept of the highest cosine for each query; ties go to the lowest row_idx.
+
+    ``queries`` (key, embedding) and ``concepts`` (row_idx, hpo_id, name, embedding) hold vectors of length one; keys and
+    row_idx are distinct. A vector that is null, has a null or non-finite component or another size than the concept of
+    the lowest row_idx takes no part, and a query like that has no row. With ``report`` there are also packs_met and
+    packs, how many packs of concepts the query met and of how many.
+
+    Concepts are packed around pivots, a bounded number of concepts drawn by hash, with the pack's angle around its pivot.
+    By the triangle inequality no concept of a pack is nearer to a query than the angle between query and pivot less
+    that angle. Queries meet the pack of the best bound first; then, with the score they have, only packs whose bound
+    reaches it. Vectors of other lengths have no bound and meet all. The driver keeps the pivots and three numbers a pack.
+    """
+    spark = concepts.sparkSession
+    counted = concepts.where(F.col("embedding").isNotNull() & F.col("row_idx").isNotNull()).agg(F.min_by(F.size("embedding"), "row_idx").alias("size"), F.count("*").alias("n")).first()
+    known = _vectors(concepts, "row_idx", counted["size"])
+    wanted = max(1, min(MOST_PIVOTS, 4 * (counted["n"] // CONCEPT_ROWS)))
+    drawn = [r["x"] for r in known.orderBy(F.xxhash64("key"), "key").limit(wanted).collect()]
+    out = "key long, row_idx long, hpo_id string, name string, score double" + (", packs_met long, packs long" if report else "")
+    if not drawn:
+        return spark.createDataFrame([], out)
+    pivots = np.array(drawn, np.float64)
+    pivots /= np.maximum(np.sqrt(np.einsum("ij,ij->i", pivots, pivots)), 1e-30)[:, None]
+    packs, blocks = _packed(known, pivots, CONCEPT_ROWS, "concept_packs"), _packed(_vectors(queries, "key", counted["size"]), pivots, QUERY_ROWS, "query_blocks")
+    meta = packs.select("id", "cell", "radius").toArrow().sort_by("id")
+    ids, cells, radii = (meta[c].to_numpy() for c in ("id", "cell", "radius"))
+
+    def bounds(x: np.ndarray) -> np.ndarray:
+        """The highest cosine that each query can have in each pack."""
+        angle, unit = _angles(x, pivots)
+        out = np.cos(np.maximum(angle[:, cells] - np.where(np.isfinite(radii), radii, np.pi)[None, :] - 1e-6, 0))
+        out[~unit] = np.inf
+        out[:, ~np.isfinite(radii)] = np.inf
+        return out
+
+    def sent(second: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(len(b)):
+                    keys = np.frombuffer(b.column("keys")[r].as_py(), "<i8")
+                    x = np.frombuffer(b.column("x")[r].as_py(), "<f8").reshape(len(keys), -1)
+                    bound = bounds(x)
+                    home = np.where(np.isfinite(bound), bound, -2).argmax(1)  # what has no bound says nothing about the best
+                    if second:
+                        had = {h["key"]: h["score"] for h in b.column("had")[r].as_py()}
+                        meets = bound >= np.array([had[k] for k in keys.tolist()])[:, None] - 1e-9
+                        meets[np.arange(len(keys)), home] = False
+                    else:
+                        meets = np.zeros(bound.shape, bool)
+                        meets[np.arange(len(keys)), home] = True
+                    for p in np.flatnonzero(meets.any(0)):
+                        own = meets[:, p]
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[p]]), b.column("id").slice(r, 1), pa.array([keys[own].tobytes()], pa.binary()),
+                            pa.array([x[own].tobytes()], pa.binary())], ["id", "block", "q_keys", "q_x"])
+
+        return run
+
+    def scores(from_blocks: DataFrame, second: bool) -> DataFrame:
+        copies = from_blocks.mapInArrow(sent(second), "id long, block long, q_keys binary, q_x binary")
+        return packs.join(copies, "id").select("block", "q_keys", "q_x", "keys", "x").mapInArrow(_best_of_pack, "block long, key long, row_idx long, score double")
+
+    first = stage(scores(blocks, False), "first_scores")
+    had = first.groupBy(F.col("block").alias("id")).agg(F.collect_list(F.struct("key", "score")).alias("had"))  # a block's queries, QUERY_ROWS at most
+    rest = scores(blocks.join(had, "id"), True)
+    best = first.unionByName(rest).groupBy("key").agg(F.max(F.struct("score", (-F.col("row_idx")).alias("neg"))).alias("w"), F.count("*").alias("packs_met"))
+    won = stage(best.select("key", (-F.col("w.neg")).alias("row_idx"), F.col("w.score").alias("score"), "packs_met"), "nearest_concepts")
+    unstage(packs, blocks, first)
+    named = won.join(concepts.select(F.col("row_idx").cast("long").alias("row_idx"), "hpo_id", "name"), "row_idx")
+    return named.select("key", "row_idx", "hpo_id", "name", "score", *(["packs_met", F.lit(len(ids)).cast("long").alias("packs")] if report else []))
 
 
 def similarity_profile(scores: DataFrame) -> DataFrame:

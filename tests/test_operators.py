@@ -468,3 +468,33 @@ def test_gate_weights_are_the_least_loss(spark):
         best = np.array([*weights, bias])
         assert np.isfinite(best).all() and all(objective(best) <= objective(best + 1e-3 * np.eye(len(best))[k] * s) + 1e-12 for k in range(len(best)) for s in (1, -1))
     assert G.gate_train(samples.limit(0), state) == ([0.0] * len(weights), 0.0)
+
+
+def test_nearest_concepts(spark, monkeypatch):
+    """Clustered vectors, copies, vectors of other lengths, null, ragged and broken ones, against a plain search; clusters leave packs out."""
+    import numpy as np
+
+    monkeypatch.setattr(R, "CONCEPT_ROWS", 20)
+    monkeypatch.setattr(R, "QUERY_ROWS", 16)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 10))
+    unit = lambda v: v / np.linalg.norm(v)
+    cluster = lambda n: [unit(centres[i % 12] + 0.1 * r.normal(size=10)).tolist() for i in range(n)]
+    concepts = cluster(600)
+    concepts[7] = concepts[500] = concepts[300]
+    concepts[11] = (np.array(concepts[11]) * 3).tolist()
+    rows = [(i, f"H{i}", f"n{i}", v) for i, v in enumerate(concepts)]
+    broken = [(900, "H", "n", None), (901, "H", "n", [1.0] * 9), (902, "H", "n", [None, *[1.0] * 9]), (903, "H", "n", [float("nan")] * 10), (None, "H", "n", [1.0] * 10)]
+    asked = cluster(200) + [concepts[300], [0.0] * 10, (5 * unit(centres[0])).tolist()]
+    schema = "row_idx long, hpo_id string, name string, embedding array<double>"
+    c = spark.createDataFrame([*broken, *rows], schema).repartition(3)
+    q = spark.createDataFrame([*enumerate(asked), (900, None), (901, [1.0]), (902, [None] * 10), (None, asked[0])], "key long, embedding array<double>")
+    got = {x["key"]: x for x in R.retrieve_top1(q, c, report=True).collect()}
+    score = np.array(asked) @ np.array(concepts).T
+    assert sorted(got) == list(range(len(asked)))
+    for k, x in got.items():
+        assert x["score"] == pytest.approx(score[k].max(), abs=1e-12) and score[k][x["row_idx"]] >= score[k].max() - 1e-12 and x["hpo_id"] == f"H{x['row_idx']}"
+    assert got[200]["row_idx"] in (7, 11) and got[201]["row_idx"] == 0
+    assert got[201]["packs_met"] == got[201]["packs"] >= 30
+    assert np.mean([got[k]["packs_met"] / got[k]["packs"] for k in range(200)]) < 0.5
+    assert R.retrieve_top1(q, c.limit(0)).count() == 0 and R.retrieve_top1(q.limit(0), c).count() == 0
