@@ -100,7 +100,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32768, overlap
         import regex
 
         e, find = encoder(path, pattern), regex.compile(pattern)
-        own = ["doc_id", "key", "size", "start", "last"]
+        own = ["doc_id", "key", "size", "copies", "start", "last"]
         for b in batches:
             for row in range(len(b)):
                 start, last, text = (b.column(c)[row].as_py() for c in ("start", "last", "text"))
@@ -122,10 +122,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32768, overlap
                 yield pa.RecordBatch.from_arrays(columns, [*own, "text", "ids", "head", "head_at", "tail", "tail_at"])
 
     def stitch(table: pa.Table) -> pa.Table:
-        table = table.sort_by("start")
-        starts = table["start"].to_pylist()
-        copies = starts.count(0)
-        rows = [r for k, r in enumerate(table.to_pylist()) if k == 0 or starts[k] != starts[k - 1]]
+        rows = table.sort_by("start").to_pylist()  # of one text
         out, begin = [], 0
         for r, after in zip(rows, [*rows[1:], None], strict=True):
             if after is None:
@@ -138,14 +135,17 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32768, overlap
                 break
             out.append(r["ids"][4 * begin : 4 * found[1]])
             begin = meets[found[0]]
-        return pa.table([pa.array([rows[0]["doc_id"]] * copies, pa.int64()), id_lists([b"".join(out)] * copies)], names=["doc_id", "ids"])
+        return pa.table([pa.array([rows[0]["doc_id"]], pa.int64()), id_lists([b"".join(out)]), pa.array([rows[0]["copies"]], pa.int64())], names=["doc_id", "ids", "copies"])
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
     named = rows.where(F.length("text") > chunk).withColumns({"key": F.xxhash64("text"), "size": F.octet_length("text").cast("long")})
     place = "doc_id long, key long, size long, start long, last boolean, text string"
     marks = "ids binary, head array<long>, head_at array<long>, tail array<long>, tail_at array<long>"
-    encoded = named.mapInArrow(cut, place).repartition("doc_id", "key", "start").mapInArrow(pieces, f"{place}, {marks}")
-    return short.unionByName(encoded.groupBy("doc_id", "key", "size").applyInArrow(stitch, "doc_id long, ids array<int>"))
+    # copies of a row are one from here on, with their number
+    once = named.mapInArrow(cut, place).groupBy("doc_id", "key", "size", "start").agg(F.count("*").alias("copies"), F.first("last").alias("last"), F.first("text").alias("text"))
+    encoded = once.select("doc_id", "key", "size", "copies", "start", "last", "text").mapInArrow(pieces, f"{place.replace('size long,', 'size long, copies long,')}, {marks}")
+    stitched = encoded.groupBy("doc_id", "key", "size").applyInArrow(stitch, "doc_id long, ids array<int>, copies long")
+    return short.unionByName(stitched.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

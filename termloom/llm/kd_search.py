@@ -127,7 +127,10 @@ def components(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(good), max(width, 1)))
     for r, (_, f) in enumerate(good):
         out[r, : len(f)] = f
-    return np.array([i for i, _ in good], np.int64), np.floor(out * 256).astype(np.int64)
+    scaled = np.floor(out * 256)
+    if scaled.size and np.abs(scaled).max() >= 2.0**31 / np.sqrt(scaled.shape[1]):
+        raise ValueError("components are so large that an inner product may not fit into a long")
+    return np.array([i for i, _ in good], np.int64), scaled.astype(np.int64)
 
 
 TREE = "shard long, ids binary, vectors binary, vector_kind string, nodes binary, lo binary, hi binary, width int"
@@ -231,7 +234,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     Both tables have vec_id and embedding; other columns are ignored. Ties go to the smaller vec_id, a query's own id is
     left out, and fewer candidates give fewer rows. Rows with a null id, a null vector or a null or non-finite component
-    take no part; a shorter vector counts as padded with zeros; a repeated row counts once; no rows give none.
+    take no part; a shorter vector counts as padded with zeros; a repeated row counts once; no rows give none. Finite
+    components so large that an inner product may not fit into a long (2^28 for 64 of them, times 256) are an error.
     """
     made = stage(build(vectors, shard_rows), "trees")
     asked = stage(blocks_of(queries, block_rows), "blocks")

@@ -10,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.llm import additive, byte_bpe, chunk_dedup, components, divergence, kd_search, language_id, packing, pseudonyms, quality_additive, sampling
 from termloom.llm import setsketch, suffix_dedup, threshold_clusters, url_reputation, word_quality
@@ -219,6 +220,16 @@ def test_top_k(spark):
     assert kd_search.top_k(df.limit(1), df.limit(1)).count() == 0
 
 
+def test_components_too_large_for_a_long(spark):
+    """Near the limit scores are exact; over it there is an error, not a wrong score."""
+    rows = lambda x: spark.createDataFrame([(i, [x, float(i)]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = kd_search.top_k(rows(2.0**21), rows(2.0**21).where("vec_id = 0")).collect()
+    assert {r["score"] for r in got} == {2**58} and [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+    for x in (2.0**40, 2.0**60, -1e300):
+        with pytest.raises(Exception, match="may not fit into a long"):
+            kd_search.top_k(rows(x), rows(x).where("vec_id = 0")).collect()
+
+
 def test_trees_are_numbered_without_gaps(spark):
     rows = spark.range(0, 1000, 1, 7).selectExpr("(cast(spark_partition_id() as long) << 32) + id % 3 AS shard").where("shard >> 32 <> 2").distinct()
     assert sorted(r["cell"] for r in kd_search.dense(rows, "shard", "cell").collect()) == list(range(18))
@@ -504,6 +515,17 @@ def test_bpe(spark, docs, empty):
     assert byte_bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_a_long_text_repeated(spark):
+    """Copies of a long row are encoded once and all come back; the same text under another id, or none, is its own."""
+    text = prose(3, 9000)
+    rows = spark.range(400).selectExpr("IF(id < 300, 7, IF(id < 390, NULL, id)) AS doc_id").withColumn("text", F.lit(text)).repartition(6)
+    enc = brute.encoding(PATH("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(rows, PATH("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = encoded.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.col("ids").cast("string")).alias("kinds")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {7: 300, None: 90, **{i: 1 for i in range(390, 400)}}
+    assert {len(r["kinds"]) for r in got} == {1} and encoded.where("doc_id = 390").first()["ids"] == enc.encode_ordinary(text)
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Every stage against a plain version on what the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
