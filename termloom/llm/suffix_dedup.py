@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
@@ -318,40 +318,40 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, members: int = MEM
     marks = plain(met, 1).unionByName(plain(buckets.where(single).select("one.doc_id", "one.at"), 0))
     for r in runs:
         marks = marks.unionByName(r.select("doc_id", F.lit(2).cast("byte").alias("kind"), "start", "end"))
-    cuts = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind")).alias("cuts"))
-    spans = stage(cuts.mapInArrow(merged, "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
+    runs_of_texts = joined_runs(joined_runs(standing(marks).withColumn("part", F.floor(F.col("start") / PART)), "doc_id", "part"), "doc_id")
+    spans = stage(runs_of_texts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
     unstage(twice, met, buckets, groups, chosen, *runs)
     everything = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return everything.join(spans.hint("merge"), "doc_id", "left").mapInArrow(cut_out,
         "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
+#: Bytes of a text whose marks are merged in one task.
+PART = 1 << 20
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One text's marked runs (kinds 1 and 2) as the maximal runs of their bytes. An interval of kind 1 is dropped for each equal one of kind 0."""
-    for b in batches:
-        ids, out = [], []
-        for doc, row in zip(b.column("doc_id").to_pylist(), b.column("cuts"), strict=True):
-            start, end, kind = (row.values.field(k).to_numpy() for k in ("start", "end", "kind"))
-            gone = kind == 0
-            if gone.any():
-                order = np.lexsort((kind, end, start))
-                start, end, kind, gone = start[order], end[order], kind[order], gone[order]
-                # intervals of one start and end: as many of kind 1 as there are of kind 0 go
-                key = np.append(True, (start[1:] != start[:-1]) | (end[1:] != end[:-1])).cumsum() - 1
-                zeros, ones = np.bincount(key, gone), np.bincount(key, kind == 1)
-                stays = (kind == 2) | ((kind == 1) & (ones > zeros)[key])
-                start, end = start[stays], end[stays]
-            if not len(start):
-                continue
-            order = np.argsort(start, kind="stable")
-            start, reach = start[order], np.maximum.accumulate(end[order])
-            new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
-            ids.append(doc)
-            out.append([{"start": int(a), "end": int(z)} for a, z in zip(start[new], reach[np.append(new[1:], len(start)) - 1], strict=True)])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, SPANS)], ["doc_id", "spans"])
+def standing(marks: DataFrame) -> DataFrame:
+    """The distinct (doc_id, start, end) of marks that stay: those of kind 2, and of kind 1 if there are more of it than of kind 0.
+
+    Equal marks, of the copies of a row say, are counted before they are shuffled.
+    """
+    n = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
+    counted = marks.groupBy("doc_id", "start", "end").agg(n(0).alias("zeros"), n(1).alias("ones"), n(2).alias("twos"))
+    return counted.where((F.col("twos") > 0) | (F.col("ones") > F.col("zeros"))).select("doc_id", "start", "end")
+
+
+def joined_runs(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, start, end): the maximal runs of what overlaps or touches among rows of equal ``by``.
+
+    Done by parts of PART bytes first, so that a text of millions of marks is dealt over tasks, and what all of it needs
+    in one task is a few runs of each part.
+    """
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    numbered = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -503,6 +503,21 @@ def test_repeated_strings_very_long_texts(spark):
     assert got == {1: [(size - 150, size + 250)], 2: [(500, 900)], 3: [(0, size + 3000)], 4: []}
 
 
+@pytest.mark.parametrize("part", [1 << 20, 1000])
+def test_repeated_strings_of_periodic_texts_and_copies(spark, monkeypatch, part):
+    """Every place of a periodic text is marked, every copy of a row as well: equal and neighbouring marks become one before a text's are put together."""
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    rows = [(1, "a" * 400_000), (2, "ab" * 150_000), (3, prose(11, 100)), (4, prose(12, 60) + " " + "xyz" * 1000)]
+    rows += [(5, prose(13, 70))] * 1500
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.dedup(texts)
+    seen = {(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"])) for r in got.select("doc_id", "n_bytes", "n_removed", "spans").collect()}
+    size = {i: len(t) for i, t in rows}
+    assert {x for x in seen if x[0] != 4} == {(1, size[1], size[1], 1), (2, size[2], size[2], 1), (3, size[3], 0, 0), (5, size[5], size[5], 1)}
+    four = next(x for x in seen if x[0] == 4)
+    assert four[2] == 3000 and four[3] == 1 and got.count() == len(rows)
+
+
 def test_bpe(spark, docs, empty):
     path = PATH("byte_bpe_multi_50k.tiktoken")
     enc = brute.encoding(path, public_tokenizers.PATTERN)
