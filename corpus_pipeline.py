@@ -6,6 +6,8 @@ Every stage is a function of (spark, docs, sf_dir); all but the last return the
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from termloom.llm import chunk_dedup, language_id, packing, pseudonyms, setsketch
 from termloom.llm.common import maybe_broadcast, stage, unstage
 from termloom.llm.queries import pseudonym_key
-from termloom.session import ship
+from termloom.session import settled, ship
 
 #: Most labelled rows that the language model is fitted on.
 LANGUAGE_ROWS = 2000
@@ -79,7 +81,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        kept = stage(function(spark, docs, sf_dir), name)
+        kept = settled(partial(function, spark, docs, sf_dir), name)  # what the stage wrote on the way goes
         unstage(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

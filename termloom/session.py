@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
-_staged: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Paths of the tables staged and not deleted yet, in order.
+_staged: dict[str, None] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -59,7 +60,8 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _staged[out] = path
+    out._staged_path = path
+    _staged[path] = None
     return out
 
 
@@ -71,10 +73,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 def unstage(*frames: DataFrame) -> None:
     """Delete the staged tables ``frames`` (as stage gave them), of which all readers have run."""
     for df in frames:
-        if path := _staged.pop(df, None):
+        path = getattr(df, "_staged_path", None)
+        if path in _staged:
+            del _staged[path]
             _delete(df.sparkSession, path)
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` gives, staged; all tables staged on the way to it are deleted, also those that it reads."""
+    before = set(_staged)
+    out = stage(build(), name)
+    for path in [p for p in _staged if p not in before and p != out._staged_path]:
+        del _staged[path]
+        _delete(out.sparkSession, path)
+    return out
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete all tables staged by this application; results that still read them can't be used after that."""
     _staged.clear()

@@ -498,3 +498,24 @@ def test_nearest_concepts(spark, monkeypatch):
     assert got[201]["packs_met"] == got[201]["packs"] >= 30
     assert np.mean([got[k]["packs_met"] / got[k]["packs"] for k in range(200)]) < 0.5
     assert R.retrieve_top1(q, c.limit(0)).count() == 0 and R.retrieve_top1(q.limit(0), c).count() == 0
+
+
+def test_settled_leaves_its_result_alone(spark):
+    """Tables staged on the way go, with or without a frame that still stands for them; earlier ones stay until they are unstaged."""
+    import os
+
+    from termloom import session
+
+    there = lambda: {n for n in os.listdir(session.staging_dir(spark).removeprefix("file:")) if n.startswith("settled_")}
+    early = session.stage(spark.range(3), "settled_early")
+
+    def build():
+        session.stage(spark.range(5), "settled_lost")
+        return session.stage(spark.range(4), "settled_way").where("id > 1")
+
+    out = session.settled(build, "settled_out")
+    assert [r["id"] for r in out.orderBy("id").collect()] == [2, 3] and early.count() == 3
+    assert sorted(n.rsplit("-", 1)[0] for n in there()) == ["settled_early", "settled_out"]
+    session.unstage(early, out)
+    session.unstage(early)
+    assert not there()
