@@ -93,6 +93,27 @@ def test_op7(spark, sf_dir, docs):
     assert sum(right) >= 0.95 * len(right) and sum(wrong) <= 0.1 * len(wrong)
 
 
+def test_op7_on_rows_held_out(spark, sf_dir):
+    """Fitted on one part of the labelled rows, judged and held against chance and its own probabilities on the other."""
+    import math
+
+    from termloom.llm import word_quality
+
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "quality")
+    rows = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    got = word_quality.judge(rows.where("doc_id % 4 = 0"), rows.where("doc_id % 4 <> 0")).join(labels, "doc_id").collect()
+    p, y = [min(max(r["quality"], 1e-6), 1 - 1e-6) for r in word_quality.judge(rows.limit(0), rows).collect()], []
+    assert p == y  # no rows, no scores
+    share = sum(r[-1] for r in got) / len(got)
+    loss = -sum(math.log(max(q if t else 1 - q, 1e-6)) for q, t in ((r[7], r[-1]) for r in got)) / len(got)
+    chance = -(share * math.log(share) + (1 - share) * math.log(1 - share))
+    assert len(got) > 80 and loss < 0.75 * chance
+    assert abs(sum(r[7] for r in got) / len(got) - share) < 0.1  # calibrated in the mean
+    judged = [(r["kept"], r[-1]) for r in got if not r["base_failed"]]
+    assert sum(k for k, t in judged if t) >= 0.95 * sum(t for _, t in judged) and sum(k for k, t in judged if not t) <= 0.5 * sum(1 - t for _, t in judged)
+
+
 def test_op8(spark, sf_dir):
     known = {r["doc_id"]: (r["text"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = Q.op8_language_centroids(spark, sf_dir).collect()
