@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, normalise_phrase
-from ..session import maybe_broadcast, stage
+from ..session import maybe_broadcast, stage, unstage
 
 #: Fixed value: the root of the subtree of phenotypes.
 ROOT = "HP:0000118"
@@ -40,20 +40,53 @@ def ontology_edges(parsed: DataFrame) -> DataFrame:
 def ontology_depth(edges: DataFrame, root: str = ROOT, most_levels: int = 200) -> DataFrame:
     """(id, depth): the shortest distance from the root, which has 0; ids outside its subtree are absent.
 
-    Level by level: the children of the last level that were not met before. Each level is written, so plans stay short.
+    Level by level: the children of the last level that were not met before. Each level is written, and the levels so far
+    are put into one table every eighth time, so plans stay short and read few tables. See ontology_reach for all roots at once.
     """
     spark = edges.sparkSession
     size = edges.count()
     frontier = seen = spark.createDataFrame([(root, 0)], "id string, depth int")
+    apart: list[DataFrame] = []
     for level in range(1, most_levels + 1):
         step = edges.join(maybe_broadcast(frontier.select(F.col("id").alias("parent")), size, 64), "parent").select(F.col("child").alias("id")).distinct()
         frontier = stage(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)), "level")
         if frontier.isEmpty():
+            unstage(frontier)
             return seen
+        apart.append(frontier)
         seen = seen.unionByName(frontier)
+        if len(apart) == 8:
+            seen = stage(seen, "levels")
+            unstage(*apart[:-1])  # the last one is the frontier still
+            apart = [seen, frontier]
     raise RuntimeError("the ontology is deeper than most_levels")
 
 
+def ontology_reach(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(ancestor, id, depth, cycle): every id below every other, with the shortest distance, and each id below itself at distance 0.
+
+    ``cycle`` is true for an id that its own descendants lead back to. Known distances are doubled: a round joins the
+    pairs so far with each other, so paths of up to 2^k steps are known after k rounds, whatever the number of roots.
+    """
+    real = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent").distinct()
+    pairs = stage(real.select(F.col("parent").alias("ancestor"), F.col("child").alias("id"), F.lit(1).alias("depth")), "reach")
+    known = None
+    for _ in range(most_rounds):
+        now = tuple(pairs.agg(F.count("*"), F.sum("depth")).first())
+        if now == known:
+            ids = real.select(F.col("child").alias("id")).union(real.select("parent")).distinct()
+            loops = pairs.where(F.col("ancestor") == F.col("id")).select("id", F.lit(True).alias("cycle"))
+            own = ids.join(loops, "id", "left").select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
+            return pairs.where(F.col("ancestor") != F.col("id")).select("ancestor", "id", "depth", F.lit(False).alias("cycle")).unionByName(own)
+        known = now
+        on = pairs.select(F.col("ancestor").alias("_middle"), F.col("id").alias("_below"), F.col("depth").alias("_more"))
+        longer = pairs.join(on, F.col("id") == F.col("_middle")).select("ancestor", F.col("_below").alias("id"), (F.col("depth") + F.col("_more")).alias("depth"))
+        wider = stage(pairs.unionByName(longer).groupBy("ancestor", "id").agg(F.min("depth").alias("depth")), "reach")
+        unstage(pairs)
+        pairs = wider
+    raise RuntimeError("paths are longer than 2 ** most_rounds")
+
+
 def ontology_descendants(edges: DataFrame, root: str = ROOT) -> DataFrame:
     """(id) of the root and all below it."""
     return ontology_depth(edges, root).select("id")

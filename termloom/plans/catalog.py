@@ -135,6 +135,10 @@ def ontology_depth(f: Fixtures) -> DataFrame:
     return O.ontology_depth(f.edges())
 
 
+def ontology_reach(f: Fixtures) -> DataFrame:
+    return O.ontology_reach(f.edges())
+
+
 def ontology_alias_map(f: Fixtures) -> DataFrame:
     return O.ontology_alias_map(f.terms())
 
@@ -534,7 +538,7 @@ def check_submission(f: Fixtures) -> DataFrame:
 
 ALL = (
     read_articles, read_articles_tolerant, read_ontology, write_predictions, write_gate_dataset, read_concept_index, read_answers,
-    ontology_terms, ontology_edges, ontology_descendants, ontology_depth, ontology_alias_map, phrase_dictionary, concept_names,
+    ontology_terms, ontology_edges, ontology_descendants, ontology_depth, ontology_reach, ontology_alias_map, phrase_dictionary, concept_names,
     rebuild_text, rebuild_text_sorted, tokenize_offsets, section_lookup, context_window, split_ids, split_ids_real,
     dictionary_candidates, dictionary_match, free_token_ngrams, candidate_filter, distinct_candidate_texts, retrieve_top1,
     similarity_profile, select_retrieved, merge_mentions, threshold_scan_recognition,

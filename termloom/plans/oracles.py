@@ -114,6 +114,8 @@ PARTS = {
         FROM benchmark
         UNION SELECT {hp('item_id + 1000')}, {hp('item_id + 998')} FROM benchmark WHERE item_id % 5 = 0 AND item_id > 2""",
     "fx_walk": f"SELECT '{ROOT}' AS id, 0 AS depth UNION SELECT e.child, w.depth + 1 FROM fx_walk w JOIN fx_edges e ON e.parent = w.id",
+    "fx_reach": """SELECT DISTINCT unnest([child, parent]) AS ancestor, unnest([child, parent]) AS id, 0 AS depth FROM fx_edges UNION
+        SELECT r.ancestor, e.child, r.depth + 1 FROM fx_reach r JOIN fx_edges e ON e.parent = r.id""",
     "fx_depth": "SELECT id, min(depth) AS depth FROM fx_walk GROUP BY id",
     "fx_names": """SELECT id, unnest(list_concat([name], syns)) AS raw, unnest(range(1 + len(syns))) AS pos FROM fx_terms WHERE NOT obsolete AND id
         IN (SELECT id FROM fx_depth)""",
@@ -329,6 +331,7 @@ STATEMENTS = {
     "tokenize_offsets": 'SELECT pmc_id, tok_idx, token, "start", "end" FROM fx_tokens',
     "section_lookup": """SELECT m.pmc_id, m.ent_idx, coalesce(s.section_type, '?') AS section FROM fx_gold m LEFT JOIN fx_segments s ON s.pmc_id =
         m.pmc_id AND m."offset" >= s."offset" AND m."offset" < s."offset" + length(s.text)""",
+    "ontology_reach": """SELECT ancestor, id, min(depth) AS depth, false AS cycle FROM fx_reach GROUP BY ancestor, id""",
     "context_window": f"SELECT m.pmc_id, m.ent_idx, {CTX} AS context FROM fx_gold m JOIN fx_texts x ON x.pmc_id = m.pmc_id",
     "split_ids": f"""SELECT pmc_id, ent_idx, unnest({ids("' ' || identifier || ' ;-1;'")}) AS token FROM fx_gold""",
     "split_ids_real": f"""SELECT pmc_id, ent_idx, unnest({ids("' ' || identifier || ' ;-1;'", True)}) AS token FROM fx_gold""",

@@ -519,3 +519,31 @@ def test_settled_leaves_its_result_alone(spark):
     session.unstage(early, out)
     session.unstage(early)
     assert not there()
+
+
+def test_reach_of_all_roots(spark):
+    """Shortest distances over diamonds, long chains and a cycle, against a plain walk from every id."""
+    r = random.Random(3)
+    edges = [(f"n{i}", f"n{r.randint(0, i - 1)}") for i in range(1, 40) for _ in range(r.randint(1, 2))] + [(f"c{i + 1}", f"c{i}") for i in range(33)]
+    edges += [("x", "y"), ("y", "z"), ("z", "x"), ("n5", "z"), ("s", "s"), (None, "n1"), ("n1", None)]
+    down = {}
+    for child, parent in edges:
+        if child and parent:
+            down.setdefault(parent, set()).add(child)
+            down.setdefault(child, set())
+    want = set()
+    for a in down:
+        level, seen, d = {a}, {a: 0}, 0
+        back = False
+        while level:
+            d += 1
+            following = {c for x in level for c in down[x]}
+            back |= a in following
+            level = {c for c in following if c not in seen}
+            seen |= {c: d for c in level}
+        want |= {(a, i, n, back and i == a) for i, n in seen.items()}
+    df = spark.createDataFrame(edges, "child string, parent string")
+    assert {tuple(x) for x in O.ontology_reach(df).collect()} == want
+    depth = {x["id"]: x["depth"] for x in O.ontology_depth(df.where("child IS NOT NULL AND parent IS NOT NULL"), "c0").collect()}
+    assert depth == {f"c{i}": i for i in range(34)}
+    assert O.ontology_reach(df.limit(0)).count() == 0
