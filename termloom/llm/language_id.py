@@ -46,6 +46,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     gap = folded == 32
     skip = gap.copy()
     skip[1:] &= gap[:-1]  # runs of gaps count as one
+    skip[offsets[:-1][offsets[:-1] < len(skip)]] = False  # but not from text to text
     for size in (1, 2, 3, 4):
         m = len(folded) - size + 1
         if m <= 0:

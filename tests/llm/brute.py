@@ -354,3 +354,51 @@ def op12(rows, k=16, rounds=3, dimensions=64, scale=64, seed="1"):
         spread[n] += d
     names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
     return {i: (n, d, spread[n], sum(spread.values()), names[n]) for i, (d, n) in (near.items() if kept else ())}
+
+
+WIDE, MULTIPLIERS = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * MULTIPLIERS[1] & WIDE
+    x ^= x >> 27
+    x = x * MULTIPLIERS[2] & WIDE
+    return x ^ (x >> 31)
+
+
+BYTE = [mixed((b + 1) * MULTIPLIERS[0] & WIDE) for b in range(256)]
+
+
+def op8_counts(text, dimensions):
+    """Hashed n-grams of 1 to 4 bytes of one text; digits, signs and white space are one gap, of a run of gaps the first counts."""
+    folded = [b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalpha() else 32 for b in (text or "").encode()]
+    skip = [b == 32 and i > 0 and folded[i - 1] == 32 for i, b in enumerate(folded)]
+    out = Counter()
+    for size in (1, 2, 3, 4):
+        for i in range(len(folded) - size + 1):
+            if skip[i] or skip[i + size - 1]:
+                continue
+            g = 0
+            for b in folded[i : i + size]:
+                g = (g * MULTIPLIERS[2] + BYTE[b]) & WIDE
+            out[((g ^ (g >> 31)) * MULTIPLIERS[0] & WIDE) >> (64 - dimensions.bit_length() + 1)] += 1
+    return out
+
+
+def op8(text, idf, vectors, languages):
+    """The language of the centroid with the highest cosine, and that cosine; ``und`` for a text without a letter."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    x = {k: math.log1p(n) * idf[k] for k, n in op8_counts(text, len(idf)).items()}
+    size = math.sqrt(sum(v * v for v in x.values()))
+    cosine = [sum(v * c[k] for k, v in x.items()) / size for c in vectors]
+    best = max(range(len(cosine)), key=lambda i: cosine[i])
+    return languages[best], min(max(cosine[best], 0.0), 1.0)
+
+
+def op13_score(x, model):
+    """The calibrated sum of an additive model's cells at a row of features."""
+    bins = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+    m = model.bias + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[bins[i]][bins[j]] for (i, j), t in model.pairs.items())
+    return 1 / (1 + math.exp(-(model.slope * m + model.offset)))

@@ -1,5 +1,6 @@
 """The registered queries against plain-Python versions, on a small table."""
 
+import os
 import zlib
 
 import brute
@@ -9,6 +10,8 @@ import pytest
 from termloom.llm import pseudonyms
 from termloom.llm import queries as Q
 
+PATH = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
@@ -125,6 +128,35 @@ def test_op8(spark, sf_dir):
     assert sum(r["rejected"] for r in rows) <= 0.02 * len(rows)
 
 
+def test_op8_against_a_plain_search(spark, docs):
+    """Every text's language and cosine, in batches and one by one, texts that begin or end with gaps among them."""
+    from termloom.llm import language_id
+
+    table = spark.read.parquet(f"{PATH}/documents.parquet")
+    model = language_id.fit(table)
+    idf, vectors = model.idf.tolist(), model.vectors.tolist()
+    texts = [(d, t) for d, t in docs if len(t or "") < 3000][:60] + [(-1, " der  und 12 "), (-2, "  the"), (-3, "las. "), (-4, None), (-5, "12 !"), (-6, "é"), (-7, "")]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), model).collect()}
+    for d, t in texts:
+        lang, score = brute.op8(t, idf, vectors, model.languages)
+        assert got[d]["lang_pred"] == lang and got[d]["score"] == pytest.approx(score, abs=1e-5), (d, t)
+
+
+def test_op13_against_plain_sums(spark, docs):
+    """Scores of whole texts against sums of cells at features made one text at a time."""
+    import pyarrow as pa
+
+    from termloom.llm import quality_additive
+    from termloom.llm.textual import utf8
+
+    labels = spark.read.parquet(f"{PATH}/labels.parquet").select("doc_id", "quality")
+    table = spark.read.parquet(f"{PATH}/documents.parquet").select("doc_id", "text")
+    model = quality_additive.train(table.join(labels, "doc_id"))
+    got = {r["doc_id"]: r["score"] for r in quality_additive.score(table, model).collect()}
+    for d, t in docs:
+        assert got[d] == pytest.approx(brute.op13_score(quality_additive.features(*utf8(pa.array([t], pa.string())))[0], model), abs=1e-9)
+
+
 def test_op9(spark, sf_dir, docs):
     rows = Q.op9_suffix_buckets(spark, sf_dir).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute.op9(docs)
