@@ -33,8 +33,8 @@ def _swept(laid: DataFrame) -> DataFrame:
     roots; a stretch finds the last segment noted at the nodes above it. So n segments make some n log n rows, dealt by
     node, however they overlap.
     """
-    parts = laid.select("pmc_id", F.posexplode("_s").alias("rank", "s")).select("pmc_id", "rank", F.col("s.offset").alias("a"), (F.col("s.offset") + F.length("s.text")).alias("z"),
-        F.col("s.text").alias("text"))
+    parts = laid.select("pmc_id", F.posexplode("_s").alias("rank", "s")).select("pmc_id", "rank", F.col("s.offset").alias("a"),
+        (F.col("s.offset") + F.length("s.text")).alias("z"), F.col("s.text").alias("text"))
     place = Window.partitionBy("pmc_id").orderBy("x")
     borders = parts.select("pmc_id", F.explode(F.array(F.lit(0), "a", "z")).alias("x")).distinct().select("pmc_id", "x", (F.row_number().over(place) - 1).alias("i"),
         F.lead("x").over(place).alias("next"), F.count("*").over(Window.partitionBy("pmc_id")).alias("n"))
@@ -56,8 +56,8 @@ def _swept(laid: DataFrame) -> DataFrame:
     pieces = own.groupBy("pmc_id", "rank", "_run").agg(F.min("x").alias("x"), F.max("next").alias("end"))
     key = F.concat_ws("/", F.col("rank").cast("string"), "pmc_id")
     texts = parts.select(key.alias("pmc_id"), "text")
-    seen = pieces.where(F.col("rank").isNotNull()).join(parts.select("pmc_id", "rank", "a"), ["pmc_id", "rank"]).select(F.col("pmc_id").alias("_article"), key.alias("pmc_id"),
-        "x", (F.col("x") - F.col("a")).alias("_from"), (F.col("end") - F.col("a")).alias("_to"))
+    seen = pieces.where(F.col("rank").isNotNull()).join(parts.select("pmc_id", "rank", "a"), ["pmc_id", "rank"]).select(
+        F.col("pmc_id").alias("_article"), key.alias("pmc_id"), "x", (F.col("x") - F.col("a")).alias("_from"), (F.col("end") - F.col("a")).alias("_to"))
     shown = with_slice(seen, texts, F.col("_from"), F.col("_to"), "piece").select(F.col("_article").alias("pmc_id"), "x", "piece")
     gaps = pieces.where(F.col("rank").isNull()).select("pmc_id", "x", F.repeat(F.lit(" "), F.col("end") - F.col("x")).alias("piece"))
     ordered = F.sort_array(F.collect_list(F.struct("x", "piece")))

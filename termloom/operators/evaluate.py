@@ -171,8 +171,9 @@ def macro_by_level(rows: DataFrame, n: int) -> DataFrame:
     A patient's F1 changes only at the levels of its own tokens: these changes are added up by level, from the highest down.
     """
     by = Window.partitionBy("pmc_id", "patient_id")
-    levels = rows.groupBy("pmc_id", "patient_id", "level").agg(F.max(F.col("token").isNull()).alias("known"),
-        F.sum(F.when(F.col("token").isNotNull(), F.col("g")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("token").isNotNull(), 1 - F.col("g")).otherwise(0)).alias("fp"))
+    there = F.col("token").isNotNull()
+    levels = rows.groupBy("pmc_id", "patient_id", "level").agg(F.max(~there).alias("known"), F.sum(F.when(there, F.col("g")).otherwise(0)).alias("tp"),
+        F.sum(F.when(there, 1 - F.col("g")).otherwise(0)).alias("fp"))
     down = by.orderBy(F.col("level").desc())
     total = lambda c: F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, 0))
     placed = levels.select("pmc_id", "patient_id", "level", F.max("known").over(by).alias("known"), F.sum("tp").over(by).alias("gold"), total("tp").alias("tp"),

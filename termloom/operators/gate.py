@@ -182,7 +182,9 @@ def gate_apply(predicted: DataFrame, patients: DataFrame, threshold: float) -> D
 
 def gate_threshold_scan(predicted: DataFrame, patients: DataFrame, gold_mentions: DataFrame, gold: DataFrame, articles: DataFrame,
     thresholds: list[float]) -> DataFrame:
-    """(threshold, kept, f1_micro, f1_macro, score, delta_macro, best) by threshold, all in one pass; best is the first highest score, to nine places: sums differ in the last ones by their order.
+    """(threshold, kept, f1_micro, f1_macro, score, delta_macro, best) by threshold, all in one pass.
+
+    Best is the first highest score, to nine places: sums differ in the last ones by their order.
 
     ``predicted`` are the recognised mentions with keep_prob. Routing doesn't depend on the threshold, and what is kept at
     one is kept at all lower ones: mentions are routed once, and counted by the highest threshold they reach.

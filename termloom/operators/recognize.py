@@ -81,7 +81,8 @@ def leftmost_longest(candidates: DataFrame) -> DataFrame:
     step = sum((F.shiftleft(F.greatest(F.lit(0), (size if s == 0 else F.lit(s)) - gap).cast("long"), 4 * s) for s in range(MAX_NGRAM)), F.lit(0).cast("long"))
     marked = longest.withColumns({"_new": F.coalesce(reach <= F.col("tok_idx"), F.lit(True)), "_n": F.row_number().over(order), "_step": step})
     begun = F.max(F.when(F.col("_new"), F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = stage(marked.withColumns({"_place": F.col("_n") - begun, "_step": F.when(F.col("_new"), F.lit(0).cast("long")).otherwise(F.col("_step"))}).drop("_n", "_new"), "longest")
+    held = F.when(F.col("_new"), F.lit(0).cast("long")).otherwise(F.col("_step"))
+    placed = stage(marked.withColumns({"_place": F.col("_n") - begun, "_step": held}).drop("_n", "_new"), "longest")
     out = placed
     for t in range(int(placed.agg(F.max("_place")).first()[0] or 0).bit_length()):
         out = out.withColumn("_step", after(F.coalesce(F.lag("_step", 1 << t).over(order), F.lit(0).cast("long")), F.col("_step")))
@@ -170,7 +171,8 @@ def _packed(rows: DataFrame, pivots: np.ndarray, most: int, name: str) -> DataFr
                 for s in range(i, end, most):
                     z = min(s + most, end)
                     yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([int(cell[s])], pa.int32()), pa.array([b.column("angle").to_numpy()[s:z].max()]),
-                        pa.array([b.column("key").to_numpy()[s:z].tobytes()], pa.binary()), pa.array([x[s:z].tobytes()], pa.binary())], ["id", "cell", "radius", "keys", "x"])
+                        pa.array([b.column("key").to_numpy()[s:z].tobytes()], pa.binary()), pa.array([x[s:z].tobytes()], pa.binary())],
+                        ["id", "cell", "radius", "keys", "x"])
                     made += 1
 
     placed = rows.mapInArrow(near, "key long, x array<double>, cell int, angle double")
@@ -187,8 +189,8 @@ def _best_of_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             score = cell("q_x", "<f8").reshape(len(keys), -1) @ cell("x", "<f8").reshape(len(rows), -1).T
             order = np.argsort(rows, kind="stable")
             at = order[score[:, order].argmax(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[r].as_py()] * len(keys)), pa.array(keys), pa.array(rows[at]), pa.array(score[np.arange(len(keys)), at])],
-                ["block", "key", "row_idx", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[r].as_py()] * len(keys)), pa.array(keys), pa.array(rows[at]),
+                pa.array(score[np.arange(len(keys)), at])], ["block", "key", "row_idx", "score"])
 
 
 def retrieve_top1(queries: DataFrame, concepts: DataFrame, report: bool = False) -> DataFrame:
@@ -205,7 +207,8 @@ def retrieve_top1(queries: DataFrame, concepts: DataFrame, report: bool = False)
     reaches it. Vectors of other lengths have no bound and meet all. The driver keeps the pivots and three numbers a pack.
     """
     spark = concepts.sparkSession
-    counted = concepts.where(F.col("embedding").isNotNull() & F.col("row_idx").isNotNull()).agg(F.min_by(F.size("embedding"), "row_idx").alias("size"), F.count("*").alias("n")).first()
+    there = concepts.where(F.col("embedding").isNotNull() & F.col("row_idx").isNotNull())
+    counted = there.agg(F.min_by(F.size("embedding"), "row_idx").alias("size"), F.count("*").alias("n")).first()
     known = _vectors(concepts, "row_idx", counted["size"])
     wanted = max(1, min(MOST_PIVOTS, 4 * (counted["n"] // CONCEPT_ROWS)))
     drawn = [r["x"] for r in known.orderBy(F.xxhash64("key"), "key").limit(wanted).collect()]
@@ -338,7 +341,8 @@ def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: pa.Table | None = None
 
     def chosen(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
-        code, (run, start, length, score) = rows["pmc_id"].combine_chunks().dictionary_encode().indices.to_numpy(), (rows[c].to_numpy() for c in ("run_id", "start", "length", "score"))
+        code = rows["pmc_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        run, start, length, score = (rows[c].to_numpy() for c in ("run_id", "start", "length", "score"))
         group = np.cumsum(np.concatenate([[False], (code[1:] != code[:-1]) | (run[1:] != run[:-1])]))
         rank = np.empty(len(rows), np.int64)
         rank[np.lexsort((-length, start, -score))] = np.arange(len(rows))

@@ -56,8 +56,8 @@ def place_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def out(file: str, split: int, places: list[int], lines: list[str | None]) -> pa.RecordBatch:
         n = len(places)
-        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([split] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(lines, pa.string())],
-            ["file", "split", "place", "line"])
+        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([split] * n, pa.int64()), pa.array(places, pa.int64()),
+            pa.array(lines, pa.string())], ["file", "split", "place", "line"])
 
     here, n = None, 0
     for b in batches:

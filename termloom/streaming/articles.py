@@ -25,7 +25,9 @@ def recognise(articles: DataFrame, phrases: DataFrame) -> DataFrame:
     texts = rebuild_texts(articles)
     order = Window.partitionBy("pmc_id").orderBy("offset")
     mentions = dictionary_match(texts, tokenize(texts), phrases).withColumn("ent_idx", F.row_number().over(order) - 1)
-    patients = articles.select("pmc_id", F.posexplode("patient").alias("roster_idx", "p")).select("pmc_id", "roster_idx", F.col("p.patient_id").alias("patient_id"), F.coalesce("p.mention", F.array().cast("array<struct<offset:int,length:int,text:string>>")).alias("mentions"))
+    none = F.array().cast("array<struct<offset:int,length:int,text:string>>")
+    patients = articles.select("pmc_id", F.posexplode("patient").alias("roster_idx", "p")).select("pmc_id", "roster_idx",
+        F.col("p.patient_id").alias("patient_id"), F.coalesce("p.mention", none).alias("mentions"))
     return nest_predictions(articles, mentions, associate_nearest(mentions, patients))
 
 

@@ -547,3 +547,22 @@ def test_reach_of_all_roots(spark):
     depth = {x["id"]: x["depth"] for x in O.ontology_depth(df.where("child IS NOT NULL AND parent IS NOT NULL"), "c0").collect()}
     assert depth == {f"c{i}": i for i in range(34)}
     assert O.ontology_reach(df.limit(0)).count() == 0
+
+
+def test_streamed_log_equals_the_folded_one(spark, tmp_path):
+    """Records in many files and out of order, nulls, a second run that goes on from the checkpoint."""
+    from termloom.streaming import experiments
+
+    r = random.Random(8)
+    pick = lambda v: r.choice([None, v])
+    rows = [(i, pick(f"t{i}"), r.choice(["a", "b", "c", None]), pick(f"n{i}"), None, pick("p"), pick((float(i), None, 1.0, pick(2.0), pick(float(-i)))),
+        pick((pick("board"), pick(float(i)), None, None, None, None, pick(f"s{i}")))) for i in range(80)]
+    r.shuffle(rows)
+    log = spark.createDataFrame(rows, K.RECORD)
+    state, out, log_in = (str(tmp_path / n) for n in ("state", "out", "in"))
+    for k in (0, 1):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], K.RECORD).repartition(5).write.mode("append").json(log_in)
+        experiments.fold_stream(experiments.stream_log(spark, log_in, 2), out, state).awaitTermination()
+        part = spark.createDataFrame(rows[: 40 * k + 40], K.RECORD)
+        assert sorted(map(repr, experiments.folded(spark, out).collect())) == sorted(map(repr, K.experiments_fold(part).collect()))
+    assert log.count() == 80
