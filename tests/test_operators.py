@@ -286,7 +286,8 @@ def test_staged_tables_go(spark):
     from termloom import session
 
     df = session.stage(spark.range(5), "some")
-    path = session._staged[df]
+    path = df._staged_path
+    assert os.path.exists(path.removeprefix("file:")) and path in session._staged
     session.unstage(df)
     assert not os.path.exists(path.removeprefix("file:"))
 
