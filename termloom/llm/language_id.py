@@ -9,6 +9,7 @@ compared with training texts of about as many distinct n-grams.
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -165,7 +166,7 @@ def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quanti
     """Centroids from at most ``max_rows`` rows of ``labelled`` (doc_id, text, lang), drawn by language (see bounds) with a hash of the id.
 
     Rows of one language and id count once, as do rows without an id that have one text. At most ``max_languages``
-    languages are learned, those with the most rows; no more than max_rows rows of features reach the driver.
+    languages are learned, those with the most rows.
 
     A language's limits come from rows held out of its centroids. One with under OWN_LIMITS rows takes those of rows of all
     languages against ``per_language`` rows alone, or folds of a small language's. Null texts and languages don't count. None if nothing is left.
@@ -192,9 +193,22 @@ def fit(labelled: DataFrame, max_rows: int = 2000, per_language: int = 3, quanti
     once = made.groupBy("lang", key).agg(F.min(F.struct(tie, "f"))["f"].alias("f"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(key))
     limit = F.create_map(*(F.lit(v) for pair in most.items() for v in pair))
-    got = once.withColumn("place", place).where(F.col("place") <= F.try_element_at(limit, F.col("lang"))).select(key, "lang", "f").toArrow().sort_by(key)
-    if not len(got):
+    kept = once.withColumn("place", place).where(F.col("place") <= F.try_element_at(limit, F.col("lang"))).select(key, "lang", "f")
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := [b for b in batches if len(b)]:
+            model = learn(pa.Table.from_batches(rows).sort_by(key), per_language, quantile, slack, rounds)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # max_rows rows at most: one task learns from them, and the driver gets the centroids alone
+    model = kept.coalesce(1).mapInArrow(learned, "model binary").first()
+    if model is None:
         raise RuntimeError("no labelled row was drawn")
+    return pickle.loads(model["model"])
+
+
+def learn(got: pa.Table, per_language: int, quantile: float, slack: float, rounds: int) -> Centroids:
+    """Centroids and limits from rows (lang, f), f the text's n-gram counts."""
     c = np.zeros((len(got), DIMENSIONS), np.float32)
     for r, f in enumerate(got["f"]):
         cell = np.frombuffer(f.as_py(), [("i", "<u2"), ("v", "<u4")])
