@@ -1,6 +1,7 @@
 """Small literal frames for the edges of the operators' rules."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -567,3 +568,57 @@ def test_streamed_log_equals_the_folded_one(spark, tmp_path):
         part = spark.createDataFrame(rows[: 40 * k + 40], K.RECORD)
         assert sorted(map(repr, experiments.folded(spark, out).collect())) == sorted(map(repr, K.experiments_fold(part).collect()))
     assert log.count() == 80
+
+
+def exchanges(df):
+    """Shuffles in the plan, before it has run."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_texts_are_taken_apart_where_they_are_read(spark, monkeypatch):
+    """Tokens, lines, candidates and n-grams made in the reading task are those of the tables of tokens, without an exchange of tokens."""
+    r = random.Random(3)
+    rows = [(f"p{i}", "".join(r.choice(["a", "B7", "é", " ", " - ", "\n", "😀", "cd"]) for _ in range(r.choice([0, 1, 5, 60])))) for i in range(60)]
+    texts = spark.createDataFrame([*rows, ("null", None), ("mark", "?!")], "pmc_id string, text string").repartition(3).localCheckpoint()
+    words = spark.createDataFrame([(p, len(p.split()), p.split()[0], f"H:{p}") for p in ("a", "a b7", "cd a a", "b7 b7 cd", "a a a a a a a a")],
+        "phrase string, n_tokens int, first_token string, hpo_id string")
+    tokens = R.tokenize(texts)
+    assert exchanges(tokens) == 0 and exchanges(R.split_lines(texts)) == 0
+    got = {(x["pmc_id"], x["start"]): (x["tok_idx"], x["token"], x["end"], x["run"], x["gap"]) for x in tokens.collect()}
+    want = {}
+    for p, t in rows:
+        for k, m in enumerate(re.finditer("[A-Za-z0-9]+", t)):
+            want[p, m.start()] = (k, m[0].lower(), m.end(), m[0], re.match("[^A-Za-z0-9]*", t[m.end() :])[0])
+    assert got == want
+    lines = [(p, k, len("\n".join([*t.split("\n")[:k], ""])), x) for p, t in rows + [("mark", "?!")] for k, x in enumerate(t.split("\n"))]
+    assert sorted(map(tuple, R.split_lines(texts).collect())) == sorted(lines)
+    found = R.text_candidates(texts, words)
+    whole = found.collect()
+    assert exchanges(R.text_candidates(texts, words)) == 0
+    assert sorted(map(tuple, found.drop("text").collect())) == sorted(map(tuple, R.dictionary_candidates(tokens, words).collect()))
+    with monkeypatch.context() as m:  # too many phrases for the tasks
+        m.setattr(R, "BROADCAST_LIMIT", 100)
+        assert sorted(map(tuple, R.text_candidates(texts, words).collect())) == sorted(map(tuple, whole))
+    old, new = R.dictionary_match(texts, tokens, words), R.dictionary_match(texts, None, words)
+    assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect())) and new.count()
+    for most in (1, 4):
+        grams = R.text_ngrams(texts, new, most)
+        assert sorted(map(tuple, grams.collect())) == sorted(map(tuple, R.free_token_ngrams(tokens, old, most).collect()))
+        for part in grams.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.collect_list(F.struct("pmc_id", "run_id", "start", "length"))).collect():
+            by = {}
+            for k, x in enumerate(part[1]):
+                by.setdefault(x[0], []).append((k, tuple(x[1:])))
+            assert all(v[-1][0] - v[0][0] == len(v) - 1 and [x for _, x in v] == sorted(x for _, x in v) for v in by.values())
+
+
+def test_ordered_ngrams_are_selected_without_an_exchange(spark):
+    r = random.Random(4)
+    texts = spark.createDataFrame([(f"p{i}", " ".join(r.choice("abcdefg") for _ in range(80))) for i in range(12)], "pmc_id string, text string")
+    grams = R.text_ngrams(texts, spark.createDataFrame([("p1", 3, 2), ("p2", 0, 1)], "pmc_id string, tok_idx int, n_tokens int"), 3)
+    grams = grams.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(50)))
+    hits = spark.createDataFrame([(i, f"H{i}", f"n{i}", r.randint(1, 20) / 20) for i in range(50)], "place long, hpo_id string, name string, score double")
+    plain = hits.join(grams.select("text", "place").distinct(), "place").drop("place")
+    want = sorted(map(tuple, R.select_retrieved(grams.drop("place"), plain, [0.2, 0.7]).collect()))
+    got = R.select_retrieved(grams, hits, [0.2, 0.7], "place", ordered=True)
+    assert exchanges(got) == exchanges(grams) < exchanges(R.select_retrieved(grams.drop("place"), plain, [0.2, 0.7]))
+    assert sorted(map(tuple, got.collect())) == want and want
