@@ -622,3 +622,13 @@ def test_ordered_ngrams_are_selected_without_an_exchange(spark):
     got = R.select_retrieved(grams, hits, [0.2, 0.7], "place", ordered=True)
     assert exchanges(got) == exchanges(grams) < exchanges(R.select_retrieved(grams.drop("place"), plain, [0.2, 0.7]))
     assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_mentions_take_their_columns_along(spark, people):
+    """Routing and sections put mentions through one exchange, with all their columns, also where numbers repeat."""
+    m = spark.createDataFrame([("p", 1, 3, "x"), ("p", 1, 900, "y"), ("none", 2, 5, None)], "pmc_id string, ent_idx int, offset int, text string")
+    segments = spark.createDataFrame([("p", 0, 0, "abcdef", "TITLE")], "pmc_id string, seg_idx int, offset int, text string, section_type string")
+    routed, placed = A.nearest(m, people), A.section_lookup(m, segments)
+    assert exchanges(routed) == 1 and "Join" not in routed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["pmc_id"], r["ent_idx"], r["offset"], r["text"] or "") for r in routed.collect()) == [("none", 2, 5, ""), ("p", 1, 3, "x"), ("p", 1, 900, "y")]
+    assert sorted((r["offset"], r["text"] or "", r["section"]) for r in placed.collect()) == [(3, "x", "TITLE"), (5, "", "?"), (900, "y", "?")]
