@@ -10,6 +10,7 @@ from termloom.functions import blocks as B
 from termloom.functions import rebuild as W
 from termloom.functions import text as T
 from termloom.operators import associate as A
+from termloom.operators import diagnose as D
 from termloom.operators import evaluate as E
 from termloom.operators import gate as G
 from termloom.operators import ontology as O
@@ -572,7 +573,7 @@ def test_streamed_log_equals_the_folded_one(spark, tmp_path):
 
 def exchanges(df):
     """Shuffles in the plan, before it has run."""
-    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
 
 
 def test_texts_are_taken_apart_where_they_are_read(spark, monkeypatch):
@@ -632,3 +633,26 @@ def test_mentions_take_their_columns_along(spark, people):
     assert exchanges(routed) == 1 and "Join" not in routed._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["pmc_id"], r["ent_idx"], r["offset"], r["text"] or "") for r in routed.collect()) == [("none", 2, 5, ""), ("p", 1, 3, "x"), ("p", 1, 900, "y")]
     assert sorted((r["offset"], r["text"] or "", r["section"]) for r in placed.collect()) == [(3, "x", "TITLE"), (5, "", "?"), (900, "y", "?")]
+
+
+def associations(spark):
+    """Gold, base and model with shared, missing and null patients, compounds, and an article that only the model has."""
+    rows = lambda x: spark.createDataFrame(x, "pmc_id string, patient_id string, identifier string")
+    gold = rows([("a", "P1", "x;y"), ("a", "P2", None), ("a", "P3", "z"), ("b", "P1", "x"), ("b", "P2", "y"), ("c", None, "x"), ("d", "P1", None)])
+    base = rows([("a", "P1", "x"), ("a", "P2", "z"), ("a", "P3", "z"), ("b", "P1", "x"), ("b", "P9", "y"), ("c", None, "x"), ("d", "P1", None)])
+    model = rows([("a", "P1", " y ;z"), ("a", "P2", None), ("a", "P3", None), ("b", "P1", "x"), ("b", "P2", "x"), ("e", "P1", "x"), ("d", "P1", None), (None, "P1", "x")])
+    return gold, base, model
+
+
+def exchanges(df):
+    """Exchanges of rows by key in the plan, without the last sums' into one task."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_fusion_compare_is_what_the_scores_give(spark):
+    gold, a, b = associations(spark)
+    pred = {"A": a, "B": b, **{how: A.fuse(a, b, how).withColumnRenamed("token", "identifier") for how in ("intersect", "union")}}
+    want = {v: (E.score_micro(gold, p).first()["f1"], E.score_macro(gold, p).first()["f1"]) for v, p in pred.items()}
+    got = A.fusion_compare(gold, a, b)
+    assert {r["variant"]: pytest.approx((r["f1_micro"], r["f1_macro"])) for r in got.collect()} == want
+    assert exchanges(got) <= 2  # by article, and the four sums
