@@ -656,3 +656,19 @@ def test_fusion_compare_is_what_the_scores_give(spark):
     got = A.fusion_compare(gold, a, b)
     assert {r["variant"]: pytest.approx((r["f1_micro"], r["f1_macro"])) for r in got.collect()} == want
     assert exchanges(got) <= 2  # by article, and the four sums
+
+
+def test_deltas_come_from_one_exchange(spark):
+    gold, base, model = associations(spark)
+    keys = ["pmc_id", "patient_id"]
+    b, m = (E.per_patient(gold, p).select(*keys, "tp", "fp", "fn", "f1") for p in (base, model))
+    want = {tuple(r) for r in b.select(*keys, (F.col("tp") + F.col("fn")).alias("n"), F.col("f1").alias("x")).join(m.select(*keys, F.col("f1").alias("y")), keys).collect()}
+    got = D.patient_delta(gold, base, model)
+    assert {tuple(r)[:5] for r in got.collect()} == want and exchanges(got) == 1
+    for df in (D.miss_extra(gold, base, model), D.miss_destination(gold, base, model)):
+        assert exchanges(df) == 1
+    assert D.miss_extra(gold, base, model).first().asDict() == {"missed": 3, "extra": 2, "zeroed": 1, "rescued": 1}
+    assert {tuple(r) for r in D.miss_destination(gold, base, model).collect()} == {("a", "P1", "x", "to_none"), ("a", "P3", "z", "to_other"), ("b", "P2", "y", "to_lost")}
+    worst = D.worst_patients(gold, base, model, 2).collect()
+    assert [(r["pmc_id"], r["patient_id"], r["gold"], r["base"], r["model"], r["missed"], r["extra"]) for r in worst] == [
+        ("a", "P3", ["z"], ["z"], [], ["z"], []), ("a", "P1", ["x", "y"], ["x"], ["y", "z"], ["x"], ["z"])]
