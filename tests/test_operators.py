@@ -672,3 +672,15 @@ def test_deltas_come_from_one_exchange(spark):
     worst = D.worst_patients(gold, base, model, 2).collect()
     assert [(r["pmc_id"], r["patient_id"], r["gold"], r["base"], r["model"], r["missed"], r["extra"]) for r in worst] == [
         ("a", "P3", ["z"], ["z"], [], ["z"], []), ("a", "P1", ["x", "y"], ["x"], ["y", "z"], ["x"], ["z"])]
+
+
+def test_answers_are_dealt_before_they_are_sorted(spark):
+    """Lines are many in few bytes: a task that reads them sorts none."""
+    text = "1: P2\n1: P1\n2: P9\n3: P2\n9: P1\n2 P1"
+    answers = spark.createDataFrame([("p", text), (None, text), ("q", text)], "pmc_id string, response string")
+    m = spark.createDataFrame([("p", 0), ("p", 1), ("p", 2), (None, 0)], "pmc_id string, ent_idx int")
+    people = spark.createDataFrame([("p", "P1"), ("p", "P2"), ("q", "P1")], "pmc_id string, patient_id string")
+    given, counted = A.parse_answers(answers, m, people)
+    assert {tuple(r) for r in given.collect()} == {("p", 0, "P1"), ("p", 2, "P2")}
+    assert [tuple(r) for r in counted.collect()] == [("p", 4)]
+    assert exchanges(given) == 1 and exchanges(counted) == 1
