@@ -684,3 +684,17 @@ def test_answers_are_dealt_before_they_are_sorted(spark):
     assert {tuple(r) for r in given.collect()} == {("p", 0, "P1"), ("p", 2, "P2")}
     assert [tuple(r) for r in counted.collect()] == [("p", 4)]
     assert exchanges(given) == 1 and exchanges(counted) == 1
+
+
+def test_split_ids_as_they_are_and_with_odd_spaces(spark):
+    for x, want in {"HP:1": ["HP:1"], "a\n": ["a"], " a": ["a"], "": [], ";": [], "a;b": ["a", "b"], "-1": ["-1"], "a b": ["a b"]}.items():
+        assert column(spark, T.split_ids(F.col("x")), x=x) == want
+
+
+def test_patients_write_no_texts(spark, tmp_path):
+    from termloom.plans.fixtures import Fixtures
+
+    text = "case one\nand its son"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    f = Fixtures(spark, str(tmp_path))
+    assert [len(r["mentions"]) for r in f.patients().orderBy("roster_idx").collect()] == [1, 1] and "segments" not in f.kept
