@@ -9,6 +9,7 @@ one offset. Ranks are counted within each written part and shifted by the parts
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,18 +31,25 @@ def _whole(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> list[str]:
+    """The texts of the added tokens of a tokenizer's file; the tokenizer itself is many times as large in memory."""
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+
 def tokenize(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids, part, place): the pieces of every document, its ids followed by ``end_id``.
 
     Documents longer than ``capacity`` are cut from the back, so the first piece may be shorter. ``ids`` is binary,
     little-endian unsigned 32-bit. ``ranks`` holds the vocabulary of ``tokenizer`` as ranks and gives the same ids; a
-    text that holds one of the tokenizer's added tokens goes through ``tokenizer`` itself. ``part`` and ``place`` number
+    text that holds one of the tokenizer's added tokens goes through ``tokenizer`` itself, which a worker loads at its first
+    such text. ``part`` and ``place`` number
     the pieces of each length within a task.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fast, slow = encoder(ranks, pattern), _whole(tokenizer)
-        added = [t.content for t in slow.get_added_tokens_decoder().values()]
+        fast, added = encoder(ranks, pattern), added_tokens(tokenizer)
         end, seen, part = np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1), TaskContext.get().partitionId()
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
@@ -49,7 +57,7 @@ def tokenize(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, end_id:
                 out = [[] for _ in range(7)]
                 for doc, text in zip(ids[i : i + 512], texts.slice(i, 512).to_pylist(), strict=True):
                     text = text or ""
-                    packed = (np.asarray(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if any(t in text for t in added)
+                    packed = (np.asarray(_whole(tokenizer).encode(text, add_special_tokens=False).ids, "<u4").tobytes() if any(t in text for t in added)
                         else fast.encode(text)) + end
                     n, at, piece = len(packed) // 4, 0, 0
                     while at < n:
@@ -133,7 +141,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, end_id: int
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stage(sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "sizes")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    runs = spark.createDataFrame(plan(counts, capacity), "length long, first long, end long, sequence long, at long, each long")
+    columns = np.array(plan(counts, capacity), np.int64).reshape(-1, 6).T
+    # as an Arrow table: rows in a list would go through Python workers of their own kind, which stay beside those that made the pieces
+    runs = spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=["length", "first", "end", "sequence", "at", "each"]))
     ranked = pieces.join(maybe_broadcast(sizes.drop("n"), sizes.count(), 40), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
     # the runs' number depends on the capacity alone
     placed = ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))

@@ -9,6 +9,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,41 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, PATH("byte_bpe_50k.json"), PATH("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_places_pieces_without_further_python_workers(spark, docs, monkeypatch):
+    """The plan of runs must not become an RDD of Python rows: that starts a second set of workers beside the first."""
+
+    def refused(*a, **b):
+        raise AssertionError("rows were sent through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    got = packing.pack(docs, PATH("byte_bpe_50k.json"), PATH("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert got.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_added_tokens_without_the_tokenizer():
+    want = [t.content for t in brute_tokenizer().get_added_tokens_decoder().values()]
+    assert want and sorted(packing.added_tokens(PATH("byte_bpe_50k.json"))) == sorted(want)
+
+
+def test_pipeline_batches_are_small(spark, empty):
+    """40 rows of 1 MB reach a Python worker a few MB at a time after any stage; a session's own setting stays."""
+    name = corpus_pipeline.BATCH_SETTING
+    before = spark.conf.getAll.get(name)
+    rows = spark.range(40).repartition(1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = lambda: [r["n"] for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    try:
+        for stage_name, function in corpus_pipeline.STAGES:
+            if stage_name != "pii":  # runs no Python
+                spark.conf.unset(name)
+                function(spark, empty, None)
+                assert max(sizes()) <= 6 << 20
+        spark.conf.set(name, "16m")
+        corpus_pipeline.STAGES[0][1](spark, empty, None)
+        assert spark.conf.get(name) == "16m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_fills_sequences(seed):
     r = random.Random(seed)
