@@ -4,6 +4,7 @@ import hashlib
 import random
 import warnings
 import zlib
+from collections import Counter
 
 import brute
 import corpus_pipeline
@@ -669,6 +670,48 @@ def test_runs_are_merged_by_bands(size):
     assert sum(sum(band["count"].to_pylist()) for band in got) == sum(len(divergence_terms(t)) for t in texts) and (len(got) == 1) == (size > 300)
 
 
+def test_many_open_runs_are_merged_in_linear_time(monkeypatch):
+    """Pieces that all reach over all terms stay open to the end; their rows are compared with a bound a few times, not with every band's."""
+    r, looked, less = random.Random(3), [], divergence.pc.less
+    words = sorted({"".join(r.choices("abcdef", k=5)) for _ in range(3000)})
+    tables = []
+    for _ in range(600):
+        terms = sorted({words[0], *r.sample(words, 40)})
+        tables.append(("x", terms[0], pa.table({"lang": ["x"] * len(terms), "term": terms, "count": [1] * len(terms)})))
+    monkeypatch.setattr(divergence.pc, "less", lambda a, b: (looked.append(len(a)), less(a, b))[1])
+    got, rows = list(divergence.bands(iter(tables), 400)), sum(len(t) for _, _, t in tables)
+    assert sum(map(len, got)) == rows and sum(looked) <= 4 * rows
+
+
+def test_a_block_is_one_run_whatever_the_batches():
+    """Small batches fill a block together, and a run of (language, term) rows has each once, with its counts by source."""
+    r = random.Random(8)
+    rows = [(r.choice("ab"), r.choice("xyz"), " ".join(r.choices(WORDS[:300], k=r.randint(0, 40)))) for _ in range(400)] + [("b", "z", ""), ("", "", "12")]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("lang", "source", "text"), zip(*rows[i : i + 7], strict=True), strict=True))) for i in range(0, len(rows), 7)]
+    runs, want, docs = list(divergence.index(iter(batches), shards=5)), Counter(), Counter()
+    for lang, source, text in rows:
+        want.update((lang, source, t.lower()) for t in divergence_terms(text))
+        docs.update({(lang, t.lower()) for t in divergence_terms(text)})
+    pieces = [p for run in runs for p in run.to_pylist()]
+    found, counts, n_docs = Counter(), Counter(), {}
+    for p in pieces:
+        for term, count, n, packed in zip(p["terms"], p["counts"], p["docs"], p["postings"], strict=True):
+            assert (p["lang"], term) not in n_docs
+            n_docs[p["lang"], term], counts[p["lang"], term] = n, count
+            for source, c in np.frombuffer(packed, np.int32).reshape(-1, 2).tolist():
+                found[p["lang"], p["names"][source], term] += c
+    assert len(runs) == 1 and found == want and n_docs == dict(docs) and sum(counts.values()) == sum(want.values())
+    assert all(p["terms"] == sorted(p["terms"]) and p["first"] == p["terms"][0] for p in pieces) and len({p["shard"] for p in pieces}) == 5
+
+
+def test_shares_of_counts_beyond_a_long(spark):
+    """Shares are exact on both sides of the count up to which a long holds the product."""
+    rows = [(c, n, v) for c in (0, 1, (1 << 32) - 1, 1 << 32, 10**13) for n in (0, 7, 10**14) for v in (0, 1, 10**6)]
+    table = spark.createDataFrame(rows, "count long, n long, v long")
+    got = table.select("count", "n", "v", divergence.share(F.col("count"), "n", "v").alias("p")).where("n >= count").collect()
+    assert got and all(x["p"] == (1 + 10**9 * (x["count"] + 5) // (x["n"] + 5 * x["v"]) if x["v"] else None) for x in got)
+
+
 def divergence_terms(text):
     import re
 
