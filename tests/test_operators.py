@@ -1,20 +1,24 @@
 """Small literal frames for the edges of the operators' rules."""
 
+import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import blocks as B
 from termloom.functions import rebuild as W
 from termloom.functions import text as T
+from termloom.functions.digest import md5_head
 from termloom.operators import associate as A
 from termloom.operators import diagnose as D
 from termloom.operators import evaluate as E
 from termloom.operators import gate as G
 from termloom.operators import ontology as O
 from termloom.operators import recognize as R
+from termloom.operators import scan as N
 from termloom.operators import track as K
 from termloom.sources import articles as S
 from termloom.streaming import articles as stream
@@ -625,6 +629,71 @@ def test_ordered_ngrams_are_selected_without_an_exchange(spark):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
+def test_texts_give_what_is_selected_among_their_ngrams(spark):
+    """Selection where the text is read takes what select_retrieved takes of all n-grams, and no n-gram leaves its task."""
+    r = random.Random(5)
+    parts = ["a", "Bc", "def", "9", "12ab", "é", "-", " ", "\n", " " * 70, "😀", "long" * 20]
+    rows = [(f"p{i}", "".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.choice([0, 1, 9, 90])))) for i in range(50)]
+    texts = spark.createDataFrame([*rows, ("null", None), ("mark", "?!")], "pmc_id string, text string").repartition(3).localCheckpoint()
+    matches = R.tokenize(texts).where("tok_idx % 7 = 3").select("pmc_id", "tok_idx", F.lit(1).alias("n_tokens")).localCheckpoint()
+    for scores in ([k / 40 for k in range(40)][::-1], [r.choice([0.2, 0.4, 0.6, None]) for _ in range(40)], [None] * 40):
+        hits = spark.createDataFrame([(i, f"H{i}", f"n{i}", x) for i, x in enumerate(scores)], "place long, hpo_id string, name string, score double")
+        grams = R.text_ngrams(texts, matches).where(R.is_candidate(F.col("text")))
+        placed = grams.withColumn("place", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % 40)
+        got = R.select_in_texts(texts, matches, hits, [0.3, 0.5], lambda data, starts, ends: md5_head(data, starts, ends) % 40)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.select_retrieved(placed, hits, [0.3, 0.5], "place").collect()))
+        assert exchanges(got) == exchanges(grams) and got.count() or scores[0] is None
+        assert "md5" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_md5_of_many():
+    r = random.Random(6)
+    texts = [r.randbytes(n) for n in [*range(130), *r.choices(range(70), k=3000)]]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    want = [int(hashlib.md5(t).hexdigest()[:8], 16) for t in texts]
+    assert md5_head(data, ends - [len(t) for t in texts], ends).tolist() == want
+    assert md5_head(np.zeros(0, np.uint8), ends[:0], ends[:0]).tolist() == []
+
+
+def test_territories_are_the_nearest_patients(spark):
+    """Ties, anchors at one place, articles without anchors or patients, missing offsets: as nearest routes them."""
+    r = random.Random(7)
+    people = [(f"p{i}", k, f"P{k + 1}" if r.random() < 0.95 else None, [(r.choice([None, *range(0, 40, 3)]), 1, "t") for _ in range(r.choice([0, 1, 4]))])
+        for i in range(40) for k in range(r.choice([0, 1, 3]))]
+    people = spark.createDataFrame(people + [(None, 0, "P1", [(1, 1, "t")])], PATIENTS)
+    asked = [(p, x, f"{p}-{x}", 1) for p in [*(f"p{i}" for i in range(40)), "none", None] for x in [None, *range(45)]]
+    asked = spark.createDataFrame(asked, "pmc_id string, offset int, token string, level int")
+    gold = spark.createDataFrame([("p1", "P1", "x;y"), ("p2", "P9", None)], ASSOC)
+    want = {(x["pmc_id"], x["patient_id"], x["token"]): (0, 1) for x in A.nearest(asked, people).where("patient_id is not null").collect()}
+    want |= {("p1", "P1", t): (1, 0) for t in ("x", "y", None)} | {("p2", "P9", None): (1, 0)}
+    got = A.levelled_tokens(asked, people, gold)
+    assert {tuple(x)[:3]: tuple(x)[3:] for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_scan_reads_what_was_retrieved_once_a_score(spark, people, tmp_path):
+    """Places and documents are counted in one pass, patients micro and macro in one; scores are those of each threshold alone."""
+    r = random.Random(8)
+    rows = [(r.choice("pqr"), f"H{r.randint(0, 5)}", r.randint(0, 60), r.randint(1, 3), r.choice([0.2, 0.3, 0.45, 0.9])) for _ in range(60)]
+    spark.createDataFrame(rows, "pmc_id string, hpo_id string, start int, length int, score double").write.parquet(str(tmp_path / "retrieved"))
+    new, m = spark.read.parquet(str(tmp_path / "retrieved")), "pmc_id string, offset int, length int, identifier string, note string"
+    matches = spark.createDataFrame([(r.choice("pqr"), r.randint(0, 60), r.randint(1, 3), r.choice(["H1", "H2;H3", "-1"]), r.choice([None, "NO"])) for _ in range(20)], m)
+    gold_m = spark.createDataFrame([(x[0], x[2], x[3], x[1], None) for x in rows[::3]] + [tuple(x) for x in matches.collect()[::2]], m)
+    gold = spark.createDataFrame([("p", "P1", "H1;H2"), ("p", "P2", None), ("q", "P1", "H3"), ("r", "P3", "H4")], ASSOC)
+    articles = spark.createDataFrame([("p",), ("q",)], "pmc_id string")
+    thresholds = [0.3, 0.5, 0.45]
+    got = N.threshold_scan_recognition(matches, new, people, gold_m, gold, articles, thresholds)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("retrieved]") + plan.split("Initial Plan")[0].count("retrieved,") <= 3
+    scores = {}
+    for t in thresholds:
+        at = new.where(F.col("score") >= t).select("pmc_id", F.col("start").alias("offset"), "length", F.col("hpo_id").alias("identifier"), F.lit(None).cast("string").alias("note"))
+        pred = matches.unionByName(at)
+        routed = A.nearest(pred.select("pmc_id", "offset", "identifier"), people).where("patient_id is not null").select("pmc_id", "patient_id", "identifier")
+        scores[t] = (sum(x[4] >= t for x in rows), *E.score_total(gold_m, pred, articles, gold, routed).first())
+    assert {x["threshold"]: tuple(x)[1:-1] for x in got.collect()} == {t: pytest.approx(v, abs=1e-9) for t, v in scores.items()}
+    assert [x["threshold"] for x in got.collect() if x["best"]] == [max(thresholds, key=lambda t: (round(scores[t][-1], 9), -t))]
+
+
 def test_mentions_take_their_columns_along(spark, people):
     """Routing and sections put mentions through one exchange, with all their columns, also where numbers repeat."""
     m = spark.createDataFrame([("p", 1, 3, "x"), ("p", 1, 900, "y"), ("none", 2, 5, None)], "pmc_id string, ent_idx int, offset int, text string")
