@@ -767,3 +767,15 @@ def test_patients_write_no_texts(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     f = Fixtures(spark, str(tmp_path))
     assert [len(r["mentions"]) for r in f.patients().orderBy("roster_idx").collect()] == [1, 1] and "segments" not in f.kept
+
+
+def test_split_ids_is_compiled(spark):
+    """Splitting is part of the generated code, also under explode, and gives the stripped parts that are not empty."""
+    r = random.Random(9)
+    texts = [None, "", *("".join(r.choices(["a", "B1", ";", " ", "\t", "\n", "\u00a0", "\u2003", "é", "-1"], k=r.randint(0, 9))) for _ in range(2000))]
+    ids = spark.createDataFrame(list(enumerate(texts)), "i long, c string")
+    each = ids.select("i", F.explode(T.split_ids(F.col("c"))).alias("token"))
+    assert re.search(r"\*\(\d+\) Generate", each._jdf.queryExecution().executedPlan().toString())
+    parts = F.filter(F.transform(F.split("c", ";"), T.strip), lambda x: x != "")
+    want = {x["i"]: x["p"] or [] for x in ids.select("i", parts.alias("p")).collect()}
+    assert {x["i"]: x["p"] for x in ids.select("i", T.split_ids(F.col("c")).alias("p")).collect()} == want
